@@ -28,17 +28,17 @@ REPLIES = pa.schema([("block", pa.int32()), ("packet", pa.binary())])
 class Plan:
     """How many blocks and key ranges a corpus gets; all in proportion to its bytes."""
 
-    def __init__(self, spark, total_bytes: int, keys_per_byte: float, reply_bytes: int = 64 << 20):
+    def __init__(self, spark, total_bytes: int, keys_per_byte: float, range_bytes: int):
         self.blocks = max(1, math.ceil(total_bytes / BLOCK_BYTES))
         keys = max(1, int(total_bytes * keys_per_byte))
-        self.ranges = max(2 * partitions(spark), math.ceil(keys * 16 / reply_bytes))
+        self.ranges = max(2 * partitions(spark), math.ceil(total_bytes / range_bytes))
         self.bits = min(64, max(40, keys.bit_length() + 14))
 
 
-def in_blocks(docs: DataFrame, keys_per_byte: float) -> tuple[DataFrame, Plan]:
-    """(doc_id, text, block) and the plan; one narrow pass measures the corpus."""
+def in_blocks(docs: DataFrame, keys_per_byte: float, range_bytes: int = 32 << 20) -> tuple[DataFrame, Plan]:
+    """(doc_id, text, block) and the plan; one narrow pass measures the corpus. range_bytes: of text to a key range."""
     total = docs.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
-    plan = Plan(docs.sparkSession, total, keys_per_byte)
+    plan = Plan(docs.sparkSession, total, keys_per_byte, range_bytes)
     salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.blocks)).cast("int")
     return docs.select("doc_id", "text", salt.alias("block")), plan
 
