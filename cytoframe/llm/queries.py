@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cytoframe.llm import langid, quality, secrets, sharding, window_dedup
+from cytoframe.llm import decontaminate, embed_neardup, langid, ngram_join, packing, quality, secrets, sharding, suffix_dedup, window_dedup
 from cytoframe.llm._session import table
 
 
+def tokenizer_json(path: str | None = None) -> str:
+    """The tokenizer's file as text, by path or the installed one for op7."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def op2_secret_scan(spark, sf_dir):
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -25,12 +39,30 @@ def op3_byte_shards(spark, sf_dir):
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_decontamination(spark, sf_dir):
+    rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = langid.predict_language(docs, langid.train(docs))
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_packing(spark, sf_dir):
+    return packing.pack_tokens(table(spark, sf_dir, "documents"), tokenizer_json(), chunked=True)
+
+
+def op8_embedding_neardup(spark, sf_dir):
+    return embed_neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_window_dedup(spark, sf_dir):
     rows = window_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -43,6 +75,20 @@ def op10_quality(spark, sf_dir):
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_byte_shards, op6_language, op9_window_dedup, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join,
+        op2_secret_scan,
+        op3_byte_shards,
+        op4_suffix_dedup,
+        op5_decontamination,
+        op6_language,
+        op7_packing,
+        op8_embedding_neardup,
+        op9_window_dedup,
+        op10_quality,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
