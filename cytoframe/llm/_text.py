@@ -70,6 +70,17 @@ class Texts:
         return self.bytes[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+    """Parts of a batch, in order, of rows whose texts take `most` bytes together, or of one row."""
+    sizes = np.diff(Texts(batch.column(batch.schema.names.index(column))).offsets)
+    at = 0
+    ends = np.cumsum(sizes)
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.llm._session import durable
+from cytoframe.llm._text import slices
 
 LENGTH, END_ID = 2048, 1
 #: Combinations listed for each longest length, and steps of the solver.
@@ -190,8 +191,7 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, window: int = LENGTH, end_i
         seen: dict[int, int] = {}
         last = int(end_id).to_bytes(4, "little")
         for big in batches:
-            for at in range(0, len(big), 512):
-                batch = big.slice(at, 512)
+            for batch in slices(big, "text"):
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"] + ["ids"] * with_ids
                 rows = {n: [] for n in names}
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), (by_chunk if chunked else whole)([t or "" for t in batch.column("text").to_pylist()])):
