@@ -18,19 +18,21 @@ WINDOW, SHINGLE = 13, 5
 #: Rows of benchmark tables up to which they are broadcast; joined by shuffle beyond.
 BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Fixed value: what separates words, after folding A-Z.
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what separates words, after folding A-Z: U+0000-002F, 003A-0060, 007B-007F.
+SEPARATORS = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, -1), "")
+    """Words of a text: one pass folds letters and turns separators to spaces, so the split needs no pattern."""
+    plain = F.translate(F.coalesce(text, F.lit("")), UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS))
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
-def _shingles(hashes: Column, n: Column, size: int, offset: Column | None = None) -> Column:
-    """Array of (pos, shingle) of size words; empty where there are fewer."""
+def _shingles(words: Column, n: Column, size: int) -> Column:
+    """Array of (pos, shingle) of size words, hashed; empty where there are fewer."""
 
     def at(i):
-        return F.struct(i.alias("pos"), F.xxhash64(F.lit(size), *[F.get(hashes, i + j) for j in range(size)]).alias("shingle"))
+        return F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i + 1, size)).alias("shingle"))
 
     none = F.array().cast("array<struct<pos:int,shingle:bigint>>")
     return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), at)).otherwise(none)
@@ -61,10 +63,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     wins = owned.select("win", "words").distinct().withColumn("m", F.size("words"))
     wins = wins.withColumn("q", F.least(F.col("m"), F.lit(shingle)))
     sizes = sorted(r[0] for r in wins.select("q").distinct().collect())  # `shingle` values at most
-    hashed = wins.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     tokens = None
     for q in sizes:
-        some = hashed.where(F.col("q") == q).select("win", "m", F.explode(_shingles(F.col("h"), F.col("m"), q)).alias("s"))
+        some = wins.where(F.col("q") == q).select("win", "m", F.explode(_shingles(F.col("words"), F.col("m"), q)).alias("s"))
         some = some.select("win", "m", F.col("s.pos").alias("offset"), F.col("s.shingle").alias("shingle"))
         tokens = some if tokens is None else tokens.unionByName(some)
     base = docs.select(F.col("doc_id"), words_of(F.col("text")).alias("w")).withColumn("_row", F.monotonically_increasing_id())
@@ -76,8 +77,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     tokens = durable(tokens)
     distinct = tokens.select("shingle").distinct()
     n_tokens = tokens.count()
-    base = base.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-    every = F.concat(head, *[_shingles(F.col("h"), F.col("n_words"), q) for q in sizes])
+    every = F.concat(head, *[_shingles(F.col("w"), F.col("n_words"), q) for q in sizes])
     spread = base.select("doc_id", "_row", "n_words", "w", F.explode(every).alias("s")).select("doc_id", "_row", "n_words", "w", F.col("s.pos").alias("pos"), F.col("s.shingle").alias("shingle"))
     known = _bounded(distinct.withColumn("known", F.lit(True)), n_tokens)
     first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
