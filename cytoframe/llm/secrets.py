@@ -127,11 +127,16 @@ def mask(text: str | None, spans, mark: str = "[secret]") -> str | None:
 
 
 def mask_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """(doc_id, text) with all spans of find_secrets masked; null stays null."""
+    """The columns of docs with all spans of find_secrets masked in text; null stays null."""
+    names = docs.columns
 
     def run(batches):
-        for batch in _scan(batches):
-            text = [mask(t, s, mark) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            text = []
+            for t in batch.column(at).to_pylist():
+                base = base_spans(t) if t else []
+                text.append(mask(t, [{"start": s, "end": e} for s, _, e in base + (entropy_spans(t, base) if t else [])], mark))
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names=names)
+
+    return docs.mapInArrow(run, docs.schema)
