@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoframe.llm._text import Texts
+from cytoframe.llm._text import Texts, slices
 from cytoframe.llm.quality import held_out
 
 FEATURE_BITS, MAX_TRAIN_ROWS = 12, 6000
@@ -113,7 +113,7 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     picked = F.broadcast(some.distinct().withColumnRenamed("lang", "_lang"))  # at most max_rows narrow rows
 
     def extract(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             x = vectors(Texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_lang"), pa.array([np.round(r * 65535).astype(np.uint16).tobytes() for r in x], pa.binary())], names=["doc_id", "_lang", "x"])
 
@@ -131,8 +131,7 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     """
     def run(batches):
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                batch = whole.slice(at, 2000)
+            for batch in slices(whole, "text"):
                 texts = Texts(batch.column("text"))
                 known = has_letter(texts) & bool(model.names)
                 lang, score, lead = model.decode(vectors(texts)) if model.names else (np.zeros(texts.n, np.int64), np.zeros(texts.n), np.zeros(texts.n))

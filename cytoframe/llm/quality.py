@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoframe.llm._text import Texts, Words, mix
+from cytoframe.llm._text import Texts, Words, mix, slices
 
 U = np.uint64
 #: log2 of the number of hashed features; the bound on training rows of each class.
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * max_rows narrow rows
 
     def extract(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows = features(Texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array([x.astype(np.int32).tobytes() for x in rows], pa.binary())], names=["doc_id", "_y", "features"])
 
@@ -135,7 +135,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no features and get the model's bias. Every row is scored alone.
     """
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             score = model.scores(features(Texts(batch.column(batch.schema.names.index("text")))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=[*batch.schema.names, "quality_score", "quality_predicted"])
 
