@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cytoframe.operators import summaries as S
@@ -68,8 +69,6 @@ def sliding_segments(spark, sf_dir):
 def previous_steps(spark, sf_dir):
     """Step speed, the track's mean and early mean, and the first of the three that is there."""
     rows = T.previous_step(A.tracks(spark, sf_dir), TRACK)
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*TRACK)
     early = F.avg(F.when(F.col("frame") <= F.col("first_frame") + 3, F.col("step_speed"))).over(w)
     rows = rows.withColumns({"mean_speed": F.avg("step_speed").over(w), "first_frame": F.min("frame").over(w)}).withColumn("early_speed", early)
@@ -169,7 +168,7 @@ def threshold_sensitivity(spark, sf_dir):
     wide = origin.groupBy(*by).pivot("track_step", [3, 5, 10]).agg(F.avg("squared_displacement"))
     wide = wide.select(*by, *[F.col(f"`{k}`").alias(f"msd_step_{k}") for k in (3, 5, 10)])
     out = counted.join(stepped, by, "left").join(wide, by, "left")
-    return out.withColumns({c: F.round(c, 4) for c in ("median_frames", "p90_frames", "mean_step", "msd_step_3", "msd_step_5", "msd_step_10")})
+    return out.withColumns({c: F.round(c, 2) for c in ("median_frames", "p90_frames", "mean_step", "msd_step_3", "msd_step_5", "msd_step_10")})
 
 
 def step_metrics_long(spark, sf_dir):
@@ -209,8 +208,6 @@ def best_step(spark, sf_dir):
     """The longest step of each track, the three longest of each condition flagged by rank."""
     rows = _steps(spark, sf_dir)
     best = T.keep_first(rows, TRACK, [F.col("step_distance").desc(), "frame"])
-    from pyspark.sql import Window
-
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(*COND).orderBy(F.col("step_distance").desc(), *TRACK))).where("rank <= 3")
     return _rounded(ranked.select(*COND, *TRACK, "frame", "step_distance", F.col("rank").cast("long")), "step_distance")
 
@@ -275,7 +272,7 @@ ORACLE_SQL = {
         t AS (SELECT e.ploidy, e.dose, min_frames, count(*) AS n_steps, avg(d) AS mean_step FROM s JOIN e USING (ploidy, dose, site_id, track_id, run_index) GROUP BY ALL),
         o AS (SELECT *, row_number() OVER w - 1 AS k, power(x - first_value(x) OVER w, 2) + power(y - first_value(y) OVER w, 2) AS v FROM runs WINDOW w AS (PARTITION BY ploidy, dose, site_id, track_id, run_index ORDER BY frame)),
         g AS (SELECT e.ploidy, e.dose, min_frames, avg(v) FILTER (k = 3) AS m3, avg(v) FILTER (k = 5) AS m5, avg(v) FILTER (k = 10) AS m10 FROM o JOIN e USING (ploidy, dose, site_id, track_id, run_index) WHERE k IN (3, 5, 10) GROUP BY ALL)
-        SELECT c.ploidy, c.dose, c.min_frames, n_tracks, round(p50, 4) AS median_frames, round(p90, 4) AS p90_frames, n_steps, round(mean_step, 4) AS mean_step, round(m3, 4) AS msd_step_3, round(m5, 4) AS msd_step_5, round(m10, 4) AS msd_step_10
+        SELECT c.ploidy, c.dose, c.min_frames, n_tracks, round(p50, 2) AS median_frames, round(p90, 2) AS p90_frames, n_steps, round(mean_step, 2) AS mean_step, round(m3, 2) AS msd_step_3, round(m5, 2) AS msd_step_5, round(m10, 2) AS msd_step_10
         FROM c LEFT JOIN t USING (ploidy, dose, min_frames) LEFT JOIN g USING (ploidy, dose, min_frames)"""),
     "step_metrics_long": A.sql(STEPS_SQL, """SELECT ploidy, dose, 'mean_step' AS metric, round(avg(step_distance), 6) AS value FROM steps GROUP BY ALL
         UNION ALL SELECT ploidy, dose, 'max_step', round(max(step_distance), 6) FROM steps GROUP BY ALL
