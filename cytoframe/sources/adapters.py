@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Dose levels of the plate layout, in nM, by column 2 to 11.
 DOSES = (0.0, 3.125, 6.25, 12.5, 25.0, 50.0, 100.0, 200.0, 400.0, 800.0)
 
+#: Folders that the derived file inventory stands under.
+TOP_FOLDERS = ("Migration_assay/col3", "raw_images", "SNU-668_scan/cellpose", "tracking/phase", "plain/measurement_1")
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,8 +71,9 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (path, name) of image files in directories."""
-    joined = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_shipdate").join(read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    path = F.concat_ws("/", F.lit(""), F.lit("share"), F.translate("p_type", " ", "_"), F.translate("p_brand", "#", "_"))
+    joined = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_shipdate").join(read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    top = F.element_at(F.array(*map(F.lit, TOP_FOLDERS)), F.col("p_size").cast("int") % len(TOP_FOLDERS) + 1)
+    path = F.concat_ws("/", F.lit(""), F.lit("share"), top, F.translate("p_type", " ", "_"), F.translate("p_brand", "#", "_"))
     n = F.col("l_suppkey") % 5
     plain = F.format_string("FoF%d_z%02d_ch%02d.tif", n, F.col("l_linenumber"), F.col("l_suppkey") % 3)
     timed = F.concat(F.format_string("A%d_%d_", n + 1, F.col("l_linenumber")), F.date_format("l_shipdate", "yyyy'y'MM'm'dd'd'"), F.lit("_06h30m.png"))
@@ -96,8 +100,9 @@ PIXELS_SQL = """pixels AS (
 IMAGES_SQL = """images AS (
   SELECT vec_id AS image_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(embedding[i + 1] AS DOUBLE) AS v
   FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings))"""
-INVENTORY_SQL = """inventory AS (
-  SELECT DISTINCT '/share/' || translate(p_type, ' ', '_') || '/' || translate(p_brand, '#', '_') AS path,
+_TOP_LIST = ", ".join(f"'{t}'" for t in TOP_FOLDERS)
+INVENTORY_SQL = f"""inventory AS (
+  SELECT DISTINCT '/share/' || list_extract([{_TOP_LIST}], CAST(p_size % 5 + 1 AS INTEGER)) || '/' || translate(p_type, ' ', '_') || '/' || translate(p_brand, '#', '_') AS path,
     CASE l_partkey % 4
       WHEN 0 THEN printf('FoF%d_z%02d_ch%02d.tif', l_suppkey % 5, l_linenumber, l_suppkey % 3)
       WHEN 1 THEN printf('A%d_%d_', l_suppkey % 5 + 1, l_linenumber) || strftime(l_shipdate, '%Yy%mm%dd') || '_06h30m.png'
