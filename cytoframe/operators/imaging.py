@@ -1,0 +1,293 @@
+"""Image operators: relational ones over pixel rows, and kernels over dense volumes.
+
+Rows are (image_id, z, y, x, v). What needs a whole image only through a few numbers (percentiles,
+means, histograms) is an aggregate and a join; filters with a neighbourhood run on dense arrays, one
+task a volume, with numpy alone.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def percentile_scaled(px: DataFrame, keys: Sequence[str] = ("image_id",), low: float = 1, high: float = 99.5, eps: float = 1e-6, value: str = "v") -> DataFrame:
+    """Adds scaled: the value between two percentiles of its image, cut to 0 and 1."""
+    q = px.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100))).alias("_q"))
+    a, b = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    return px.join(q, list(keys)).withColumn("scaled", F.least(F.greatest((F.col(value) - a) / (b - a + eps), F.lit(0.0)), F.lit(1.0))).drop("_q")
+
+
+def unit_scaled(df: DataFrame, columns: Sequence[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Adds u_<column>: values between two quantiles of all rows, cut to 0 and 1; 0.5 where the two are equal."""
+    q = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q_{c}") for c in columns])
+    out = df.crossJoin(F.broadcast(q))  # one row
+    scaled = {}
+    for c in columns:
+        a, b = F.get(f"_q_{c}", F.lit(0)), F.get(f"_q_{c}", F.lit(1))
+        scaled[f"u_{c}"] = F.when(b > a, F.least(F.greatest((F.col(c) - a) / (b - a), F.lit(0.0)), F.lit(1.0))).otherwise(0.5)
+    return out.withColumns(scaled).drop(*[f"_q_{c}" for c in columns])
+
+
+def z_scored(px: DataFrame, keys: Sequence[str] = ("image_id",), eps: float = 1e-6) -> DataFrame:
+    """Adds zscore (population deviation) and its absolute value."""
+    s = px.groupBy(*keys).agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
+    z = (F.col("v") - F.col("_m")) / (F.col("_s") + eps)
+    return px.join(s, list(keys)).withColumns({"zscore": z, "abs_zscore": F.abs(z)}).drop("_m", "_s")
+
+
+def confidences(px: DataFrame, keys: Sequence[str] = ("image_id",), tau: float = 1.0, eps: float = 1e-6) -> DataFrame:
+    """Adds relative and softmax confidence of each pixel along z."""
+    w = Window.partitionBy(*keys, "y", "x")
+    shifted = F.col("v") - F.min("v").over(w)
+    scaled = F.exp((F.col("v") - F.max("v").over(w)) / tau)
+    out = px.withColumns({"_a": shifted, "_e": scaled})
+    return out.withColumns({"relative": F.col("_a") / (F.max("_a").over(w) + eps), "softmax": F.col("_e") / F.sum("_e").over(w)}).drop("_a", "_e")
+
+
+def otsu(px: DataFrame, keys: Sequence[str] = ("image_id",), bins: int = 256, value: str = "v") -> DataFrame:
+    """(keys, threshold): the bin centre with the greatest variance between classes; the value itself of a flat image.
+
+    A histogram of fixed size per image, then running sums over its bins.
+    """
+    ends = px.groupBy(*keys).agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    step = (F.col("_b") - F.col("_a")) / bins
+    k = F.least(F.floor((F.col(value) - F.col("_a")) / step), F.lit(bins - 1))
+    counted = px.join(ends, list(keys)).where("_b > _a").groupBy(*keys, k.alias("k"), "_a", "_b").agg(F.count("*").alias("n"))
+    every = ends.where("_b > _a").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
+    rows = every.join(counted.drop("_a", "_b"), [*keys, "k"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rows = rows.withColumn("c", F.col("_a") + (F.col("k") + 0.5) * step)
+    w = Window.partitionBy(*keys).orderBy("k")
+    up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumns({"w1": F.sum("n").over(up), "w2": F.sum("n").over(down), "s1": F.sum(F.col("n") * F.col("c")).over(up), "s2": F.sum(F.col("n") * F.col("c")).over(down)})
+    gap = F.col("s1") / F.greatest("w1", F.lit(1)) - F.col("s2") / F.greatest("w2", F.lit(1))
+    rows = rows.where(F.col("k") < bins - 1).withColumn("between", F.col("w1") * F.col("w2") * gap * gap)
+    best = rows.groupBy(*keys).agg(F.max_by("c", F.struct("between", -F.col("k"))).alias("threshold"))
+    return best.unionByName(ends.where("_b <= _a").select(*keys, F.col("_a").alias("threshold")))
+
+
+def projection(px: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    return px.groupBy(*keys, "y", "x").agg(F.sum("v").alias("v"))
+
+
+def central_slice(px: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """The plane at half the number of planes."""
+    n = px.groupBy(*keys).agg((F.max("z") + 1).alias("_n"))
+    return px.join(n, list(keys)).where(F.col("z") == F.floor(F.col("_n") / 2)).drop("_n")
+
+
+def cropped(px: DataFrame, size: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """The central size x size pixels, with coordinates from 0; images that are smaller stay whole."""
+    n = px.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
+    top = {c: F.greatest(F.floor((F.col(d) - size) / 2), F.lit(0)) for c, d in (("y", "_h"), ("x", "_w"))}
+    out = px.join(n, list(keys)).withColumns({"_t": top["y"], "_l": top["x"]})
+    out = out.where((F.col("y") >= F.col("_t")) & (F.col("y") < F.col("_t") + size) & (F.col("x") >= F.col("_l")) & (F.col("x") < F.col("_l") + size))
+    return out.withColumns({"y": (F.col("y") - F.col("_t")).cast("int"), "x": (F.col("x") - F.col("_l")).cast("int")}).drop("_h", "_w", "_t", "_l")
+
+
+def resized(px: DataFrame, height: int, width: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Nearest-index resize: row i of the new image reads row floor(i * (h - 1) / (height - 1))."""
+    n = px.groupBy(*keys).agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
+    grid = n.withColumn("ny", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("nx", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    grid = grid.withColumns({"y": F.floor(F.col("ny") * F.col("_h") / max(1, height - 1)).cast("int"), "x": F.floor(F.col("nx") * F.col("_w") / max(1, width - 1)).cast("int")})
+    return grid.join(px, [*keys, "y", "x"]).select(*keys, F.col("ny").alias("y"), F.col("nx").alias("x"), "v")
+
+
+def display_bytes(value: Column) -> Column:
+    """0 to 255 from 0 to 1, cut and rounded down."""
+    return F.floor(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
+
+
+def channel(px: DataFrame, mode: str) -> DataFrame:
+    """v of pixels with r, g and b: one of them, or their mean for gray."""
+    pick = {"red": F.col("r"), "green": F.col("g"), "blue": F.col("b"), "gray": (F.col("r") + F.col("g") + F.col("b")) / 3}
+    return px.withColumn("v", pick[mode])
+
+
+def fused(px: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds fused, the greatest of several channels."""
+    return px.withColumn("fused", F.greatest(*columns))
+
+
+#: Artificial channels of a pixel's abs z-score (a), deviation confidence (d) and log confidence (l).
+VARIANTS: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "a": lambda a, d, l: a,
+    "d": lambda a, d, l: d,
+    "l": lambda a, d, l: l,
+    "ad": lambda a, d, l: a * d,
+    "al": lambda a, d, l: a * l,
+    "dl": lambda a, d, l: d * l,
+    "add": lambda a, d, l: a * d * d,
+    "adl": lambda a, d, l: a * d * l,
+    "root_dl": lambda a, d, l: F.sqrt(F.greatest(d * l, F.lit(0.0))),
+}
+
+
+def variants(px: DataFrame, a: str, d: str, l: str, bright: str | None = None) -> DataFrame:
+    """Every artificial channel as a column; with a brightfield column also its product with each."""
+    out = {f"c_{n}": f(F.col(a), F.col(d), F.col(l)) for n, f in VARIANTS.items()}
+    if bright:
+        out |= {f"c_{n}_bf": c * F.col(bright) for n, c in list(out.items()) for n in [n[2:]]}
+    return px.withColumns(out)
+
+
+# --- dense kernels; borders are mirrored with the edge pixel repeated ---
+
+
+def _along(x: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
+    radius = len(weights) // 2
+    index = np.arange(-radius, x.shape[axis] + len(weights) - 1 - radius)
+    period = 2 * x.shape[axis]
+    index = index % period
+    index = np.where(index >= x.shape[axis], period - 1 - index, index)
+    wide = np.take(x, index, axis)
+    out = np.zeros_like(x, dtype=np.float64)
+    n = x.shape[axis]
+    for k, w in enumerate(weights):
+        out += w * np.take(wide, np.arange(k, k + n), axis)
+    return out
+
+
+def gaussian(x: np.ndarray, sigma: Sequence[float], order: Sequence[int] | None = None, truncate: float = 4.0) -> np.ndarray:
+    """Gaussian filter, or its second derivative along axes of order 2; sigma 0 leaves an axis alone."""
+    out = np.asarray(x, np.float64)
+    for axis, s in enumerate(sigma):
+        if s <= 0:
+            continue
+        t = np.arange(-int(truncate * s + 0.5), int(truncate * s + 0.5) + 1)
+        w = np.exp(-0.5 * (t / s) ** 2)
+        w /= w.sum()
+        if order and order[axis] == 2:
+            w = w * (t * t / s**4 - 1 / s**2)
+        out = _along(out, w, axis)
+    return out
+
+
+def local_deviation(x: np.ndarray, window: int = 9, eps: float = 1e-6) -> np.ndarray:
+    """Standard deviation in a square window of each plane."""
+    w = np.full(window, 1 / window)
+    mean, square = (_along(_along(v, w, 1), w, 2) for v in (x, x * x))
+    return np.sqrt(np.maximum(square - mean * mean, 0) + eps)
+
+
+def gradient_energy(x: np.ndarray) -> np.ndarray:
+    """Sum of squared Sobel responses along y and x. The filter smooths every other axis, z too."""
+    out = np.zeros_like(x, dtype=np.float64)
+    for axis in (1, 2):
+        g = _along(x, np.array([-1.0, 0.0, 1.0]), axis)
+        for other in range(3):
+            if other != axis:
+                g = _along(g, np.array([1.0, 2.0, 1.0]), other)
+        out += g * g
+    return out
+
+
+def abs_laplace(x: np.ndarray, sigma: float = 1.2) -> np.ndarray:
+    """Absolute Laplacian of Gaussian of each plane."""
+    return np.abs(sum(gaussian(x, (0, sigma, sigma), order) for order in ((0, 2, 0), (0, 0, 2))))
+
+
+def brightfield(x: np.ndarray, background: float = 24, highpass: float = 8, eps: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """The volume over its local scale around its background, and what is left of it after a low pass."""
+    centred = x - gaussian(x, (0, background, background))
+    norm = centred / (gaussian(np.abs(centred), (0, background, background)) + eps)
+    return norm, norm - gaussian(norm, (0, highpass, highpass))
+
+
+def standard(x: np.ndarray, eps: float = 1e-6) -> np.ndarray:
+    return (x - x.mean()) / (x.std() + eps)
+
+
+def focus_score(x: np.ndarray, method: str = "composite", background: float = 24, highpass: float = 8, window: int = 9, log_sigma: float = 1.2, smooth: Sequence[float] = (0.5, 1.0, 1.0)) -> np.ndarray:
+    """Focus of each voxel: local_sd, tenengrad, log, or their composite (log counts half), smoothed."""
+    _, sharp = brightfield(x, background, highpass)
+    parts = {"local_sd": lambda: standard(local_deviation(sharp, window)), "tenengrad": lambda: standard(gradient_energy(sharp)), "log": lambda: standard(abs_laplace(sharp, log_sigma))}
+    if method == "composite":
+        score = parts["local_sd"]() + parts["tenengrad"]() + 0.5 * parts["log"]()
+    elif method in parts:
+        score = parts[method]()
+    else:
+        raise ValueError(f"unknown focus method: {method}")
+    return gaussian(score, smooth)
+
+
+def relative(x: np.ndarray, eps: float = 1e-6) -> np.ndarray:
+    shifted = x - x.min(0, keepdims=True)
+    return shifted / (shifted.max(0, keepdims=True) + eps)
+
+
+def softmax(x: np.ndarray, tau: float = 1.0) -> np.ndarray:
+    e = np.exp((x - x.max(0, keepdims=True)) / tau)
+    return e / e.sum(0, keepdims=True)
+
+
+def otsu_of(x: np.ndarray, bins: int = 256) -> float:
+    v = x[np.isfinite(x)]
+    if not v.size or v.max() <= v.min():
+        return float(v.min()) if v.size else 0.0
+    n, edges = np.histogram(v, bins, (v.min(), v.max()))
+    c = (edges[:-1] + edges[1:]) / 2
+    w1, s1 = np.cumsum(n)[:-1], np.cumsum(n * c)[:-1]
+    w2, s2 = n.sum() - w1, (n * c).sum() - s1
+    return float(c[:-1][np.argmax(w1 * w2 * (s1 / np.maximum(w1, 1) - s2 / np.maximum(w2, 1)) ** 2)])
+
+
+def deviation_blur(x: np.ndarray, window: int = 12, blur: float = 20, anisotropy: float = 1.44) -> dict[str, np.ndarray]:
+    sd = relative(focus_score(x, "local_sd", window=window))
+    blurred = gaussian(sd, (blur / anisotropy, blur, blur))
+    return {"sd_confidence": sd, "blurred": blurred, "product": sd * blurred}
+
+
+def deviation_log(x: np.ndarray, window: int = 10, log_sigma: float = 2.0, blur: float = 20, anisotropy: float = 1.44) -> dict[str, np.ndarray]:
+    """Geometric mean of deviation and log confidence, blurred, and its product kept over the blurred Otsu threshold."""
+    sd, log = (relative(focus_score(x, m, window=window, log_sigma=log_sigma)) for m in ("local_sd", "log"))
+    combined = np.sqrt(np.maximum(sd, 0) * np.maximum(log, 0))
+    blurred = gaussian(combined, (blur / anisotropy, blur, blur))
+    kept = blurred >= otsu_of(blurred)
+    return {"sd_confidence": sd, "log_confidence": log, "combined": combined, "blurred": blurred, "product": combined * blurred, "otsu_product": combined * blurred * kept}
+
+
+def smooth_abs_z(x: np.ndarray, blur: float = 20, anisotropy: float = 1.44) -> dict[str, np.ndarray]:
+    z = standard(x)
+    return {"zscore": z, "abs_zscore": np.abs(z), "smooth": gaussian(np.abs(z), (blur / anisotropy, blur, blur))}
+
+
+#: Named settings of the focus kernels.
+PRESETS: dict[str, Callable[[np.ndarray], dict[str, np.ndarray]]] = {
+    "composite": lambda x: {"score": focus_score(x)},
+    "local_sd": lambda x: {"score": focus_score(x, "local_sd")},
+    "tenengrad": lambda x: {"score": focus_score(x, "tenengrad")},
+    "log": lambda x: {"score": focus_score(x, "log")},
+    "sd_blur": deviation_blur,
+    "sd_log": deviation_log,
+    "abs_z": smooth_abs_z,
+    **{f"log_scale_{s}": (lambda x, s=s: {"score": focus_score(x, "log", log_sigma=s)}) for s in (0.8, 1.2, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0)},
+    **{f"sd_{w}_blur_{b}": (lambda x, w=w, b=b: deviation_blur(x, w, b)) for w in (6, 12, 18) for b in (5, 10, 20)},
+}
+
+
+def dense(px: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Volumes as rows (keys, depth, height, width, data): values by z, y, x."""
+    rows = px.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("z", "y", "x", "v"))).alias("p"), (F.max("z") + 1).alias("depth"), (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    return rows.select(*keys, "depth", "height", "width", F.col("p.v").alias("data"))
+
+
+def apply_preset(px: DataFrame, name: str, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """(keys, z, y, x) with a column for each output of a preset; a volume is one row and one call."""
+    run = PRESETS[name]
+    outputs = list(run(np.zeros((1, 2, 2))))
+    names = list(keys)
+
+    def kernel(parts):
+        for part in parts:
+            for r in part.itertuples(index=False):
+                got = run(np.asarray(r.data, float).reshape(r.depth, r.height, r.width))
+                z, y, x = (v.ravel() for v in np.indices((r.depth, r.height, r.width)))
+                yield pd.DataFrame({**{k: getattr(r, k) for k in names}, "z": z, "y": y, "x": x, **{o: got[o].ravel() for o in outputs}})
+
+    kinds = ", ".join(f"{k} {dict(px.dtypes)[k]}" for k in names)
+    return dense(px, keys).mapInPandas(kernel, f"{kinds}, z int, y int, x int, " + ", ".join(f"{o} double" for o in outputs))
