@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cytoframe.llm import _blocks as B
-from cytoframe.llm._text import Texts, byte_values, powers, prefix_hash, spans_hash, INVERSE
+from cytoframe.llm._text import INVERSE, Texts, byte_values, mix, powers, prefix_hash, spans_hash
 
 U = np.uint64
 LENGTH, GRAM = 100, 24
@@ -56,7 +56,7 @@ class Segments:
             ends = np.append(cuts[1:], len(anchor))
             real = anchor[cuts] >= 0
             self.start, self.count, self.place = cuts[real], (ends - cuts)[real], anchor[cuts][real]
-            self.key = grams[self.place] >> U(64 - bits)
+            self.key = mix(grams[self.place]) >> U(64 - bits)  # least hashes are small; mixed, they spread over ranges
             self.content = spans_hash(prefix, self.start, self.start + self.count - 1 + length) + (self.place - self.start).astype(U) * U(0x9E3779B97F4A7C15)
         self.text = np.searchsorted(texts.offsets, self.start, "right") - 1
         while (empty := texts.offsets[self.text + 1] <= self.start).any():  # empty texts share an offset
@@ -168,41 +168,85 @@ def _spread(count: np.ndarray):
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
 
 
-def repeated_windows(data, begin, count, rel, key, content, doc, pos, length):
+def _sorted_repeats(data, begin, key, rel, doc, pos, owner, offset, length):
+    """(owner, offset) of the windows, among those given, that have an equal one before them in (doc, pos)."""
+    start = begin[owner] + offset
+    _, of_key = np.unique(key[owner], return_inverse=True)
+    group = of_key.astype(np.int64) << 12 | (rel[owner] - offset)
+    suffixes = Suffixes(data, length)
+    order = suffixes.sort(start, group)
+    a, b = order[:-1], order[1:]
+    near = group[a] == group[b]
+    near[near] = suffixes.hashed(start[a[near]], length) == suffixes.hashed(start[b[near]], length)
+    near[near] = suffixes.same(start[a[near]], start[b[near]])
+    label = np.cumsum(np.append(0, ~near))
+    d, p = doc[owner], pos[owner] + offset
+    by = np.lexsort((p[order], d[order], label))
+    ranked, marks = order[by], label[by]
+    head = np.append(True, marks[1:] != marks[:-1])
+    least = ranked[head][np.cumsum(head) - 1]
+    worse = ranked[(d[ranked] > d[least]) | ((d[ranked] == d[least]) & (p[ranked] > p[least]))]
+    return owner[worse], offset[worse]
+
+
+def _batches(key: np.ndarray, count: np.ndarray, rel: np.ndarray, most: int):
+    """Windows of segments, in (owner, offset), that may be equal and so must meet: `most` of them or so at a time.
+
+    Segments come by key. Whole keys go together; a key with more windows is cut by where they start from the anchor.
+    """
+    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    ends = np.append(cuts[1:], len(key))
+    load = np.add.reduceat(count, cuts)
+    at = 0
+    while at < len(cuts):
+        end = at + max(1, int(np.searchsorted(np.cumsum(load[at:]), most, "right")))
+        owner, a, b = None, cuts[at], ends[end - 1]
+        if load[at] <= most:
+            owner, offset = _spread(count[a:b])
+            yield owner + a, offset
+        else:
+            own = np.arange(a, b)
+            step = max(1, most // len(own))
+            for far in range(int((rel[own] - count[own] + 1).min()), int(rel[own].max()) + 1, step):
+                place = far + np.arange(step)
+                offset = rel[own][:, None] - place
+                i, j = np.nonzero((offset >= 0) & (offset < count[own][:, None]))
+                yield own[i], offset[i, j]
+        at = end
+
+
+def repeated_windows(data, begin, count, rel, key, content, doc, pos, length, most: int = 1 << 17):
     """(segment, first, last) of window starts that begin earlier elsewhere, from one segment of each block and content."""
     first = firsts(key, content, doc, pos)
     gone = later(doc, pos, first)
     heads = np.flatnonzero(first == np.arange(len(first)))
     _, of_key, keys = np.unique(key[heads], return_inverse=True, return_counts=True)
     heads = heads[keys[of_key] > 1]
-    lone_owner = lone_first = lone_last = np.zeros(0, np.int64)
-    if len(heads):
-        owner, offset = _spread(count[heads])
-        owner = heads[owner]
-        start = begin[owner] + offset
-        _, of_key = np.unique(key[owner], return_inverse=True)
-        group = of_key.astype(np.int64) << 12 | (rel[owner] - offset)
-        suffixes = Suffixes(data, length)
-        order = suffixes.sort(start, group)
-        a, b = order[:-1], order[1:]
-        near = group[a] == group[b]
-        near[near] = suffixes.hashed(start[a[near]], length) == suffixes.hashed(start[b[near]], length)
-        near[near] = suffixes.same(start[a[near]], start[b[near]])
-        label = np.cumsum(np.append(0, ~near))
-        by = np.lexsort((pos[owner[order]] + offset[order], doc[owner[order]], label))
-        ranked, marks = order[by], label[by]
-        head = np.append(True, marks[1:] != marks[:-1])
-        least = ranked[head][np.cumsum(head) - 1]
-        d, p = doc[owner], pos[owner] + offset
-        worse = ranked[(d[ranked] > d[least]) | ((d[ranked] == d[least]) & (p[ranked] > p[least]))]
-        worse = worse[np.lexsort((offset[worse], owner[worse]))]
-        lone_owner, lone_first, lone_last = runs(owner[worse], offset[worse])
+    heads = heads[np.argsort(key[heads], kind="stable")]
+    owners, offsets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for owner, offset in _batches(key[heads], count[heads], rel[heads], most) if len(heads) else ():
+        used, owner = np.unique(owner, return_inverse=True)
+        m = heads[used]
+        size = count[m] - 1 + length
+        of, at = _spread(size)
+        o, f = _sorted_repeats(data[begin[m][of] + at], np.cumsum(size) - size, key[m], rel[m], doc[m], pos[m], owner, offset, length)
+        owners.append(m[o])
+        offsets.append(f)
+    owner, offset = np.concatenate(owners), np.concatenate(offsets)
+    by = np.lexsort((offset, owner))
+    owner, low, high = runs(owner[by], offset[by])
     # What holds for the first of a content holds for those that stand at the same place.
-    equal = np.flatnonzero(~gone & (first != np.arange(len(first))))
-    extra = [(e, f, l) for e in equal for o, f, l in zip(lone_owner, lone_first, lone_last) if o == first[e]] if len(equal) else []
-    all_gone = np.flatnonzero(gone)
-    owner = np.concatenate([all_gone, lone_owner, [x[0] for x in extra]]).astype(np.int64)
-    return owner, np.concatenate([np.zeros(len(all_gone)), lone_first, [x[1] for x in extra]]).astype(np.int64), np.concatenate([count[all_gone] - 1, lone_last, [x[2] for x in extra]]).astype(np.int64)
+    level = np.flatnonzero(~gone & (first != np.arange(len(first))))
+    extra = [(e, f, l) for e in level for o, f, l in zip(owner, low, high) if o == first[e]] if len(level) else []
+    whole = np.flatnonzero(gone)
+    owner = np.concatenate([whole, owner, [x[0] for x in extra]]).astype(np.int64)
+    low = np.concatenate([np.zeros(len(whole)), low, [x[1] for x in extra]]).astype(np.int64)
+    return owner, low, np.concatenate([count[whole] - 1, high, [x[2] for x in extra]]).astype(np.int64)
+
+
+def _ordered(table: pa.Table) -> pa.Table:
+    """A block's rows in an order of their own: a shuffle may bring them in another one each time it is read."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 
 def _ids(table, segments):
@@ -227,6 +271,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         return B.packets(key[0].as_py(), np.unique(segments.key), [], bits, ranges)
 
     def offer(key, table, reply):
+        table = _ordered(table)
         texts = Texts(table.column("text"))
         s = Segments(texts, length, gram, bits)
         doc, pos = _ids(table, s), s.start - texts.offsets[s.text]
@@ -260,6 +305,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         return B.replies(block[owner], index[owner].astype(U), [low, high])
 
     def cut(key, table, reply):
+        table = _ordered(table)
         texts = Texts(table.column("text"))
         s = Segments(texts, length, gram, bits)
         doc, pos = _ids(table, s), s.start - texts.offsets[s.text]
