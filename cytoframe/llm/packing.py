@@ -11,6 +11,10 @@ token ids.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -19,13 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.llm._session import durable
-from cytoframe.llm._text import slices
+from cytoframe.llm._text import Texts, Words, byte_values, prefix_hash, slices, spans_hash
 
 LENGTH, END_ID = 2048, 1
 #: Combinations listed for each longest length, and steps of the solver.
 FILLS, STEPS = 12, 400
-#: Distinct chunks of text whose ids a worker keeps.
-CACHED_CHUNKS = 200_000
+#: Units of text whose ids a worker keeps.
+KNOWN_UNITS = 2_000_000
 
 
 def combinations(histogram: np.ndarray, window: int, fills: int = FILLS) -> np.ndarray:
@@ -139,38 +143,112 @@ class Placement:
         return self.base[at] + rank - self.rank[at], self.offset[at]
 
 
-def _encoder(tokenizer_json: str):
-    """A function from a text to its ids as little-endian 32-bit words.
-
-    Chunks between spaces, tabs and line ends are encoded once and kept, so the tokenizer must drop
-    white space and treat such chunks alike anywhere; the caller says so with `chunked`.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_str(tokenizer_json)
-    kept: dict[str, bytes] = {"": b""}
-
-    def ids(chunk) -> bytes:
-        return np.array(chunk.ids, "<u4").tobytes()
-
-    def whole(texts):
-        return [ids(x) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def chunked(texts):
-        out = []
-        for text in texts:
-            chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            new = [c for c in set(chunks) if c not in kept]
-            if new:
-                if len(kept) > CACHED_CHUNKS:
-                    kept.clear()
-                    kept[""] = b""
-                    new = list(set(chunks) - {""})
-                kept.update(zip(new, whole(new)))
-            out.append(b"".join([kept[c] for c in chunks]))
+#: Words of Latin letters alone, which a tokenizer that splits letters from the rest can encode many at a time.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_GAPS = np.zeros(256, bool)
+_GAPS[[9, 10, 13, 32]] = True
+_MARKS = np.zeros(256, bool)
+_MARKS[list(b".,;:!?|")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+class Encoder:
+    """Ids of texts, with the units that a worker has seen kept over its tasks."""
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def strings(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words of letters, many in one call: the token that ends a word shows where to cut."""
+        out: list[np.ndarray] = []
+        groups = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for group, ids in zip(groups, self.strings([" ".join(g) for g in groups])):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            out += np.split(ids, cuts[:-1]) if len(cuts) == len(group) and cuts[-1] == len(ids) else self.strings(group)
         return out
 
-    return whole, chunked
+    def learn(self, keys: np.ndarray, units: list[str]) -> None:
+        """Adds units under ascending keys that are not known."""
+        ids: list = [None] * len(units)
+        latin = np.array([LATIN.fullmatch(u) is not None for u in units])
+        plain, rest = np.flatnonzero(latin), np.flatnonzero(~latin)
+        for some, got in ((plain, self.words([units[k] for k in plain])), (rest, self.strings([units[k] for k in rest]))):
+            for k, x in zip(some, got):
+                ids[k] = x
+        size = np.array([len(x) for x in ids], np.int64)
+        total = int(size.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
+        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        place = np.searchsorted(self.known, keys)
+        self.known, self.size = np.insert(self.known, place, keys), np.insert(self.size, place, size)
+        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
+        self.used += total
+
+    def whole(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin."""
+        ids = self.strings([texts.raw(i).decode("utf-8", "replace") for i in range(texts.n)])
+        return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
+
+    def chunked(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """As whole(), by units: chunks between spaces, tabs and line ends, without the marks after a letter or digit, and those marks.
+
+        Right for tokenizers that fold case, drop white space, part letters and digits from marks and
+        treat a unit alike anywhere. Units are known by a 64-bit hash of their folded bytes.
+        """
+        words = Words(texts, _GAPS)
+        if not len(words.start):
+            return np.zeros(0, np.uint32), np.zeros(texts.n + 1, np.int64)
+        here = np.arange(len(texts.bytes))
+        other = np.maximum.accumulate(np.where(_MARKS[texts.bytes], -1, here))
+        last = other[words.end - 1]
+        byte = texts.bytes[np.maximum(last, 0)]
+        latin = (byte >= 0x80) & (texts.bytes[np.maximum(last - 1, 0)] == 0xC3) & (byte != 0x97) & (byte != 0xB7) & (last - 1 >= words.start)
+        parted = (last >= words.start) & (last < words.end - 1) & (_ALNUM[byte] | latin)
+        middle = np.where(parted, last + 1, words.end)
+        start = np.stack([words.start, middle], 1).ravel()
+        end = np.stack([middle, words.end], 1).ravel()
+        real = end > start
+        start, end = start[real], end[real]
+        keys, first, unit = np.unique(spans_hash(prefix_hash(byte_values(True)[texts.bytes]), start, end), return_index=True, return_inverse=True)
+        if len(self.known) > KNOWN_UNITS:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != keys) if len(self.known) else np.arange(len(keys))
+        if len(new):
+            data = texts.bytes.tobytes()
+            self.learn(keys[new], [data[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            at = np.searchsorted(self.known, keys)
+        size = self.size[at][unit]
+        ends = np.cumsum(size)
+        source = np.repeat(self.at[at][unit] - (ends - size), size) + np.arange(int(ends[-1]))
+        bounds = np.append(0, ends)[np.searchsorted(start, texts.offsets)]
+        return self.flat[source], bounds
+
+
+def _encoder(tokenizer_json: str) -> Encoder:
+    """The worker's encoder of this tokenizer, made once: Python workers outlive their tasks."""
+    home = sys.modules.setdefault("_packing_encoders", types.ModuleType("_packing_encoders"))
+    name = f"e{zlib.crc32(tokenizer_json.encode())}"
+    if not hasattr(home, name):
+        setattr(home, name, Encoder(tokenizer_json))
+    return getattr(home, name)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_json: str, window: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, chunked: bool = False) -> DataFrame:
@@ -187,15 +265,18 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, window: int = LENGTH, end_i
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        whole, by_chunk = _encoder(tokenizer_json)
+        encoder = _encoder(tokenizer_json)
+        encode = encoder.chunked if chunked else encoder.whole
         seen: dict[int, int] = {}
         last = int(end_id).to_bytes(4, "little")
         for big in batches:
             for batch in slices(big, "text"):
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"] + ["ids"] * with_ids
                 rows = {n: [] for n in names}
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), (by_chunk if chunked else whole)([t or "" for t in batch.column("text").to_pylist()])):
-                    ids += last
+                ids, bounds = encode(Texts(batch.column("text")))
+                data = ids.astype("<u4").tobytes()
+                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    ids = data[4 * a : 4 * b] + last
                     n = len(ids) // 4
                     for start in range(0, n, window):
                         piece = ids[4 * start : 4 * (start + window)]
