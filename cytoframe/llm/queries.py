@@ -91,4 +91,55 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: SQL for the queries that it can express; the others are tested against brute force, round trips or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_FOLDED)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.o)
+SELECT r.d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY r.d""",
+    "op4_suffix_dedup": """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+h AS (SELECT doc_id, octet_length(t) AS n, hex(t) AS x FROM b),
+win AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM h WHERE n >= 100)),
+f AS (SELECT *, min((doc_id, i)) OVER (PARTITION BY k) AS first FROM win),
+g AS (SELECT doc_id, i FROM f WHERE first < (doc_id, i)),
+m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 100 THEN 0 ELSE 1 END AS starts FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM m) GROUP BY doc_id, s),
+k AS (SELECT doc_id, n, x, list(a ORDER BY a) FILTER (a IS NOT NULL) AS a, list(z ORDER BY a) FILTER (a IS NOT NULL) AS z FROM h LEFT JOIN c USING (doc_id) GROUP BY ALL)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(list_sum(z) - list_sum(a), 0) AS BIGINT) AS n_removed, CAST(coalesce(len(a), 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN a IS NULL THEN x ELSE array_to_string([substr(x, 2 * (CASE WHEN j = 1 THEN 0 ELSE z[j - 1] END) + 1, 2 * ((CASE WHEN j > len(a) THEN n ELSE a[j] END) - (CASE WHEN j = 1 THEN 0 ELSE z[j - 1] END))) for j in range(1, len(a) + 2)], '') END)) AS kept_sha256 FROM k""",
+    "op5_decontamination": f"""
+WITH i AS (SELECT item_id, ws, least(13, len(ws)) AS m FROM (SELECT item_id, {_TERMS} AS ws FROM benchmark) WHERE len(ws) > 0),
+v AS (SELECT DISTINCT item_id, m, array_to_string(ws[j : j + m - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS j FROM i)),
+sizes AS (SELECT DISTINCT m FROM v),
+d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+o AS (SELECT doc_id, j, m, array_to_string(ws[j : j + m - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS j FROM d, sizes WHERE len(ws) >= m)),
+f AS (SELECT DISTINCT o.doc_id, o.j, o.m, v.item_id FROM o JOIN v USING (m, k)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(j, j + m)) AS p FROM f) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS ids FROM f GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op8_embedding_neardup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+r AS (SELECT vec_id AS d, vec_id AS o FROM v UNION SELECT r.d, p.b FROM r JOIN p ON p.a = r.o)
+SELECT d AS vec_id, (SELECT count(*) FROM p WHERE p.a = d) AS n_links, min(o) AS component_id, d = min(o) AS kept FROM r GROUP BY d""",
+    "op9_window_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+v AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS first FROM v),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM f WHERE first < doc_id),
+a AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+k AS (SELECT a.doc_id, count(g.p) AS n_removed, string_agg(a.word, ' ' ORDER BY a.p) FILTER (g.p IS NULL) AS kept FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.p = a.p GROUP BY a.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+}
