@@ -48,7 +48,9 @@ def test_flags_of_unknown_values(spark):
     assert [r.passes_point for r in C.point_flags(df).collect()] == [False, True]
 
 
-def test_components_of_a_chain_and_a_star(spark):
+@pytest.mark.parametrize("edges_per_task", [500_000, 20])
+def test_components_of_a_chain_and_a_star(spark, monkeypatch, edges_per_task):
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", edges_per_task)
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, k) for k in range(101, 140)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 1 for i in range(1, 61)) and all(got[k] == 100 for k in range(100, 140))
