@@ -1,31 +1,5 @@
-"""Connected components of an undirected graph given by edges, by alternating stars."""
+"""Connected components, as the base operators find them."""
 
-from __future__ import annotations
+from cytoframe.operators.graph import components, least_reached
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from cytoframe.llm._session import durable
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge; root is the smallest node reachable. Edges are rows (u, v) of longs.
-
-    Large and small stars alternate until the edges stand still: each turn ties neighbours to the least
-    node around, in joins on the node that Spark may split where a node is hot. Edges never leave the executors.
-    """
-    now = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small_least = down.groupBy("u").agg(F.min("v").alias("m"))
-        tied = down.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
-        now = durable(tied.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen:
-            break
-        seen = mark
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+__all__ = ["components", "least_reached"]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoframe.llm._graph import components
+from cytoframe.llm._graph import components, least_reached
 from cytoframe.llm._session import durable, partitions
 
 #: Tables, projections a table and the width of a quantised step: two unit vectors at cosine 0.93
@@ -35,19 +35,6 @@ def _keys(unit: np.ndarray, labels: np.ndarray, tables: int, per_table: int, wid
     return key.view(np.int64)
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, per_table: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector; links hold between equal, non-null labels at cosine >= threshold.
 
@@ -119,7 +106,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
             if len(i):
                 np.add.at(links, own[i], copies[own[j]])
                 np.add.at(links, own[j], copies[own[i]])
-                root[own] = ids[own][_roots(len(own), i, j)]
+                root[own] = ids[own][least_reached(len(own), i, j)]
         some = links > 0
         return pa.table({"id": ids[some], "links": links[some], "root": root[some]})
 

@@ -3,32 +3,37 @@
 A document is its set of word shingles. Equal sets are one class. Tokens are counted over all sets,
 and each of ORDERS global orders puts rarer tokens first and breaks ties by a hash of its own. Two
 sets at the threshold share a token among the first n - ceil(t * n) + 1 of each under every order.
-Pairs that share one under the first order, fit by length and by the positions of the shared token
-are candidates; those whose prefixes are disjoint under another order fall out before the sets
-themselves are compared.
+Sets that share such a token under the first order, directly or through others, form a group; sets
+whose rare tokens are their own, which are most, are in none. Within a group the filters of all
+orders and of length are intersected before sets are compared.
 
-A large group of near copies is not expanded in all its pairs: each token's bucket compares a pivot
-with its other members, for a few rounds, and whatever links to one pivot is one part. What is left
-to compare, exactly, are pairs of a bucket that stand in different parts.
+Groups meet in chunks, two by two, so a group of any size is spread over tasks; a chunk pair gives
+each member the least one it is tied to, never its pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoframe.llm import _blocks as B
-from cytoframe.llm._graph import components
-from cytoframe.llm._session import durable
+from cytoframe.llm._graph import components, least_reached
+from cytoframe.llm._session import durable, partitions
 from cytoframe.llm._text import Texts, Words, mix, prefix_hash, spans_hash
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 80
-ORDERS, ROUNDS = 3, 3
+ORDERS = 3
+#: Sets of a group that meet at once, tokens compared in one step, and about how many rows go to a task.
+CHUNK, COLUMNS, ROWS_PER_TASK = 512, 4096, 4096
 KEYS_PER_BYTE, RANGE_BYTES = 0.2, 16 << 20
-SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, lead boolean, prefix binary, others array<binary>, tokens binary"
+#: Bits of a token left out when sets travel to be compared: 48 stay, a collision in two sets of 1,000 being one in 10**8.
+SENT = U(16)
+SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, lead boolean, masks array<binary>, tokens binary"
 
 
 def shingle_sets(texts: Texts, size: int) -> list[np.ndarray]:
@@ -57,13 +62,6 @@ def orders_of(tokens: np.ndarray, counts: np.ndarray, orders: int) -> list[np.nd
     return [np.lexsort((mix(tokens ^ U(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)), counts)) for k in range(orders)]
 
 
-def overlap_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether 100 * intersection >= percent * union, of ascending distinct arrays."""
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    both = int((y[at] == x).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
-
-
 def _count_reply(table):
     """Reducer of a range: total count of keys that another block holds too."""
     blocks, (keys, counts) = B.gather(table, 1)
@@ -77,8 +75,8 @@ def _count_reply(table):
 
 
 def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> DataFrame:
-    """A row per document: set size, digest, whether it leads its set in its block, and for leaders
-    that may have partners the packed prefix (position, token), the other orders' prefixes and the tokens."""
+    """A row per document: set size, digest, whether it leads its set in its block, and for leaders that
+    may have partners the tokens that some other set holds too, and which of them are the prefix under each order."""
     blocks, plan = B.in_blocks(docs, KEYS_PER_BYTE, RANGE_BYTES)
     bits, ranges = plan.bits, plan.ranges
     cut = U(64 - bits)
@@ -109,23 +107,20 @@ def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> Data
         at, there = B.lookup(known, keys)
         if len(known):
             counts = np.where(there, total[at], counts)
-        prefix, others, tokens = [], [], []
+        masks, tokens = [], []
         for s, own in zip(sets, lead):
-            row = (None, None, None)
+            row = (None, None)
             if own:
                 df = counts[B.lookup(keys, s >> cut)[0]]
-                size = prefix_size(len(s), percent)
-                heads = [o[:size] for o in orders_of(s, df, orders)]
-                heads_shared = [h[df[h] > 1] for h in heads]
-                if all(len(h) for h in heads_shared):
-                    place = np.flatnonzero(df[heads[0]] > 1)
-                    row = (
-                        np.stack([place.astype(np.int64), s[heads[0]][place].view(np.int64)], 1).tobytes(),
-                        [np.sort(s[h]).tobytes() for h in heads_shared[1:]],
-                        B.pack(s),
-                    )
-            for out, value in zip((prefix, others, tokens), row):
-                out.append(value)
+                shared = df > 1  # tokens that no other set holds match nothing
+                heads = [np.zeros(len(s), bool) for _ in range(orders)]
+                for head, order in zip(heads, orders_of(s, df, orders)):
+                    head[order[: prefix_size(len(s), percent)]] = True
+                heads = [h[shared] for h in heads]
+                if all(h.any() for h in heads):
+                    row = ([np.packbits(h).tobytes() for h in heads], B.pack(s[shared] >> SENT))
+            masks.append(row[0])
+            tokens.append(row[1])
         d1, d2, n = (np.array(x, np.int64) for x in zip(*marks))
         return pa.table(
             {
@@ -134,8 +129,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> Data
                 "d1": d1,
                 "d2": d2,
                 "lead": lead,
-                "prefix": pa.array(prefix, pa.binary()),
-                "others": pa.array(others, pa.list_(pa.binary())),
+                "masks": pa.array(masks, pa.list_(pa.binary())),
                 "tokens": pa.array(tokens, pa.binary()),
             }
         )
@@ -145,50 +139,59 @@ def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> Data
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(sign, SIGNATURE)
 
 
-def _explode(batches):
+def _shared_counts(rows: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """Rows as a dense 0/1 matrix over the given ascending tokens."""
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for i, row in enumerate(rows):
+        at, there = B.lookup(columns, row)
+        out[i, at[there]] = 1
+    return out
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set of ascending tokens, COLUMNS tokens at a time."""
+    both = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), COLUMNS):
+        some = both[at : at + COLUMNS]
+        out += _shared_counts(left, some) @ _shared_counts(right, some).T
+    return out.astype(np.int64)
+
+
+def linked(left, right, n_left: np.ndarray, n_right: np.ndarray, percent: int):
+    """Indices (i, j) of left and right entries (prefixes, tokens) that link.
+
+    The candidates fit by length and share a prefix token under every order; their sets are compared then.
+    """
+    small, large = np.minimum(n_left[:, None], n_right), np.maximum(n_left[:, None], n_right)
+    open_ = 100 * small >= percent * large
+    for k in range(len(left[0][0])):
+        if not open_.any():
+            break
+        open_ &= intersections([x[0][k] for x in left], [x[0][k] for x in right]) > 0
+    rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    if not len(rows):
+        return rows, rows
+    both = intersections([left[i][1] for i in rows], [right[j][1] for j in columns])
+    union = n_left[rows][:, None] + n_right[columns] - both
+    i, j = np.nonzero(open_[np.ix_(rows, columns)] & (100 * both >= percent * union))
+    return rows[i], columns[j]
+
+
+def unpacked(tokens: bytes, masks) -> tuple[list[np.ndarray], np.ndarray]:
+    """The prefixes under each order and the tokens of a set, ascending."""
+    every = B.unpack(tokens, 0)[0]
+    return [every[np.unpackbits(np.frombuffer(m, np.uint8), count=len(every)).astype(bool)] for m in masks], every
+
+
+def _first_prefix(batches):
     for batch in batches:
-        ids, sizes, token, place = [], [], [], []
-        for i, n, packed in zip(batch.column("id").to_pylist(), batch.column("n").to_pylist(), batch.column("prefix").to_pylist()):
-            entries = np.frombuffer(packed, np.int64).reshape(-1, 2)
-            ids.append(np.full(len(entries), i))
-            sizes.append(np.full(len(entries), n))
-            place.append(entries[:, 0])
-            token.append(entries[:, 1])
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, sizes, token, place)], names=["id", "n", "token", "place"])
-
-
-def _fits(percent: int):
-    """Length and position bounds on a pair (n, place) and (m, place2) that shares a token."""
-    small, large = F.least("n", "n2"), F.greatest("n", "n2")
-    reach = 1 + F.least(F.col("n") - F.col("place") - 1, F.col("n2") - F.col("place2") - 1)
-    return (100 * small >= percent * large) & ((100 + percent) * (reach + F.least("place", "place2")) >= percent * (F.col("n") + F.col("n2")))
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: prefixes meet under every further order, and the sets overlap enough."""
-
-    def compare(batches):
-        last, mine, heads = None, None, None
-        for batch in batches:
-            links = []
-            for a, b, ta, tb, oa, ob in zip(*(batch.column(c) for c in ("a", "b", "ta", "tb", "oa", "ob"))):
-                if last != a.as_py():
-                    last, mine = a.as_py(), B.unpack(ta.as_py(), 0)[0]
-                    heads = [np.frombuffer(x, U) for x in oa.as_py()]
-                if all(B.lookup(h, np.frombuffer(o, U))[1].any() for h, o in zip(heads, ob.as_py())):
-                    if overlap_at_least(mine, B.unpack(tb.as_py(), 0)[0], percent):
-                        links.append((last, b.as_py()))
-            if links:
-                u, v = zip(*links)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
-
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("others").alias("oa"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("others").alias("ob"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb", "oa", "ob").mapInArrow(compare, "a long, b long")
-
-
-def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS, rounds: int = ROUNDS) -> DataFrame:
+        heads = [unpacked(t, m[:1])[0][0] for t, m in zip(batch.column("tokens").to_pylist(), batch.column("masks").to_pylist())]
+        rows = np.repeat(batch.column("row").to_numpy(), [len(h) for h in heads])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(heads or [np.zeros(0, U)]).view(np.int64), pa.int64())], names=["row", "token"])
+
+
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs.
 
     Words are runs outside U+0020 and U+0009-U+000D with A-Z folded. A set holds the distinct
@@ -198,59 +201,61 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     one doc_id share a component only if they link; null ids stand for -2**63 within and get a null
     component_id if nothing else is there. Other columns are ignored.
     """
-    signed = durable(signatures(docs, shingle, percent, orders).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))))
-    # Classes of equal sets are known by their digest and named by their least document.
-    named = signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("least"), F.max(F.col("prefix").isNotNull()).alias("shared"))
-    named = named.withColumn("id", F.xxhash64("d1", "d2", "n_shingles"))
-    leaders = signed.where("lead AND prefix IS NOT NULL").withColumn("id", F.xxhash64("d1", "d2", "n_shingles"))
-    picked = leaders.groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    sets = durable(leaders.join(picked, ["id", "doc_id"]).dropDuplicates(["id"]).select("id", F.col("n_shingles").alias("n"), "prefix", "others", "tokens"))
-    entries = durable(sets.select("id", "n", "prefix").mapInArrow(_explode, "id long, n long, token long, place long"))
-    busy = entries.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    entries = durable(entries.join(busy, "token"))
-    links = None
-    tried = None
-    parts = None  # (id, part): the least pivot that links, so that equal parts are connected
-
-    def pairs_of(members: DataFrame, other: DataFrame) -> DataFrame:
-        met = members.join(other, "token").where((F.col("id") != F.col("id2")) & _fits(percent))
-        return met.select(F.greatest("id", "id2").alias("b"), F.least("id", "id2").alias("a")).distinct()
-
-    for turn in range(rounds):
-        now = entries if parts is None else entries.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
-        if parts is not None:
-            split = now.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("token")
-            now = now.join(split, "token")
-        pivot = now.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "place")).alias("p"))
-        pivot = pivot.select("token", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.place").alias("place2"))
-        if parts is not None:
-            pivot = pivot.join(parts.select(F.col("id").alias("id2"), F.col("part").alias("part2")), "id2", "left").withColumn("part2", F.coalesce("part2", "id2"))
-        pairs = pairs_of(now, pivot) if parts is None else pairs_of(now.join(pivot.select("token", F.col("part2").alias("mark")), "token").where("part <> mark").drop("mark", "part"), pivot.drop("part2"))
-        pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else durable(tried.unionByName(pairs))
-        found = durable(_verify(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        parts = durable(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("part")))
-    else:
-        now = entries.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
-        split = now.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("token")
-        now = durable(now.join(split, "token"))
-        other = now.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("part").alias("part2"))
-        met = now.join(other, "token").where((F.col("id") < F.col("id2")) & (F.col("part") != F.col("part2")) & _fits(percent))
-        rest = met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        found = durable(_verify(rest, sets, percent))
-        links = links.unionByName(found)
-        parts = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("part"))
-
-    out = signed.withColumn("id", F.xxhash64("d1", "d2", "n_shingles")).select("doc_id", "n_shingles", "id")
-    if parts is None:
-        grouped = named.select("id", F.col("least").alias("component_id"))
-    else:
-        grouped = named.select("id", "least").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
-        grouped = grouped.join(grouped.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("id", "component_id")
-    full = out.where("n_shingles > 0").join(grouped, "id").select("doc_id", "n_shingles", "component_id")
+    spark = docs.sparkSession
+    signed = signatures(docs, shingle, percent, orders).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
+    signed = durable(signed.withColumn("row", F.monotonically_increasing_id()))
+    key = ["d1", "d2", "n_shingles"]
+    sent = F.col("lead") & F.col("tokens").isNotNull()
+    # Classes of equal sets, with a number each, named by their least document, and one row that speaks for each.
+    named = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.min(F.when(sent, F.col("row"))).alias("row"))
+    named = durable(named.withColumn("id", F.monotonically_increasing_id()))
+    speakers = named.where("row IS NOT NULL").select("id", "row")
+    entries = durable(signed.where(sent).select("row", "masks", "tokens").mapInArrow(_first_prefix, "row long, token long").join(speakers, "row").select("id", "token"))
+    hubs = entries.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("token", "hub")
+    groups = components(entries.join(hubs, "token").select(F.col("id").alias("u"), F.col("hub").alias("v")))
+    groups = groups.withColumnsRenamed({"node": "id", "root": "part"})
+    sizes = groups.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    tasks = max(2 * partitions(spark), math.ceil(groups.count() / ROWS_PER_TASK))
+    met = groups.join(sizes, "part").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    met = met.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.withColumns({"a": F.least("chunk", "_other"), "b": F.greatest("chunk", "_other")})
+    met = met.withColumn("task", F.pmod(F.xxhash64("part", "a", "b"), F.lit(tasks)).cast("int"))
+    sets = signed.where(sent).select("row", F.col("n_shingles").alias("n"), "masks", "tokens")
+    met = met.join(speakers, "id").join(sets, "row")
+
+    def compare(table):
+        table = table.combine_chunks()
+        part, a, b, chunk, n, ids = (table.column(c).to_numpy().astype(np.int64) for c in ("part", "a", "b", "chunk", "n", "id"))
+        masks, tokens = table.column("masks"), table.column("tokens")
+        order = np.lexsort((ids, chunk, b, a, part))
+        cuts = np.flatnonzero(np.any([np.diff(x[order], prepend=x[order[0]] - 1) != 0 for x in (part, a, b)], axis=0))
+        nodes, roots = [], []
+        for own in np.split(order, cuts[1:]):
+            entry = [unpacked(tokens[int(k)].as_py(), masks[int(k)].as_py()) for k in own]
+            middle = int((chunk[own] == a[own[0]]).sum())
+            if a[own[0]] == b[own[0]]:
+                i, j = linked(entry, entry, n[own], n[own], percent)
+            elif 0 < middle < len(own):
+                i, j = linked(entry[:middle], entry[middle:], n[own[:middle]], n[own[middle:]], percent)
+                j = j + middle
+            else:
+                continue
+            if len(i):
+                tied = least_reached(len(own), i, j)
+                some = tied != np.arange(len(own))
+                nodes.append(ids[own[some]])
+                roots.append(ids[own[tied[some]]])
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"u": np.concatenate(nodes or none), "v": np.concatenate(roots or none)})
+
+    columns = ["task", "part", "a", "b", "chunk", "id", "n", "masks", "tokens"]
+    links = durable(met.select(*columns).groupBy("task").applyInArrow(compare, "u long, v long"))
+    parts = components(links).withColumnsRenamed({"node": "id", "root": "part"})
+    grouped = named.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    least = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
+    grouped = grouped.join(least, "part").select(*key, "component_id")
+    out = signed.select("doc_id", *key)
+    full = out.where("n_shingles > 0").join(grouped, key).select("doc_id", "n_shingles", "component_id")
     empty = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
 
     def restored(column):
