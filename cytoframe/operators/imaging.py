@@ -291,3 +291,28 @@ def apply_preset(px: DataFrame, name: str, keys: Sequence[str] = ("image_id",))
 
     kinds = ", ".join(f"{k} {dict(px.dtypes)[k]}" for k in names)
     return dense(px, keys).mapInPandas(kernel, f"{kinds}, z int, y int, x int, " + ", ".join(f"{o} double" for o in outputs))
+
+
+def within_objects(px: DataFrame, labels: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Pixels of objects (keys, y, x, label) with abs_z within the object, and whether it reaches the object's Otsu threshold."""
+    rows = px.join(labels, [*keys, "y", "x"])
+    own = [*keys, "label"]
+    z = z_scored(rows, own)
+    return z.join(otsu(z, own, value="abs_zscore"), own).withColumn("kept", F.col("abs_zscore") >= F.col("threshold"))
+
+
+def segmentation_input(px: DataFrame, mode: str) -> DataFrame:
+    """v from fused channels (fused), brightfield (abs_z) and deviation confidence (relative): fused, fused_absz or fused_absz_sd2."""
+    modes = {"fused": F.col("fused"), "fused_absz": F.col("fused") * F.col("abs_zscore"), "fused_absz_sd2": F.col("fused") * F.col("abs_zscore") * F.col("relative") * F.col("relative")}
+    return px.withColumn("v", modes[mode])
+
+
+def synthetic_volume(spark, depth: int = 16, height: int = 32, width: int = 32) -> DataFrame:
+    """(z, y, x, v): three soft balls on a ramp along z, as 16-bit counts."""
+    n = depth * height * width
+    p = spark.range(n).select(F.expr(f"CAST(id DIV {height * width} AS INT)").alias("z"), F.expr(f"CAST(id DIV {width} % {height} AS INT)").alias("y"), (F.col("id") % width).cast("int").alias("x"))
+    total = F.lit(0.0)
+    for cz, cy, cx, radius in ((0.3, 0.3, 0.3, 0.15), (0.5, 0.6, 0.6, 0.2), (0.7, 0.4, 0.7, 0.1)):
+        d = ((F.col("z") / depth - cz) ** 2 + (F.col("y") / height - cy) ** 2 + (F.col("x") / width - cx) ** 2) / (2 * radius * radius)
+        total = total + F.exp(-d)
+    return p.withColumn("v", F.least(F.round(20000 * total + 500 * F.col("z") / depth), F.lit(65535.0)).cast("int"))

@@ -322,3 +322,47 @@ def stack_fields(names: DataFrame, channels: Sequence[str] = ("00", "01", "02"))
     rows = rows.where(F.col("ch").isin(*channels)).groupBy("path", "prefix", F.col("z").cast("int").alias("z")).agg(F.count_distinct("ch").alias("n"))
     full = rows.where(F.col("n") == len(channels)).groupBy("path", "prefix").agg(F.count("*").alias("n_z"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
     return full
+
+
+def below_root(path: str = "path", root: str = "root") -> Column:
+    """The path relative to a folder above it; empty for the folder itself or a path elsewhere."""
+    inside = F.startswith(F.col(path), F.concat(F.col(root), F.lit("/")))
+    return F.when(inside, F.substring(F.col(path), F.length(root) + 2, F.length(path))).otherwise("")
+
+
+#: Cell lines that sample paths are told apart by.
+SAMPLE_LINES = ("nci-n87", "mdamb")
+
+
+def sample_line(path: str = "path") -> Column:
+    """The known cell line that a sample's path names; NULL for another."""
+    out = F.when(F.lit(False), "")
+    for line in SAMPLE_LINES:
+        out = out.when(F.lower(path).contains(line), line)
+    return out
+
+
+def safe_id(column: Column) -> Column:
+    """Text with every run of what isn't a letter, digit, dot, dash or underscore made one underscore."""
+    return F.regexp_replace(column, "[^A-Za-z0-9._-]+", "_")
+
+
+def without_suffix(name: Column, suffixes: Sequence[str]) -> Column:
+    """A file's base name without the first of the suffixes that it ends with."""
+    out = F.element_at(F.split(name, "/"), -1)
+    base, chosen = out, out
+    for s in reversed(suffixes):
+        chosen = F.when(F.endswith(base, F.lit(s)), F.substring(base, F.lit(1), F.length(base) - len(s))).otherwise(chosen)
+    return chosen
+
+
+def candidate_rows(rows: DataFrame, score: str, example_limit: int = 8) -> DataFrame:
+    """Scored directories as flat rows of a candidate table: counts, rendered lists, spacing and examples."""
+    counts = {"distinct_z": "z_values", "distinct_planes": "planes", "distinct_wells": "wells", "distinct_fields_or_sites": "fields", "distinct_channels": "channels"}
+    return rows.select(
+        F.col(score).alias("score"), "path", F.col("origin").alias("raw_or_derived"), F.col("n_images").alias("image_like_count"), *[F.size(c).alias(n) for n, c in counts.items()],
+        F.col("n_timepoints").alias("distinct_timepoints"), F.col("spacing.least").alias("min_time_spacing_minutes"), F.col("spacing.upper_median").alias("median_time_spacing_minutes"), F.col("spacing.unit").alias("time_spacing_unit"),
+        compact(F.col("channels")).alias("channels"), (F.size("channels") >= 2).cast("int").alias("has_multiple_channels"), coverage_text().alias("channel_z_or_plane_coverage"), F.array_join("cell_lines", "; ").alias("cell_line_hits"),
+        F.array_join("context", " / ").alias("path_context"), compact(F.col("z_values")).alias("z_values"), compact(F.array_sort(F.concat(F.col("t_values"), F.transform("elapsed_minutes", lambda v: v.cast("string")), F.col("acquired_at")))).alias("time_values"),
+        F.array_join(F.slice("image_names", 1, example_limit), "; ").alias("examples"),
+    )

@@ -183,3 +183,21 @@ def nearest_masks(px: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
 
     kinds = ", ".join(f"{k} {dict(px.dtypes)[k]}" for k in names)
     return edge.select(*names, "y", "x", F.col("label").cast("long").alias("label")).groupBy(*names).applyInArrow(kernel, f"{kinds}, label long, nearest long, distance double, gap double")
+
+
+def shapes(px: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """Area, perimeter (boundary pixels), circularity, axis lengths, eccentricity and doubled orientation of objects, from second moments.
+
+    Circularity is 4 pi area / perimeter^2, at most 1; cos2 and sin2 of the orientation are scaled to 0 to 1.
+    """
+    own = [*keys, "label"]
+    m = px.groupBy(*own).agg(F.count("*").alias("area"), F.var_pop("y").alias("_yy"), F.var_pop("x").alias("_xx"), F.covar_pop("y", "x").alias("_yx"), F.avg("y").alias("centroid_y"), F.avg("x").alias("centroid_x"))
+    p = boundary(px, keys).groupBy(*own).agg(F.count("*").alias("perimeter"))
+    half = F.sqrt(((F.col("_yy") - F.col("_xx")) / 2) ** 2 + F.col("_yx") ** 2)
+    middle = (F.col("_yy") + F.col("_xx")) / 2
+    out = m.join(p, own, "left").withColumns({"_long": middle + half, "_short": F.greatest(middle - half, F.lit(0.0)), "_angle": 0.5 * F.atan2(2 * F.col("_yx"), F.col("_xx") - F.col("_yy"))})
+    out = out.withColumns({
+        "major_axis": 4 * F.sqrt("_long"), "minor_axis": 4 * F.sqrt("_short"), "eccentricity": F.when(F.col("_long") > 0, F.sqrt(F.greatest(1 - F.col("_short") / F.col("_long"), F.lit(0.0)))).otherwise(0.0),
+        "circularity": F.least(4 * F.pi() * F.col("area") / (F.col("perimeter") * F.col("perimeter")), F.lit(1.0)), "cos2": (F.cos(2 * F.col("_angle")) + 1) / 2, "sin2": (F.sin(2 * F.col("_angle")) + 1) / 2,
+    })
+    return out.drop("_yy", "_xx", "_yx", "_long", "_short", "_angle")

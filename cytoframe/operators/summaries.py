@@ -106,3 +106,30 @@ def unit_hash(key: Column, seed: int) -> Column:
 
 def logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
+
+
+def scaled_with(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Adds z_<column> by centres and scales from a table (term, center, scale), as an artifact keeps them; 0 where a scale is 0."""
+    wide = scaler.where(F.col("term").isin(*columns)).groupBy().pivot("term", list(columns)).agg(F.first("center").alias("c"), F.first("scale").alias("s"))
+    out = df.crossJoin(F.broadcast(wide))  # one row
+    return out.withColumns({f"z_{c}": F.when(F.col(f"{c}_s") == 0, 0.0).otherwise((F.col(c) - F.col(f"{c}_c")) / F.col(f"{c}_s")) for c in columns}).drop(*[f"{c}_{k}" for c in columns for k in "cs"])
+
+
+def scaler_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(term, center, scale) of columns: mean and sample deviation over all rows."""
+    one = df.agg(*[F.struct(F.lit(c).alias("term"), F.avg(c).alias("center"), F.stddev_samp(c).alias("scale")).alias(c) for c in columns])
+    return one.select(F.inline(F.array(*columns)))
+
+
+def evenly_spaced(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """n rows of each group at equal steps of rank, both ends in; all of a smaller group."""
+    w = Window.partitionBy(*keys)
+    rows = df.withColumns({"_rank": F.row_number().over(w.orderBy(*order)) - 1, "_total": F.count("*").over(w)})
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("_total") - 1) / max(1, n - 1)).cast("int"))
+    return rows.where((F.col("_total") <= n) | F.array_contains(wanted, F.col("_rank"))).drop("_rank", "_total")
+
+
+def listed_order(column: str, listed: Sequence[str]) -> list[Column]:
+    """Sort keys that put listed values first, as listed, then the others by name."""
+    at = F.array_position(F.array(*map(F.lit, listed)), F.col(column))
+    return [F.when(at > 0, at).otherwise(len(listed) + 1), F.col(column)]

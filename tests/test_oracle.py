@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from cytoframe.plans import censoring, imaging, inventory, motility, raster, walk_model
+from cytoframe.plans import assorted, censoring, imaging, inventory, motility, raster, walk_model
 
-PLANS = (censoring, imaging, inventory, motility, raster, walk_model)
+PLANS = (assorted, censoring, imaging, inventory, motility, raster, walk_model)
 QUERIES = {n: q for p in PLANS for n, q in p.QUERIES.items()}
 SQL = {n: q for p in PLANS for n, q in p.ORACLE_SQL.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
