@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 
@@ -10,7 +13,7 @@ U = np.uint64
 
 def mix(x):
     """Finaliser of a 64-bit hash (xor-shift and multiply), elementwise."""
-    x = np.asarray(x, U).copy()
+    x = np.array(x, U)
     for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
         x ^= x >> U(shift)
         x *= U(factor)
@@ -27,10 +30,14 @@ def byte_values(fold_case: bool, seed: int = 1) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    if n:
+    """The first n powers of base; a worker keeps them for its next batch, outside what is sent to executors."""
+    kept = sys.modules.setdefault("_kept_powers", types.ModuleType("_kept_powers")).__dict__
+    name = f"p{base}"
+    if name not in kept or len(kept[name]) < n:
+        out = np.full(max(n, 1 << 16) * 5 // 4, base, U)
         out[0] = 1
-    return np.multiply.accumulate(out)
+        kept[name] = np.multiply.accumulate(out)
+    return kept[name][:n]
 
 
 BASE = 0x5851F42D4C957F2D
@@ -50,6 +57,12 @@ def spans_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
 
 
+def rolling_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """spans_hash of every run of size values, in order."""
+    n = len(prefix) - size
+    return mix((prefix[size:] - prefix[:n]) * powers(INVERSE, n) + U(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
 class Texts:
     """A batch of texts as one byte buffer; null counts as empty."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cytoframe.llm import _blocks as B
-from cytoframe.llm._text import INVERSE, Texts, byte_values, mix, powers, prefix_hash, spans_hash
+from cytoframe.llm._text import INVERSE, Texts, byte_values, mix, powers, prefix_hash, rolling_hash, spans_hash
 
 U = np.uint64
 LENGTH, GRAM = 100, 24
@@ -45,10 +45,9 @@ class Segments:
         self.start = self.count = self.place = np.zeros(0, np.int64)
         self.key = self.content = np.zeros(0, U)
         if n >= length:
-            at = np.arange(n - gram + 1)
-            grams = spans_hash(prefix, at, at + gram)
+            grams = rolling_hash(prefix, gram)
             mask = U((1 << PLACE_BITS) - 1)
-            anchor = (sliding_least((grams & ~mask) | at.astype(U), length - gram + 1) & mask).astype(np.int64)
+            anchor = (sliding_least((grams & ~mask) | np.arange(len(grams), dtype=U), length - gram + 1) & mask).astype(np.int64)
             size = np.diff(texts.offsets)
             last = np.repeat(texts.offsets[1:], size)[: len(anchor)]
             anchor[np.arange(len(anchor)) + length > last] = -1
