@@ -36,8 +36,8 @@ def at_risk_points(spark, sf_dir):
     rows = rows.withColumns({"track_area": (20 + F.col("event_id") % 60).cast("double"), "link_status": C.link_status(), "object_status": C.object_status()})
     rows = C.point_flags(rows)
     rows = C.neighbours_in_time(rows, TRACK, ["ts", "event_id"])
-    last = F.max("frame").over(Window.partitionBy("site_id"))
-    return rows.withColumns({"censor_reason": C.censor_reason(), "end_next": (~F.col("next_point")).cast("int"), "is_start": F.col("passes_point") & ~F.col("has_previous_point"), "site_last_frame": last, "edge_distance": C.edge_distance(560.0, 100.0)})
+    last = pts.groupBy("site_id").agg(F.max("frame").alias("site_last_frame"))  # a row per site, so no site's rows need to meet
+    return rows.withColumns({"censor_reason": C.censor_reason(), "end_next": (~F.col("next_point")).cast("int"), "is_start": F.col("passes_point") & ~F.col("has_previous_point"), "edge_distance": C.edge_distance(560.0, 100.0)}).join(last, "site_id")
 
 
 def at_risk(spark, sf_dir):
