@@ -50,7 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
     in joins on the node that Spark may split where a node is hot, until every node points at a root.
     Edges never leave the executors.
     """
-    now = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    now = durable(edges.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")))
     tasks = math.ceil(now.count() / EDGES_PER_TASK)
     now = durable(now.coalesce(max(tasks, 1)).mapInArrow(_contract, "u long, v long"))
     while tasks > 1:
