@@ -1,8 +1,9 @@
 """Persistent random walk: expected displacements, likelihood, multistart fits, simulation and scoring.
 
 A velocity that decays with time constant tau and has stationary scale v per axis is integrated and
-observed with noise. The likelihood runs a two-state Kalman filter per axis over all segments at
-once: segments of one condition are padded to one length, so a step is a few vector operations.
+observed with noise. The likelihood runs a two-state Kalman filter per axis. Its gains depend on the
+steps in time alone and its innovations are linear in the positions, so segments with the same steps
+enter through their number and the sum of their outer products: a fit needs these moments, not the segments.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of (tau, velocity scale, observation noise).
 LOWER, UPPER = np.log([1e-4, 1e-8, 1e-8]), np.log([1e6, 1e6, 1e6])
+#: Sums that a task holds before it hands them on.
+HELD_MOMENTS = 4000
 
 
 def expected_msd(t: Column, tau: Column, velocity: Column, noise: Column) -> Column:
@@ -93,31 +97,70 @@ def padded(frames: Sequence, xs: Sequence, ys: Sequence, interval: float):
     return y, dt, real
 
 
-def empirical_start(frames, xs, ys, interval: float) -> np.ndarray:
+def moment_log_likelihood(log_params, dt: np.ndarray, real: np.ndarray, n: np.ndarray, s: np.ndarray) -> float:
+    """log_likelihood of all series from moments: rows of steps dt with mask real, n series each, s sums of outer products of positions less the first."""
+    tau, velocity, noise = np.exp(log_params)
+    if not np.isfinite([tau, velocity, noise]).all():
+        return -np.inf
+    r = noise * noise
+    f12, phi, q11, q12, q22 = transition(dt, tau, velocity)
+    rows, steps = dt.shape
+    position, speed = np.zeros((rows, steps)), np.zeros((rows, steps))  # as weights of the positions
+    p11, p12, p22 = np.full(rows, r), np.zeros(rows), np.full(rows, velocity * velocity)
+    gaps, variance = np.zeros((rows, steps, steps)), np.ones((rows, steps))
+    for k in range(steps):
+        f, h = f12[:, k], phi[:, k]
+        position = position + f[:, None] * speed
+        speed = h[:, None] * speed
+        a11 = p11 + 2 * f * p12 + f * f * p22 + q11[:, k]
+        a12 = h * (p12 + f * p22) + q12[:, k]
+        a22 = h * h * p22 + q22[:, k]
+        v = variance[:, k] = a11 + r
+        gap = -position
+        gap[:, k] += 1
+        gaps[:, k] = gap
+        k1, k2 = a11 / v, a12 / v
+        position, speed = position + k1[:, None] * gap, speed + k2[:, None] * gap
+        keep = 1 - k1
+        p11 = keep * keep * a11 + k1 * k1 * r
+        p12 = keep * (a12 - k2 * a11) + k1 * k2 * r
+        p22 = a22 - 2 * k2 * a12 + k2 * k2 * a11 + k2 * k2 * r
+    if not (np.isfinite(variance[real]).all() and (variance[real] > 0).all()):
+        return -np.inf
+    squares = np.maximum(((gaps @ s) * gaps).sum(2), 0)
+    each = n[:, None] * (np.log(2 * np.pi) + np.log(np.where(real, variance, 1))) + squares / np.where(real, variance, 1)
+    return float(-0.5 * each[real].sum())
+
+
+def padded_moments(steps: Sequence, n: Sequence, s: Sequence, interval: float):
+    """Moments of segments by their steps in frames, padded to one length: steps, mask, numbers of series, sums."""
+    most = max(map(len, steps))
+    dt, real, total = np.ones((len(steps), most)), np.zeros((len(steps), most), bool), np.zeros((len(steps), most, most))
+    for i, (step, square) in enumerate(zip(steps, s)):
+        k = len(step)
+        dt[i, :k], real[i, :k] = np.asarray(step, float) * interval, True
+        total[i, :k, :k] = np.asarray(square, float).reshape(k, k)
+    return dt, real, 2.0 * np.asarray(n, float), total
+
+
+def empirical_start(scale: dict) -> np.ndarray:
     """(tau, velocity, noise) from medians of steps."""
-    dt = np.concatenate([np.diff(np.asarray(f, float)) * interval for f in frames])
-    move = np.concatenate([np.hypot(np.diff(a), np.diff(b)) for a, b in zip(xs, ys)])
-    speed = move / dt
-    speed = speed[np.isfinite(speed) & (speed > 0)]
-    velocity = np.median(speed) / np.sqrt(2) if len(speed) else 1.0
-    noise = np.median(move) / 10
-    return np.array([max(np.median(dt) * 2, dt.min()), velocity if velocity > 0 else 1.0, noise if noise > 0 else 0.1])
+    velocity = scale["speed"][1] / np.sqrt(2) if scale["speed"] is not None else 1.0
+    noise = scale["move"] / 10
+    return np.array([max(scale["dt"] * 2, scale["least_dt"]), velocity if velocity > 0 else 1.0, noise if noise > 0 else 0.1])
 
 
 def _positive_range(values, fallback):
-    values = values[np.isfinite(values) & (values > 0)]
-    low, high = np.quantile(values, [0.05, 0.95]) if len(values) else fallback
+    low, high = (values[0], values[-1]) if values is not None else fallback
     return (low * 0.5, high * 2) if low == high else (low, high)
 
 
-def starts(frames, xs, ys, interval: float, n: int, seed: int) -> np.ndarray:
+def starts(scale: dict, n: int, seed: int) -> np.ndarray:
     """n rows of (tau, velocity, noise): the empirical start, then log-uniform draws around the data's scales."""
-    first = empirical_start(frames, xs, ys, interval)
-    dt = np.concatenate([np.diff(np.asarray(f, float)) * interval for f in frames])
-    move = np.concatenate([np.hypot(np.diff(a), np.diff(b)) for a, b in zip(xs, ys)])
-    speeds = _positive_range(move / dt, first[1] * np.sqrt(2) * np.array([0.25, 4]))
-    moves = _positive_range(move, first[2] * 10 * np.array([0.25, 4]))
-    ranges = np.log([[dt.min(), max(dt.min() * 2, np.median(dt) * 50)], [speeds[0] / np.sqrt(2), speeds[1] / np.sqrt(2)], [moves[0] * 0.02, moves[1] * 0.5]])
+    first = empirical_start(scale)
+    speeds = _positive_range(scale["speed"], first[1] * np.sqrt(2) * np.array([0.25, 4]))
+    moves = _positive_range(scale["moves"], first[2] * 10 * np.array([0.25, 4]))
+    ranges = np.log([[scale["least_dt"], max(scale["least_dt"] * 2, scale["dt"] * 50)], [speeds[0] / np.sqrt(2), speeds[1] / np.sqrt(2)], [moves[0] * 0.02, moves[1] * 0.5]])
     drawn = np.random.default_rng(seed).uniform(ranges[:, 0], ranges[:, 1], (n - 1, 3))
     return np.vstack([first, np.exp(drawn)])
 
@@ -171,31 +214,85 @@ def segments(df: DataFrame, keys: Sequence[str], ident: Sequence[str]) -> DataFr
     return rows.select(*keys, *ident, F.col("p.frame").alias("frames"), F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
 
 
-def fits(df: DataFrame, keys: Sequence[str], ident: Sequence[str], interval: float = 2.0, n_starts: int = 3, seed: int = 17, max_segments: int = 400) -> DataFrame:
+def step_scales(rows: DataFrame, keys: Sequence[str], interval: float) -> DataFrame:
+    """By condition, of the steps of all its segments: dt (median), least_dt, time, move (median), speed and moves (5, 50, 95 % of the positive ones)."""
+    at = lambda c, i: F.get(c, i).cast("double")
+    step = F.transform(F.sequence(F.lit(1), F.size("frames") - 1), lambda i: F.struct(((at("frames", i) - at("frames", i - 1)) * interval).alias("dt"), F.hypot(at("xs", i) - at("xs", i - 1), at("ys", i) - at("ys", i - 1)).alias("move")))
+    each = rows.select(*keys, F.explode(step).alias("s")).select(*keys, "s.dt", "s.move").withColumn("speed", F.col("move") / F.col("dt"))
+    points = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
+    return each.groupBy(*keys).agg(
+        F.percentile("dt", F.lit(0.5)).alias("dt"), F.min("dt").alias("least_dt"), F.sum("dt").alias("time"), F.percentile("move", F.lit(0.5)).alias("move"),
+        F.percentile(F.when(F.col("speed") > 0, F.col("speed")), points).alias("speed"), F.percentile(F.when(F.col("move") > 0, F.col("move")), points).alias("moves"),
+    )
+
+
+def moments(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, steps, n, s): for segments of a condition with the same steps in frames their number and sums of outer products.
+
+    A task adds up what it reads, so a row per task, condition and steps is shuffled. Runs without gaps
+    have one row of steps for each length.
+    """
+    names = list(keys)
+    kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in names) + ", steps array<double>, n long, s array<double>"
+
+    def collect(batches):
+        held, fields = {}, None
+        for batch in batches:
+            fields = [batch.schema.field(k) for k in names]
+            found = {}
+            for key, f, x, y in zip(zip(*[batch.column(k).to_pylist() for k in names]), *[batch.column(c).to_pylist() for c in ("frames", "xs", "ys")]):
+                place = found.setdefault((key, tuple(np.diff(np.asarray(f, float)).tolist())), [])
+                place += [np.asarray(x[1:], float) - x[0], np.asarray(y[1:], float) - y[0]]
+            for at, series in found.items():
+                z = np.array(series)
+                n, s = held.get(at, (0, 0.0))
+                held[at] = n + len(z) // 2, s + z.T @ z
+            if len(held) > HELD_MOMENTS:
+                yield packed(held, fields)
+                held = {}
+        if held:
+            yield packed(held, fields)
+
+    def packed(held, fields):
+        columns = [pa.array([key[i] for key, _ in held], f.type) for i, f in enumerate(fields)]
+        columns += [pa.array([list(steps) for _, steps in held], pa.list_(pa.float64())), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([s.ravel().tolist() for _, s in held.values()], pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "steps", "n", "s"])
+
+    def add(key, table):
+        return pd.DataFrame({**dict(zip(names, [[k] for k in key])), "steps": [table["steps"].iloc[0]], "n": [table["n"].sum()], "s": [np.sum(np.stack(table["s"].tolist()), 0)]})
+
+    return rows.select(*names, "frames", "xs", "ys").mapInArrow(collect, kinds).groupBy(*names, "steps").applyInPandas(lambda key, table: add(key[:-1], table), kinds)
+
+
+def fits(df: DataFrame, keys: Sequence[str], ident: Sequence[str], interval: float = 2.0, n_starts: int = 3, seed: int = 17, max_segments: int = 0) -> DataFrame:
     """One row per condition and start: parameters, log likelihood and status.
 
-    max_segments bounds a fit's segments, the first by a hash of their identity; a start is a task of its
-    own. A condition without segments gives a row `no_valid_segments`.
+    Every segment counts, unless max_segments (0: no bound) keeps a condition's first by a hash of their
+    identity. Tasks add up moments; a start is a task of its own over these. A condition without segments
+    gives a row `no_valid_segments`.
     """
     from pyspark.sql import Window
 
     rows = segments(df, keys, ident)
-    order = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ident])), *ident)
-    rows = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max_segments).drop("_rank")
-    spread = rows.withColumn("start_id", F.explode(F.sequence(F.lit(1), F.lit(n_starts))))
+    if max_segments > 0:
+        order = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ident])), *ident)
+        rows = rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max_segments).drop("_rank")
     names = list(keys)
-
-    def fit(key, table):
-        frames, xs, ys = (list(table[c]) for c in ("frames", "xs", "ys"))
-        y, dt, real = padded(frames, xs, ys, interval)
-        begin = starts(frames, xs, ys, interval, n_starts, seed)[key[-1] - 1]
-        x, value, done = minimise(lambda p: -log_likelihood(p, y, dt, real), np.log(begin))
+    start_ids = F.explode(F.sequence(F.lit(1), F.lit(n_starts)))
+    sums, scales = (part.withColumn("start_id", start_ids).groupBy(*names, "start_id") for part in (moments(rows, keys), step_scales(rows, keys, interval)))
+
+    def fit(key, table, scale):
+        table = table.assign(_k=[tuple(x) for x in table["steps"]]).sort_values("_k")
+        scale = scale.iloc[0].to_dict()
+        data = padded_moments(table["steps"].tolist(), table["n"].tolist(), table["s"].tolist(), interval)
+        begin = starts(scale, n_starts, seed)[key[-1] - 1]
+        x, value, done = minimise(lambda p: -moment_log_likelihood(p, *data), np.log(begin))
         tau, velocity, noise = np.exp(x)
-        row = [*key, tau, velocity, noise, velocity * velocity * tau, -value, "converged" if done else "step_limit", *begin, len(frames), float(dt[: len(frames)][real[: len(frames)]].sum())]
+        row = [*key, tau, velocity, noise, velocity * velocity * tau, -value, "converged" if done else "step_limit", *begin, int(table["n"].sum()), float(scale["time"])]
         return pd.DataFrame([row])
 
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in names)
-    done = spread.groupBy(*names, "start_id").applyInPandas(fit, f"{kinds}, start_id int, {FIT}")
+    done = sums.cogroup(scales).applyInPandas(fit, f"{kinds}, start_id int, {FIT}")
     missing = df.select(*names).distinct().join(rows.select(*names).distinct(), names, "left_anti")
     return done.unionByName(missing.select(*names, F.lit("no_valid_segments").alias("fit_status"), F.lit(0).cast("long").alias("n_segments")), allowMissingColumns=True)
 

@@ -32,8 +32,8 @@ def walk_segments(spark, sf_dir):
 
 
 def walk_fits(spark, sf_dir):
-    """Best of three starts for each condition, over at most 200 of its segments a fit."""
-    fitted = durable(W.fits(M._runs(spark, sf_dir).select(*COND, *SEGMENT, "frame", "x", "y"), COND, SEGMENT, n_starts=3, max_segments=200))
+    """Best of 25 starts for each condition, over all of its segments."""
+    fitted = durable(W.fits(M._runs(spark, sf_dir).select(*COND, *SEGMENT, "frame", "x", "y"), COND, SEGMENT, n_starts=25))
     return W.best_fits(fitted, COND)
 
 

@@ -107,6 +107,24 @@ def test_fit_recovers_parameters(spark):
     assert best.fit_status == "converged" and 3.5 < best.tau < 7 and 1.6 < best.velocity_scale < 2.4
 
 
+def test_moments_give_the_likelihood_of_the_segments(spark):
+    random = np.random.default_rng(1)
+    frames = [[0, 1, 2, 3], [4, 5, 6, 7], [2, 4, 5], [1, 2], [0, 1, 2, 3]]
+    rows = [(1, i, f, (50 + random.normal(size=len(f)).cumsum()).tolist(), random.normal(size=len(f)).cumsum().tolist()) for i, f in enumerate(frames)]
+    got = W.moments(spark.createDataFrame(rows, "c int, id int, frames array<int>, xs array<double>, ys array<double>").repartition(3), ["c"]).toPandas()
+    assert sorted(got["n"]) == [1, 1, 3]
+    data = W.padded_moments(got["steps"].tolist(), got["n"].tolist(), got["s"].tolist(), 2.0)
+    for point in ([3.0, 1.5, 0.4], [50.0, 0.2, 1e-3]):
+        want = W.log_likelihood(np.log(point), *W.padded(frames, [r[3] for r in rows], [r[4] for r in rows], 2.0))
+        assert abs(W.moment_log_likelihood(np.log(point), *data) - want) < 1e-8 * max(1, abs(want))
+
+
+def test_a_fit_takes_every_segment(spark):
+    sim = W.simulate(spark.range(450).select(F.col("id").alias("track_id"), F.lit(3).alias("n_frames"), F.lit(5.0).alias("tau"), F.lit(2.0).alias("velocity_scale"), F.lit(0.3).alias("obs_noise")), seed=3)
+    r = W.fits(sim.withColumn("c", F.lit(1)), ["c"], ["track_id"], n_starts=1).first()
+    assert (r.n_segments, r.total_track_time) == (450, 1800.0)
+
+
 def test_logistic_regression_finds_its_coefficients(spark):
     df = spark.range(20000).withColumn("a", S.unit_hash(F.col("id"), 1) * 2 - 1)
     df = df.withColumn("y", (S.unit_hash(F.col("id"), 2) < S.logistic(-0.5 + 1.5 * F.col("a"))).cast("int")).withColumn("g", F.col("id") % 7)
