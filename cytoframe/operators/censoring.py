@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoframe.operators.summaries import finite, unit_hash
+from cytoframe.operators.summaries import finite, ranked, unit_hash
 from cytoframe.operators.tracks import keep_first
 
 FLAGS = ("passes_link", "passes_object", "passes_area_ratio", "passes_track_id", "passes_numeric")
@@ -140,8 +140,10 @@ def resample(pool: DataFrame, wanted: DataFrame, ladder: Sequence[Sequence[str]]
     drawn = wanted.withColumn("_u", unit_hash(F.col(ident), seed))
     out = drawn
     for level, keys in enumerate(ladder):
-        w = Window.partitionBy(*keys).orderBy(*values) if keys else Window.partitionBy(F.lit(0)).orderBy(*values)
-        numbered = pool.select(*keys, *values).withColumn("_i", F.row_number().over(w) - 1)
+        if keys:
+            numbered = pool.select(*keys, *values).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*values)) - 1)
+        else:
+            numbered = ranked(pool.select(*values), values).select(*values, F.col("rank").cast("int").alias("_i"))
         counts = numbered.groupBy(*keys).agg(F.count("*").alias(f"_n{level}")) if keys else numbered.agg(F.count("*").alias(f"_n{level}"))
         out = out.join(counts, list(keys), "left") if keys else out.crossJoin(F.broadcast(counts))
         out = out.withColumn("_i", F.floor(F.col("_u") * F.coalesce(F.col(f"_n{level}"), F.lit(0))).cast("int"))

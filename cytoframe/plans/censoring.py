@@ -177,6 +177,16 @@ def context_resample(spark, sf_dir):
     return C.resample(pool, wanted, [[*COND, "frame"], COND, ["frame"]], "wanted_id", ["event_id"], 17)
 
 
+CONTEXT_LADDER = [[*COND, "frame"], COND, ["frame"], []]
+
+
+def context_resample_all(spark, sf_dir):
+    """context_resample from all detections, with any detection as the last resort."""
+    rows = A.tracks(spark, sf_dir)
+    wanted = rows.where("frame >= 20").select(F.col("event_id").alias("wanted_id"), *COND, "frame")
+    return C.resample(rows.select(*COND, "frame", "event_id"), wanted, CONTEXT_LADDER, "wanted_id", ["event_id"], 17)
+
+
 def standardised_covariates(spark, sf_dir):
     out = S.standardised(A.tracks(spark, sf_dir).withColumn("fixed", F.lit(1.0)), ["frame", "x", "fixed"])
     return _rounded(out.groupBy("ploidy").agg(F.avg("z_frame").alias("z_frame"), F.avg("z_x").alias("z_x"), F.max("z_fixed").alias("z_fixed")), "z_frame", "z_x", "z_fixed")
@@ -193,7 +203,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         at_risk, point_flags, censor_reasons, stage_counts, track_summary, model_quality, calibration, survival_by_condition, survival_weights, weighted_msd,
-        drawn_censoring, boundary_censoring, holdout_roles, group_sample, row_cap, track_sample, context_resample, standardised_covariates, uncensored_tracks,
+        drawn_censoring, boundary_censoring, holdout_roles, group_sample, row_cap, track_sample, context_resample, context_resample_all, standardised_covariates, uncensored_tracks,
     )
 }
 
@@ -256,6 +266,15 @@ ORACLE_SQL = {
         SELECT wanted_id, want.ploidy, want.dose, want.frame, coalesce(l0.event_id, l1.event_id, l2.event_id) AS event_id, CASE WHEN l0.event_id IS NOT NULL THEN 0 WHEN l1.event_id IS NOT NULL THEN 1 WHEN l2.event_id IS NOT NULL THEN 2 END AS ladder_level
         FROM want LEFT JOIN l0 ON l0.ploidy = want.ploidy AND l0.dose = want.dose AND l0.frame = want.frame AND l0.i = floor(u * l0.n)
         LEFT JOIN l1 ON l1.ploidy = want.ploidy AND l1.dose = want.dose AND l1.i = floor(u * l1.n) LEFT JOIN l2 ON l2.frame = want.frame AND l2.i = floor(u * l2.n)"""),
+    "context_resample_all": A.sql(A.TRACKS_SQL, f""", pool AS (SELECT ploidy, dose, frame, event_id FROM tracks),
+        want AS (SELECT event_id AS wanted_id, ploidy, dose, frame, {_U.format("event_id::VARCHAR")} AS u FROM tracks WHERE frame >= 20),
+        l0 AS (SELECT *, row_number() OVER (PARTITION BY ploidy, dose, frame ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY ploidy, dose, frame) AS n FROM pool),
+        l1 AS (SELECT *, row_number() OVER (PARTITION BY ploidy, dose ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY ploidy, dose) AS n FROM pool),
+        l2 AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY frame) AS n FROM pool),
+        l3 AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM pool)
+        SELECT wanted_id, want.ploidy, want.dose, want.frame, coalesce(l0.event_id, l1.event_id, l2.event_id, l3.event_id) AS event_id, CASE WHEN l0.event_id IS NOT NULL THEN 0 WHEN l1.event_id IS NOT NULL THEN 1 WHEN l2.event_id IS NOT NULL THEN 2 WHEN l3.event_id IS NOT NULL THEN 3 END AS ladder_level
+        FROM want LEFT JOIN l0 ON l0.ploidy = want.ploidy AND l0.dose = want.dose AND l0.frame = want.frame AND l0.i = floor(u * l0.n)
+        LEFT JOIN l1 ON l1.ploidy = want.ploidy AND l1.dose = want.dose AND l1.i = floor(u * l1.n) LEFT JOIN l2 ON l2.frame = want.frame AND l2.i = floor(u * l2.n) LEFT JOIN l3 ON l3.i = floor(u * l3.n)"""),
     "standardised_covariates": A.sql(A.TRACKS_SQL, """, k AS (SELECT avg(frame) AS mf, stddev_samp(frame) AS sf, avg(x) AS mx, stddev_samp(x) AS sx FROM tracks)
         SELECT ploidy, round(avg((frame - mf) / sf), 6) AS z_frame, round(avg((x - mx) / sx), 6) AS z_x, 0.0::DOUBLE AS z_fixed FROM tracks, k GROUP BY ploidy"""),
     "uncensored_tracks": A.sql(A.TRACKS_SQL, """, q AS (SELECT *, CASE WHEN frame = lag(frame) OVER w + 1 THEN 0 ELSE 1 END AS s FROM tracks WHERE NOT (x < 8 OR x > 552 OR y < 8 OR y > 92) WINDOW w AS (PARTITION BY site_id, track_id ORDER BY frame)),

@@ -125,6 +125,24 @@ def test_a_fit_takes_every_segment(spark):
     assert (r.n_segments, r.total_track_time) == (450, 1800.0)
 
 
+def test_context_falls_back_to_any_detection(spark):
+    from cytoframe.plans.censoring import CONTEXT_LADDER
+
+    kinds = "ploidy string, dose double, frame int"
+    pool = spark.createDataFrame([("2N", 0.0, 1, 10), ("2N", 0.0, 2, 11), ("4N", 1.0, 3, 12)], f"{kinds}, event_id long")
+    wanted = spark.createDataFrame([("2N", 0.0, 1, 1), ("4N", 1.0, 9, 2), ("8N", 5.0, 2, 3), ("8N", 5.0, 9, 4)], f"{kinds}, wanted_id long")
+    rows = {r.wanted_id: (r.event_id, r.ladder_level) for r in C.resample(pool, wanted, CONTEXT_LADDER, "wanted_id", ["event_id"], 17).collect()}
+    assert (rows[1], rows[2], rows[3]) == ((10, 0), (12, 1), (11, 2)) and rows[4][1] == 3 and rows[4][0] in (10, 11, 12)
+
+
+def test_context_is_drawn_from_all_detections(spark, sf):
+    from cytoframe.plans import censoring as P
+    from cytoframe.sources import adapters as A
+
+    rows = P.context_resample_all(spark, sf).join(A.tracks(spark, sf).select("event_id", "track_id", F.col("frame").alias("f")), "event_id", "left").collect()
+    assert all(r.ladder_level is not None for r in rows) and any(r.f % 3 for r in rows) and any(r.track_id % 4 == 0 for r in rows)
+
+
 def test_logistic_regression_finds_its_coefficients(spark):
     df = spark.range(20000).withColumn("a", S.unit_hash(F.col("id"), 1) * 2 - 1)
     df = df.withColumn("y", (S.unit_hash(F.col("id"), 2) < S.logistic(-0.5 + 1.5 * F.col("a"))).cast("int")).withColumn("g", F.col("id") % 7)
