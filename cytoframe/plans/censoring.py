@@ -108,8 +108,8 @@ def survival_by_condition(spark, sf_dir):
     return _rounded(rows.groupBy(*COND).agg(F.count("*").alias("n"), F.count_distinct("site_id", "track_id").alias("n_tracks"), F.avg("ended").alias("dropout"), F.avg(1 - F.col("p")).alias("survival")), "dropout", "survival")
 
 
-def _weights(spark, sf_dir):
-    pairs = T.lag_pairs(M._runs(spark, sf_dir).select(*COND, *TRACK, "frame", "x", "y"), [*COND, *TRACK], 3)
+def _weights(spark, sf_dir, max_lag):
+    pairs = T.lag_pairs(M._runs(spark, sf_dir).select(*COND, *TRACK, "frame", "x", "y"), [*COND, *TRACK], max_lag)
     rows = durable(pairs.withColumn("v", (F.col("x_later") - F.col("x")) ** 2 + (F.col("y_later") - F.col("y")) ** 2))
     survival = _predicted(spark, sf_dir).select(*TRACK, "frame", (1 - F.col("p0")).alias("numer"), (1 - F.col("p")).alias("denom"))
     return rows.join(C.survival_weights(rows, survival, TRACK), [*TRACK, "frame", "lag"])
@@ -123,19 +123,29 @@ wts AS (SELECT s.ploidy, s.dose, s.site_id, s.track_id, s.frame, lag, any_value(
   GROUP BY ALL HAVING count(*) = lag)"""
 
 
-def survival_weights(spark, sf_dir):
+def survival_weights(spark, sf_dir, max_lag=3):
     """Quantiles of the weights by lag, and their caps."""
-    rows = _weights(spark, sf_dir)
+    rows = _weights(spark, sf_dir, max_lag)
     out = rows.groupBy("lag").agg(F.count("*").alias("n"), F.percentile("weight", F.lit(0.5)).alias("median"), F.percentile("weight", F.lit(0.95)).alias("p95"), F.percentile("weight", F.lit(0.99)).alias("p99"), F.max("weight").alias("most"), F.least(F.percentile("weight", F.lit(0.95)), F.lit(20.0)).alias("cap"))
     return _rounded(out, "median", "p95", "p99", "most", "cap")
 
 
-def weighted_msd(spark, sf_dir):
+def survival_weights_5(spark, sf_dir):
+    """survival_weights over lags 1 to 5."""
+    return survival_weights(spark, sf_dir, 5)
+
+
+def weighted_msd(spark, sf_dir, max_lag=3):
     """Displacements by lag and condition, weighed by capped survival weights."""
-    rows = C.cap_weights(_weights(spark, sf_dir), 0.99, 20.0)
+    rows = C.cap_weights(_weights(spark, sf_dir, max_lag), 0.99, 20.0)
     return _rounded(S.weighted_mean_se(rows, [*COND, "lag"], "v", "capped_weight"), "mean", "se", "n_effective").withColumns({c: F.round(c, 3) for c in ("mean", "se", "n_effective")})
 
 
+def weighted_msd_5(spark, sf_dir):
+    """weighted_msd over lags 1 to 5."""
+    return weighted_msd(spark, sf_dir, 5)
+
+
 def drawn_censoring(spark, sf_dir):
     out = C.draw_censoring(_predicted(spark, sf_dir), TRACK, "p", 17)
     return out.groupBy(*TRACK).agg(F.count("*").alias("n"), F.max("frame").alias("last_frame"))
@@ -202,11 +212,13 @@ def uncensored_tracks(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        at_risk, point_flags, censor_reasons, stage_counts, track_summary, model_quality, calibration, survival_by_condition, survival_weights, weighted_msd,
+        at_risk, point_flags, censor_reasons, stage_counts, track_summary, model_quality, calibration, survival_by_condition, survival_weights, survival_weights_5, weighted_msd, weighted_msd_5,
         drawn_censoring, boundary_censoring, holdout_roles, group_sample, row_cap, track_sample, context_resample, context_resample_all, standardised_covariates, uncensored_tracks,
     )
 }
 
+_WEIGHTS_5_SQL = _WEIGHTS_SQL.replace("a.frame + 3", "a.frame + 5")
+
 RISK_SQL = A.TRACKPOINTS_SQL + ",\n" + A.PIXELS_SQL + """,
 areas AS (SELECT label, count(*) AS area FROM pixels GROUP BY label),
 contact AS (SELECT DISTINCT a.label FROM pixels a JOIN pixels b ON a.frame = b.frame AND a.label <> b.label AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
@@ -245,9 +257,13 @@ ORACLE_SQL = {
     "calibration": A.sql(_PREDICTED_SQL, "SELECT CAST(b AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(ended), 6) AS observed FROM (SELECT *, ntile(20) OVER (ORDER BY p, site_id, track_id, frame) AS b FROM pred) GROUP BY ALL"),
     "survival_by_condition": A.sql(_PREDICTED_SQL, "SELECT ploidy, dose, count(*) AS n, count(DISTINCT (site_id, track_id)) AS n_tracks, round(avg(ended), 6) AS dropout, round(avg(1 - p), 6) AS survival FROM pred GROUP BY ALL"),
     "survival_weights": A.sql(_WEIGHTS_SQL, "SELECT lag, count(*) AS n, round(quantile_cont(weight, 0.5), 6) AS median, round(quantile_cont(weight, 0.95), 6) AS p95, round(quantile_cont(weight, 0.99), 6) AS p99, round(max(weight), 6) AS most, round(least(quantile_cont(weight, 0.95), 20), 6) AS cap FROM wts GROUP BY lag"),
+    "survival_weights_5": A.sql(_WEIGHTS_5_SQL, "SELECT lag, count(*) AS n, round(quantile_cont(weight, 0.5), 6) AS median, round(quantile_cont(weight, 0.95), 6) AS p95, round(quantile_cont(weight, 0.99), 6) AS p99, round(max(weight), 6) AS most, round(least(quantile_cont(weight, 0.95), 20), 6) AS cap FROM wts GROUP BY lag"),
     "weighted_msd": A.sql(_WEIGHTS_SQL, """, c AS (SELECT *, least(weight, (SELECT least(quantile_cont(weight, 0.99), 20) FROM wts)) AS w FROM wts),
         z AS (SELECT ploidy, dose, lag, sum(w) AS sw, sum(w * w) AS sw2, sum(w * v) AS wv, sum(w * v * v) AS wv2, count(*) AS n FROM c GROUP BY ALL)
         SELECT ploidy, dose, lag, round(wv / sw, 3) AS mean, round(sqrt(greatest(wv2 / sw - power(wv / sw, 2), 0) / (sw * sw / sw2)), 3) AS se, round(sw * sw / sw2, 3) AS n_effective, n FROM z"""),
+    "weighted_msd_5": A.sql(_WEIGHTS_5_SQL, """, c AS (SELECT *, least(weight, (SELECT least(quantile_cont(weight, 0.99), 20) FROM wts)) AS w FROM wts),
+        z AS (SELECT ploidy, dose, lag, sum(w) AS sw, sum(w * w) AS sw2, sum(w * v) AS wv, sum(w * v * v) AS wv2, count(*) AS n FROM c GROUP BY ALL)
+        SELECT ploidy, dose, lag, round(wv / sw, 3) AS mean, round(sqrt(greatest(wv2 / sw - power(wv / sw, 2), 0) / (sw * sw / sw2)), 3) AS se, round(sw * sw / sw2, 3) AS n_effective, n FROM z"""),
     "drawn_censoring": A.sql(_PREDICTED_SQL, f""", d AS (SELECT *, CASE WHEN {_U.format("site_id::VARCHAR || ':' || track_id::VARCHAR || ':' || frame::VARCHAR")} < p THEN frame END AS e FROM pred),
         m AS (SELECT *, min(e) OVER (PARTITION BY site_id, track_id) AS m FROM d)
         SELECT site_id, track_id, count(*) AS n, max(frame) AS last_frame FROM m WHERE m IS NULL OR frame <= m GROUP BY ALL"""),

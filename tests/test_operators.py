@@ -143,6 +143,13 @@ def test_context_is_drawn_from_all_detections(spark, sf):
     assert all(r.ladder_level is not None for r in rows) and any(r.f % 3 for r in rows) and any(r.track_id % 4 == 0 for r in rows)
 
 
+def test_lags_reach_those_of_the_reference(spark, sf):
+    from cytoframe.plans import censoring, motility
+
+    for query, most in ((motility.windowed_msd_10, 10), (motility.acf_cosine_10, 10), (censoring.survival_weights_5, 5), (censoring.weighted_msd_5, 5)):
+        assert [r.lag for r in query(spark, sf).select("lag").distinct().orderBy("lag").collect()] == list(range(1, most + 1))
+
+
 def test_logistic_regression_finds_its_coefficients(spark):
     df = spark.range(20000).withColumn("a", S.unit_hash(F.col("id"), 1) * 2 - 1)
     df = df.withColumn("y", (S.unit_hash(F.col("id"), 2) < S.logistic(-0.5 + 1.5 * F.col("a"))).cast("int")).withColumn("g", F.col("id") % 7)
