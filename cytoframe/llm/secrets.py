@@ -22,9 +22,10 @@ CLASSES = {
     "base64": (re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}"), 24, 3.9),
 }
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Candidates that match one of these are no secrets: words joined by marks, UUIDs, dates, digits or letters alone.
+#: Parts that match one of these are no secrets: words between marks, words by their capitals, UUIDs, dates, digits or letters alone.
 ALLOW = (
-    re.compile(r"[A-Za-z]{1,19}(?:[-_/+=]+[A-Za-z]{1,19})*"),
+    re.compile(r"[-_/+=]*[A-Za-z]{1,19}(?:[-_/+=]+[A-Za-z]{1,19})*[-_/+=]*"),
+    re.compile(r"[a-z]*(?:[A-Z][a-z]{2,}|As|At|By|Id|If|In|Is|No|Of|On|Or|To)+"),
     re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
     re.compile(r"[0-9_/+=-]+"),
     re.compile(r"[A-Z]?[a-z]+|[A-Z]+"),
@@ -65,20 +66,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def outside(a: int, b: int, base: list[tuple[int, int, int]]):
+    """Parts of a to b that no base span covers; base is sorted by start."""
+    for s, _, e in base:
+        if s >= b:
+            break
+        if s > a:
+            yield a, s
+        a = max(a, e)
+    if a < b:
+        yield a, b
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of candidates with a window of high entropy in their class, outside base spans and the allow-list."""
     found = []
     for candidate in CANDIDATE.finditer(text):
-        a, b = candidate.span()
-        if any(s < b and a < e for s, _, e in base) or any(x.fullmatch(candidate[0]) for x in ALLOW):
-            continue
-        ends = []
-        for shape, window, bits in CLASSES.values():
-            for m in shape.finditer(candidate[0]):
-                if any(c.isdigit() for c in m[0]) and (got := high_entropy(m[0], window, bits)):
-                    ends.append((a + m.start() + got[0], a + m.start() + got[1]))
-        if ends:
-            found.append((min(x for x, _ in ends), 3, max(y for _, y in ends)))
+        for a, b in outside(*candidate.span(), base):
+            part = text[a:b]
+            if any(x.fullmatch(part) for x in ALLOW):
+                continue
+            ends = []
+            for shape, window, bits in CLASSES.values():
+                for m in shape.finditer(part):
+                    if got := high_entropy(m[0], window, bits):
+                        ends.append((a + m.start() + got[0], a + m.start() + got[1]))
+            if ends:
+                found.append((min(x for x, _ in ends), 3, max(y for _, y in ends)))
     return found
 
 
