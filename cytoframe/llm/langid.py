@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.llm._text import Texts, slices
@@ -108,8 +108,14 @@ def fit(x: np.ndarray, names: list[str], steps: int = 150, decay: float = 1e-4)
 
 
 def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Fits to at most max_rows rows outside the held-out third with a lang and a text, the first by a hash of doc_id."""
-    some = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_rows)
+    """Fits to at most max_rows rows outside the held-out third with a lang and a text.
+
+    Languages share the rows evenly, each with its first by a hash of doc_id; what a rare one leaves goes
+    to the others, so no language is lost to those with more rows.
+    """
+    known = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = known.withColumn("_place", place).where(F.col("_place") <= max_rows).orderBy("_place", F.xxhash64("doc_id"), "doc_id", "lang").limit(max_rows).drop("_place")
     picked = F.broadcast(some.distinct().withColumnRenamed("lang", "_lang"))  # at most max_rows narrow rows
 
     def extract(batches):

@@ -325,6 +325,15 @@ def test_quality_on_held_out_rows(spark, sf):
     assert quality.train(docs, labels.where("false")).shift == 0.0
 
 
+def test_rare_language_keeps_its_training_rows(spark):
+    rows = [(i, "the old house by the river", "en") for i in range(600)] + [(1000 + i, "żółta łódź płynie wśród trzcin", "pl") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_rows=20)
+    assert model.names == ["en", "pl"]
+    got = {r.doc_id: r.lang_pred for r in langid.predict_language(docs, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+
+
 def test_language_on_held_out_rows(spark, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs)
