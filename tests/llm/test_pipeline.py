@@ -28,3 +28,14 @@ def test_stages_on_odd_rows(spark, sf):
     assert sorted(r.doc_id or 0 for r in near.collect()) == [0, 1, 2, 3]
     assert P.decontamination_stage(spark, docs, sf).count() == 5 and P.secrets_stage(spark, docs, sf).count() == 5
     assert P.packing_stage(spark, docs.where("false"), sf).count() == 0
+
+
+def test_run_writes_and_rereads_each_stage(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "shared_dir", lambda spark: str(tmp_path), raising=False)
+    got = P.run(spark, sf)
+    tables = {p.name: p for p in tmp_path.glob("pipeline-*/*")}
+    assert set(tables) == {name for name, _ in P.STAGES} and all((p / "_SUCCESS").exists() for p in tables.values())
+    rows = {name: spark.read.parquet(str(p)) for name, p in tables.items()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert docs.count() > rows["quality"].count() > rows["near_duplicates"].count() >= rows["decontamination"].count() == rows["secrets"].count()
+    assert got.count() == rows["packing"].count() > 0
