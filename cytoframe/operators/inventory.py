@@ -172,10 +172,31 @@ def tracking_score(status: str = "origin", stacks: str = "n_stacks") -> Column:
     return _stepped(F.col("n_timepoints"), (5, 5), (2, 3), (1, 1)) + _stepped(n["wells"], (2, 2), (1, 1)) + _points((F.col("n_images") > 0, 1), (n["fields"] >= 2, 1), (n["channels"] > 0, 1), (n["cell_lines"] > 0, 1), (F.col(stacks) > 0, 2), (F.col(status) == "derived", -2))
 
 
-def scored(names: DataFrame, min_names: int = 1) -> DataFrame:
-    """Profiles of directories that aren't excluded and have min_names names, with both scores."""
+STACK_LISTS = ("stack_kinds", "stack_pages", "stack_shapes", "stack_examples", "stack_errors")
+
+
+def stack_profiles(probed: DataFrame) -> DataFrame:
+    """Rows of probe_tiffs by directory: n_stacks, the files with a stack kind, and sorted lists of what they show."""
+    stack = F.coalesce(F.col("kind"), F.lit("")) != ""
+    cut = F.element_at(F.split("path", "/"), -1)
+    text = {"stack_kinds": F.col("kind"), "stack_pages": F.col("pages").cast("string"), "stack_shapes": F.concat_ws("x", F.col("height").cast("string"), F.col("width").cast("string")), "stack_examples": cut}
+    lists = [F.array_sort(F.collect_set(F.when(stack, c))).alias(n) for n, c in text.items()]
+    return probed.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.count_if(stack).cast("int").alias("n_stacks"), *lists, F.array_sort(F.collect_set("error")).alias("stack_errors"))
+
+
+def scored(names: DataFrame, min_names: int = 1, stacks: DataFrame | None = None) -> DataFrame:
+    """Profiles of directories that aren't excluded and have min_names names, with both scores.
+
+    stacks: rows of stack_profiles with the paths of names; without them, or without a path's row, it has no stacks.
+    """
     rows = profiles(names.where(~excluded())).where(F.col("n_names") >= min_names)
-    rows = rows.withColumns({"origin": origin_status(), "cell_lines": cell_lines(), "context": path_context(), "n_stacks": F.lit(0), "spacing": time_spacing()})
+    none = F.array().cast("array<string>")
+    if stacks is None:
+        rows = rows.withColumns({"n_stacks": F.lit(0), **{c: none for c in STACK_LISTS}})
+    else:
+        rows = rows.join(stacks.select("path", "n_stacks", *STACK_LISTS), "path", "left")
+        rows = rows.withColumns({"n_stacks": F.coalesce("n_stacks", F.lit(0)), **{c: F.coalesce(F.col(c), none) for c in STACK_LISTS}})
+    rows = rows.withColumns({"origin": origin_status(), "cell_lines": cell_lines(), "context": path_context(), "spacing": time_spacing()})
     return rows.withColumns({"z_score": z_score(), "tracking_score": tracking_score()})
 
 
@@ -364,5 +385,6 @@ def candidate_rows(rows: DataFrame, score: str, example_limit: int = 8) -> DataF
         F.col("n_timepoints").alias("distinct_timepoints"), F.col("spacing.least").alias("min_time_spacing_minutes"), F.col("spacing.upper_median").alias("median_time_spacing_minutes"), F.col("spacing.unit").alias("time_spacing_unit"),
         compact(F.col("channels")).alias("channels"), (F.size("channels") >= 2).cast("int").alias("has_multiple_channels"), coverage_text().alias("channel_z_or_plane_coverage"), F.array_join("cell_lines", "; ").alias("cell_line_hits"),
         F.array_join("context", " / ").alias("path_context"), compact(F.col("z_values")).alias("z_values"), compact(F.array_sort(F.concat(F.col("t_values"), F.transform("elapsed_minutes", lambda v: v.cast("string")), F.col("acquired_at")))).alias("time_values"),
-        F.array_join(F.slice("image_names", 1, example_limit), "; ").alias("examples"),
+        F.col("n_stacks").alias("stack_tiff_count_sampled"), *[compact(F.col(f"stack_{c}")).alias(f"stack_tiff_{c.removesuffix('s') if c == 'kinds' else c}") for c in ("kinds", "pages", "shapes")],
+        F.array_join(F.slice("image_names", 1, example_limit), "; ").alias("examples"), F.array_join(F.slice("stack_examples", 1, example_limit), "; ").alias("stack_tiff_examples"), F.array_join("stack_errors", "; ").alias("stack_tiff_errors"),
     )

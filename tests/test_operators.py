@@ -92,6 +92,17 @@ def test_names_and_cell_lines(spark):
     assert r.cell_lines == ["SNU-668"] and r.n_images == 3 and r.wells == ["A1", "B2"]
 
 
+def test_stack_files_decide_the_cut(spark):
+    names = spark.createDataFrame([("/d/plain", "a.tif"), ("/d/other", "b.tif")], "path string, name string")
+    kinds = "path string, kind string, pages long, height long, width long, error string"
+    probed = spark.createDataFrame([("/d/plain/a.tif", "ome_z_or_t_stack", 9, 64, 32, None), ("/d/plain/c.tif", "", 1, 8, 8, None), ("/d/other/b.tif", None, None, None, None, "ValueError")], kinds)
+    rows = {r.path: r for r in I.candidate_rows(I.scored(names, stacks=I.stack_profiles(probed)), "z_score").collect()}
+    r = rows["/d/plain"]
+    assert (r.score, r.stack_tiff_count_sampled, r.stack_tiff_kind, r.stack_tiff_pages, r.stack_tiff_shapes, r.stack_tiff_examples) == (5, 1, "ome_z_or_t_stack", "9", "64x32", "a.tif")
+    assert (rows["/d/other"].score, rows["/d/other"].stack_tiff_count_sampled, rows["/d/other"].stack_tiff_errors) == (1, 0, "ValueError")
+    assert I.scored(names).where("z_score >= 4").count() == 0
+
+
 def test_likelihood_of_two_points_is_a_normal_density():
     y, dt, real = W.padded([[0, 1]], [[0.0, 1.0]], [[0.0, 0.0]], 2.0)
     tau, v, s = 3.0, 1.5, 0.4
