@@ -13,23 +13,23 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.llm._session import durable
-from cytoframe.llm._text import Texts, Words, byte_values, prefix_hash, slices, spans_hash
+from cytoframe.llm._text import slices
 
 LENGTH, END_ID = 2048, 1
 #: Combinations listed for each longest length, and steps of the solver.
 FILLS, STEPS = 12, 400
-#: Units of text whose ids a worker keeps.
-KNOWN_UNITS = 2_000_000
+#: Bytes of parts and ids that a task keeps at most, but for those of one slice; bytes of texts in a slice, one text at least.
+CACHE_BYTES, SLICE_BYTES = 128 << 20, 8 << 20
 
 
 def combinations(histogram: np.ndarray, window: int, fills: int = FILLS) -> np.ndarray:
@@ -143,112 +143,120 @@ class Placement:
         return self.base[at] + rank - self.rank[at], self.offset[at]
 
 
-#: Words of Latin letters alone, which a tokenizer that splits letters from the rest can encode many at a time.
-LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_GAPS = np.zeros(256, bool)
-_GAPS[[9, 10, 13, 32]] = True
-_MARKS = np.zeros(256, bool)
-_MARKS[list(b".,;:!?|")] = True
-_ALNUM = np.zeros(256, bool)
-_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+#: Units made of these alone may be cut into runs of letters, digits and the rest: none of them joins
+#: its neighbours on the way to ids. Apostrophes and angle brackets, which may, are missing.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(rf"[{_LETTERS}0-9!-&(-;=?-@\[-`{{-~]*")
+_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|\n|[^{_LETTERS}0-9\n]+")
+_WORD = re.compile(rf"[{_LETTERS}]+")
+#: Stands for the end of a unit among ids.
+_CUT = 0xFFFFFFFF
+
+
+@lru_cache(2)
+def _parsed(tokenizer_json: str):
+    """The tokenizer; one for lines of words of letters, which spaces alone part; and which ids end a word.
+
+    The second lacks the pattern that parts letters from the rest. It must agree with the first on a
+    line of the vocabulary's words, else the first takes its place. Nothing here learns from texts.
+    """
+    from tokenizers import Tokenizer
+
+    full, rules = Tokenizer.from_str(tokenizer_json), json.loads(tokenizer_json)
+    vocabulary, suffix = rules["model"]["vocab"], rules["model"].get("end_of_word_suffix")
+    ends = np.zeros(max(full.get_vocab().values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+    normal, split = (rules.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    if normal.get("type") != "Sequence" or split.get("type") != "Sequence":
+        return full, full, ends
+    normal["normalizers"] = [x for x in normal["normalizers"] if x["type"] == "Lowercase"]
+    split["pretokenizers"] = [x if x["type"] != "Split" else {"type": "WhitespaceSplit"} for x in split["pretokenizers"]]
+    light = Tokenizer.from_str(json.dumps(rules))
+    words = [w for t in list(vocabulary)[:: 1 + len(vocabulary) // 2000] if _WORD.fullmatch(w := t.removesuffix(suffix or ""))]
+    line = " ".join([*words, *map("".join, zip(words, words[::-1])), "\u00c9a", "\u00e7\u00e0", "\u00dcber", "\u00ff"])
+    same = light.encode(line, add_special_tokens=False).ids == full.encode(line, add_special_tokens=False).ids
+    return full, light if same else full, ends
 
 
 class Encoder:
-    """Ids of texts, with the units that a worker has seen kept over its tasks."""
+    """Ids of texts. Within a task it keeps the ids of the parts of units that it has seen, up to a bound in bytes.
 
-    def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
+    Units are told apart by a dictionary encoding of the strings themselves, parts by a dictionary.
+    """
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, i in vocabulary.items():
-            self.ends[i] = bool(suffix) and token.endswith(suffix)
+    def __init__(self, tokenizer_json: str, most: int = CACHE_BYTES):
+        self.tokenizer, self.by_space, self.ends = _parsed(tokenizer_json)
+        self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.parts: dict[str, bytes] = {"\n": _CUT.to_bytes(4, "little")}
+        self.kept = 0
 
-    def strings(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def strings(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
+    def words(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters, many in one call: the token that ends a word shows where to cut."""
-        out: list[np.ndarray] = []
+        out: list[bytes] = []
         groups = [words[i : i + 64] for i in range(0, len(words), 64)]
-        for group, ids in zip(groups, self.strings([" ".join(g) for g in groups])):
+        for group, found in zip(groups, self.by_space.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            out += np.split(ids, cuts[:-1]) if len(cuts) == len(group) and cuts[-1] == len(ids) else self.strings(group)
+            if len(cuts) == len(group) and cuts[-1] == len(ids):
+                data, cuts = ids.tobytes(), (4 * cuts).tolist()
+                out += [data[a:b] for a, b in zip([0, *cuts], cuts)]
+            else:
+                out += self.strings(group)
         return out
 
-    def learn(self, keys: np.ndarray, units: list[str]) -> None:
-        """Adds units under ascending keys that are not known."""
-        ids: list = [None] * len(units)
-        latin = np.array([LATIN.fullmatch(u) is not None for u in units])
-        plain, rest = np.flatnonzero(latin), np.flatnonzero(~latin)
-        for some, got in ((plain, self.words([units[k] for k in plain])), (rest, self.strings([units[k] for k in rest]))):
-            for k, x in zip(some, got):
-                ids[k] = x
-        size = np.array([len(x) for x in ids], np.int64)
-        total = int(size.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
-        self.flat[self.used : self.used + total] = np.concatenate(ids)
-        place = np.searchsorted(self.known, keys)
-        self.known, self.size = np.insert(self.known, place, keys), np.insert(self.size, place, size)
-        self.at = np.insert(self.at, place, self.used + np.cumsum(size) - size)
-        self.used += total
-
-    def whole(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    def of_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units in a row, and where each unit's begin: plain units from the ids of their parts, the others as they are."""
+        if self.kept > self.most:
+            self.forget()
+        odd = [k for k, u in enumerate(units) if not _PLAIN.fullmatch(u)]
+        whole = [units[k] for k in odd]
+        for k in odd:
+            units[k] = ""
+        every = _PARTS.findall("\n".join(units) + "\n")
+        parts = set(every).difference(self.parts)
+        words = list(filter(_WORD.fullmatch, parts))
+        rest = list(parts.difference(words))
+        for some, ids in ((words, self.words(words)), (rest, self.strings(rest))):
+            self.parts.update(zip(some, ids))
+            self.kept += sum(map(len, ids)) + 150 * len(some)  # two small objects and their place
+        ids = np.frombuffer(b"".join(map(self.parts.__getitem__, every)), "<u4")
+        ends = np.flatnonzero(ids == _CUT)
+        size = np.diff(ends, prepend=-1) - 1
+        ids = np.delete(ids, ends)
+        if odd:
+            at = np.cumsum(size)[odd]
+            more = [np.frombuffer(x, "<u4") for x in self.strings(whole)]
+            size[odd] = [len(x) for x in more]
+            ids = np.insert(ids, np.repeat(at, size[odd]), np.concatenate(more))
+        return ids, np.append(0, np.cumsum(size))
+
+    def whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin."""
-        ids = self.strings([texts.raw(i).decode("utf-8", "replace") for i in range(texts.n)])
-        return np.concatenate(ids or [np.zeros(0, np.uint32)]), np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
+        ids = [np.frombuffer(x, "<u4") for x in self.strings([t or "" for t in texts.to_pylist()])]
+        return np.concatenate(ids or [np.zeros(0, "<u4")]), np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int64)
 
-    def chunked(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """As whole(), by units: chunks between spaces, tabs and line ends, without the marks after a letter or digit, and those marks.
+    def chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As whole(), by units: what stands between ASCII white space, each kind of unit encoded once.
 
-        Right for tokenizers that fold case, drop white space, part letters and digits from marks and
-        treat a unit alike anywhere. Units are known by a 64-bit hash of their folded bytes.
+        Right for tokenizers that fold case, drop white space, part letters, single digits and marks
+        from each other, and treat a unit alike anywhere.
         """
-        words = Words(texts, _GAPS)
-        if not len(words.start):
-            return np.zeros(0, np.uint32), np.zeros(texts.n + 1, np.int64)
-        here = np.arange(len(texts.bytes))
-        other = np.maximum.accumulate(np.where(_MARKS[texts.bytes], -1, here))
-        last = other[words.end - 1]
-        byte = texts.bytes[np.maximum(last, 0)]
-        latin = (byte >= 0x80) & (texts.bytes[np.maximum(last - 1, 0)] == 0xC3) & (byte != 0x97) & (byte != 0xB7) & (last - 1 >= words.start)
-        parted = (last >= words.start) & (last < words.end - 1) & (_ALNUM[byte] | latin)
-        middle = np.where(parted, last + 1, words.end)
-        start = np.stack([words.start, middle], 1).ravel()
-        end = np.stack([middle, words.end], 1).ravel()
-        real = end > start
-        start, end = start[real], end[real]
-        keys, first, unit = np.unique(spans_hash(prefix_hash(byte_values(True)[texts.bytes]), start, end), return_index=True, return_inverse=True)
-        if len(self.known) > KNOWN_UNITS:
-            self.forget()
-        at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
-        new = np.flatnonzero(self.known[at] != keys) if len(self.known) else np.arange(len(keys))
-        if len(new):
-            data = texts.bytes.tobytes()
-            self.learn(keys[new], [data[a:b].decode("utf-8", "replace") for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-            at = np.searchsorted(self.known, keys)
-        size = self.size[at][unit]
-        ends = np.cumsum(size)
-        source = np.repeat(self.at[at][unit] - (ends - size), size) + np.arange(int(ends[-1]))
-        bounds = np.append(0, ends)[np.searchsorted(start, texts.offsets)]
-        return self.flat[source], bounds
-
-
-def _encoder(tokenizer_json: str) -> Encoder:
-    """The worker's encoder of this tokenizer, made once: Python workers outlive their tasks."""
-    home = sys.modules.setdefault("_packing_encoders", types.ModuleType("_packing_encoders"))
-    name = f"e{zlib.crc32(tokenizer_json.encode())}"
-    if not hasattr(home, name):
-        setattr(home, name, Encoder(tokenizer_json))
-    return getattr(home, name)
+        texts = pc.fill_null(texts, "")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # special tokens are spelt in one case
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        ids, at = self.of_units(coded.dictionary.to_pylist())
+        unit = coded.indices.to_numpy()
+        size = np.diff(at)[unit]
+        ends = np.append(0, np.cumsum(size))
+        source = np.repeat(at[unit] - ends[:-1], size) + np.arange(ends[-1])
+        return ids[source], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_json: str, window: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, chunked: bool = False) -> DataFrame:
@@ -265,16 +273,16 @@ def cut_pieces(docs: DataFrame, tokenizer_json: str, window: int = LENGTH, end_i
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = _encoder(tokenizer_json)
+        encoder = Encoder(tokenizer_json)
         encode = encoder.chunked if chunked else encoder.whole
         seen: dict[int, int] = {}
         last = int(end_id).to_bytes(4, "little")
         for big in batches:
-            for batch in slices(big, "text"):
+            for batch in slices(big, "text", SLICE_BYTES):
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"] + ["ids"] * with_ids
                 rows = {n: [] for n in names}
-                ids, bounds = encode(Texts(batch.column("text")))
-                data = ids.astype("<u4").tobytes()
+                ids, bounds = encode(batch.column("text"))
+                data = ids.tobytes()
                 for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                     ids = data[4 * a : 4 * b] + last
                     n = len(ids) // 4
