@@ -126,14 +126,3 @@ def shared_keys(table):
     both[1:] |= same
     both[:-1] |= same
     return replies(blocks[both], keys[both], [])
-
-
-def least_value(table):
-    """Reducer of a range: tells a block of a key whose value is less in another block, and that value."""
-    blocks, (keys, values) = gather(table, 1)
-    order = np.lexsort((values, keys))
-    blocks, keys, values = blocks[order], keys[order], values[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    least = np.repeat(values[first], np.diff(np.append(first, len(keys))))
-    less = least < values
-    return replies(blocks[less], keys[less], [least[less]])

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import sys
-import types
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +28,16 @@ def byte_values(fold_case: bool, seed: int = 1) -> np.ndarray:
     return values
 
 
+@lru_cache(8)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of base; a worker keeps them for its next batch, outside what is sent to executors."""
-    kept = sys.modules.setdefault("_kept_powers", types.ModuleType("_kept_powers")).__dict__
-    name = f"p{base}"
-    if name not in kept or len(kept[name]) < n:
-        out = np.full(max(n, 1 << 16) * 5 // 4, base, U)
-        out[0] = 1
-        kept[name] = np.multiply.accumulate(out)
-    return kept[name][:n]
+    """The first n powers of base modulo 2**64."""
+    return _powers(base, 1 << max(16, (max(n, 1) - 1).bit_length()))[:n]
 
 
 BASE = 0x5851F42D4C957F2D
@@ -45,24 +45,110 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Polynomial prefix hashes: out[j] - out[i] stands for values[i:j], up to the factor BASE**i."""
+    """Polynomial prefix hashes modulo 2**64: out[j] - out[i] stands for values[i:j], up to the factor BASE**i.
+
+    They are quick but weak: there are texts that collide under every base. They may choose anchors
+    and guide a search; what they call equal must be checked.
+    """
     out = np.zeros(len(values) + 1, U)
     np.cumsum(values * powers(BASE, len(values)), out=out[1:])
     return out
 
 
-def spans_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each pair, the same wherever the values stand."""
-    back = powers(INVERSE, len(prefix))
-    return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
-
-
 def rolling_hash(prefix: np.ndarray, size: int) -> np.ndarray:
-    """spans_hash of every run of size values, in order."""
+    """Hash of every run of size values, in order, the same wherever it stands."""
     n = len(prefix) - size
     return mix((prefix[size:] - prefix[:n]) * powers(INVERSE, n) + U(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
+#: The modulus of word hashes, and for each of two lanes a random base and an odd factor.
+PRIME = (1 << 61) - 1
+LANES = ((0x1B6F3A94D2C85E17, 0xD1B54A32D192ED03), (0x0C92E7715FA3D48B, 0x8CB92BA72F3D8DD7))
+#: Letters of a word that one polynomial takes; longer words add up their parts.
+PART, STEP = 1 << 12, 1 << 14
+_LOW = U((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo PRIME."""
+    x = (x & U(PRIME)) + (x >> U(61))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+@lru_cache(4)
+def _split_powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """High 30 and low 31 bits of the powers of a base modulo PRIME, a table of PART constants."""
+    every, now = [], 1
+    for _ in range(PART):
+        every.append(now)
+        now = now * base % PRIME
+    every = np.array(every, U)
+    return every >> U(31), every & _LOW
+
+
+def polynomials(values: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, bases: tuple[int, ...]) -> list[np.ndarray]:
+    """Polynomial hashes modulo PRIME, one a base, of each data[start:end], not empty, with a value of 1 to 256 for each byte.
+
+    Two words collide for fewer than as many bases as they have letters, of 2**61.
+    """
+    size = end - start
+    if len(size) and size.max() > PART:
+        parts = -(-size // PART)
+        first = np.cumsum(parts) - parts
+        owner = np.repeat(np.arange(len(size)), parts)
+        begin = start[owner] + (np.arange(len(owner)) - first[owner]) * PART
+        cut = polynomials(values, data, begin, np.minimum(begin + PART, end[owner]), bases)
+        out = [x[first] for x in cut]
+        for k in np.flatnonzero(parts > 1):
+            for base, x, own in zip(bases, cut, out):
+                step, total = pow(base, PART, PRIME), 0
+                for part in x[first[k] : first[k] + parts[k]][::-1].tolist():
+                    total = (total * step + part) % PRIME
+                own[k] = total
+        return out
+    out, ends, at = [np.zeros(len(size), U) for _ in bases], np.cumsum(size), 0
+    while at < len(size):  # about STEP bytes at a time, which stay in a core's cache
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, "right")))
+        own = size[at:stop]
+        first = np.cumsum(own) - own
+        place = np.arange(int(own.sum())) - np.repeat(first, own)
+        v = values.take(data.take(place + np.repeat(start[at:stop], own)))
+        for base, x in zip(bases, out):
+            high, low = _split_powers(base)
+            h, l = np.add.reduceat(high.take(place) * v, first), np.add.reduceat(low.take(place) * v, first)
+            h = _reduced(h)
+            x[at:stop] = _reduced(((h << U(31)) & U(PRIME)) + (h >> U(30)) + _reduced(l))  # h times 2**31, and l
+        at = stop
+    return out
+
+
+#: Values of bytes, from 1; with letters A-Z as a-z in the second row.
+_BYTES = np.tile(np.arange(1, 257, dtype=U), (2, 1))
+_BYTES[1, 65:91] = _BYTES[1, 97:123]
+
+
+def join(left: np.ndarray, right: np.ndarray, factor: int) -> np.ndarray:
+    """Hash of a run from the hashes of its two parts; not linear, so no pattern of words cancels out."""
+    return mix(left * U(factor) + right)
+
+
+def window_hashes(words: np.ndarray, size: int, lane: int = 0) -> np.ndarray:
+    """Hash of every `size` words in a row, given the words' hashes, from runs of 1, 2, 4 and so on."""
+    factor, n = LANES[lane][1], len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    run, width, out, done = words, 1, None, 0
+    while True:
+        if size & width:
+            part = run[done : done + n]
+            out = part if out is None else join(out, part, factor)
+            done += width
+        if (width := 2 * width) > size:
+            break
+        run = join(run[: len(run) - width // 2], run[width // 2 :], factor)
+    return mix(out + U(size))
+
+
 class Texts:
     """A batch of texts as one byte buffer; null counts as empty."""
 
@@ -117,7 +203,12 @@ class Words:
         self.first = np.searchsorted(self.start, bounds)
 
     def hashes(self, texts: Texts, fold_case: bool = False) -> np.ndarray:
-        return spans_hash(prefix_hash(byte_values(fold_case)[texts.bytes]), self.start, self.end)
+        return self.lanes(texts, 1, fold_case)[0]
+
+    def lanes(self, texts: Texts, lanes: int, fold_case: bool = False) -> list[np.ndarray]:
+        """Independent 64-bit hashes of the words, one array a lane."""
+        bases = tuple(base for base, _ in LANES[:lanes])
+        return [mix(x) for x in polynomials(_BYTES[int(fold_case)], texts.bytes, self.start, self.end, bases)]
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cytoframe.llm import _blocks as B
 from cytoframe.llm._graph import components, least_reached
 from cytoframe.llm._session import durable, partitions
-from cytoframe.llm._text import Texts, Words, mix, prefix_hash, spans_hash
+from cytoframe.llm._text import Texts, Words, mix, window_hashes
 
 U = np.uint64
 SHINGLE, PERCENT = 5, 80
@@ -31,20 +31,21 @@ ORDERS = 3
 #: Sets of a group that meet at once, tokens compared in one step, and about how many rows go to a task.
 CHUNK, COLUMNS, ROWS_PER_TASK = 512, 4096, 4096
 KEYS_PER_BYTE, RANGE_BYTES = 0.2, 16 << 20
-#: Bits of a token left out when sets travel to be compared: 48 stay, a collision in two sets of 1,000 being one in 10**8.
-SENT = U(16)
 SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, lead boolean, masks array<binary>, tokens binary"
 
 
 def shingle_sets(texts: Texts, size: int) -> list[np.ndarray]:
     """Ascending distinct hashes of each text's shingles; fewer words than size are one shingle."""
     words = Words(texts)
-    prefix = prefix_hash(words.hashes(texts, fold_case=True))
+    folded = words.hashes(texts, fold_case=True)
     starts = words.windows(size)
-    hashes = spans_hash(prefix, starts, starts + size)
+    hashes = window_hashes(folded, size)[starts]
     cuts = np.searchsorted(starts, words.first)
-    short = np.flatnonzero((np.diff(words.first) > 0) & (np.diff(words.first) < size))
-    whole = dict(zip(short.tolist(), spans_hash(prefix, words.first[short], words.first[short + 1])))
+    counts = np.diff(words.first)
+    whole: dict[int, np.uint64] = {}
+    for n in np.unique(counts[(counts > 0) & (counts < size)]).tolist():
+        own = np.flatnonzero(counts == n)
+        whole |= zip(own.tolist(), window_hashes(folded, n)[words.first[own]])
     return [np.array([whole[i]], U) if i in whole else np.unique(hashes[cuts[i] : cuts[i + 1]]) for i in range(texts.n)]
 
 
@@ -118,7 +119,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> Data
                     head[order[: prefix_size(len(s), percent)]] = True
                 heads = [h[shared] for h in heads]
                 if all(h.any() for h in heads):
-                    row = ([np.packbits(h).tobytes() for h in heads], B.pack(s[shared] >> SENT))
+                    row = ([np.packbits(h).tobytes() for h in heads], B.pack(s[shared]))
             masks.append(row[0])
             tokens.append(row[1])
         d1, d2, n = (np.array(x, np.int64) for x in zip(*marks))

@@ -3,11 +3,12 @@
 Every window of LENGTH bytes has an anchor, the least of its grams of GRAM bytes by hash, leftmost
 among equals; equal windows have equal anchors at equal places. Consecutive windows with one anchor
 form a segment, about one a GRAM bytes of text. Segments whose anchor occurs nowhere else hold no
-repeat. The others meet by anchor hash: their suffixes are grouped by anchor and by where the window
-starts from it, and each group is sorted by mergesort, where two suffixes are compared by a binary
-search for their longest common extension over prefix polynomial hashes. Neighbours with a common
-extension of LENGTH are equal once their bytes are. The first of equals in the order of (doc_id,
-start) stays.
+repeat. The others meet by anchor hash: first segments of one shape, then the windows of what is left,
+grouped by anchor and by where they start from it, are sorted by mergesort, where two strings are
+compared by a binary search for their longest common extension over prefix polynomial hashes. Every
+pair of neighbours is then compared byte by byte: those that are equal are one class, and a group
+whose order a collision has spoilt is sorted again by its bytes, so hashes decide nothing. The first
+of equals in the order of (doc_id, start) stays.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cytoframe.llm import _blocks as B
-from cytoframe.llm._text import INVERSE, Texts, byte_values, mix, powers, prefix_hash, rolling_hash, spans_hash
+from cytoframe.llm._text import INVERSE, Texts, byte_values, mix, powers, prefix_hash, rolling_hash
 
 U = np.uint64
 LENGTH, GRAM = 100, 24
@@ -37,13 +38,13 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Segments:
-    """Runs of window starts with one anchor: start, count, anchor place, key and content hash of each, in order."""
+    """Runs of window starts with one anchor: start, count, place of the anchor from the start, and key of each, in order."""
 
     def __init__(self, texts: Texts, length: int, gram: int, bits: int):
         prefix = prefix_hash(byte_values(False)[texts.bytes])
         n = len(texts.bytes)
-        self.start = self.count = self.place = np.zeros(0, np.int64)
-        self.key = self.content = np.zeros(0, U)
+        self.start = self.count = self.rel = np.zeros(0, np.int64)
+        self.key = np.zeros(0, U)
         if n >= length:
             grams = rolling_hash(prefix, gram)
             mask = U((1 << PLACE_BITS) - 1)
@@ -54,44 +55,35 @@ class Segments:
             cuts = np.flatnonzero(np.diff(anchor, prepend=-2))
             ends = np.append(cuts[1:], len(anchor))
             real = anchor[cuts] >= 0
-            self.start, self.count, self.place = cuts[real], (ends - cuts)[real], anchor[cuts][real]
-            self.key = mix(grams[self.place]) >> U(64 - bits)  # least hashes are small; mixed, they spread over ranges
-            self.content = spans_hash(prefix, self.start, self.start + self.count - 1 + length) + (self.place - self.start).astype(U) * U(0x9E3779B97F4A7C15)
+            place = anchor[cuts][real]
+            self.start, self.count, self.rel = cuts[real], (ends - cuts)[real], place - cuts[real]
+            self.key = mix(grams[place]) >> U(64 - bits)  # least hashes are small; mixed, they spread over ranges
         self.text = np.searchsorted(texts.offsets, self.start, "right") - 1
         while (empty := texts.offsets[self.text + 1] <= self.start).any():  # empty texts share an offset
             self.text[empty] += 1
 
 
-def firsts(key, content, doc, pos):
-    """Order by (key, content, doc, pos) and, for each entry, the entry that comes first of its key and content."""
-    order = np.lexsort((pos, doc, content, key))
-    k, c = key[order], content[order]
-    head = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(k) else np.zeros(0, bool)
-    first = np.empty(len(key), np.int64)
-    first[order] = order[head][np.cumsum(head) - 1]
-    return first
-
-
 def later(doc, pos, first):
     """Whether an entry stands strictly after the first of its kind."""
     return (doc > doc[first]) | ((doc == doc[first]) & (pos > pos[first]))
 
 
 class Suffixes:
-    """Suffixes of a byte buffer, compared over `depth` bytes by hashes."""
+    """Strings in a byte buffer, given by start and depth, compared by hashes and checked by bytes."""
 
-    def __init__(self, data: np.ndarray, depth: int):
-        self.data, self.depth = data, depth
+    def __init__(self, data: np.ndarray):
+        self.data = data
         self.prefix, self.back = prefix_hash(byte_values(False)[data]), powers(INVERSE, len(data) + 1)
+        self.eight = np.ndarray(max(len(data) - 7, 0), ">u8", np.ascontiguousarray(data), strides=(1,))
 
     def hashed(self, at, size):
         return (self.prefix[at + size] - self.prefix[at]) * self.back[at]
 
-    def common(self, a, b):
+    def common(self, a, b, depth):
         """Longest common extension up to depth, by binary search."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.depth)
+        low, high = np.zeros(len(a), np.int64), depth.copy()
         whole = self.hashed(a, high) == self.hashed(b, high)
-        low[whole] = self.depth
+        low[whole] = depth[whole]
         open_ = np.flatnonzero(~whole)
         high[open_] -= 1
         while len(open_):
@@ -103,24 +95,28 @@ class Suffixes:
             open_ = open_[low[open_] < high[open_]]
         return low
 
-    def before(self, a, b, or_equal):
-        """Whether suffix a sorts before b; or_equal says what equals give."""
-        size = self.common(a, b)
+    def before(self, a, b, depth, or_equal):
+        """Whether the string at a sorts before that at b; or_equal says what equals give."""
+        size = self.common(a, b, depth)
         out = or_equal.copy()
-        some = np.flatnonzero(size < self.depth)
+        some = np.flatnonzero(size < depth)
         out[some] = self.data[a[some] + size[some]] < self.data[b[some] + size[some]]
         return out
 
-    def same(self, a, b):
-        """Whether depth bytes at a and b are equal, byte by byte."""
-        out = np.ones(len(a), bool)
-        for at in range(0, len(a), 1 << 16):
-            x, y = (v[at : at + (1 << 16), None] + np.arange(self.depth) for v in (a, b))
-            out[at : at + (1 << 16)] = (self.data[x] == self.data[y]).all(1)
+    def compared(self, a, b, depth):
+        """-1, 0 or 1 as the bytes at a are less than, equal to or more than those at b; depth is 8 at least."""
+        out = np.zeros(len(a), np.int8)
+        for at in range(0, len(a), 1 << 14):
+            x, y, d = (v[at : at + (1 << 14)] for v in (a, b, depth))
+            place = np.minimum(8 * np.arange(-(-int(d.max()) // 8)), d[:, None] - 8)
+            left, right = self.eight[x[:, None] + place], self.eight[y[:, None] + place]
+            rows, first = np.arange(len(x)), (left != right).argmax(1)
+            left, right = left[rows, first], right[rows, first]
+            out[at : at + (1 << 14)] = (left > right).astype(np.int8) - (left < right)
         return out
 
-    def sort(self, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of the suffixes by group, then as strings: a mergesort of all groups at once.
+    def merged(self, starts: np.ndarray, group: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Order of the strings by group, then as strings: a mergesort of all groups at once. Depths are alike within a group.
 
         In each pass an element's new place is its place in its own run plus the number of elements
         of the neighbouring run that go before it, found by binary search.
@@ -137,12 +133,12 @@ class Suffixes:
             low = np.where(right, own - width, own + width)
             high = np.minimum(low + width, total[at])
             low = np.minimum(low, high)
-            begin, mine = low.copy(), starts[order[at]]
+            begin, mine, deep = low.copy(), starts[order[at]], depth[order[at]]
             open_ = np.flatnonzero(low < high)
             while len(open_):
                 middle = (low[open_] + high[open_]) // 2
                 other = starts[order[base[at[open_]] + middle]]
-                goes = self.before(other, mine[open_], right[open_])  # a run's equals stay behind those on its left
+                goes = self.before(other, mine[open_], deep[open_], right[open_])  # a run's equals stay behind those on its left
                 low[open_] = np.where(goes, middle + 1, low[open_])
                 high[open_] = np.where(goes, high[open_], middle)
                 open_ = open_[low[open_] < high[open_]]
@@ -153,6 +149,57 @@ class Suffixes:
             width *= 2
         return order
 
+    def sort(self, starts: np.ndarray, group: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order by group and string, and for each but the first whether it equals its predecessor, both as the bytes have it."""
+        order = self.merged(starts, group, depth)
+        near = np.flatnonzero(group[order[1:]] == group[order[:-1]])
+        for again in (True, False):
+            a, b = order[near], order[near + 1]
+            sign = self.compared(starts[a], starts[b], depth[a])
+            spoilt = np.unique(group[a[sign > 0]])
+            if not again or not len(spoilt):
+                break
+            for g in spoilt:  # a collision of hashes
+                own = np.flatnonzero(group[order] == g)
+                order[own] = sorted(order[own], key=lambda k: self.data[starts[k] : starts[k] + depth[k]].tobytes())
+        equal = np.zeros(max(len(order) - 1, 0), bool)
+        equal[near] = sign == 0
+        return order, equal
+
+
+def least_of_equals(order: np.ndarray, equal: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """For each element the one of its class that is least by (doc, pos); order and equal as sort gives them."""
+    label = np.cumsum(np.append(0, ~equal))
+    by = np.lexsort((pos[order], doc[order], label))
+    ranked, marks = order[by], label[by]
+    head = np.append(True, marks[1:] != marks[:-1])
+    out = np.empty(len(order), np.int64)
+    out[ranked] = ranked[head][np.cumsum(head) - 1]
+    return out
+
+
+def firsts(data, begin, key, rel, count, doc, pos, length, most: int = 1 << 22):
+    """For each segment the first, by (doc, pos), of those equal to it; `most` bytes of segments or so are sorted at a time."""
+    first = np.arange(len(key))
+    order = np.lexsort((count, rel, key))
+    k, r, c = key[order], rel[order], count[order]
+    head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1]))) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(key)))
+    shapes = np.flatnonzero(size > 1)  # of what may have an equal
+    load = np.cumsum(size[shapes] * (c[head[shapes]] - 1 + length))
+    at = 0
+    while at < len(shapes):
+        end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + most, "right")))
+        some = shapes[at:end]
+        group, offset = _spread(size[some])
+        m = order[head[some][group] + offset]
+        depth = count[m] - 1 + length
+        of, far = _spread(depth)
+        strings = Suffixes(data[begin[m][of] + far])
+        first[m] = m[least_of_equals(*strings.sort(np.cumsum(depth) - depth, group, depth), doc[m], pos[m])]
+        at = end
+    return first
+
 
 def runs(owner: np.ndarray, offset: np.ndarray):
     """Runs of consecutive offsets of each owner: owner, first and last of each; input by owner and offset."""
@@ -172,22 +219,20 @@ def _sorted_repeats(data, begin, key, rel, doc, pos, owner, offset, length):
     start = begin[owner] + offset
     _, of_key = np.unique(key[owner], return_inverse=True)
     group = of_key.astype(np.int64) << 12 | (rel[owner] - offset)
-    suffixes = Suffixes(data, length)
-    order = suffixes.sort(start, group)
-    a, b = order[:-1], order[1:]
-    near = group[a] == group[b]
-    near[near] = suffixes.hashed(start[a[near]], length) == suffixes.hashed(start[b[near]], length)
-    near[near] = suffixes.same(start[a[near]], start[b[near]])
-    label = np.cumsum(np.append(0, ~near))
     d, p = doc[owner], pos[owner] + offset
-    by = np.lexsort((p[order], d[order], label))
-    ranked, marks = order[by], label[by]
-    head = np.append(True, marks[1:] != marks[:-1])
-    least = ranked[head][np.cumsum(head) - 1]
-    worse = ranked[(d[ranked] > d[least]) | ((d[ranked] == d[least]) & (p[ranked] > p[least]))]
+    least = least_of_equals(*Suffixes(data).sort(start, group, np.full(len(start), length)), d, p)
+    worse = (d > d[least]) | ((d == d[least]) & (p > p[least]))
     return owner[worse], offset[worse]
 
 
+def _shared(level, of, owner, low, high):
+    """The runs of entries `of` as runs of entries `level`; owner ascends."""
+    a, b = (np.searchsorted(owner, of, side) for side in ("left", "right"))
+    which, far = _spread(b - a)
+    at = a[which] + far
+    return level[which], low[at], high[at]
+
+
 def _batches(key: np.ndarray, count: np.ndarray, rel: np.ndarray, most: int):
     """Windows of segments, in (owner, offset), that may be equal and so must meet: `most` of them or so at a time.
 
@@ -214,9 +259,9 @@ def _batches(key: np.ndarray, count: np.ndarray, rel: np.ndarray, most: int):
         at = end
 
 
-def repeated_windows(data, begin, count, rel, key, content, doc, pos, length, most: int = 1 << 17):
+def repeated_windows(data, begin, count, rel, key, doc, pos, length, most: int = 1 << 17):
     """(segment, first, last) of window starts that begin earlier elsewhere, from one segment of each block and content."""
-    first = firsts(key, content, doc, pos)
+    first = firsts(data, begin, key, rel, count, doc, pos, length)
     gone = later(doc, pos, first)
     heads = np.flatnonzero(first == np.arange(len(first)))
     _, of_key, keys = np.unique(key[heads], return_inverse=True, return_counts=True)
@@ -235,12 +280,9 @@ def repeated_windows(data, begin, count, rel, key, content, doc, pos, length, mo
     by = np.lexsort((offset, owner))
     owner, low, high = runs(owner[by], offset[by])
     # What holds for the first of a content holds for those that stand at the same place.
-    level = np.flatnonzero(~gone & (first != np.arange(len(first))))
-    extra = [(e, f, l) for e in level for o, f, l in zip(owner, low, high) if o == first[e]] if len(level) else []
-    whole = np.flatnonzero(gone)
-    owner = np.concatenate([whole, owner, [x[0] for x in extra]]).astype(np.int64)
-    low = np.concatenate([np.zeros(len(whole)), low, [x[1] for x in extra]]).astype(np.int64)
-    return owner, low, np.concatenate([count[whole] - 1, high, [x[2] for x in extra]]).astype(np.int64)
+    level, whole = np.flatnonzero(~gone & (first != np.arange(len(first)))), np.flatnonzero(gone)
+    parts = [(whole, np.zeros(len(whole), np.int64), count[whole] - 1), (owner, low, high), _shared(level, first[level], owner, low, high)]
+    return tuple(np.concatenate(x).astype(np.int64) for x in zip(*parts))
 
 
 def _ordered(table: pa.Table) -> pa.Table:
@@ -260,8 +302,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     it may split a code point. Null texts count as empty, null ids as smaller than any other, and of
     rows with one doc_id those at a larger start yield to the others. Other columns are ignored.
     """
-    if length <= gram or length - gram >= 4096:
-        raise ValueError("length must be over gram and within gram + 4095")
+    if length <= gram or length - gram >= 4096 or length < 8:
+        raise ValueError("length must be 8 at least, over gram and within gram + 4095")
     blocks, plan = B.in_blocks(docs, KEYS_PER_BYTE, RANGE_BYTES)
     bits, ranges = min(plan.bits, 64), plan.ranges
 
@@ -274,7 +316,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         texts = Texts(table.column("text"))
         s = Segments(texts, length, gram, bits)
         doc, pos = _ids(table, s), s.start - texts.offsets[s.text]
-        first = firsts(s.key, s.content, doc, pos)
+        first = firsts(texts.bytes, s.start, s.key, s.rel, s.count, doc, pos, length)
         mine = np.flatnonzero(first == np.arange(len(first)))
         _, which, times = np.unique(s.key[mine], return_inverse=True, return_counts=True)
         mine = mine[B.lookup(B.received(reply, 0)[0], s.key[mine])[1] | (times[which] > 1)]
@@ -286,7 +328,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
             m = mine[a:b]
             owner, offset = _spread(s.count[m] - 1 + length)
             content = texts.bytes[s.start[m][owner] + offset].tobytes()
-            head = B.pack(s.key[m], s.content[m], m, doc[m], pos[m], s.count[m], s.place[m] - s.start[m])
+            head = B.pack(s.key[m], m, doc[m], pos[m], s.count[m], s.rel[m])
             packets.append(len(head).to_bytes(8, "little") + head + len(content).to_bytes(8, "little") + pa.compress(content, codec="zstd", asbytes=True))
         return pa.table({"range": pa.array(of[cuts], pa.int32()), "block": pa.array(np.full(len(cuts), key[0].as_py()), pa.int32()), "packet": pa.array(packets, pa.binary())}, schema=B.PACKETS)
 
@@ -298,9 +340,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
             heads.append(packet[8 : 8 + n])
             size = int.from_bytes(packet[8 + n : 16 + n], "little")
             data.append(np.frombuffer(pa.decompress(packet[16 + n :], decompressed_size=size, codec="zstd"), np.uint8))
-        block, (key, content, index, doc, pos, count, rel) = B.gather(pa.table({"block": table.column("block"), "packet": pa.array(heads, pa.binary())}), 6)
+        block, (key, index, doc, pos, count, rel) = B.gather(pa.table({"block": table.column("block"), "packet": pa.array(heads, pa.binary())}), 5)
         size = count - 1 + length
-        owner, low, high = repeated_windows(np.concatenate(data), np.cumsum(size) - size, count, rel, key, content.view(U), doc, pos, length)
+        owner, low, high = repeated_windows(np.concatenate(data), np.cumsum(size) - size, count, rel, key, doc, pos, length)
         return B.replies(block[owner], index[owner].astype(U), [low, high])
 
     def cut(key, table, reply):
@@ -308,15 +350,13 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         texts = Texts(table.column("text"))
         s = Segments(texts, length, gram, bits)
         doc, pos = _ids(table, s), s.start - texts.offsets[s.text]
-        first = firsts(s.key, s.content, doc, pos)
-        gone = np.flatnonzero(later(doc, pos, first))
+        first = firsts(texts.bytes, s.start, s.key, s.rel, s.count, doc, pos, length)
+        late = later(doc, pos, first)
+        gone, level = np.flatnonzero(late), np.flatnonzero((first != np.arange(len(first))) & ~late)
         index, low, high = B.received(reply, 2)
         index = index.astype(np.int64)
-        level = np.flatnonzero((first != np.arange(len(first))) & ~later(doc, pos, first))
-        more = [(e, l, h) for e in level for l, h in zip(low[index == first[e]], high[index == first[e]])]
-        owner = np.concatenate([gone, index, [x[0] for x in more]]).astype(np.int64)
-        low = np.concatenate([np.zeros(len(gone)), low, [x[1] for x in more]]).astype(np.int64)
-        high = np.concatenate([s.count[gone] - 1, high, [x[2] for x in more]]).astype(np.int64)
+        parts = [(gone, np.zeros(len(gone), np.int64), s.count[gone] - 1), (index, low, high), _shared(level, first[level], index, low, high)]
+        owner, low, high = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
         change = np.zeros(len(texts.bytes) + 1, np.int64)
         np.add.at(change, s.start[owner] + low, 1)
         np.add.at(change, s.start[owner] + high + length, -1)

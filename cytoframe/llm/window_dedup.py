@@ -3,8 +3,10 @@
 Positions of a document whose remainder modulo PERIOD lies in COVER carry an anchor, a hash of
 WINDOW - PERIOD + 1 words. Any two equal windows of WINDOW words have, at some common offset under
 PERIOD, positions of the cover in both, so they share an anchor. Anchors that occur in one document
-only end the matter; windows that hold a shared anchor are extended to all WINDOW words and compared
-across the corpus by a 64-bit hash, for the smallest doc_id in which each begins.
+only end the matter. Windows that hold a shared anchor, within a block or across blocks, are extended
+to all WINDOW words and compared by two independent 64-bit hashes, for the smallest doc_id in which
+each begins; no other window is looked at. Words are hashed modulo a prime and runs of them by a tree
+of hashes, so no pattern of letters or words makes two windows collide.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cytoframe.llm import _blocks as B
-from cytoframe.llm._text import Texts, Words, prefix_hash, spans_hash
+from cytoframe.llm._text import Texts, Words, window_hashes
 
 U = np.uint64
 #: A difference cover; every remainder modulo 7 is a difference of two of its members.
@@ -27,27 +29,51 @@ KEYS_PER_BYTE = 0.08
 NO_DOC = np.iinfo(np.int64).min
 
 
-def _anchors(words: Words, prefix: np.ndarray, size: int, period: int, cover: tuple, bits: int):
+def _anchors(words: Words, hashes: np.ndarray, size: int, period: int, cover: tuple, bits: int):
     """Places and keys of the anchors of a batch."""
     span = size - period + 1
     at = words.windows(span)
     inside = at - np.repeat(words.first[:-1], np.diff(words.first))[at]
     at = at[np.isin(inside % period, cover)]
-    return at, spans_hash(prefix, at, at + span) >> U(64 - bits)
+    return at, window_hashes(hashes, span)[at] >> U(64 - bits)
+
+
+def _in_two(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Ascending keys that stand in more than one document."""
+    order = np.lexsort((docs, keys))
+    k, d = keys[order], docs[order]
+    return np.unique(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
+
+
+def _around(words: Words, at: np.ndarray, size: int, period: int) -> np.ndarray:
+    """First words of the windows that hold one of the anchors at the given places, aligned within a period."""
+    marks = np.zeros(len(words.start) + period + 1, np.int64)
+    np.add.at(marks, np.maximum(at - period + 1, 0), 1)
+    np.add.at(marks, at + 1, -1)
+    starts = words.windows(size)
+    return starts[np.cumsum(marks)[starts] > 0]
 
 
 def _ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").cast(pa.int64()).fill_null(NO_DOC).to_numpy()
 
 
-def _least(keys: np.ndarray, docs: np.ndarray):
-    """Distinct keys ascending, their smallest document and the place of each key among them."""
-    order = np.lexsort((docs, keys))
-    ordered = keys[order]
-    head = np.append(True, ordered[1:] != ordered[:-1]) if len(keys) else np.zeros(0, bool)
+def _least(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray):
+    """Distinct (key, check) ascending, their smallest document and the place of each pair among them."""
+    order = np.lexsort((docs, checks, keys))
+    k, c = keys[order], checks[order]
+    head = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])) if len(keys) else np.zeros(0, bool)
     place = np.empty(len(keys), np.int64)
     place[order] = np.cumsum(head) - 1
-    return ordered[head], docs[order][head], place
+    return k[head], c[head], docs[order][head], place
+
+
+def _least_document(table):
+    """Reducer of a range: tells a block of a window that a smaller document of another block holds, and that document."""
+    blocks, (keys, checks, docs) = B.gather(table, 2)
+    _, _, least, place = _least(keys, checks, docs)
+    less = least[place] < docs if len(keys) else np.zeros(0, bool)
+    return B.replies(blocks[less], keys[less], [checks[less], least[place][less]])
 
 
 def remove_repeated_windows(docs: DataFrame, size: int = WINDOW, period: int = PERIOD, cover: tuple = COVER) -> DataFrame:
@@ -66,45 +92,39 @@ def remove_repeated_windows(docs: DataFrame, size: int = WINDOW, period: int = P
     def send(key, table):
         texts = Texts(table.column("text"))
         words = Words(texts)
-        _, keys = _anchors(words, prefix_hash(words.hashes(texts)), size, period, cover, bits)
+        _, keys = _anchors(words, words.hashes(texts), size, period, cover, bits)
         return B.packets(key[0].as_py(), np.unique(keys), [], bits, ranges)
 
-    def extend(key, table, reply):
+    def read(table, reply, columns):
+        """A block's words, its rows' ids by word, window hashes in two lanes, and the windows around anchors of two of its documents or of those in the reply."""
         texts = Texts(table.column("text"))
         words = Words(texts)
-        prefix = prefix_hash(words.hashes(texts))
-        at, keys = _anchors(words, prefix, size, period, cover, bits)
-        ids = _ids(table)[words.text_of()]
-        _, there = B.lookup(B.received(reply, 0)[0], keys)
-        order = np.lexsort((ids[at], keys))
-        k, d = keys[order], ids[at][order]
-        differs = (k[1:] == k[:-1]) & (d[1:] != d[:-1])
-        here = np.zeros(len(k), bool)
-        here[1:] |= differs
-        local = np.unique(k[here])
-        there |= B.lookup(local, keys)[1]
-        marks = np.zeros(len(words.start) + period + 1, np.int64)
-        np.add.at(marks, np.maximum(at[there] - period + 1, 0), 1)
-        np.add.at(marks, at[there] + 1, -1)
-        starts = words.windows(size)
-        starts = starts[np.cumsum(marks)[starts] > 0]
-        full = spans_hash(prefix, starts, starts + size)
-        keys, least, _ = _least(full, ids[starts])
-        return B.packets(key[0].as_py(), keys, [least], 64, ranges)
+        lanes = words.lanes(texts, 2)
+        of = _ids(table)[words.text_of()]
+        at, keys = _anchors(words, lanes[0], size, period, cover, bits)
+        there = B.lookup(_in_two(keys, of[at]), keys)[1]
+        if columns == 0:
+            there |= B.lookup(B.received(reply, 0)[0], keys)[1]
+        return texts, words, of, [window_hashes(x, size, k) for k, x in enumerate(lanes)], _around(words, at[there], size, period)
+
+    def extend(key, table, reply):
+        _, _, of, (full, check), starts = read(table, reply, 0)
+        keys, checks, least, _ = _least(full[starts], check[starts].view(np.int64), of[starts])
+        return B.packets(key[0].as_py(), keys, [checks, least], 64, ranges)
 
     def cut(key, table, reply):
-        texts = Texts(table.column("text"))
-        words = Words(texts)
-        ids = _ids(table)
-        of = ids[words.text_of()]
-        starts = words.windows(size)
-        full = spans_hash(prefix_hash(words.hashes(texts)), starts, starts + size)
-        keys, least, place = _least(full, of[starts])
-        known, value = B.received(reply, 1)
-        at, there = B.lookup(known, keys)
-        if len(known):
-            least = np.where(there, np.minimum(least, value[at]), least)
-        gone = starts[least[place] < of[starts]]
+        texts, words, of, (full, check), starts = read(table, reply, 2)
+        check = check.view(np.int64)
+        _, _, least, place = _least(full[starts], check[starts], of[starts])
+        gone = [starts[least[place] < of[starts]]]
+        known, checks, docs = B.received(reply, 2)
+        every = words.windows(size)
+        low, high = (np.searchsorted(known, full[every], side) for side in ("left", "right"))
+        for far in range(int((high - low).max()) if len(every) else 0):  # one step, but for windows that share a key and not a check
+            some = np.flatnonzero(low + far < high)
+            at = low[some] + far
+            gone.append(every[some[(checks[at] == check[every[some]]) & (docs[at] < of[every[some]])]])
+        gone = np.unique(np.concatenate(gone))
         cover_ = np.zeros(len(words.start) + 1, np.int64)
         np.add.at(cover_, gone, 1)
         np.add.at(cover_, gone + size, -1)
@@ -121,5 +141,5 @@ def remove_repeated_windows(docs: DataFrame, size: int = WINDOW, period: int = P
     sent = blocks.groupBy("block").applyInArrow(send, B.PACKET)
     told = sent.groupBy("range").applyInArrow(B.shared_keys, B.REPLY)
     wide = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(extend, B.PACKET)
-    least = wide.groupBy("range").applyInArrow(B.least_value, B.REPLY)
+    least = wide.groupBy("range").applyInArrow(_least_document, B.REPLY)
     return blocks.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")

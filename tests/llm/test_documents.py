@@ -80,20 +80,8 @@ def test_ngram_join_of_chunked_groups(spark, monkeypatch):
 
 
 def test_window_dedup(docs, rows, none):
-    first, words = {}, {}
-    for i, t, *_ in rows:
-        words[i] = w = SPACED.findall(t or "")
-        for j in range(len(w) - 12):
-            first[tuple(w[j : j + 13])] = min(i, first.get(tuple(w[j : j + 13]), i))
-    want = {}
-    for i, w in words.items():
-        gone = [False] * len(w)
-        for j in range(len(w) - 12):
-            if first[tuple(w[j : j + 13])] < i:
-                gone[j : j + 13] = [True] * 13
-        want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in window_dedup.remove_repeated_windows(docs).collect()}
-    assert got == want and sum(v[1] for v in want.values()) > 0
+    want = brute_windows(rows)
+    assert removed_windows(docs) == want and sum(v[1] for v in want.values()) > 0
     assert window_dedup.remove_repeated_windows(none).count() == 0
 
 
@@ -141,12 +129,42 @@ def test_suffix_sort_orders_strings():
 
     rnd = random.Random(4)
     data = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(4000)), np.uint8)
-    s = suffix_dedup.Suffixes(data, 30)
+    s = suffix_dedup.Suffixes(data)
     starts = np.array([rnd.randrange(3900) for _ in range(700)])
     group = np.array([rnd.randrange(3) for _ in range(700)])
-    order = s.sort(starts, group)
-    keys = [(group[k], data[starts[k] : starts[k] + 30].tobytes()) for k in order]
-    assert keys == sorted(keys)
+    depth = np.array([30, 9, 50])[group]
+    strings = [(group[k], data[starts[k] : starts[k] + depth[k]].tobytes()) for k in range(700)]
+    order, equal = s.sort(starts, group, depth)
+    assert [strings[k] for k in order] == sorted(strings)
+    assert equal.tolist() == [strings[a] == strings[b] for a, b in zip(order, order[1:])] and equal.any()
+    s.prefix[:] = 0  # now every hash collides with every other
+    order, equal = s.sort(starts, group, depth)
+    assert [strings[k] for k in order] == sorted(strings)
+    assert equal.tolist() == [strings[a] == strings[b] for a, b in zip(order, order[1:])]
+
+
+@pytest.mark.parametrize("block_bytes", [900, 1 << 20])
+def test_suffix_dedup_of_colliding_texts(spark, monkeypatch, block_bytes):
+    from cytoframe.llm import _blocks
+
+    monkeypatch.setattr(_blocks, "BLOCK_BYTES", block_bytes)
+    one, two = thue_morse(4096)
+    rows = [(1, one), (2, two), (3, two[:700] + one[900:1500]), (4, one * 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeated_bytes(odd).collect()}
+    assert got == brute_bytes(rows, 100)
+
+
+def test_suffix_dedup_in_small_batches(docs, rows, monkeypatch):
+    import numpy as np
+
+    found = suffix_dedup.repeated_windows
+    data = np.frombuffer(" ".join((t or "") for _, t, *_ in rows).encode()[:6000] * 2, np.uint8)
+    text = suffix_dedup.Texts(__import__("pyarrow").array([data.tobytes()]))
+    s = suffix_dedup.Segments(text, 100, 24, 64)
+    doc, pos = np.zeros(len(s.start), np.int64), s.start
+    runs = [sorted(zip(*(x.tolist() for x in found(data, s.start, s.count, s.rel, s.key, doc, pos, 100, most=n)))) for n in (1 << 17, 7)]
+    assert runs[0] == runs[1] and runs[0]
 
 
 @pytest.mark.parametrize("limit", [None, 0])
@@ -288,13 +306,11 @@ def test_packing_is_an_exact_round_trip(docs, rows, none, tokenizer, window):
 def test_chunked_ids_equal_whole_ids(tokenizer):
     import pyarrow as pa
 
-    from cytoframe.llm._text import Texts
-
     encoder = packing.Encoder(tokenizer[0])
     rnd = random.Random(3)
     alphabet = "abcXYZéÉßΣσİ019.,;:!?|'\"()-_…—́  \t\n\r  <|>×÷"
-    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(800)] + ["<|endoftext|>,", "it's, don't.", "ab́c."]
-    column = Texts(pa.array(texts))
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(800)] + ["<|endoftext|>,", "<|EndOfText|> x", "it's, don't.", "ab́c.", "", "a\x0bb\x0cc\x1cd\xa0e\u2003f", "12a3 b4,c"]
+    column = pa.array(texts)
     a, x = encoder.whole(column)
     b, y = encoder.chunked(column)
     assert [t for t, i in zip(texts, range(len(texts))) if list(a[x[i] : x[i + 1]]) != list(b[y[i] : y[i + 1]])] == []
@@ -360,3 +376,110 @@ def test_digests_tell_sets_apart():
     a = np.array([1, 2, 3], np.uint64)
     assert ngram_join.digest(a) != ngram_join.digest(a[:2]) and ngram_join.digest(a[:0]) == (0, 0)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def thue_morse(n, a="a", b="b"):
+    """A word of n letters and its complement; they collide under every polynomial hash modulo a power of two."""
+    one = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join(b if x else a for x in one), "".join(a if x else b for x in one)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_packing_tells_thue_morse_words_apart(tokenizer, n):
+    import pyarrow as pa
+
+    encoder = packing.Encoder(tokenizer[0])
+    texts = list(thue_morse(n))
+    ids, at = encoder.chunked(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tokenizer[1].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_encoder_forgets_within_its_bound(tokenizer):
+    import pyarrow as pa
+
+    encoder = packing.Encoder(tokenizer[0], most=20_000)
+    rnd = random.Random(5)
+    for _ in range(6):
+        texts = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(40)) for _ in range(5)]
+        before = encoder.kept
+        ids, at = encoder.chunked(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tokenizer[1].encode(t, add_special_tokens=False).ids for t in texts]
+        assert before <= 20_000 + 200 * 240 and encoder.kept > 0
+
+
+def test_thue_morse_words_share_no_window(spark):
+    one, two = thue_morse(1024)
+    odd = spark.createDataFrame([(1, " ".join([one] * 13)), (2, " ".join([two] * 13)), (3, " ".join([two] * 14))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in window_dedup.remove_repeated_windows(odd).collect()} == {1: 0, 2: 0, 3: 14}
+    odd = spark.createDataFrame([(1, " ".join([one] * 4)), (2, " ".join([two] * 4)), (3, " ".join([two] * 4))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(odd, 4, 85).collect()} == {1: 1, 2: 2, 3: 2}
+    a, b = thue_morse(1 << 10, "x", "y")  # as sequences of words
+    odd = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(odd, 512, 85).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+def test_word_hashes_are_polynomials_modulo_a_prime():
+    import numpy as np
+    import pyarrow as pa
+
+    from cytoframe.llm import _text
+
+    texts = _text.Texts(pa.array(["a bc " + "x" * 9000, None, "bc A", "a" * (2 * _text.PART + 1)]))
+    words = _text.Words(texts)
+    for base, _ in _text.LANES:
+        got = _text.polynomials(_text._BYTES[0], texts.bytes, words.start, words.end, (base,))[0]
+        for a, b, h in zip(words.start, words.end, got):
+            assert sum((c + 1) * pow(base, i, _text.PRIME) for i, c in enumerate(texts.bytes[a:b].tolist())) % _text.PRIME == int(h)
+    run = np.arange(60, dtype=np.uint64) % np.uint64(5)
+    for size in (1, 2, 3, 7, 13):
+        seen = {}
+        for i, h in enumerate(_text.window_hashes(run, size)):
+            assert seen.setdefault(tuple(run[i : i + size]), h) == h
+        assert len(set(seen.values())) == len(seen)
+
+
+def brute_windows(rows):
+    first, words = {}, {}
+    for i, t, *_ in rows:
+        words[i] = w = SPACED.findall(t or "")
+        for j in range(len(w) - 12):
+            first[tuple(w[j : j + 13])] = min(i, first.get(tuple(w[j : j + 13]), i))
+    want = {}
+    for i, w in words.items():
+        gone = [False] * len(w)
+        for j in range(len(w) - 12):
+            if first[tuple(w[j : j + 13])] < i:
+                gone[j : j + 13] = [True] * 13
+        want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+    return want
+
+
+def removed_windows(docs, **how):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in window_dedup.remove_repeated_windows(docs, **how).collect()}
+
+
+@pytest.mark.parametrize("block_bytes", [900, 20_000, 1 << 20])
+def test_window_dedup_decides_by_anchors_alone(spark, rows, monkeypatch, block_bytes):
+    from cytoframe.llm import _blocks
+
+    monkeypatch.setattr(_blocks, "BLOCK_BYTES", block_bytes)
+    rnd = random.Random(8)
+    prose = lambda k: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(k))
+    shifted = [(1000 + i, f"{prose(i)} {passage} {prose(5)}") for passage in [prose(15)] for i in range(9)]  # at every remainder
+    rows = [(i, t) for i, t, *_ in rows] + shifted
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), brute_windows(rows)
+    assert removed_windows(docs) == want and all(want[1000 + i][1] == 15 for i in range(1, 9))
+    assert all(n == 0 for _, n, _ in removed_windows(docs, cover=()).values())
+    assert removed_windows(docs, cover=(0,)) != want  # no difference cover: windows at other remainders are missed
+
+
+def test_ngram_join_over_many_blocks(docs, monkeypatch):
+    from cytoframe.llm import _blocks
+
+    def found():
+        return {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(docs, 4, 85).collect()}
+
+    one = found()
+    monkeypatch.setattr(_blocks, "BLOCK_BYTES", 900)
+    assert found() == one and sum(c != i for i, (_, c) in one.items()) > 5
