@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,44 +147,114 @@ def nearest_points(points: DataFrame, keys: Sequence[str], ident: str, size: flo
     return done if done is not None else points.select(*keys, ident, F.col(ident).alias("nearest"), F.lit(0.0).alias("distance")).limit(0)
 
 
+def _column_neighbours(image: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pixel, above and below it in its column (itself included): row and label of the nearest labelled
+    pixel, and of the nearest with another label than that one. Row -1 where there is none; 0 is background."""
+    out = []
+    for flip in (False, True):
+        rows = image[::-1] if flip else image
+        near, label, second, other = (np.full(image.shape[1], v, np.int64) for v in (-1, 0, -1, 0))
+        kept = [np.empty(image.shape, np.int64) for _ in range(4)]
+        for y, line in enumerate(rows):
+            new = (line > 0) & (line != label)
+            second, other = np.where(new, near, second), np.where(new, label, other)
+            near, label = np.where(line > 0, y, near), np.where(line > 0, line, label)
+            for x, v in zip(kept, (near, label, second, other)):
+                x[y] = v
+        if flip:
+            kept = [x[::-1] for x in kept]
+            kept[0], kept[2] = (np.where(x >= 0, len(image) - 1 - x, -1) for x in (kept[0], kept[2]))
+        out += [(kept[0], kept[1]), (kept[2], kept[3])]
+    return out
+
+
+def nearest_labelled(image: np.ndarray, y: np.ndarray, x: np.ndarray, own: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Rows (squared distance, label, y, x, y of the nearest, x of it), one a group; squared distance -1 where there is none.
+
+    The nearest labelled pixel to any of the group's query pixels whose label isn't the query's own; ties
+    go to the smaller label, then the smaller places. An exact distance transform in two steps: columns are
+    scanned once, then queries look at columns further and further away until none can be nearer.
+    """
+    columns, width = _column_neighbours(image), image.shape[1]
+    far = np.int64(1) << 62
+    best = np.full((groups, 6), far, np.int64)
+    for dx in range(width):
+        open_ = np.flatnonzero(best[group, 0] >= dx * dx)
+        found = []
+        for step in {dx, -dx}:
+            at = open_[(x[open_] + step >= 0) & (x[open_] + step < width)]
+            for row, label in columns:
+                there, whose = row[y[at], x[at] + step], label[y[at], x[at] + step]
+                squared = (there - y[at]) ** 2 + dx * dx
+                some = np.flatnonzero((there >= 0) & (whose > 0) & (whose != own[at]) & (squared <= best[group[at], 0]))
+                q = at[some]
+                found.append(np.stack([group[q], squared[some], whose[some], y[q], x[q], there[some], x[q] + step], 1))
+        if not len(open_):
+            break
+        rows = np.concatenate(found)
+        rows = np.concatenate([rows, np.concatenate([np.arange(groups)[:, None], best], 1)[np.unique(rows[:, 0])]])
+        rows = rows[np.lexsort(rows.T[::-1])]
+        first = np.flatnonzero(np.diff(rows[:, 0], prepend=-1))
+        best[rows[first, 0]] = rows[first, 1:]
+    best[best[:, 0] == far] = -1
+    return best
+
+
+def _image_of(table) -> tuple[np.ndarray, int, int]:
+    """Labels as a dense image, with the place of its first row and column; of repeated pixels the greatest label counts."""
+    y, x, label = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "label"))
+    top, left = int(y.min()), int(x.min())
+    image = np.zeros((int(y.max()) - top + 1, int(x.max()) - left + 1), np.int64)
+    np.maximum.at(image, (y - top, x - left), label)
+    return image, top, left
+
+
 def nearest_masks(px: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
-    """(keys, label, nearest, distance, gap) of each object with another one in its frame.
+    """(keys, label, nearest, distance, gap, y, x, nearest_y, nearest_x) of each object with another one in its frame.
 
-    Distance runs between pixel centres; gap is the empty way between them, max(distance - 1, 0).
-    Frames are images of bounded size, so one task takes one frame; boundary pixels alone matter.
+    Distance runs between pixel centres; gap is the empty way between them, max(distance - 1, 0). The
+    pixels are a closest pair, the first by label and place among several. Labels are positive. Frames are
+    images of bounded size, so one task takes one frame.
     """
-    import numpy as np
-    import pyarrow as pa
+    names = list(keys)
+
+    def kernel(table):
+        image, top, left = _image_of(table)
+        inside = np.pad(image, 1)
+        edge = image > 0
+        edge &= ~np.logical_and.reduce([inside[1 + a : inside.shape[0] - 1 + a, 1 + b : inside.shape[1] - 1 + b] == image for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))])
+        y, x = np.nonzero(edge)
+        labels, group = np.unique(image[y, x], return_inverse=True)
+        squared, nearest, *places = nearest_labelled(image, y, x, image[y, x], group, len(labels)).T
+        some = squared >= 0
+        far = np.sqrt(squared[some])
+        ends = {n: p[some] + start for n, p, start in zip(("y", "x", "nearest_y", "nearest_x"), places, (top, left, top, left))}
+        columns = {k: pa.array([table.column(k)[0].as_py()] * int(some.sum()), table.schema.field(k).type) for k in names}
+        return pa.table({**columns, "label": labels[some], "nearest": nearest[some], "distance": far, "gap": np.maximum(far - 1, 0), **ends})
 
-    edge = boundary(px, keys)
+    kinds = ", ".join(f"{k} {dict(px.dtypes)[k]}" for k in names)
+    places = ", ".join(f"{c} long" for c in ("y", "x", "nearest_y", "nearest_x"))
+    return px.select(*names, "y", "x", F.col("label").cast("long").alias("label")).groupBy(*names).applyInArrow(kernel, f"{kinds}, label long, nearest long, distance double, gap double, {places}")
+
+
+def nearest_mask_pixels(px: DataFrame, height: int, width: int, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """(keys, y, x, nearest, distance, nearest_y, nearest_x) of every pixel of height x width frames.
+
+    A labelled pixel is its own nearest at distance 0; ties go to the smaller label, then place. Frames
+    without a labelled pixel have no rows; pixels outside the frame are an error of the input.
+    """
     names = list(keys)
 
     def kernel(table):
-        table = table.sort_by("label").combine_chunks()
-        label = table.column("label").to_numpy()
-        at = np.stack([table.column("y").to_numpy(), table.column("x").to_numpy()], 1).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(label, prepend=label[0] - 1))
-        ends = np.append(cuts[1:], len(label))
-        out = []
-        for a, b in zip(cuts, ends):
-            other = np.flatnonzero((np.arange(len(label)) < a) | (np.arange(len(label)) >= b))
-            if not len(other):
-                continue
-            best = None
-            for k in range(a, b, 256):
-                mine = at[k : min(b, k + 256)]
-                squared = ((mine[:, None, :] - at[None, other, :]) ** 2).sum(2)
-                low = squared.min()
-                who = int(label[other[squared.min(0) == low]].min())
-                best = min(best or (low, who), (low, who))
-            out.append((int(label[a]), best[1], float(np.sqrt(best[0]))))
-        columns = {k: pa.array([table.column(k)[0].as_py()] * len(out), table.schema.field(k).type) for k in names}
-        one, two, far = zip(*out) if out else ((), (), ())
-        far = np.array(far, float)
-        return pa.table({**columns, "label": pa.array(one, pa.int64()), "nearest": pa.array(two, pa.int64()), "distance": far, "gap": np.maximum(far - 1, 0)})
+        image = np.zeros((height, width), np.int64)
+        np.maximum.at(image, (table.column("y").to_numpy(), table.column("x").to_numpy()), table.column("label").to_numpy())
+        y, x = (v.ravel().astype(np.int64) for v in np.indices(image.shape))
+        squared, nearest, _, _, ny, nx = nearest_labelled(image, y, x, np.full(len(y), -1), np.arange(len(y)), len(y)).T
+        columns = {k: pa.array([table.column(k)[0].as_py()] * len(y), table.schema.field(k).type) for k in names}
+        return pa.table({**columns, "y": y.astype(np.int32), "x": x.astype(np.int32), "nearest": nearest, "distance": np.sqrt(squared), "nearest_y": ny, "nearest_x": nx})
 
     kinds = ", ".join(f"{k} {dict(px.dtypes)[k]}" for k in names)
-    return edge.select(*names, "y", "x", F.col("label").cast("long").alias("label")).groupBy(*names).applyInArrow(kernel, f"{kinds}, label long, nearest long, distance double, gap double")
+    return px.select(*names, "y", "x", F.col("label").cast("long").alias("label")).groupBy(*names).applyInArrow(kernel, f"{kinds}, y int, x int, nearest long, distance double, nearest_y long, nearest_x long")
 
 
 def shapes(px: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:

@@ -94,6 +94,23 @@ def nearest_masks(spark, sf_dir):
     return _rounded(R.nearest_masks(A.pixels(spark, sf_dir)).select("frame", "label", "distance", "gap"), "distance", "gap")
 
 
+def nearest_mask_pairs(spark, sf_dir):
+    """A closest pair of pixels of each object and its nearest other object."""
+    return R.nearest_masks(A.pixels(spark, sf_dir)).select("frame", "label", "nearest", "y", "x", "nearest_y", "nearest_x")
+
+
+def nearest_mask_pixels(spark, sf_dir):
+    """The nearest object of every pixel of the 128 x 128 frames, with the nearest of its pixels."""
+    return _rounded(R.nearest_mask_pixels(A.pixels(spark, sf_dir), 128, 128), "distance")
+
+
+def farthest_object(spark, sf_dir):
+    """The object of each frame that is farthest from its nearest other one, with the closest pair of pixels."""
+    pairs = R.nearest_masks(A.pixels(spark, sf_dir))
+    best = pairs.groupBy("frame").agg(F.max_by(F.struct("label", "nearest", "distance", "y", "x", "nearest_y", "nearest_x"), F.struct("distance", -F.col("label"))).alias("m"))
+    return _rounded(best.select("frame", "m.*"), "distance")
+
+
 def nearest_summary(spark, sf_dir):
     """Objects, objects without a neighbour and distance quantiles of each frame."""
     px = durable(A.pixels(spark, sf_dir))
@@ -118,7 +135,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         object_table, frame_object_counts, volume_summary, boundary_pixels, touching_objects, overlap_links, stitched_objects, stitch_summary,
-        relabelled, mask_under_point, disc_overlaps, nearest_centres, nearest_masks, nearest_summary, largest_object, label_colours,
+        relabelled, mask_under_point, disc_overlaps, nearest_centres, nearest_masks, nearest_mask_pairs, nearest_mask_pixels, farthest_object, nearest_summary, largest_object, label_colours,
     )
 }
 
@@ -141,8 +158,20 @@ filled AS (SELECT frame, label, y, x FROM reach GROUP BY ALL HAVING count(*) = 4
 edge AS (SELECT * FROM pixels p WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.frame = p.frame AND f.label = p.label AND f.y = p.y AND f.x = p.x))"""
 NEAREST_SQL = EDGE_SQL + """,
 near AS (SELECT a.frame, a.label, sqrt(min(power(a.y - b.y, 2) + power(a.x - b.x, 2))) AS distance FROM edge a JOIN edge b ON a.frame = b.frame AND a.label <> b.label GROUP BY ALL)"""
+PAIRS_SQL = EDGE_SQL + """,
+pairs AS (SELECT a.frame, a.label, min((CAST(power(a.y - b.y, 2) + power(a.x - b.x, 2) AS BIGINT), b.label, a.y, a.x, b.y, b.x)) AS m FROM edge a JOIN edge b ON a.frame = b.frame AND a.label <> b.label GROUP BY ALL),
+named AS (SELECT frame, label, m[2] AS nearest, sqrt(m[1]) AS distance, CAST(m[3] AS BIGINT) AS y, CAST(m[4] AS BIGINT) AS x, CAST(m[5] AS BIGINT) AS nearest_y, CAST(m[6] AS BIGINT) AS nearest_x FROM pairs)"""
 
 ORACLE_SQL = {
+    "nearest_mask_pairs": A.sql(PAIRS_SQL, "SELECT frame, label, nearest, y, x, nearest_y, nearest_x FROM named"),
+    "farthest_object": A.sql(PAIRS_SQL, "SELECT frame, m.label, m.nearest, round(m.distance, 6) AS distance, m.y, m.x, m.nearest_y, m.nearest_x FROM (SELECT frame, arg_max(n, (distance, -label)) AS m FROM named n GROUP BY frame)"),
+    "nearest_mask_pixels": A.sql(A.PIXELS_SQL, """, grid AS (SELECT frame, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM (SELECT DISTINCT frame FROM pixels), range(128) a(y), range(128) b(x)),
+        marked AS (SELECT g.*, p.label, CASE WHEN p.label IS NOT NULL THEN g.y END AS own FROM grid g LEFT JOIN pixels p USING (frame, y, x)),
+        sides AS (SELECT frame, y, x, max(own) OVER (PARTITION BY frame, x ORDER BY y) AS up, min(own) OVER (PARTITION BY frame, x ORDER BY y DESC) AS down FROM marked),
+        seen AS (SELECT s.frame, s.y, p.y AS ny, p.x AS nx, p.label FROM (SELECT frame, y, x, up AS ny FROM sides UNION SELECT frame, y, x, down FROM sides) s JOIN pixels p ON p.frame = s.frame AND p.y = s.ny AND p.x = s.x),
+        open AS (SELECT g.frame, g.y, g.x, min((CAST(power(g.y - e.ny, 2) + power(g.x - e.nx, 2) AS BIGINT), e.label, e.ny, e.nx)) AS m FROM marked g JOIN seen e ON e.frame = g.frame AND e.y = g.y WHERE g.label IS NULL GROUP BY ALL)
+        SELECT frame, y, x, m[2] AS nearest, round(sqrt(m[1]), 6) AS distance, CAST(m[3] AS BIGINT) AS nearest_y, CAST(m[4] AS BIGINT) AS nearest_x FROM open
+        UNION ALL SELECT frame, y, x, label, 0, y, x FROM pixels"""),
     "object_table": A.sql(A.PIXELS_SQL, "SELECT frame, label, count(*) AS area, min(y) AS y_min, max(y) + 1 AS y_end, min(x) AS x_min, max(x) + 1 AS x_end, round(avg(y), 6) AS centroid_y, round(avg(x), 6) AS centroid_x FROM pixels GROUP BY ALL"),
     "frame_object_counts": A.sql(A.PIXELS_SQL, "SELECT frame, count(DISTINCT label) AS n_objects, count(*) AS total_area, round(100 * count(*) / (128 * 128), 6) AS confluency_percent FROM pixels GROUP BY ALL"),
     "volume_summary": A.sql(A.PIXELS_SQL, "SELECT count(*) AS n_objects, max(label) AS max_label, min(n) AS min_size, round(median(n), 6) AS median_size, max(n) AS max_size, round(quantile_cont(n, 0.1), 6) AS q10, round(quantile_cont(n, 0.9), 6) AS q90, count(*) FILTER (n < 50) AS under_50, count(*) FILTER (n < 100) AS under_100 FROM (SELECT label, count(*) AS n FROM pixels GROUP BY label)"),
