@@ -52,11 +52,15 @@ def channel_views(spark, sf_dir):
 
 
 def variant_means(spark, sf_dir):
-    """Means of every artificial channel of each volume."""
-    px = G.confidences(G.z_scored(A.volume(spark, sf_dir)))
-    px = G.variants(px, "abs_zscore", "relative", "softmax", "v")
-    names = [f"c_{n}{s}" for n in G.VARIANTS for s in ("", "_bf")]
-    return px.groupBy("image_id").agg(*[F.round(F.avg(n), 4).alias(n) for n in names])
+    """Mean of the artificial channel of each variant of each volume, beside those of the channels it is stacked with."""
+    px = G.confidences(G.z_scored(A.volume(spark, sf_dir))).withColumns({"bright": F.col("v"), "fluorescence": F.abs("v")})
+    px = G.rescaled(px, ["abs_zscore", "relative", "bright", "fluorescence"])
+    px = G.channel_stacks(G.artificial_channels(px, "abs_zscore", "relative"), "fluorescence", "bright")
+    means = []
+    for n in G.ARTIFICIAL:
+        two, three = F.col(f"fucci_{n}"), F.col(f"fucci_bf_{n}")
+        means += [F.round(F.avg(two[1]), 4).alias(n), F.round(F.avg((two[0] + two[1]) / 2), 4).alias(f"fucci_{n}"), F.round(F.avg((three[0] + three[1] + three[2]) / 3), 4).alias(f"fucci_bf_{n}")]
+    return px.groupBy("image_id").agg(*means)
 
 
 def unit_scaled_objects(spark, sf_dir):
@@ -80,7 +84,16 @@ def deviation_log_products(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (scaled_images, z_scores, focus_confidences, otsu_thresholds, projections, central_slices, crops, thumbnails, channel_views, variant_means, unit_scaled_objects, focus_scores, deviation_log_products)}
 
 VOLUME_SQL = A.IMAGES_SQL + ",\nvolume AS (SELECT image_id // 8 AS image_id, CAST(image_id % 8 AS INTEGER) AS z, y, x, v FROM images)"
-_V = {"a": "a", "d": "d", "l": "l", "ad": "a * d", "al": "a * l", "dl": "d * l", "add": "a * d * d", "adl": "a * d * l", "root_dl": "sqrt(greatest(d * l, 0))"}
+_CHANNELS = {"absz": "a", "sd_w10": "d", "absz_sd_mean": "(a + d) * 0.5", "absz_sd_geom": "sqrt(a * d)", "absz_sd_product": "a * d", "absz_sd_min": "least(a, d)", "absz_sd_max": "greatest(a, d)", "absz2_sd_product": "a * a * d", "absz_sd2_product": "a * d * d"}
+
+
+def _percentiles(*columns):
+    return ", ".join(f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.998) AS hi_{c}" for c in columns)
+
+
+def _scaled(c):
+    return f"least(greatest(({c} - lo_{c}) / (hi_{c} - lo_{c} + 1e-6), 0), 1)"
+
 
 ORACLE_SQL = {
     "scaled_images": A.sql(A.IMAGES_SQL, "SELECT image_id, y, x, round(least(greatest((v - a) / (b - a + 1e-6), 0), 1), 4) AS scaled FROM images JOIN (SELECT image_id, quantile_cont(v, 0.01) AS a, quantile_cont(v, 0.995) AS b FROM images GROUP BY 1) USING (image_id)"),
@@ -96,9 +109,13 @@ ORACLE_SQL = {
     "crops": A.sql(A.IMAGES_SQL, "SELECT image_id, CAST(y - 2 AS INTEGER) AS y, CAST(x - 2 AS INTEGER) AS x, round(v, 4) AS v FROM images WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5"),
     "thumbnails": A.sql(A.IMAGES_SQL, "SELECT image_id, CAST(i AS INTEGER) AS y, CAST(j AS INTEGER) AS x, round(v, 4) AS v FROM images, range(3) a(i), range(3) b(j) WHERE y = i * 7 // 2 AND x = j * 7 // 2"),
     "channel_views": A.sql(A.IMAGES_SQL, "SELECT image_id, y, x, round((v + v / 2 - v) / 3, 4) AS gray, round(greatest(v, v / 2, -v), 4) AS fused, CAST(floor(least(greatest(greatest(v, v / 2, -v), 0), 1) * 255) AS INTEGER) AS shown FROM images"),
-    "variant_means": A.sql(VOLUME_SQL, f""", s AS (SELECT *, abs((v - avg(v) OVER i) / (stddev_pop(v) OVER i + 1e-6)) AS a, v - min(v) OVER w AS q, exp(v - max(v) OVER w) AS e FROM volume WINDOW i AS (PARTITION BY image_id), w AS (PARTITION BY image_id, y, x)),
-        t AS (SELECT *, q / (max(q) OVER w + 1e-6) AS d, e / sum(e) OVER w AS l FROM s WINDOW w AS (PARTITION BY image_id, y, x))
-        SELECT image_id, {", ".join(f"round(avg({e}), 4) AS c_{n}, round(avg(({e}) * v), 4) AS c_{n}_bf" for n, e in _V.items())} FROM t GROUP BY 1"""),
+    "variant_means": A.sql(VOLUME_SQL, f""", s AS (SELECT *, abs((v - avg(v) OVER i) / (stddev_pop(v) OVER i + 1e-6)) AS z0, v - min(v) OVER w AS q FROM volume WINDOW i AS (PARTITION BY image_id), w AS (PARTITION BY image_id, y, x)),
+        t AS (SELECT image_id, z0, q / (max(q) OVER w + 1e-6) AS d0, v AS b0, abs(v) AS f0 FROM s WINDOW w AS (PARTITION BY image_id, y, x)),
+        p AS (SELECT image_id, {_scaled("z0")} AS a, {_scaled("d0")} AS d, {_scaled("b0")} AS b, {_scaled("f0")} AS f FROM t JOIN (SELECT image_id, {_percentiles("z0", "d0", "b0", "f0")} FROM t GROUP BY 1) USING (image_id)),
+        c AS (SELECT *, {", ".join(f"{e} AS {n}" for n, e in _CHANNELS.items())} FROM p),
+        g AS (SELECT image_id, {_percentiles(*list(_CHANNELS)[2:])} FROM c GROUP BY 1),
+        k AS (SELECT image_id, f, b, absz, sd_w10, {", ".join(f"{_scaled(n)} AS {n}" for n in list(_CHANNELS)[2:])} FROM c JOIN g USING (image_id))
+        SELECT image_id, {", ".join(f"round(avg({n}), 4) AS {n}, round(avg((f + {n}) / 2), 4) AS fucci_{n}, round(avg((f + b + {n}) / 3), 4) AS fucci_bf_{n}" for n in _CHANNELS)} FROM k GROUP BY 1"""),
     "unit_scaled_objects": A.sql(A.PIXELS_SQL, """, o AS (SELECT label, count(*) AS area, ln(1 + count(*)) AS la FROM pixels GROUP BY label), q AS (SELECT quantile_cont(area, 0.05) AS a, quantile_cont(area, 0.95) AS b, quantile_cont(la, 0.05) AS c, quantile_cont(la, 0.95) AS d FROM o)
         SELECT label, round(least(greatest((area - a) / (b - a), 0), 1), 6) AS u_area, round(least(greatest((la - c) / (d - c), 0), 1), 6) AS u_log_area, 0.5::DOUBLE AS u_one FROM o, q"""),
 }

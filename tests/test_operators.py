@@ -188,3 +188,50 @@ def test_presets_run_on_a_volume(spark):
     px = spark.createDataFrame([(1, z, y, x, float((z + 1) * y * x % 7)) for z in range(3) for y in range(6) for x in range(6)], "image_id int, z int, y int, x int, v double")
     for name in ("composite", "sd_blur", "abs_z"):
         assert imaging.apply_preset(px, name).count() == 108
+
+
+def test_nearest_labels_against_all_pairs():
+    rnd = np.random.default_rng(3)
+    for trial in range(12):
+        image = np.where(rnd.random((17, 23)) < (0.02, 0.2, 0.7)[trial % 3], rnd.integers(1, 5, (17, 23)), 0)
+        y, x = np.nonzero(image)
+        labels, group = np.unique(image[y, x], return_inverse=True)
+        got = raster.nearest_labelled(image, y, x, image[y, x], group, len(labels))
+        for k, own in enumerate(labels):
+            pairs = [((a - c) ** 2 + (b - d) ** 2, image[c, d], a, b, c, d) for a, b in zip(y, x) if image[a, b] == own for c, d in zip(y, x) if image[c, d] != own]
+            assert tuple(got[k]) == (min(pairs) if pairs else (-1, *got[k][1:]))
+        gy, gx = (v.ravel() for v in np.indices(image.shape))
+        each = raster.nearest_labelled(image, gy, gx, np.full(len(gy), -1), np.arange(len(gy)), len(gy))
+        for a, b, row in zip(gy, gx, each):
+            best = min(((a - c) ** 2 + (b - d) ** 2, image[c, d], a, b, c, d) for c, d in zip(y, x)) if len(y) else (-1,)
+            assert tuple(row[: len(best)]) == best
+    assert raster.nearest_labelled(np.zeros((3, 4), int), np.array([1]), np.array([2]), np.array([-1]), np.array([0]), 1)[0, 0] == -1
+
+
+def test_synthetic_volume_is_its_formula(spark):
+    depth, height, width = 4, 9, 11
+    z, y, x = np.indices((depth, height, width)).astype(float)
+    want = 0.08 * z / (depth - 1)
+    for cx, cy, cz, r, bright in ((0.35, 0.45, 0.40, 0.18, 1.0), (0.62, 0.58, 0.58, 0.14, 0.8), (0.50, 0.28, 0.70, 0.10, 0.7)):
+        want += bright * np.clip(1 - np.sqrt((x - cx * width) ** 2 + (y - cy * height) ** 2 + (z - cz * depth) ** 2) / (r * width), 0, 1)
+    want = np.floor(want / want.max() * 65535)
+    got = np.zeros_like(want)
+    for r in imaging.synthetic_volume(spark, depth, height, width).collect():
+        got[r.z, r.y, r.x] = r.v
+    assert np.abs(got - want).max() <= 1 and got.max() == 65535
+
+
+def test_segmentation_inputs_have_their_channels(spark):
+    rnd = np.random.default_rng(1)
+    rows = [(1, z, y, x, *map(float, rnd.random(3))) for z in range(3) for y in range(6) for x in range(5)]
+    px = spark.createDataFrame(rows, "image_id long, z int, y int, x int, r double, g double, b double")
+    for mode, n in imaging.INPUTS.items():
+        got = imaging.segmentation_input(px, mode).collect()
+        assert len(got) == len(rows) and all(len(r.channels) == n and min(r.channels) >= -1e-9 and max(r.channels) <= 1 + 1e-9 for r in got)
+    plain, inverted = ({(r.z, r.y, r.x): r.channels[0] for r in imaging.segmentation_input(px, m).collect()} for m in ("raw", "raw_inverted"))
+    assert all(abs(plain[k] + inverted[k] - 1) < 1e-9 for k in plain)
+
+
+def test_presets_fill_missing_pixels(spark):
+    rows = [(1, z, y, x, float(x)) for z in range(2) for y in range(4) for x in range(5) if (z, y, x) != (1, 2, 3)]
+    assert imaging.apply_preset(spark.createDataFrame(rows, "image_id long, z int, y int, x int, v double"), "abs_z").count() == 40
