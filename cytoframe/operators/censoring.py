@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoframe.operators.summaries import finite, ranked, unit_hash
+from cytoframe.operators.summaries import finite, global_quantiles, ranked, unit_hash
 from cytoframe.operators.tracks import keep_first
 
 FLAGS = ("passes_link", "passes_object", "passes_area_ratio", "passes_track_id", "passes_numeric")
@@ -46,17 +46,21 @@ def neighbours_in_time(df: DataFrame, keys: Sequence[str], order: Sequence[str])
     """Adds what the same track shows one frame on and one frame back.
 
     next_point and has_previous_point say whether some passing row is there; raw_next_exists and
-    next_<flag> describe the first row of the next frame in the given order. All three come from
-    equi-joins on the shifted frame, as rows repeat and frames are missing.
+    next_<flag> describe the first row of the next frame in the given order. Rows may repeat a frame and
+    frames may be missing; a NULL key or frame has no neighbours. All come from one sort by track and
+    frame, over windows of the frames beside.
     """
-    key = [*keys, "frame"]
-    passing = df.where("passes_point").select(*key).distinct()
-    ahead = passing.withColumn("frame", F.col("frame") - 1).withColumn("_p", F.lit(True))
-    behind = passing.withColumn("frame", F.col("frame") + 1).withColumn("_b", F.lit(True))
-    raw = keep_first(df, key, order).select(*keys, (F.col("frame") - 1).alias("frame"), F.lit(True).alias("_r"), *[F.col(f).alias(f"next_{f}") for f in (*FLAGS, "passes_point")])
-    out = df.join(ahead, key, "left").join(raw, key, "left").join(behind, key, "left")
-    out = out.withColumns({"next_point": F.coalesce("_p", F.lit(False)), "raw_next_exists": F.coalesce("_r", F.lit(False)), "has_previous_point": F.coalesce("_b", F.lit(False))})
-    return out.drop("_p", "_r", "_b")
+    w = Window.partitionBy(*keys).orderBy("frame")
+    ahead, behind = w.rangeBetween(1, 1), w.rangeBetween(-1, -1)
+    placed = F.col("frame").isNotNull()
+    for k in keys:
+        placed = placed & F.col(k).isNotNull()
+    shown = [*FLAGS, "passes_point"]
+    first = F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*shown).alias("_f"))).over(ahead)
+    passes = F.coalesce(F.col("passes_point"), F.lit(False))
+    out = df.withColumns({"_next": F.when(placed, first), "next_point": placed & F.coalesce(F.max(passes).over(ahead), F.lit(False)), "has_previous_point": placed & F.coalesce(F.max(passes).over(behind), F.lit(False))})
+    out = out.withColumns({"raw_next_exists": F.col("_next").isNotNull(), **{f"next_{c}": F.col(f"_next._f.{c}") for c in shown}})
+    return out.drop("_next")
 
 
 def censor_reason() -> Column:
@@ -100,15 +104,24 @@ def survival_weights(pairs: DataFrame, survival: DataFrame, keys: Sequence[str])
     finite denominator has no weight.
     """
     usable = survival.where(finite(F.col("numer")).isNotNull() & finite(F.col("denom")).isNotNull() & (F.col("denom") > 0))
-    usable = keep_first(usable, [*keys, "frame"], ["numer", "denom"]).select(*keys, F.col("frame").alias("_at"), "numer", "denom")
-    links = pairs.select(*keys, "frame", "lag").distinct().withColumn("_at", F.explode(F.expr("sequence(CAST(frame AS INT), CAST(frame + lag - 1 AS INT))")))
-    got = links.join(usable, [*keys, "_at"]).groupBy(*keys, "frame", "lag").agg(F.count("*").alias("_n"), F.product("numer").alias("_a"), F.product("denom").alias("_b"))
-    return got.where("_n = lag").select(*keys, "frame", "lag", (F.col("_a") / F.col("_b")).alias("weight"))
+    usable = keep_first(usable, [*keys, "frame"], ["numer", "denom"])
+    # Running sums turn a product over links into a difference of two rows: of the log ratio's size, of signs, of zeros, and of links.
+    w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
+    ratio = F.col("numer") / F.col("denom")
+    own = {"l": F.when(ratio != 0, F.log(F.abs(ratio))).otherwise(0.0), "s": (ratio < 0).cast("int"), "z": (ratio == 0).cast("int"), "n": F.lit(1)}
+    sums = usable.select(*keys, F.col("frame").cast("bigint").alias("_at"), *[c.alias(f"_{k}") for k, c in own.items()], *[F.sum(c).over(w).alias(f"_{k}_sum") for k, c in own.items()])
+    first = sums.select(*keys, F.col("_at").alias("_first"), *[(F.col(f"_{k}_sum") - F.col(f"_{k}")).alias(f"_{k}_a") for k in own])
+    last = sums.select(*keys, F.col("_at").alias("_last"), *[F.col(f"_{k}_sum").alias(f"_{k}_b") for k in own])
+    wanted = pairs.select(*keys, "frame", "lag").distinct().withColumns({"_first": F.col("frame").cast("bigint"), "_last": (F.col("frame") + F.col("lag") - 1).cast("bigint")})
+    got = wanted.join(first, [*keys, "_first"]).join(last, [*keys, "_last"])
+    among = {k: F.col(f"_{k}_b") - F.col(f"_{k}_a") for k in own}
+    weight = F.when(among["z"] > 0, 0.0).otherwise(F.exp(among["l"]) * F.when(among["s"] % 2 == 1, -1).otherwise(1))
+    return got.where(among["n"] == F.col("lag")).select(*keys, "frame", "lag", weight.alias("weight"))
 
 
 def cap_weights(df: DataFrame, share: float, most: float, name: str = "capped_weight") -> DataFrame:
     """Weights cut at the lesser of a quantile of them all and a fixed cap."""
-    limit = df.agg(F.least(F.percentile("weight", F.lit(share)), F.lit(most)).alias("_cap"))
+    limit = global_quantiles(df, "weight", {"_share": share}).select(F.least("_share", F.lit(most)).alias("_cap"))
     return df.crossJoin(F.broadcast(limit)).withColumn(name, F.least("weight", "_cap")).drop("_cap")  # one row
 
 
@@ -135,15 +148,13 @@ def per_group_sample(df: DataFrame, keys: Sequence[str], ident: Column, n: int,
 def resample(pool: DataFrame, wanted: DataFrame, ladder: Sequence[Sequence[str]], ident: str, values: Sequence[str], seed: int) -> DataFrame:
     """For each wanted row, a pool row by a hash of `ident` from the first key set of the ladder that has any.
 
-    Pools are numbered within their key, so a draw is an index and the join an equi-join.
+    Pools are numbered within their key by ranges, so no task holds a whole key; a draw is an index and the
+    join an equi-join.
     """
     drawn = wanted.withColumn("_u", unit_hash(F.col(ident), seed))
     out = drawn
     for level, keys in enumerate(ladder):
-        if keys:
-            numbered = pool.select(*keys, *values).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*values)) - 1)
-        else:
-            numbered = ranked(pool.select(*values), values).select(*values, F.col("rank").cast("int").alias("_i"))
+        numbered = ranked(pool.select(*keys, *values), values, keys).select(*keys, *values, F.col("rank").cast("int").alias("_i"))
         counts = numbered.groupBy(*keys).agg(F.count("*").alias(f"_n{level}")) if keys else numbered.agg(F.count("*").alias(f"_n{level}"))
         out = out.join(counts, list(keys), "left") if keys else out.crossJoin(F.broadcast(counts))
         out = out.withColumn("_i", F.floor(F.col("_u") * F.coalesce(F.col(f"_n{level}"), F.lit(0))).cast("int"))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytoframe.operators.summaries import global_quantiles
+
 
 def percentile_scaled(px: DataFrame, keys: Sequence[str] = ("image_id",), low: float = 1, high: float = 99.5, eps: float = 1e-6, value: str = "v") -> DataFrame:
     """Adds scaled: the value between two percentiles of its image, cut to 0 and 1."""
@@ -24,13 +26,14 @@ def percentile_scaled(px: DataFrame, keys: Sequence[str] = ("image_id",), low: f
 
 def unit_scaled(df: DataFrame, columns: Sequence[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Adds u_<column>: values between two quantiles of all rows, cut to 0 and 1; 0.5 where the two are equal."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_q_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(q))  # one row
+    out = df
+    for c in columns:
+        out = out.crossJoin(F.broadcast(global_quantiles(df, c, {f"_a_{c}": low, f"_b_{c}": high})))  # one row
     scaled = {}
     for c in columns:
-        a, b = F.get(f"_q_{c}", F.lit(0)), F.get(f"_q_{c}", F.lit(1))
+        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
         scaled[f"u_{c}"] = F.when(b > a, F.least(F.greatest((F.col(c) - a) / (b - a), F.lit(0.0)), F.lit(1.0))).otherwise(0.5)
-    return out.withColumns(scaled).drop(*[f"_q_{c}" for c in columns])
+    return out.withColumns(scaled).drop(*[f"_{k}_{c}" for c in columns for k in "ab"])
 
 
 def z_scored(px: DataFrame, keys: Sequence[str] = ("image_id",), eps: float = 1e-6) -> DataFrame:

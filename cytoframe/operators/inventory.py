@@ -11,7 +11,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Extensions, folder words, focus terms and file-name patterns that the inventory goes by.
@@ -54,27 +54,49 @@ def extension() -> Column:
 
 
 def parsed_names(names: DataFrame) -> DataFrame:
-    """(path, name) rows with what each name says; patterns that don't match give NULL."""
-    date = F.format_string("%s-%s-%s %s:%s", _group(ACQUIRED, 1), *[F.lpad(_group(ACQUIRED, k), 2, "0") for k in (2, 3, 4, 5)])
-    date = F.when(_group(ACQUIRED, 1).isNotNull(), date)
-    elapsed = F.when(_group(ELAPSED, 1).isNotNull(), (_group(ELAPSED, 1).try_cast("int") * 1440 + _group(ELAPSED, 2).try_cast("int") * 60 + _group(ELAPSED, 3).try_cast("int")))
+    """(path, name) rows with what each name says; patterns that don't match give NULL.
+
+    The further groups of a pattern are looked for only where its first one is there.
+    """
+
+    def groups(pattern, first, *more):
+        head = _group(pattern, first)
+        return head, *[F.when(head.isNotNull(), _group(pattern, k)) for k in more]
+
+    year, *rest = groups(ACQUIRED, 1, 2, 3, 4, 5)
+    date = F.when(year.isNotNull(), F.format_string("%s-%s-%s %s:%s", year, *[F.lpad(x, 2, "0") for x in rest]))
+    days, hours, minutes = groups(ELAPSED, 1, 2, 3)
+    elapsed = F.when(days.isNotNull(), days.try_cast("int") * 1440 + hours.try_cast("int") * 60 + minutes.try_cast("int"))
+    plane, reader_field, reader_channel = groups(PLATE_READER, 4, 3, 5)
+    well, site = groups(WELL_SITE, 1, 2)
     channels = F.regexp_extract_all("name", F.lit(CHANNEL), 1)
     out = names.withColumns({
         "extension": extension(), "z": _group(Z_PLANE, 1), "t": _group(TIME_POINT, 1), "elapsed": elapsed, "acquired": date,
-        "plane": _group(PLATE_READER, 4), "reader_field": _group(PLATE_READER, 3), "reader_channel": _group(PLATE_READER, 5),
-        "well": F.upper(_group(WELL_SITE, 1)), "site": _group(WELL_SITE, 2), "channels": channels,
+        "plane": plane, "reader_field": reader_field, "reader_channel": reader_channel, "well": F.upper(well), "site": site, "channels": channels,
     })
     # Wall-clock minutes of the date alone, so that no time zone moves a gap; a date that doesn't exist gives NULL.
     since = F.expr("timestampdiff(MINUTE, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(try_to_timestamp(acquired, 'yyyy-MM-dd HH:mm') AS TIMESTAMP_NTZ))")
     return out.withColumns({"minute": since.cast("bigint"), "is_image": F.coalesce(F.col("extension").isin(*IMAGE_EXTENSIONS), F.lit(False))})
 
 
+#: Image names of a directory that its profile keeps, the first by name.
+KEPT_NAMES = 8
+
+
+def _hints(text: Column) -> Column:
+    """struct(derived, raw): whether a whole token of the text is a word of either list."""
+    tokens = F.transform(F.split(text, r"[/\s;]+"), lambda p: normal_token(p))
+    return F.struct(F.arrays_overlap(tokens, F.array(*map(F.lit, DERIVED_HINTS))).alias("derived"), F.arrays_overlap(tokens, F.array(*map(F.lit, RAW_HINTS))).alias("raw"))
+
+
 def profiles(names: DataFrame) -> DataFrame:
     """One row per path: sorted distinct values of every kind, counts of names and images, and coverage of channels.
 
-    n_timepoints adds the distinct counts of three kinds of time.
+    n_timepoints adds the distinct counts of three kinds of time. image_names are the first KEPT_NAMES;
+    hints tells whether any image name holds a word of the two lists of origins.
     """
-    rows = parsed_names(names)
+    place = F.dense_rank().over(Window.partitionBy("path", "is_image").orderBy("name"))
+    rows = parsed_names(names).withColumns({"_place": place, "_hint": F.when(F.col("is_image"), _hints(F.col("name")))})
     sets = {"z_values": "z", "t_values": "t", "elapsed_minutes": "elapsed", "acquired_at": "acquired", "acquired_minutes": "minute", "planes": "plane", "wells": "well"}
     fields = F.array_compact(F.array("reader_field", "site"))
     seen = F.array_compact(F.concat("channels", F.array("reader_channel")))
@@ -82,7 +104,8 @@ def profiles(names: DataFrame) -> DataFrame:
     out = rows.groupBy("path").agg(
         F.count("*").alias("n_names"), F.count_if("is_image").alias("n_images"), *[F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()],
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(fields)))).alias("fields"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(seen)))).alias("channels"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("coverage"), F.array_sort(F.collect_set(F.when(F.col("is_image"), F.col("name")))).alias("image_names"),
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("coverage"), F.array_sort(F.collect_set(F.when(F.col("is_image") & (F.col("_place") <= KEPT_NAMES), F.col("name")))).alias("image_names"),
+        F.struct(*[F.coalesce(F.bool_or(f"_hint.{k}"), F.lit(False)).alias(k) for k in ("derived", "raw")]).alias("hints"),
     )
     return out.withColumn("n_timepoints", F.size("t_values") + F.size("elapsed_minutes") + F.size("acquired_at"))
 
@@ -123,11 +146,10 @@ def time_spacing() -> Column:
     return F.struct(got["least"].alias("least"), got["upper_median"].alias("upper_median"), unit.alias("unit"))
 
 
-def origin_status(path: str = "path", names: str = "image_names") -> Column:
-    """derived, raw_hint or unknown, by whole tokens of the path and the names."""
-    parts = F.split(F.concat_ws(" ", F.col(path), F.array_join(names, " ")), r"[/\s;]+")
-    tokens = F.transform(parts, lambda p: normal_token(p))
-    return F.when(F.arrays_overlap(tokens, F.array(*map(F.lit, DERIVED_HINTS))), "derived").when(F.arrays_overlap(tokens, F.array(*map(F.lit, RAW_HINTS))), "raw_hint").otherwise("unknown")
+def origin_status(path: str = "path", hints: str = "hints") -> Column:
+    """derived, raw_hint or unknown, by whole tokens of the path and of the image names."""
+    own = _hints(F.col(path))
+    return F.when(own["derived"] | F.col(f"{hints}.derived"), "derived").when(own["raw"] | F.col(f"{hints}.raw"), "raw_hint").otherwise("unknown")
 
 
 def cell_lines(path: str = "path") -> Column:
@@ -250,10 +272,18 @@ def modality(path: str = "path") -> Column:
     return F.slice(hits, F.greatest(F.size(hits) - 1, F.lit(1)), 2)
 
 
-def _ordered(values: Column, *order: Column) -> Column:
-    """Array of values of a group in the given order."""
-    rows = F.array_sort(F.collect_list(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)], values.alias("v"))))
-    return F.transform(rows, lambda r: r["v"])
+#: Directories that an experiment names as examples, the best first.
+EXAMPLES = 5
+
+
+def _placed(rows: DataFrame, *order: Column) -> DataFrame:
+    """Adds _place, the place of each directory in its experiment."""
+    return rows.withColumn("_place", F.row_number().over(Window.partitionBy("root").orderBy(*order)))
+
+
+def _examples() -> Column:
+    """The first EXAMPLES paths of an experiment, in order."""
+    return F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= EXAMPLES, F.struct("_place", "path")))), lambda r: r["path"])
 
 
 def tracking_groups(rows: DataFrame) -> DataFrame:
@@ -262,11 +292,11 @@ def tracking_groups(rows: DataFrame) -> DataFrame:
     least = F.col("spacing.least")
     best = (least.isNull(), F.coalesce(least, F.lit(10**9)), -F.col("n_timepoints"), -F.col("n_images"), F.col("path"))
     phase = F.exists("modality", lambda m: normal_token(m, "").rlike("phase|brightfield"))
-    out = rows.groupBy("root").agg(
+    out = _placed(rows, *best).groupBy("root").agg(
         F.count("*").alias("n_dirs"), F.sum("n_images").alias("n_images"), F.max("tracking_score").alias("best_score"), F.min(least).alias("least_spacing"), F.min("spacing.upper_median").alias("best_median_spacing"),
         F.max("n_timepoints").alias("n_timepoints"), F.bool_or(phase).alias("_phase"), F.bool_or(F.coalesce(F.lower("path").contains("chemotaxis"), F.lit(False))).alias("_chemotaxis"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("modality")))).alias("modalities"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("cell_lines")))).alias("cell_lines"), F.array_sort(F.collect_set("origin")).alias("origins"),
-        F.slice(_ordered(F.col("path"), *best), 1, 5).alias("examples"),
+        _examples().alias("examples"),
     )
     quick = F.when(F.col("least_spacing").isNotNull(), F.greatest(F.lit(0), 6 - F.floor(F.col("least_spacing") / 60))).otherwise(0)
     score = quick + F.least("n_timepoints", F.lit(10)) + F.least("n_dirs", F.lit(10)) + F.when(F.col("_phase"), 3).otherwise(0) + F.when(F.col("_chemotaxis"), 2).otherwise(0)
@@ -277,10 +307,10 @@ def volume_groups(rows: DataFrame) -> DataFrame:
     """Experiments of scored directories, scored by their best directory, size, planes, origin and channels."""
     rows = rows.withColumn("root", volume_root())
     best = (-F.col("z_score"), -F.greatest(F.size("z_values"), F.size("planes")), F.col("origin") == "derived", -F.col("n_images"), F.col("path"))
-    out = rows.groupBy("root").agg(
+    out = _placed(rows, *best).groupBy("root").agg(
         F.count("*").alias("n_dirs"), F.sum("n_images").alias("n_images"), F.max("z_score").alias("best_score"), F.max(F.size("z_values")).alias("n_z"), F.max(F.size("planes")).alias("n_planes"), F.max(F.size("channels")).alias("most_channels"),
         F.count_if(F.size("channels") >= 2).alias("n_multi_channel"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("channels")))).alias("channels"), F.array_sort(F.collect_set("origin")).alias("origins"),
-        F.slice(_ordered(F.col("path"), *best), 1, 5).alias("examples"),
+        _examples().alias("examples"),
     )
     project = normal_token(F.col("root"), "").rlike("volumetricanalysis|3dbrightfield")
     score = F.col("best_score") + F.least("n_dirs", F.lit(12)) + F.least("n_z", F.lit(10)) + F.least("n_planes", F.lit(10)) + _points((F.array_contains("origins", "raw_hint"), 3), (F.array_contains("origins", "derived"), -3), (project, 4), (F.size("channels") >= 2, 2))
@@ -377,7 +407,7 @@ def without_suffix(name: Column, suffixes: Sequence[str]) -> Column:
     return chosen
 
 
-def candidate_rows(rows: DataFrame, score: str, example_limit: int = 8) -> DataFrame:
+def candidate_rows(rows: DataFrame, score: str, example_limit: int = KEPT_NAMES) -> DataFrame:
     """Scored directories as flat rows of a candidate table: counts, rendered lists, spacing and examples."""
     counts = {"distinct_z": "z_values", "distinct_planes": "planes", "distinct_wells": "wells", "distinct_fields_or_sites": "fields", "distinct_channels": "channels"}
     return rows.select(

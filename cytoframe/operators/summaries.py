@@ -70,23 +70,51 @@ def _tile(rank: Column, total: Column, n: int) -> Column:
     return F.when(rank < wide, F.floor(rank / (small + 1)) + 1).otherwise(F.floor((rank - wide) / F.greatest(small, F.lit(1))) + total % n + 1).cast("int")
 
 
-def ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Adds the 0-based global rank in a total order, and the total, without one task for all rows.
+def ranked(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Adds the 0-based rank in a total order, over all rows or within keys, and the total, without one task for all rows of a key.
 
     Rows are cut by range into partitions; each is ranked alone and shifted by the counts before it.
     """
-    cut = durable(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
-    own = Window.partitionBy("_part").orderBy(*order)
+    cut = durable(df.repartitionByRange(partitions(df.sparkSession), *keys, *order).withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part", *keys).orderBy(*order)
     local = cut.withColumn("_local", F.row_number().over(own) - 1)
-    counts = local.groupBy("_part").agg(F.count("*").alias("_count"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("_part", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"), F.sum("_count").over(Window.partitionBy()).alias("total"))
-    return local.join(F.broadcast(shifts), "_part").withColumn("rank", F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")  # a row per partition
+    counts = cut.groupBy("_part", *keys).agg(F.count("*").alias("_count"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("_part", *keys, F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"), F.sum("_count").over(Window.partitionBy(*keys)).alias("total"))
+    if not keys:
+        return local.join(F.broadcast(shifts), "_part").withColumn("rank", F.col("_before") + F.col("_local")).drop("_part", "_local", "_before")  # a row per partition
+    same = shifts.withColumnsRenamed({c: f"_k_{c}" for c in ("_part", *keys)})
+    met = local.join(same, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in ("_part", *keys)])
+    return met.withColumn("rank", F.col("_before") + F.col("_local")).drop("_part", "_local", "_before", *[f"_k_{c}" for c in ("_part", *keys)])
+
+
+def global_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row of linearly interpolated quantiles of all rows, one column each; NULL without a value.
+
+    Values are counted first and cut by range; each range adds up its counts from those of the ranges
+    before it, so no task holds all distinct values.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    cut = durable(counted.repartitionByRange(partitions(df.sparkSession), "_v").withColumn("_part", F.spark_partition_id()))
+    parts = cut.groupBy("_part").agg(F.sum("_n").alias("_count"))
+    shifts = parts.select("_part", F.coalesce(F.sum("_count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_count").over(Window.partitionBy()).alias("_total"))
+    so_far = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = cut.withColumn("_end", so_far).join(F.broadcast(shifts), "_part").withColumn("_end", F.col("_before") + F.col("_end"))  # a row per partition
+    out = {}
+    for name, share in shares.items():
+        place = share * (F.col("_total") - 1)
+
+        def at(rank):
+            return F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("_n") <= rank), F.col("_v")))
+
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        out[name] = F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+    return rows.agg(*[c.alias(n) for n, c in out.items()])
 
 
 def capped(df: DataFrame, value: str, share: float, name: str) -> DataFrame:
     """Adds the value cut at a quantile of all rows."""
-    limit = df.agg(F.percentile(value, F.lit(share)).alias("_cap"))
+    limit = global_quantiles(df, value, {"_cap": share})
     return df.crossJoin(F.broadcast(limit)).withColumn(name, F.least(value, "_cap")).drop("_cap")  # one row
 
 
