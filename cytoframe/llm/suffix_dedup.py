@@ -121,8 +121,11 @@ class Suffixes:
         In each pass an element's new place is its place in its own run plus the number of elements
         of the neighbouring run that go before it, found by binary search.
         """
-        order = np.argsort(group, kind="stable")
-        _, first, size = np.unique(group[order], return_index=True, return_counts=True)
+        head = self.eight[starts].astype(U)  # in a group, strings of other first bytes needn't be compared
+        order = np.lexsort((head, group))
+        g, h = group[order], head[order]
+        first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]))) if len(order) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(order)))
         base, total = np.repeat(first, size), np.repeat(size, size)
         width = 1
         while width < (size.max() if len(size) else 0):
@@ -149,6 +152,16 @@ class Suffixes:
             width *= 2
         return order
 
+    def may_repeat(self, starts: np.ndarray, group: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Places of the strings that share their group, first and last eight bytes with another one, by a hash of the three."""
+        code = mix(mix(group.astype(U) * U(0x9E3779B97F4A7C15) + self.eight[starts].astype(U)) + self.eight[starts + depth - 8].astype(U))
+        order = np.argsort(code, kind="stable")
+        same = code[order[1:]] == code[order[:-1]]
+        both = np.zeros(len(order), bool)
+        both[1:] |= same
+        both[:-1] |= same
+        return np.sort(order[both])
+
     def sort(self, starts: np.ndarray, group: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order by group and string, and for each but the first whether it equals its predecessor, both as the bytes have it."""
         order = self.merged(starts, group, depth)
@@ -169,6 +182,8 @@ class Suffixes:
 
 def least_of_equals(order: np.ndarray, equal: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """For each element the one of its class that is least by (doc, pos); order and equal as sort gives them."""
+    if not len(order):
+        return order
     label = np.cumsum(np.append(0, ~equal))
     by = np.lexsort((pos[order], doc[order], label))
     ranked, marks = order[by], label[by]
@@ -181,10 +196,13 @@ def least_of_equals(order: np.ndarray, equal: np.ndarray, doc: np.ndarray, pos:
 def firsts(data, begin, key, rel, count, doc, pos, length, most: int = 1 << 22):
     """For each segment the first, by (doc, pos), of those equal to it; `most` bytes of segments or so are sorted at a time."""
     first = np.arange(len(key))
-    order = np.lexsort((count, rel, key))
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    order = order[np.append(False, same) | np.append(same, False)] if len(order) else order
+    order = order[np.lexsort((count[order], rel[order], key[order]))]
     k, r, c = key[order], rel[order], count[order]
-    head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1]))) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(head, len(key)))
+    head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1]))) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(order)))
     shapes = np.flatnonzero(size > 1)  # of what may have an equal
     load = np.cumsum(size[shapes] * (c[head[shapes]] - 1 + length))
     at = 0
@@ -195,8 +213,10 @@ def firsts(data, begin, key, rel, count, doc, pos, length, most: int = 1 << 22):
         m = order[head[some][group] + offset]
         depth = count[m] - 1 + length
         of, far = _spread(depth)
-        strings = Suffixes(data[begin[m][of] + far])
-        first[m] = m[least_of_equals(*strings.sort(np.cumsum(depth) - depth, group, depth), doc[m], pos[m])]
+        strings, start = Suffixes(data[begin[m][of] + far]), np.cumsum(depth) - depth
+        some = strings.may_repeat(start, group, depth)
+        m = m[some]
+        first[m] = m[least_of_equals(*strings.sort(start[some], group[some], depth[some]), doc[m], pos[m])]
         at = end
     return first
 
@@ -218,9 +238,12 @@ def _sorted_repeats(data, begin, key, rel, doc, pos, owner, offset, length):
     """(owner, offset) of the windows, among those given, that have an equal one before them in (doc, pos)."""
     start = begin[owner] + offset
     _, of_key = np.unique(key[owner], return_inverse=True)
-    group = of_key.astype(np.int64) << 12 | (rel[owner] - offset)
+    group, depth = of_key.astype(np.int64) << 12 | (rel[owner] - offset), np.full(len(start), length)
+    strings = Suffixes(data)
+    some = strings.may_repeat(start, group, depth)
+    owner, offset = owner[some], offset[some]
     d, p = doc[owner], pos[owner] + offset
-    least = least_of_equals(*Suffixes(data).sort(start, group, np.full(len(start), length)), d, p)
+    least = least_of_equals(*strings.sort(start[some], group[some], depth[some]), d, p)
     worse = (d > d[least]) | ((d == d[least]) & (p > p[least]))
     return owner[worse], offset[worse]
 
