@@ -35,12 +35,15 @@ class Plan:
         self.bits = min(64, max(40, keys.bit_length() + 14))
 
 
-def in_blocks(docs: DataFrame, keys_per_byte: float, range_bytes: int = 32 << 20) -> tuple[DataFrame, Plan]:
-    """(doc_id, text, block) and the plan; one narrow pass measures the corpus. range_bytes: of text to a key range."""
+def in_blocks(docs: DataFrame, keys_per_byte: float, range_bytes: int = 32 << 20, **more) -> tuple[DataFrame, Plan]:
+    """(doc_id, text, block) and the plan; one narrow pass measures the corpus. range_bytes: of text to a key range; more: further columns.
+
+    A row's block follows from its id and text, so that a task that runs again meets the same rows; rows alike in both share a block.
+    """
     total = docs.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
     plan = Plan(docs.sparkSession, total, keys_per_byte, range_bytes)
     salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(plan.blocks)).cast("int")
-    return docs.select("doc_id", "text", salt.alias("block")), plan
+    return docs.select("doc_id", "text", salt.alias("block"), *[c.alias(n) for n, c in more.items()]), plan
 
 
 def range_of(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
@@ -126,3 +129,15 @@ def shared_keys(table):
     both[1:] |= same
     both[:-1] |= same
     return replies(blocks[both], keys[both], [])
+
+
+def total_counts(table):
+    """Reducer of a range: total count of the keys that another block holds too."""
+    blocks, (keys, counts) = gather(table, 1)
+    order = np.argsort(keys, kind="stable")
+    blocks, keys, counts = blocks[order], keys[order], counts[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(head, len(keys)))
+    total = np.repeat(np.add.reduceat(counts, head), sizes) if len(keys) else counts
+    more = total > counts
+    return replies(blocks[more], keys[more], [total[more]])

@@ -1,29 +1,5 @@
-"""Session helpers: a shared checkpoint folder and durable cuts of lineage."""
+"""Session helpers, as the base operators have them."""
 
-from __future__ import annotations
+from cytoframe.functions.session import durable, partitions, shared_dir, table
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Runs df once and returns it read from the shared folder, with its partitions and row order."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["durable", "partitions", "shared_dir", "table"]

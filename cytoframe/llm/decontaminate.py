@@ -51,7 +51,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_hit, n_items, items, contaminated, and _row to tell rows apart.
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items, contaminated; _row tells rows apart, _text (a hash) texts.
 
     n_hit counts the document's words inside any occurrence of a window; items are the sorted ids
     (as strings) of benchmark items with an occurring window; contaminated is n_hit > 0 and
@@ -68,21 +68,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         some = wins.where(F.col("q") == q).select("win", "m", F.explode(_shingles(F.col("words"), F.col("m"), q)).alias("s"))
         some = some.select("win", "m", F.col("s.pos").alias("offset"), F.col("s.shingle").alias("shingle"))
         tokens = some if tokens is None else tokens.unionByName(some)
-    base = docs.select(F.col("doc_id"), words_of(F.col("text")).alias("w")).withColumn("_row", F.monotonically_increasing_id())
+    base = docs.select("doc_id", F.xxhash64("text").alias("_text"), words_of(F.col("text")).alias("w")).withColumn("_row", F.monotonically_increasing_id())
     base = base.withColumn("n_words", F.size("w"))
     head = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("shingle")))
     if not sizes:
         none = F.lit(0).cast("long")
-        return base.select("doc_id", "_row", F.col("n_words").cast("long"), none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
+        return base.select("doc_id", "_text", "_row", F.col("n_words").cast("long"), none.alias("n_hit"), none.alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
     tokens = durable(tokens)
     distinct = tokens.select("shingle").distinct()
     n_tokens = tokens.count()
     every = F.concat(head, *[_shingles(F.col("w"), F.col("n_words"), q) for q in sizes])
-    spread = base.select("doc_id", "_row", "n_words", "w", F.explode(every).alias("s")).select("doc_id", "_row", "n_words", "w", F.col("s.pos").alias("pos"), F.col("s.shingle").alias("shingle"))
-    known = _bounded(distinct.withColumn("known", F.lit(True)), n_tokens)
+    known = distinct.withColumn("known", F.lit(True))
     first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
-    hits = spread.join(known, "shingle", "left").where("pos < 0 OR known")
-    hits = durable(hits.select("doc_id", "_row", "n_words", "pos", "shingle", F.when(F.col("pos") >= 0, F.slice("w", first + 1, 2 * window)).alias("near"), first.alias("near_at")))
+    near = F.when(F.col("pos") >= 0, F.slice("w", first + 1, 2 * window)).alias("near")
+    row = ["doc_id", "_text", "_row", "n_words"]
+    if n_tokens <= BROADCAST_ROWS:
+        spread = base.select(*row, "w", F.explode(every).alias("s")).select(*row, "w", "s.pos", "s.shingle")
+        hits = spread.join(F.broadcast(known), "shingle", "left").where("pos < 0 OR known").select(*row, "pos", "shingle", near, first.alias("near_at"))
+    else:  # only positions and shingles travel to the tokens; a row's words are fetched for its hits, on a table of fixed rows
+        base = durable(base)
+        spread = base.select("_row", F.explode(every).alias("s")).select("_row", "s.pos", "s.shingle").where("pos >= 0")
+        met = spread.join(known, "shingle").groupBy("_row").agg(F.collect_list(F.struct("pos", "shingle")).alias("s"))
+        full = base.join(met, "_row", "left").withColumn("s", F.concat(head, F.coalesce("s", F.array().cast("array<struct<pos:int,shingle:bigint>>"))))
+        hits = full.select(*row, "w", F.explode("s").alias("s")).select(*row, "w", "s.pos", "s.shingle").select(*row, "pos", "shingle", near, first.alias("near_at"))
+    hits = durable(hits)
 
     # The rarest shingle of each window over all documents; a window with one that no document holds occurs nowhere.
     counts = hits.where("pos >= 0").groupBy("shingle").agg(F.count("*").alias("n"))
@@ -98,6 +107,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("m") - F.greatest(F.col("start"), reach))
     covered = found.select("_row", "start", "m").distinct().withColumn("fresh", fresh).groupBy("_row").agg(F.sum("fresh").alias("n_hit"))
     listed = found.select("_row", "win").distinct().join(_bounded(owned.select("win", "item_id"), n_tokens), "win").groupBy("_row").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    out = hits.where("pos < 0").select("doc_id", "_row", F.col("n_words").cast("long")).join(covered, "_row", "left").join(listed, "_row", "left")
+    out = hits.where("pos < 0").select("doc_id", "_text", "_row", F.col("n_words").cast("long")).join(covered, "_row", "left").join(listed, "_row", "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long")).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select("doc_id", "_row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "_text", "_row", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

@@ -1,24 +1,36 @@
-"""Embedding near-dedup: Euclidean p-stable hashing of unit vectors, then exact cosines."""
+"""Embedding near-dedup: Euclidean p-stable hashing of unit vectors, then exact cosines.
+
+Blocks of vectors send their distinct bucket keys to key ranges, which answer with the sizes of buckets
+that other blocks share. A vector travels only to buckets that hold another one: unrelated vectors
+rarely share all projections of a table, so most don't travel at all.
+"""
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cytoframe.llm import _blocks as B
 from cytoframe.llm._graph import components, least_reached
 from cytoframe.llm._session import durable, partitions
+from cytoframe.llm._text import mix
 
+U = np.uint64
 #: Tables, projections a table and the width of a quantised step: two unit vectors at cosine 0.93
-#: (distance 0.374) share one of a table's keys with probability 0.24 and some table with over 0.98.
-TABLES, PROJECTIONS, WIDTH, SEED = 16, 6, 1.5, 11
-#: Rows of a bucket that meet at once; larger buckets are cut in chunks that meet two by two.
-CHUNK, ROWS_PER_TASK = 2048, 16384
+#: (distance 0.374) share one of a table's keys with probability 0.045 and some table with 0.994;
+#: unrelated ones (distance 1.41) share a table's key with 0.000002.
+TABLES, PROJECTIONS, WIDTH, SEED = 112, 14, 1.5, 11
+#: Rows of a bucket that meet at once; larger buckets are cut in chunks that meet two by two. Rows to a task, and to a key range.
+CHUNK, ROWS_PER_TASK, ROWS_PER_RANGE = 2048, 16384, 16384
 
 
+@lru_cache(4)
 def _projections(dim: int, tables: int, per_table: int, width: float, seed: int):
     random = np.random.default_rng(seed)
     return random.standard_normal((dim, tables * per_table)), random.uniform(0, width, tables * per_table)
@@ -27,12 +39,29 @@ def _projections(dim: int, tables: int, per_table: int, width: float, seed: int)
 def _keys(unit: np.ndarray, labels: np.ndarray, tables: int, per_table: int, width: float, seed: int) -> np.ndarray:
     """A 64-bit key of each vector in each table, of its label and quantised projections."""
     axes, shift = _projections(unit.shape[1], tables, per_table, width, seed)
-    steps = np.floor((unit @ axes + shift) / width).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, per_table)
-    key = labels.astype(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, tables + 1, dtype=np.uint64)
+    steps = np.floor((unit @ axes + shift) / width).astype(np.int64).astype(U).reshape(len(unit), tables, per_table)
+    key = mix(labels.astype(np.int64).astype(U)[:, None] * U(0x9E3779B97F4A7C15) + np.arange(1, tables + 1, dtype=U))
     for j in range(per_table):
-        key = (key ^ steps[:, :, j]) * np.uint64(0xFF51AFD7ED558CCD)
-        key ^= key >> np.uint64(32)
-    return key.view(np.int64)
+        key = (key ^ steps[:, :, j]) * U(0xFF51AFD7ED558CCD)
+        key ^= key >> U(32)
+    return mix(key)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length, in double precision and without overflow."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _earlier(own: np.ndarray, tab: int, tabs: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
+    """Keys of rows in the tables before tab in which they share a bucket, a column a table; elsewhere a number of the row's own."""
+    at = [np.flatnonzero(tabs[k] < tab) for k in own]
+    columns = np.unique(np.concatenate([tabs[k][i] for k, i in zip(own, at)]))
+    out = np.tile(np.arange(len(own), dtype=U)[:, None], (1, len(columns)))
+    for row, k, i in zip(out, own, at):
+        row[np.searchsorted(columns, tabs[k][i])] = keys[k][i]
+    return out
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, per_table: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED) -> DataFrame:
@@ -42,53 +71,89 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
     component link with nothing, and vectors of different lengths are never compared. Vectors equal in
     label and components are one class with a count, so copies cost one row; n_links counts each of
     them. Rows with one vec_id count as vectors of their own in n_links and share a component. A pair
-    is counted in the first table in which it meets, so nothing is capped and no pair is emitted.
+    is counted in the first table in which it meets, so nothing is capped and no pair is emitted. Rows
+    find their class by 128 bits of hash. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
+    single = vectors.schema["embedding"].dataType.elementType == T.FloatType()
+    kind, number = ("float", np.float32) if single else ("double", np.float64)
+    e = F.col("embedding").cast(f"array<{kind}>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), e.alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("e").isNotNull() & finite & F.exists("e", lambda x: x != 0), F.lit(False))
-    rows = durable(rows.withColumn("usable", usable).withColumn("e", F.when(F.col("usable"), F.transform("e", lambda x: x + F.lit(0.0)))))
-    classes = rows.where("usable").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-
-    def hash_rows(batches):
-        for batch in batches:
-            e = batch.column("e")
-            sizes = np.diff(e.offsets.to_numpy())
-            flat, offsets = e.values.to_numpy(zero_copy_only=False), e.offsets.to_numpy()
-            labels = batch.column("label").to_numpy()
-            keys, unit_rows = [None] * len(sizes), [None] * len(sizes)
-            for dim in np.unique(sizes):
-                own = np.flatnonzero(sizes == dim)
-                x = flat[offsets[own][:, None] + np.arange(dim)]
-                x = x / np.abs(x).max(1, keepdims=True)
-                unit = x / np.sqrt((x * x).sum(1, keepdims=True))
-                for at, k, u in zip(own, _keys(unit, labels[own] * 65537 + dim, tables, per_table, width, seed), unit):
-                    keys[at], unit_rows[at] = k.tolist(), u.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), pa.array(unit_rows, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "copies", "unit", "keys"])
-
-    hashed = durable(classes.mapInArrow(hash_rows, "id long, copies long, unit binary, keys array<long>"))
-    met = hashed.select("id", "copies", "unit", "keys", F.posexplode("keys").alias("tab", "key"))
-    narrow = hashed.select(F.posexplode("keys").alias("tab", "key"))
-    sizes = narrow.groupBy("tab", "key").agg(F.count("*").alias("n")).where("n > 1").select("tab", "key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    n_rows = hashed.count() * tables
-    tasks = max(2 * partitions(spark), math.ceil(n_rows / ROWS_PER_TASK))
-    met = met.join(sizes, ["tab", "key"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other"))
-    met = met.withColumn("task", F.pmod(F.xxhash64("tab", "key", "a", "b"), F.lit(tasks)).cast("int"))
+    rows = rows.withColumn("usable", usable).withColumn("e", F.transform("e", lambda x: x + F.lit(0.0).cast(kind)))  # no negative zeros
+    digest = [F.xxhash64("label", "e").alias("h1"), F.xxhash64(F.lit(seed), "e", "label").alias("h2")]
+    narrow = durable(rows.select("vec_id", "usable", *digest))
+    classes = durable(rows.where("usable").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    size = classes.agg(F.count("*"), F.sum(F.size("e"))).first()
+    n_rows, n_bytes = size[0], (size[1] or 0) * np.dtype(number).itemsize
+    blocks, ranges = max(1, math.ceil(n_bytes / B.BLOCK_BYTES)), max(2 * partitions(spark), math.ceil(n_rows / ROWS_PER_RANGE))
+    tasks = max(2 * partitions(spark), math.ceil(2 * n_rows / ROWS_PER_TASK))
+    placed = classes.withColumn("block", F.pmod(F.xxhash64("id", "label"), F.lit(blocks)).cast("int"))
+
+    def hashed(table):
+        """Vectors of a block, by length, and their keys."""
+        e, labels = table.column("e").combine_chunks(), table.column("label").to_numpy()
+        offsets = e.offsets.to_numpy()
+        flat, sizes = e.values.to_numpy(zero_copy_only=False), np.diff(offsets)
+        keys, data = np.zeros((len(sizes), tables), U), [b""] * len(sizes)
+        for dim in np.unique(sizes):
+            own = np.flatnonzero(sizes == dim)
+            x = flat[offsets[own][:, None] + np.arange(dim)]
+            keys[own] = _keys(_units(x), labels[own] * 65537 + dim, tables, per_table, width, seed)
+            for k, row in zip(own, x):
+                data[k] = row.astype(number).tobytes()
+        return keys, data
+
+    def send(key, table):
+        keys, _ = hashed(table)
+        return B.packets(key[0].as_py(), *_counted(keys), 64, ranges)
+
+    def _counted(keys):
+        own, n = np.unique(keys, return_counts=True)
+        return own, [n]
+
+    def emit(key, table, reply):
+        keys, data = hashed(table)
+        own, (n,) = _counted(keys)
+        known, total = B.received(reply, 1)
+        at, there = B.lookup(known, own)
+        if len(known):
+            n = np.where(there, total[at], n)
+        n = n[np.searchsorted(own, keys)]
+        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+        row, tab = np.nonzero(n > 1)
+        cuts = np.searchsorted(row, np.arange(len(ids) + 1))
+        tabs, shared = tab.astype(np.uint16), keys[row, tab]
+        chunks = -(-n[row, tab] // CHUNK)
+        chunk = (mix(ids)[row] % chunks.astype(U)).astype(np.int64)
+        copy = np.repeat(np.arange(len(row)), chunks)
+        other = np.arange(len(copy)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        row, tab, bucket, chunk = row[copy], tab[copy], shared[copy], chunk[copy]
+        a, b = np.minimum(chunk, other), np.maximum(chunk, other)
+        task = mix(bucket + mix(a.astype(U) * U(1 << 32) + b.astype(U))) % U(tasks)
+        lists = {name: [x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for name, x in (("tabs", tabs), ("keys", shared))}
+        return pa.table(
+            {
+                "task": task.astype(np.int32), "tab": tab.astype(np.int32), "bucket": bucket.view(np.int64), "a": a.astype(np.int32), "b": b.astype(np.int32), "chunk": chunk.astype(np.int32), "id": ids[row], "copies": copies[row],
+                "vector": pa.array([data[k] for k in row], pa.binary()), **{name: pa.array([x[k] for k in row], pa.binary()) for name, x in lists.items()},
+            }
+        )
 
     def compare(table):
         table = table.combine_chunks()
-        tab, key, a, b, chunk = (table.column(c).to_numpy().astype(np.int64) for c in ("tab", "key", "a", "b", "chunk"))
+        tab, bucket, a, b, chunk = (table.column(c).to_numpy().astype(np.int64) for c in ("tab", "bucket", "a", "b", "chunk"))
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-        units = [np.frombuffer(x.as_buffer(), np.float64) for x in table.column("unit")]
-        keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(len(ids), -1)
-        order = np.lexsort((ids, b, a, key, tab))
-        cuts = np.flatnonzero(np.any([np.diff(x[order], prepend=x[order[0]] - 1) != 0 for x in (tab, key, a, b)], axis=0))
+        data = [np.frombuffer(x.as_buffer(), number) for x in table.column("vector")]
+        tabs, keys = ([np.frombuffer(x.as_buffer(), k) for x in table.column(c)] for c, k in (("tabs", np.uint16), ("keys", U)))
+        order = np.lexsort((ids, b, a, bucket, tab))
+        cuts = np.flatnonzero(np.any([np.diff(x[order], prepend=x[order[0]] - 1) != 0 for x in (tab, bucket, a, b)], axis=0))
         links, root = np.zeros(len(ids), np.int64), ids.copy()
         for own in np.split(order, cuts[1:]):
-            t, x = tab[own[0]], np.stack([units[k] for k in own])
+            if len(own) < 2:
+                continue
+            x, t = _units(np.stack([data[k] for k in own])), tab[own[0]]
+            before = _earlier(own, t, tabs, keys)
             pairs_i, pairs_j = [], []
             for at in range(0, len(own), 512):
                 i, j = np.nonzero(x[at : at + 512] @ x.T >= threshold)
@@ -97,11 +162,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
                 if a[own[0]] != b[own[0]]:
                     across = chunk[own[i]] != chunk[own[j]]
                     i, j = i[across], j[across]
-                if t:
-                    fresh = ~(keys[own[i], :t] == keys[own[j], :t]).any(1)
-                    i, j = i[fresh], j[fresh]
-                pairs_i.append(i)
-                pairs_j.append(j)
+                fresh = ~np.any([before[i, c] == before[j, c] for c in range(before.shape[1])], axis=0) if before.shape[1] else np.ones(len(i), bool)
+                pairs_i.append(i[fresh])
+                pairs_j.append(j[fresh])
             i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
             if len(i):
                 np.add.at(links, own[i], copies[own[j]])
@@ -110,11 +173,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
         some = links > 0
         return pa.table({"id": ids[some], "links": links[some], "root": root[some]})
 
-    found = durable(met.select("task", "tab", "key", "a", "b", "chunk", "id", "copies", "unit", "keys").groupBy("task").applyInArrow(compare, "id long, links long, root long"))
+    sent = placed.groupBy("block").applyInArrow(send, B.PACKET)
+    told = sent.groupBy("range").applyInArrow(B.total_counts, B.REPLY)
+    met = placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(emit, "task int, tab int, bucket long, a int, b int, chunk int, id long, copies long, vector binary, tabs binary, keys binary")
+    found = durable(met.groupBy("task").applyInArrow(compare, "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    classes = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    classes = classes.select(F.col("label"), F.col("e"), F.coalesce("root", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = rows.where("usable").join(classes, ["label", "e"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    named = classes.select("id", "copies", *digest).join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    named = named.select("h1", "h2", F.coalesce("root", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = narrow.where("usable").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    alone = narrow.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

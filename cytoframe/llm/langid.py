@@ -111,7 +111,8 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fits to at most max_rows rows outside the held-out third with a lang and a text.
 
     Languages share the rows evenly, each with its first by a hash of doc_id; what a rare one leaves goes
-    to the others, so no language is lost to those with more rows.
+    to the others, so no language is lost to those with more rows. Of rows with one doc_id and lang the
+    one with the least vector counts.
     """
     known = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
@@ -124,7 +125,8 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_lang"), pa.array([np.round(r * 65535).astype(np.uint16).tobytes() for r in x], pa.binary())], names=["doc_id", "_lang", "x"])
 
     rows = docs.select("doc_id", "text", "lang").join(picked, "doc_id").where("lang = _lang").select("doc_id", "text", "_lang")
-    got = sorted((r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(extract, "doc_id long, _lang string, x binary").dropDuplicates(["doc_id", "_lang"]).collect())
+    distinct = rows.mapInArrow(extract, "doc_id long, _lang string, x binary").groupBy("doc_id", "_lang").agg(F.min("x").alias("x"))
+    got = sorted((r[0], r[1], bytes(r[2])) for r in distinct.collect())
     x = np.stack([np.frombuffer(r[2], np.uint16) for r in got]).astype(np.float32) / 65535 if got else np.zeros((0, 1 << FEATURE_BITS), np.float32)
     return fit(x, [r[1] for r in got])
 

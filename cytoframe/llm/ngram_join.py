@@ -3,9 +3,10 @@
 A document is its set of word shingles. Equal sets are one class. Tokens are counted over all sets,
 and each of ORDERS global orders puts rarer tokens first and breaks ties by a hash of its own. Two
 sets at the threshold share a token among the first n - ceil(t * n) + 1 of each under every order.
-Sets that share such a token under the first order, directly or through others, form a group; sets
-whose rare tokens are their own, which are most, are in none. Within a group the filters of all
-orders and of length are intersected before sets are compared.
+Sets that share such a token under the first order, directly or through others, form a group; a set
+whose rarest tokens are its own, as those of most texts are, is in none, so groups are of texts that
+share nearly all they say. Within a group the filters of all orders and of length are intersected, by
+products of matrices over prefix tokens, and only sets that pass them all are compared.
 
 Groups meet in chunks, two by two, so a group of any size is spread over tasks; a chunk pair gives
 each member the least one it is tied to, never its pairs.
@@ -31,7 +32,7 @@ ORDERS = 3
 #: Sets of a group that meet at once, tokens compared in one step, and about how many rows go to a task.
 CHUNK, COLUMNS, ROWS_PER_TASK = 512, 4096, 4096
 KEYS_PER_BYTE, RANGE_BYTES = 0.2, 16 << 20
-SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, lead boolean, masks array<binary>, tokens binary"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, lead boolean, masks array<binary>, tokens binary"
 
 
 def shingle_sets(texts: Texts, size: int) -> list[np.ndarray]:
@@ -63,22 +64,10 @@ def orders_of(tokens: np.ndarray, counts: np.ndarray, orders: int) -> list[np.nd
     return [np.lexsort((mix(tokens ^ U(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)), counts)) for k in range(orders)]
 
 
-def _count_reply(table):
-    """Reducer of a range: total count of keys that another block holds too."""
-    blocks, (keys, counts) = B.gather(table, 1)
-    order = np.argsort(keys, kind="stable")
-    blocks, keys, counts = blocks[order], keys[order], counts[order]
-    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(head, len(keys)))
-    total = np.repeat(np.add.reduceat(counts, head), sizes) if len(keys) else counts
-    more = total > counts
-    return B.replies(blocks[more], keys[more], [total[more]])
-
-
 def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> DataFrame:
     """A row per document: set size, digest, whether it leads its set in its block, and for leaders that
     may have partners the tokens that some other set holds too, and which of them are the prefix under each order."""
-    blocks, plan = B.in_blocks(docs, KEYS_PER_BYTE, RANGE_BYTES)
+    blocks, plan = B.in_blocks(docs, KEYS_PER_BYTE, RANGE_BYTES, text_hash=F.xxhash64("text"))
     bits, ranges = plan.bits, plan.ranges
     cut = U(64 - bits)
 
@@ -126,6 +115,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> Data
         return pa.table(
             {
                 "doc_id": table.column("doc_id").cast(pa.int64()),
+                "text_hash": table.column("text_hash"),
                 "n_shingles": n,
                 "d1": d1,
                 "d2": d2,
@@ -136,7 +126,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> Data
         )
 
     sent = blocks.groupBy("block").applyInArrow(send, B.PACKET)
-    told = sent.groupBy("range").applyInArrow(_count_reply, B.REPLY)
+    told = sent.groupBy("range").applyInArrow(B.total_counts, B.REPLY)
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(sign, SIGNATURE)
 
 
@@ -193,14 +183,16 @@ def _first_prefix(batches):
 
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs.
+    """(doc_id, n_shingles, component_id, text_hash, kept) of every row of docs.
 
     Words are runs outside U+0020 and U+0009-U+000D with A-Z folded. A set holds the distinct
     shingles of `shingle` words; fewer words are one shingle; without words or text the set is empty
     and links with nothing. Two documents link when 100 * intersection >= percent * union.
     component_id is the smallest doc_id reachable by links, the document's own included. Rows with
     one doc_id share a component only if they link; null ids stand for -2**63 within and get a null
-    component_id if nothing else is there. Other columns are ignored.
+    component_id if nothing else is there. kept marks the row that stands for its component: the least
+    doc_id and, among its rows, the least hash of the text; rows alike in both are marked together. An
+    empty set is kept. Other columns are ignored.
     """
     spark = docs.sparkSession
     signed = signatures(docs, shingle, percent, orders).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
@@ -208,7 +200,7 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     key = ["d1", "d2", "n_shingles"]
     sent = F.col("lead") & F.col("tokens").isNotNull()
     # Classes of equal sets, with a number each, named by their least document, and one row that speaks for each.
-    named = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("least"), F.min(F.when(sent, F.col("row"))).alias("row"))
+    named = signed.where("n_shingles > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), F.min(F.when(sent, F.col("row"))).alias("row"))
     named = durable(named.withColumn("id", F.monotonically_increasing_id()))
     speakers = named.where("row IS NOT NULL").select("id", "row")
     entries = durable(signed.where(sent).select("row", "masks", "tokens").mapInArrow(_first_prefix, "row long, token long").join(speakers, "row").select("id", "token"))
@@ -253,13 +245,14 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     links = durable(met.select(*columns).groupBy("task").applyInArrow(compare, "u long, v long"))
     parts = components(links).withColumnsRenamed({"node": "id", "root": "part"})
     grouped = named.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    least = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
-    grouped = grouped.join(least, "part").select(*key, "component_id")
-    out = signed.select("doc_id", *key)
-    full = out.where("n_shingles > 0").join(grouped, key).select("doc_id", "n_shingles", "component_id")
-    empty = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    least = grouped.groupBy("part").agg(F.min("least").alias("least"))
+    grouped = grouped.drop("least").join(least, "part").select(*key, "least")
+    out = signed.select("doc_id", "text_hash", *key)
+    stands = F.struct("doc_id", "text_hash") == F.col("least")
+    full = out.where("n_shingles > 0").join(grouped, key).select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "text_hash", stands.alias("kept"))
+    empty = out.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(True).alias("kept"))
 
     def restored(column):
         return F.when(F.col(column) != -(2**63), F.col(column)).alias(column)
 
-    return full.unionByName(empty).select(restored("doc_id"), "n_shingles", restored("component_id"))
+    return full.unionByName(empty).select(restored("doc_id"), "n_shingles", restored("component_id"), "text_hash", "kept")

@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cytoframe.llm._session import durable
 from cytoframe.llm._text import Texts, Words, mix, slices
 
 U = np.uint64
-#: log2 of the number of hashed features; the bound on training rows of each class.
-FEATURE_BITS, MAX_ROWS_PER_CLASS = 17, 3000
+#: log2 of the number of hashed features; the bounds on training rows of each class and on the bytes of their features.
+FEATURE_BITS, MAX_ROWS_PER_CLASS, MAX_FEATURE_BYTES = 17, 3000, 96 << 20
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 4, 8
@@ -102,12 +103,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, passes: int
     return Model((w * ratio).astype(np.float32), bias, 4.0, 0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS_PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS_PER_CLASS, max_bytes: int = MAX_FEATURE_BYTES) -> Model:
     """Fits to at most max_rows documents of each class, the first by a hash of doc_id, outside the held-out third.
 
     Rows whose crc32(doc_id as text) mod 3 is 1 are held out. Labels other than 0 and 1 are ignored;
-    an id labelled both ways counts once in each class. Whole texts are read; only the distinct
-    hashed features of those rows reach the driver.
+    an id labelled both ways counts once in each class; of rows with one id the one with the least
+    features counts. Whole texts are read; only the distinct hashed features of those rows reach the
+    driver, up to max_bytes of them, in the same order.
     """
     known = labels.where(~held_out("doc_id") & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("_y")).distinct()
     picked = None
@@ -121,7 +123,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             rows = features(Texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_y"), pa.array([x.astype(np.int32).tobytes() for x in rows], pa.binary())], names=["doc_id", "_y", "features"])
 
-    got = sorted((r["doc_id"], r["_y"], bytes(r["features"])) for r in chosen.mapInArrow(extract, "doc_id long, _y int, features binary").dropDuplicates(["doc_id", "_y"]).collect())
+    rows = chosen.mapInArrow(extract, "doc_id long, _y int, features binary").groupBy("doc_id", "_y").agg(F.min("features").alias("features"))
+    rows = durable(rows.withColumn("_at", F.xxhash64("doc_id")))
+    sizes = sorted(map(tuple, rows.select("_at", "doc_id", "_y", F.length("features")).collect()))  # at most 2 * max_rows
+    fits = int(np.searchsorted(np.cumsum([n for *_, n in sizes]), max_bytes, "right"))
+    if fits < len(sizes):
+        last = sizes[fits][:3]
+        rows = rows.where(F.struct("_at", "doc_id", "_y") < F.struct(*[F.lit(x).cast(k) for x, k in zip(last, ("long", "long", "int"))]))
+    got = sorted((r["doc_id"], r["_y"], bytes(r["features"])) for r in rows.collect())
     return fit([np.frombuffer(x, np.int32) for _, _, x in got], np.array([y for _, y, _ in got]))
 
 
@@ -132,8 +141,11 @@ def held_out(column: str):
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs, then quality_score (0 to 1, higher: class 1) and quality_predicted (1 at 0.5 and over).
 
-    Null and empty texts have no features and get the model's bias. Every row is scored alone.
+    Null and empty texts have no features and get the model's bias. Every row is scored alone. Columns
+    of docs with the names of the two new ones are replaced.
     """
+    docs = docs.drop("quality_score", "quality_predicted")
+
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, "text")):
             score = model.scores(features(Texts(batch.column(batch.schema.names.index("text")))))

@@ -19,7 +19,8 @@ def tokenizer_json(path: str | None = None) -> str:
 
 
 def op1_ngram_join(spark, sf_dir):
-    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+    rows = ngram_join.similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+    return rows.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_secret_scan(spark, sf_dir):

@@ -66,38 +66,53 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def outside(a: int, b: int, base: list[tuple[int, int, int]]):
-    """Parts of a to b that no base span covers; base is sorted by start."""
-    for s, _, e in base:
-        if s >= b:
-            break
-        if s > a:
-            yield a, s
-        a = max(a, e)
-    if a < b:
-        yield a, b
+def merged(spans) -> list[tuple[int, int]]:
+    """Unions of spans (start, end) that overlap, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def uncovered(text: str, base: list[tuple[int, int, int]]):
+    """Parts (start, end) of candidates that no base span covers, in one sweep over both."""
+    taken, at = merged((s, e) for s, _, e in base), 0
+    for candidate in CANDIDATE.finditer(text):
+        a, b = candidate.span()
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        k = at
+        while k < len(taken) and taken[k][0] < b:
+            if taken[k][0] > a:
+                yield a, taken[k][0]
+            a = max(a, taken[k][1])
+            k += 1
+        if a < b:
+            yield a, b
 
 
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of candidates with a window of high entropy in their class, outside base spans and the allow-list."""
     found = []
-    for candidate in CANDIDATE.finditer(text):
-        for a, b in outside(*candidate.span(), base):
-            part = text[a:b]
-            if any(x.fullmatch(part) for x in ALLOW):
-                continue
-            ends = []
-            for shape, window, bits in CLASSES.values():
-                for m in shape.finditer(part):
-                    if got := high_entropy(m[0], window, bits):
-                        ends.append((a + m.start() + got[0], a + m.start() + got[1]))
-            if ends:
-                found.append((min(x for x, _ in ends), 3, max(y for _, y in ends)))
+    for a, b in uncovered(text, base):
+        part = text[a:b]
+        if any(x.fullmatch(part) for x in ALLOW):
+            continue
+        ends = []
+        for shape, window, bits in CLASSES.values():
+            for m in shape.finditer(part):
+                if got := high_entropy(m[0], window, bits):
+                    ends.append((a + m.start() + got[0], a + m.start() + got[1]))
+        if ends:
+            found.append((min(x for x, _ in ends), 3, max(y for _, y in ends)))
     return found
 
 
 SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("text", pa.string())]
+    [("doc_id", pa.int64())]
     + [(k, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))) for k in ("base", "spans")]
 )
 
@@ -110,16 +125,16 @@ def _scan(batches):
             more = entropy_spans(text, own) if text else []
             base.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in own])
             every.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(own + more)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text"), pa.array(base, SCHEMA.field("base").type), pa.array(every, SCHEMA.field("spans").type)], schema=SCHEMA)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(base, SCHEMA.field("base").type), pa.array(every, SCHEMA.field("spans").type)], schema=SCHEMA)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base, spans): spans are arrays of (kind, start, end) by start, then kind; code points, end exclusive.
+    """(doc_id, base, spans): spans are arrays of (kind, start, end) by start, then kind; code points, end exclusive.
 
     base holds the fixed kinds; spans adds `entropy`. Null and empty texts give empty arrays. Rows
     are scanned alone: repeated rows and ids each keep their row; other columns are ignored.
     """
-    schema = "doc_id long, text string, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>"
+    schema = "doc_id long, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>"
     return docs.select("doc_id", "text").mapInArrow(_scan, schema)
 
 
@@ -128,13 +143,7 @@ def mask(text: str | None, spans, mark: str = "[secret]") -> str | None:
     if not spans:
         return text
     out, at = [], 0
-    merged: list[list[int]] = []
-    for s, e in sorted((x["start"], x["end"]) for x in spans):
-        if merged and s < merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], e)
-        else:
-            merged.append([s, e])
-    for s, e in merged:
+    for s, e in merged((x["start"], x["end"]) for x in spans):
         out += [text[at:s], mark]
         at = e
     return "".join(out) + text[at:]

@@ -44,7 +44,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, row_bytes: int = ROW_BYTES
                 ends = before[int(p)] + done.get(int(p), 0) + np.cumsum(size[own])
                 done[int(p)] = int(ends[-1]) - before[int(p)]
                 middle = 2 * ends - size[own]
-                shard[own] = [min(shards - 1, int(x) * shards // (2 * total)) for x in middle]
+                middle = middle if 2 * total * shards < 1 << 62 else middle.astype(object)  # exact whatever the size
+                shard[own] = np.minimum(middle * shards // (2 * total), shards - 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard)], names=[*batch.schema.names, "shard"])
 
     placed = rows.mapInArrow(place, "doc_id long, size long, text_crc32 long, part int, shard int")

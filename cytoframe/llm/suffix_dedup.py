@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
 from cytoframe.llm import _blocks as B
@@ -68,13 +69,31 @@ def later(doc, pos, first):
     return (doc > doc[first]) | ((doc == doc[first]) & (pos > pos[first]))
 
 
+def eights(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers in the order of strings."""
+    return sliding_window_view(data, 8)[at].view(">u8").ravel().astype(U) if len(at) else np.zeros(0, U)
+
+
+def compared(data: np.ndarray, a: np.ndarray, b: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """-1, 0 or 1 as the bytes at a are less than, equal to or more than those at b."""
+    out = np.zeros(len(a), np.int8)
+    for d in np.unique(depth).tolist():
+        rows, every = np.flatnonzero(depth == d), sliding_window_view(data, d)
+        for at in range(0, len(rows), 1 << 14):
+            some = rows[at : at + (1 << 14)]
+            left, right = every[a[some]], every[b[some]]
+            first = (left != right).argmax(1)[:, None]
+            left, right = (np.take_along_axis(x, first, 1).ravel() for x in (left, right))
+            out[some] = (left > right).astype(np.int8) - (left < right)
+    return out
+
+
 class Suffixes:
     """Strings in a byte buffer, given by start and depth, compared by hashes and checked by bytes."""
 
     def __init__(self, data: np.ndarray):
         self.data = data
         self.prefix, self.back = prefix_hash(byte_values(False)[data]), powers(INVERSE, len(data) + 1)
-        self.eight = np.ndarray(max(len(data) - 7, 0), ">u8", np.ascontiguousarray(data), strides=(1,))
 
     def hashed(self, at, size):
         return (self.prefix[at + size] - self.prefix[at]) * self.back[at]
@@ -103,25 +122,13 @@ class Suffixes:
         out[some] = self.data[a[some] + size[some]] < self.data[b[some] + size[some]]
         return out
 
-    def compared(self, a, b, depth):
-        """-1, 0 or 1 as the bytes at a are less than, equal to or more than those at b; depth is 8 at least."""
-        out = np.zeros(len(a), np.int8)
-        for at in range(0, len(a), 1 << 14):
-            x, y, d = (v[at : at + (1 << 14)] for v in (a, b, depth))
-            place = np.minimum(8 * np.arange(-(-int(d.max()) // 8)), d[:, None] - 8)
-            left, right = self.eight[x[:, None] + place], self.eight[y[:, None] + place]
-            rows, first = np.arange(len(x)), (left != right).argmax(1)
-            left, right = left[rows, first], right[rows, first]
-            out[at : at + (1 << 14)] = (left > right).astype(np.int8) - (left < right)
-        return out
-
     def merged(self, starts: np.ndarray, group: np.ndarray, depth: np.ndarray) -> np.ndarray:
         """Order of the strings by group, then as strings: a mergesort of all groups at once. Depths are alike within a group.
 
         In each pass an element's new place is its place in its own run plus the number of elements
         of the neighbouring run that go before it, found by binary search.
         """
-        head = self.eight[starts].astype(U)  # in a group, strings of other first bytes needn't be compared
+        head = eights(self.data, starts)  # in a group, strings of other first bytes needn't be compared
         order = np.lexsort((head, group))
         g, h = group[order], head[order]
         first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]))) if len(order) else np.zeros(0, np.int64)
@@ -154,7 +161,7 @@ class Suffixes:
 
     def may_repeat(self, starts: np.ndarray, group: np.ndarray, depth: np.ndarray) -> np.ndarray:
         """Places of the strings that share their group, first and last eight bytes with another one, by a hash of the three."""
-        code = mix(mix(group.astype(U) * U(0x9E3779B97F4A7C15) + self.eight[starts].astype(U)) + self.eight[starts + depth - 8].astype(U))
+        code = mix(mix(group.astype(U) * U(0x9E3779B97F4A7C15) + eights(self.data, starts)) + eights(self.data, starts + depth - 8))
         order = np.argsort(code, kind="stable")
         same = code[order[1:]] == code[order[:-1]]
         both = np.zeros(len(order), bool)
@@ -168,7 +175,7 @@ class Suffixes:
         near = np.flatnonzero(group[order[1:]] == group[order[:-1]])
         for again in (True, False):
             a, b = order[near], order[near + 1]
-            sign = self.compared(starts[a], starts[b], depth[a])
+            sign = compared(self.data, starts[a], starts[b], depth[a])
             spoilt = np.unique(group[a[sign > 0]])
             if not again or not len(spoilt):
                 break
@@ -194,30 +201,44 @@ def least_of_equals(order: np.ndarray, equal: np.ndarray, doc: np.ndarray, pos:
 
 
 def firsts(data, begin, key, rel, count, doc, pos, length, most: int = 1 << 22):
-    """For each segment the first, by (doc, pos), of those equal to it; `most` bytes of segments or so are sorted at a time."""
+    """For each segment the first, by (doc, pos), of those equal to it.
+
+    Segments of one key and shape are taken by (doc, pos): one whose bytes are those of the one before it
+    is of its class, which settles periodic texts and common passages. The others are sorted, `most` bytes
+    of them or so at a time.
+    """
     first = np.arange(len(key))
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     order = order[np.append(False, same) | np.append(same, False)] if len(order) else order
-    order = order[np.lexsort((count[order], rel[order], key[order]))]
+    if not len(order):
+        return first
+    order = order[np.lexsort((pos[order], doc[order], count[order], rel[order], key[order]))]
     k, r, c = key[order], rel[order], count[order]
-    head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1]))) if len(order) else np.zeros(0, np.int64)
-    size = np.diff(np.append(head, len(order)))
-    shapes = np.flatnonzero(size > 1)  # of what may have an equal
-    load = np.cumsum(size[shapes] * (c[head[shapes]] - 1 + length))
-    at = 0
-    while at < len(shapes):
+    alike = np.append(False, (k[1:] == k[:-1]) & (r[1:] == r[:-1]) & (c[1:] == c[:-1]))
+    at = np.flatnonzero(alike)
+    equal = compared(data, begin[order[at - 1]], begin[order[at]], c[at] - 1 + length) == 0
+    new = np.ones(len(order), bool)  # heads of runs of equals
+    new[at[equal]] = False
+    heads, run = order[new], np.cumsum(new) - 1
+    shape = np.cumsum(~alike)[new]
+    size = np.bincount(shape)
+    some = np.flatnonzero(size[shape] > 1)  # what may have an equal further on
+    load = np.cumsum(count[heads[some]] - 1 + length)
+    whole = np.append(shape[some][1:] != shape[some][:-1], True) if len(some) else np.zeros(0, bool)
+    best, at = heads.copy(), 0
+    while at < len(some):
         end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + most, "right")))
-        some = shapes[at:end]
-        group, offset = _spread(size[some])
-        m = order[head[some][group] + offset]
+        end = end + int(np.argmax(whole[end - 1 :]))  # to the end of a shape
+        m, group = heads[some[at:end]], shape[some[at:end]]
         depth = count[m] - 1 + length
         of, far = _spread(depth)
         strings, start = Suffixes(data[begin[m][of] + far]), np.cumsum(depth) - depth
-        some = strings.may_repeat(start, group, depth)
-        m = m[some]
-        first[m] = m[least_of_equals(*strings.sort(start[some], group[some], depth[some]), doc[m], pos[m])]
+        may = strings.may_repeat(start, group, depth)
+        m = m[may]
+        best[some[at:end][may]] = m[least_of_equals(*strings.sort(start[may], group[may], depth[may]), doc[m], pos[m])]
         at = end
+    first[order] = best[run]
     return first
 
 

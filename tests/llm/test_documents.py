@@ -483,3 +483,105 @@ def test_ngram_join_over_many_blocks(docs, monkeypatch):
     one = found()
     monkeypatch.setattr(_blocks, "BLOCK_BYTES", 900)
     assert found() == one and sum(c != i for i, (_, c) in one.items()) > 5
+
+
+def test_quality_replaces_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "a text", 0.1, "x"), (1, "another text", 0.2, "y")], "doc_id long, text string, quality_score double, quality_predicted string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    many = spark.createDataFrame([(i, ("good words here " if i % 2 else "BAD!! 99 ## ") * 5) for i in range(40)] * 2, "doc_id long, text string")
+    model = quality.train(many, labels)
+    got = quality.score_quality(docs, model)
+    assert got.columns == ["doc_id", "text", "quality_score", "quality_predicted"] and dict(got.dtypes)["quality_predicted"] == "int" and got.count() == 2
+    twice = many.unionByName(many.selectExpr("doc_id", "concat(text, ' more') AS text"))  # ids with two texts
+    weights = [quality.train(twice.repartition(n), labels).weights.tobytes() for n in (1, 5)]
+    assert weights[0] == weights[1]
+    assert quality.train(many, labels, max_bytes=200).weights.any() != quality.train(many, labels, max_bytes=0).weights.any()
+
+
+def test_quality_fit_solves_its_dual():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    labels = rnd.integers(0, 2, 60)
+    rows = [np.unique(rnd.integers(0, 40, 8) + (10 if y else 0)).astype(np.int32) for y in labels]
+    model = quality.fit(rows, labels, passes=600)
+    count = np.ones((2, 1 << quality.FEATURE_BITS))
+    for x, y in zip(rows, labels):
+        count[y, x] += 1
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    x = np.zeros((60, 64))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt(len(r))
+    x[:, 63] = 1  # the bias
+    sign, share = np.where(labels > 0, 1.0, -1.0), labels.mean()
+    cost = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
+    gram = (x @ x.T) * np.outer(sign, sign)
+    alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(200_000):
+        alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, cost)
+    want = x @ (x.T @ (alpha * sign))
+    assert np.abs(model.margins(rows) - want).max() < 0.02
+
+
+def test_language_decoding_against_loops():
+    import math
+
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    names, code = ["a", "b", "c", "d"], langid.codewords(4)
+    model = langid.Model(names, code, rnd.normal(size=(6, code.shape[1])), rnd.normal(size=code.shape[1]), rnd.random(code.shape[1]))
+    x = rnd.normal(size=(20, 6))
+    best, score, lead = model.decode(x)
+    for row, k, s, l in zip(x, best, score, lead):
+        margin = [min(max(float(row @ model.weights[:, j] + model.bias[j]), -8), 8) for j in range(code.shape[1])]
+        loss = [sum(math.exp(-m * int(c)) * t for m, c, t in zip(margin, word, model.trust)) for word in code]
+        shares = [math.exp(-4 * (v - min(loss))) for v in loss]
+        shares = sorted(v / sum(shares) for v in shares)
+        assert loss[k] == min(loss) and abs(s - shares[-1]) < 1e-9 and abs(l - (shares[-1] - shares[-2])) < 1e-9
+
+
+def test_secret_spans_take_one_sweep_and_find_what_all_pairs_find():
+    import time
+
+    def plainly(text, base):
+        out = []
+        for c in secrets.CANDIDATE.finditer(text):
+            free = [all(not s <= i < e for s, _, e in base) for i in range(*c.span())]
+            a = None
+            for i, ok in enumerate([*free, False]):
+                if ok and a is None:
+                    a = i
+                elif not ok and a is not None:
+                    out.append((c.start() + a, c.start() + i))
+                    a = None
+        return out
+
+    rnd = random.Random(6)
+    for _ in range(60):
+        text = " ".join(rnd.choice(["token=" + "aB3" * rnd.randint(2, 9), "AKIA" + "Q7" * rnd.randint(4, 12), "0f" * rnd.randint(5, 20), "Zx9Qw3Lk8Vb2Nm5Tr7Yp1+" + "deadbeef" * 2, "w" * 25, "-x_"]) for _ in range(12)).replace(" ", rnd.choice([" ", "/"]))
+        base = secrets.base_spans(text)
+        assert list(secrets.uncovered(text, base)) == plainly(text, base)
+
+    def seconds(n):
+        text, began = "token=abcdefghijkl0123 Zx9Qw3Lk8Vb2Nm5Tr7Yp1 " * n, time.process_time()
+        assert len(secrets.entropy_spans(text, secrets.base_spans(text))) >= n
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(8000) < 40 * max(seconds(800), 0.01)
+
+
+def test_very_long_texts(spark, tokenizer):
+    long = " ".join(f"w{k * 7919 % 400_009}" for k in range(400_000))  # about 2.6 MB
+    docs = spark.createDataFrame([(1, long), (2, long[1_000_000:2_000_000]), (3, "x" * 3_000_000), (4, "token=" + "aB3" * 400_000)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    words = {r.doc_id: (r.n_words, r.n_removed) for r in window_dedup.remove_repeated_windows(docs).collect()}
+    assert words[1] == (400_000, 0) and words[2][0] - words[2][1] in (0, 1, 2) and words[3] == (1, 0)
+    kept = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeated_bytes(docs).collect()}
+    assert kept[2] == (1_000_000, 1_000_000) and kept[3] == (3_000_000, 2_999_999)
+    assert {r.doc_id: len(r.base) for r in secrets.find_secrets(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    packed = packing.pack_tokens(docs, tokenizer[0], chunked=True).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(packed) == 4 and all(r["sum(length)"] == r["max(doc_tokens)"] for r in packed)
+    model = langid.Model(["en"], langid.codewords(1), None, None, None)
+    assert {r.lang_pred for r in langid.predict_language(docs, model).collect()} == {"en"}

@@ -39,3 +39,15 @@ def test_run_writes_and_rereads_each_stage(spark, sf, tmp_path, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert docs.count() > rows["quality"].count() > rows["near_duplicates"].count() >= rows["decontamination"].count() == rows["secrets"].count()
     assert got.count() == rows["packing"].count() > 0
+
+
+def test_repeated_rows_and_ids(spark, sf):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 200").first().text
+    same, other = "the same ten words stand in all of these rows " * 3, "something else that nobody near has said before now " * 3
+    rows = [(1, same), (1, same), (1, same), (2, same), (1, other), (None, same), (None, other + "x"), (3, ""), (3, ""), (4, item), (4, other + "y z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = sorted((r.doc_id or -1, r.text) for r in P.near_duplicate_stage(spark, docs, sf).collect())
+    assert len(near) == len(set(near)) and (1, same) not in near and (-1, same) in near and near.count((3, "")) == 1
+    assert [i for i, t in near if t.startswith("something")] == [-1]
+    clean = sorted((r.doc_id or -1, r.text) for r in P.decontamination_stage(spark, docs, sf).collect())
+    assert clean == sorted((i or -1, t) for i, t in rows if t != item)
