@@ -30,17 +30,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of each group of near duplicates (five-word shingles, 0.8) with the least doc_id."""
+    """Keeps one row of each group of near duplicates (five-word shingles, 0.8): the least doc_id and, among its rows, the least hash of the text.
+
+    Rows alike in id and text are one document, with or without words. Texts without words are in no group.
+    """
     groups = ngram_join.similar_documents(_only(docs), ngram_join.SHINGLE, ngram_join.PERCENT)
-    kept = groups.where("component_id <=> doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return _only(docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi"))
+    # A null id takes two plain columns, so that one shuffle serves the join and the search for repeated rows.
+    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_null": F.col("doc_id").isNull()}
+    kept = groups.where("kept").withColumns(key).select(*key, "text_hash").distinct()
+    rows = _only(docs).withColumns({**key, "text_hash": F.xxhash64("text")})
+    return _only(rows.join(kept, [*key, "text_hash"], "left_semi").dropDuplicates([*key, "text_hash"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the benchmark contaminates."""
+    """Drops documents that the benchmark contaminates; rows are judged by their texts, not their ids."""
     judged = decontaminate.contamination(_only(docs), table(spark, sf_dir, "benchmark"))
-    found = judged.where("contaminated").select(F.col("doc_id").alias("_found")).distinct()
-    return _only(docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti"))
+    found = judged.where("contaminated").select(F.col("doc_id").alias("_found"), "_text").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_found")) & (F.xxhash64("text") == F.col("_text"))
+    return _only(docs.join(found, same, "left_anti"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
