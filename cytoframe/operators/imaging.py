@@ -61,9 +61,8 @@ def otsu(px: DataFrame, keys: Sequence[str] = ("image_id",), bins: int = 256, va
     step = (F.col("_b") - F.col("_a")) / bins
     k = F.least(F.floor((F.col(value) - F.col("_a")) / step), F.lit(bins - 1))
     counted = px.join(ends, list(keys)).where("_b > _a").groupBy(*keys, k.alias("k"), "_a", "_b").agg(F.count("*").alias("n"))
-    every = ends.where("_b > _a").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
-    rows = every.join(counted.drop("_a", "_b"), [*keys, "k"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rows = rows.withColumn("c", F.col("_a") + (F.col("k") + 0.5) * step)
+    # The variance changes only at bins that hold a pixel, so empty ones need no rows.
+    rows = counted.withColumn("c", F.col("_a") + (F.col("k") + 0.5) * step)
     w = Window.partitionBy(*keys).orderBy("k")
     up, down = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
     rows = rows.withColumns({"w1": F.sum("n").over(up), "w2": F.sum("n").over(down), "s1": F.sum(F.col("n") * F.col("c")).over(up), "s2": F.sum(F.col("n") * F.col("c")).over(down)})

@@ -149,11 +149,17 @@ def scaler_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return one.select(F.inline(F.array(*columns)))
 
 
-def evenly_spaced(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """n rows of each group at equal steps of rank, both ends in; all of a smaller group."""
+def evenly_spaced(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, seed: int | None = None) -> DataFrame:
+    """n rows of each group at equal steps of rank, both ends in; all of a smaller group.
+
+    With a seed and n = 1, groups of five or more give a row from between their ends, by a hash of the key.
+    """
     w = Window.partitionBy(*keys)
     rows = df.withColumns({"_rank": F.row_number().over(w.orderBy(*order)) - 1, "_total": F.count("*").over(w)})
     wanted = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * (F.col("_total") - 1) / max(1, n - 1)).cast("int"))
+    if n == 1 and seed is not None:
+        drawn = F.floor(unit_hash(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]), seed) * (F.col("_total") - 2)).cast("int") + 1
+        wanted = F.when(F.col("_total") > 4, F.array(drawn)).otherwise(wanted)
     return rows.where((F.col("_total") <= n) | F.array_contains(wanted, F.col("_rank"))).drop("_rank", "_total")
 
 

@@ -269,7 +269,7 @@ def fits(df: DataFrame, keys: Sequence[str], ident: Sequence[str], interval: flo
 
     Every segment counts, unless max_segments (0: no bound) keeps a condition's first by a hash of their
     identity. Tasks add up moments; a start is a task of its own over these. A condition without segments
-    gives a row `no_valid_segments`.
+    gives a row `no_valid_segments`, a fit that fails one whose status says why.
     """
     from pyspark.sql import Window
 
@@ -282,14 +282,17 @@ def fits(df: DataFrame, keys: Sequence[str], ident: Sequence[str], interval: flo
     sums, scales = (part.withColumn("start_id", start_ids).groupBy(*names, "start_id") for part in (moments(rows, keys), step_scales(rows, keys, interval)))
 
     def fit(key, table, scale):
-        table = table.assign(_k=[tuple(x) for x in table["steps"]]).sort_values("_k")
-        scale = scale.iloc[0].to_dict()
-        data = padded_moments(table["steps"].tolist(), table["n"].tolist(), table["s"].tolist(), interval)
-        begin = starts(scale, n_starts, seed)[key[-1] - 1]
-        x, value, done = minimise(lambda p: -moment_log_likelihood(p, *data), np.log(begin))
+        n, time = int(table["n"].sum()) if len(table) else 0, float(scale["time"].iloc[0]) if len(scale) else None
+        try:
+            table = table.assign(_k=[tuple(x) for x in table["steps"]]).sort_values("_k")
+            scale = scale.iloc[0].to_dict()
+            data = padded_moments(table["steps"].tolist(), table["n"].tolist(), table["s"].tolist(), interval)
+            begin = starts(scale, n_starts, seed)[key[-1] - 1]
+            x, value, done = minimise(lambda p: -moment_log_likelihood(p, *data), np.log(begin))
+        except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError) as e:
+            return pd.DataFrame([[*key, *[None] * 5, f"error: {type(e).__name__}: {e}", *[None] * 3, n, time]])
         tau, velocity, noise = np.exp(x)
-        row = [*key, tau, velocity, noise, velocity * velocity * tau, -value, "converged" if done else "step_limit", *begin, int(table["n"].sum()), float(scale["time"])]
-        return pd.DataFrame([row])
+        return pd.DataFrame([[*key, tau, velocity, noise, velocity * velocity * tau, -value, "converged" if done else "step_limit", *begin, n, time]])
 
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in names)
     done = sums.cogroup(scales).applyInPandas(fit, f"{kinds}, start_id int, {FIT}")
@@ -313,36 +316,53 @@ def simulate(tracks: DataFrame, interval: float = 2.0, seed: int = 17) -> DataFr
     seed alone, so any partitioning gives the same tracks.
     """
 
+    def walked(part):
+        n, most = part["n_frames"].to_numpy(int), int(part["n_frames"].max())
+        noise = np.zeros((len(part), most + 1, 3, 2))  # of the position, of the state's two parts, by frame
+        for row, t, m in zip(noise, part["track_id"], n):
+            row[: m + 1] = np.random.default_rng([seed, int(t) & 0x7FFFFFFF]).normal(size=(m + 1, 3, 2))
+        velocity, seen_by = (part[c].to_numpy(float)[:, None] for c in ("velocity_scale", "obs_noise"))
+        f12, phi, q11, q12, q22 = (v[:, None] for v in transition(np.full(len(part), interval), part["tau"].to_numpy(float), velocity[:, 0]))
+        a = np.sqrt(q11 + 1e-12)
+        b = q12 / a
+        c = np.sqrt(np.maximum(q22 + 1e-12 - b * b, 0))
+        place, seen = np.zeros((len(part), 2)), np.empty((len(part), most, 2))
+        speed = velocity * noise[np.arange(len(part)), n, 0]
+        for k in range(most):
+            seen[:, k] = place + seen_by * noise[:, k, 0]
+            one, two = noise[:, k, 1], noise[:, k, 2]
+            place, speed = place + f12 * speed + a * one, phi * speed + b * one + c * two
+        real = np.arange(most) < n[:, None]
+        frame = np.broadcast_to(np.arange(most, dtype=np.int32), real.shape)[real]
+        return pd.DataFrame({"track_id": np.repeat(part["track_id"].to_numpy(), n), "frame": frame, "x": seen[real][:, 0], "y": seen[real][:, 1]})
+
     def run(parts):
         for part in parts:
-            out = []
-            for r in part.itertuples(index=False):
-                random = np.random.default_rng([seed, int(r.track_id) & 0x7FFFFFFF])
-                f12, phi, q11, q12, q22 = (float(v) for v in transition(interval, r.tau, r.velocity_scale))
-                root = np.linalg.cholesky(np.array([[q11, q12], [q12, q22]]) + 1e-12 * np.eye(2))
-                state = np.vstack([np.zeros(2), random.normal(0, r.velocity_scale, 2)])
-                for k in range(int(r.n_frames)):
-                    seen = state[0] + random.normal(0, r.obs_noise, 2)
-                    out.append((r.track_id, k, seen[0], seen[1]))
-                    state = np.vstack([state[0] + f12 * state[1], phi * state[1]]) + root @ random.normal(size=(2, 2))
-            yield pd.DataFrame(out, columns=["track_id", "frame", "x", "y"])
+            part = part[part["n_frames"] > 0]
+            for at in range(0, len(part), 512):  # tracks that walk together
+                yield walked(part.iloc[at : at + 512])
 
     return tracks.select("track_id", "n_frames", "tau", "velocity_scale", "obs_noise").mapInPandas(run, "track_id long, frame int, x double, y double")
 
 
-def fit_logistic(df: DataFrame, outcome: str, covariates: Sequence[str], group: str | None = None, penalty: float = 1.0, steps: int = 12) -> dict[str, float]:
+def fit_logistic(df: DataFrame, outcome: str, covariates: Sequence[str], group: str | None = None, penalty: float | None = None, steps: int = 16) -> dict[str, float]:
     """Logistic regression by iterated weighted least squares, with a random intercept per group if named.
 
     Each step is one aggregation of sums of products; with groups their penalised intercepts are
-    eliminated from group sums first, so the driver holds a matrix of the covariates alone.
+    eliminated from group sums first, so the driver holds a matrix of the covariates alone. Unless a
+    penalty (one over the intercepts' variance) is given, each step also moves the variance towards the
+    mean over groups of the squared intercept and of its variance given the data, half as far again, and
+    the result names it (group variance).
     """
+    variance = 1.0 if penalty is None else 1 / penalty
     names = ["(intercept)", *covariates]
     beta = np.zeros(len(names))
     columns = [F.lit(1.0), *[F.col(c).cast("double") for c in covariates]]
     y = F.col(outcome).cast("double")
     offsets = None
+    few = group is not None and df.select(group).distinct().limit(100_001).count() <= 100_000  # such groups are broadcast
     for _ in range(steps):
-        rows = df if offsets is None else df.join(F.broadcast(offsets) if offsets.count() <= 100_000 else offsets, group, "left")
+        rows = df if offsets is None else df.join(F.broadcast(offsets) if few else offsets, group, "left")
         eta = sum((float(b) * c for b, c in zip(beta, columns)), F.lit(0.0))
         if offsets is not None:
             eta = eta + F.coalesce("_u", F.lit(0.0))
@@ -358,8 +378,9 @@ def fit_logistic(df: DataFrame, outcome: str, covariates: Sequence[str], group:
                 h[i, j] = h[j, i] = r[f"h{i}_{j}"]
         else:
             own = rows.groupBy(group).agg(*sums, F.first("_u").alias("_u") if offsets is not None else F.lit(0.0).alias("_u"))
-            d = F.col("h0_0") + F.lit(penalty)
-            residual = F.col("g0") - penalty * F.col("_u")
+            tight = 1 / variance
+            d = F.col("h0_0") + F.lit(tight)
+            residual = F.col("g0") - tight * F.col("_u")
             folded = [F.sum(F.col(f"h{i}_{j}") - F.col(f"h0_{i}") * F.col(f"h0_{j}") / d).alias(f"h{i}_{j}") for i, j in pairs]
             folded += [F.sum(F.col(f"g{i}") - F.col(f"h0_{i}") * residual / d).alias(f"g{i}") for i in range(len(names))]
             r = own.agg(*folded).first()
@@ -371,18 +392,24 @@ def fit_logistic(df: DataFrame, outcome: str, covariates: Sequence[str], group:
             shift = sum((F.col(f"h0_{i}") * float(m) for i, m in enumerate(move)), F.lit(0.0))
             from cytoframe.functions.session import durable
 
-            offsets = durable(own.select(group, (F.col("_u") + (residual - shift) / d).alias("_u")))
+            offsets = durable(own.select(group, (F.col("_u") + (residual - shift) / d).alias("_u"), (1 / d).alias("_given")))
+            old = variance
+            if penalty is None:
+                seen = offsets.agg(F.avg(F.col("_u") * F.col("_u") + F.col("_given"))).first()[0] or old
+                variance = max(old * (seen / old) ** 1.5, 1e-4)
+            offsets = offsets.drop("_given")
         beta = beta + move
-        if np.abs(move).max() < 1e-8:
+        if np.abs(move).max() < 1e-8 or np.abs(move).max() < 1e-3 and group is not None and penalty is None and abs(np.log(variance / old)) < 0.02:
             break
-    return dict(zip(names, beta.tolist()))
+    found = dict(zip(names, beta.tolist()))
+    return found if group is None else found | {"(group variance)": variance}
 
 
 def score_logistic(coefficients: dict[str, float]) -> Column:
-    """Population-level probability from coefficients; group intercepts don't enter."""
+    """Population-level probability from coefficients; group intercepts and their variance don't enter."""
     eta = F.lit(coefficients["(intercept)"])
     for name, b in coefficients.items():
-        if name != "(intercept)":
+        if not name.startswith("("):
             eta = eta + b * F.col(name).cast("double")
     return 1 / (1 + F.exp(-eta))
 
@@ -394,6 +421,19 @@ def link_objects(df: DataFrame, keys: Sequence[str], radius: float) -> DataFrame
     last position is nearest, the nearest pairs first, or begins a track. Adds track, from 1.
     """
 
+    def within(at, guess):
+        """Pairs of places nearer than the radius, the nearest first, by cells of that size."""
+        cells: dict[tuple[int, int], list[int]] = {}
+        for j, cell in enumerate(np.floor(guess / radius).astype(int).tolist()):
+            cells.setdefault(tuple(cell), []).append(j)
+        found = []
+        for i, (a, b) in enumerate(np.floor(at / radius).astype(int).tolist()):
+            near = [j for c in (a - 1, a, a + 1) for d in (b - 1, b, b + 1) for j in cells.get((c, d), ())]
+            if near:
+                far = np.sqrt(((guess[near] - at[i]) ** 2).sum(1))
+                found += [(d, i, j) for d, j in zip(far.tolist(), near) if d <= radius]
+        return [(i, j) for _, i, j in sorted(found)]
+
     def link(table):
         table = table.sort_values(["frame", "label"], ignore_index=True)
         ids, following = np.zeros(len(table), np.int64), 1
@@ -404,11 +444,7 @@ def link_objects(df: DataFrame, keys: Sequence[str], radius: float) -> DataFrame
             taken: set[int] = set()
             if live:
                 guess = np.array([last[t][1] + last[t][2] for t in live])
-                far = np.sqrt(((at[:, None] - guess[None]) ** 2).sum(2))
-                for k in np.argsort(far, axis=None, kind="stable"):
-                    i, j = np.unravel_index(k, far.shape)
-                    if far[i, j] > radius:
-                        break
+                for i, j in within(at, guess):
                     if ids[rows[i]] == 0 and live[j] not in taken:
                         ids[rows[i]] = live[j]
                         taken.add(live[j])

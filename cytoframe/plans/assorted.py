@@ -106,4 +106,12 @@ ORACLE_SQL = {
     "external_scaling": A.sql(A.TRACKS_SQL, ", k AS (SELECT avg(frame) AS mf, stddev_samp(frame) AS sf, avg(x) AS mx, stddev_samp(x) AS sx FROM tracks WHERE track_id % 2 = 0) SELECT ploidy, dose, round(avg((frame - mf) / sf), 6) AS z_frame, round(avg((x - mx) / sx), 6) AS z_x FROM tracks, k GROUP BY ploidy, dose"),
     "parameter_levels": A.sql(M.STEPS_SQL, """, v AS (SELECT quantile_cont(step_distance, 0.5) / sqrt(2.0) AS v FROM steps GROUP BY ploidy, dose), q AS (SELECT 'low' AS level, quantile_cont(v, 0.1) AS v FROM v UNION ALL SELECT 'high', quantile_cont(v, 0.9) FROM v)
         SELECT level, persistence, round(v, 4) AS v, round(4 * v * v * tau * tau * (5 / tau - 1 + exp(-5 / tau)), 3) AS msd FROM q, (VALUES ('short', 2.0), ('long', 8.0)) t(persistence, tau)"""),
+    "object_intensity": A.sql(A.IMAGES_SQL, """, o AS (SELECT image_id, CAST(y // 4 * 2 + x // 4 AS INTEGER) AS label, v FROM images),
+        z AS (SELECT image_id, label, abs((v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-6)) AS z FROM o WINDOW w AS (PARTITION BY image_id, label)),
+        e AS (SELECT image_id, label, min(z) AS a, max(z) AS b FROM z GROUP BY ALL),
+        h AS (SELECT image_id, label, CAST(least(floor((z - a) / ((b - a) / 256)), 255) AS BIGINT) AS k, count(*) AS n FROM z JOIN e USING (image_id, label) WHERE b > a GROUP BY ALL),
+        r AS (SELECT g.image_id, g.label, g.k, coalesce(n, 0) AS n, a + (g.k + 0.5) * ((b - a) / 256) AS c FROM (SELECT image_id, label, a, b, unnest(range(256)) AS k FROM e WHERE b > a) g LEFT JOIN h ON h.image_id = g.image_id AND h.label = g.label AND h.k = g.k),
+        s AS (SELECT *, sum(n) OVER u AS w1, sum(n) OVER d AS w2, sum(n * c) OVER u AS s1, sum(n * c) OVER d AS s2 FROM r WINDOW u AS (PARTITION BY image_id, label ORDER BY k ROWS UNBOUNDED PRECEDING), d AS (PARTITION BY image_id, label ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+        t AS (SELECT image_id, label, arg_max(c, (w1 * w2 * power(s1 / greatest(w1, 1) - s2 / greatest(w2, 1), 2), -k)) AS threshold FROM s WHERE k < 255 AND n > 0 GROUP BY ALL UNION ALL SELECT image_id, label, a FROM e WHERE b <= a)
+        SELECT image_id, label, count(*) FILTER (z >= threshold) AS n_kept, round(avg(z), 4) AS mean_abs_z FROM z JOIN t USING (image_id, label) GROUP BY ALL"""),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cytoframe.functions.session import durable
 from cytoframe.operators import raster as R
+from cytoframe.operators.summaries import global_quantiles
 from cytoframe.sources import adapters as A
 
 
@@ -125,17 +126,33 @@ def largest_object(spark, sf_dir):
     return sizes.where("n >= 20").orderBy(F.col("n").desc(), "label").limit(5)
 
 
+#: Factor and shift of each colour, modulo 255.
+COLOURS = {"red": (37, 41), "green": (67, 89), "blue": (97, 131)}
+
+
 def label_colours(spark, sf_dir):
     """A colour of each label, from its number alone."""
     label = F.col("label")
-    return A.pixels(spark, sf_dir).select("label").distinct().select("label", *[F.pmod(label * m + 41, F.lit(192)).cast("long").alias(c) for c, m in (("red", 37), ("green", 67), ("blue", 97))])
+    return A.pixels(spark, sf_dir).select("label").distinct().select("label", *[F.pmod(label * m + k, F.lit(255)).cast("long").alias(c) for c, (m, k) in COLOURS.items()])
+
+
+#: Shares of the size quantiles and thresholds under which objects are counted.
+SIZE_SHARES, SIZE_LIMITS = (0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1), (100, 500, 1000, 2000, 5000, 10000)
+
+
+def size_quantiles(spark, sf_dir):
+    """Quantiles of the sizes of all objects of the stack, and how many are under each threshold."""
+    sizes = A.pixels(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    names = {f"q{round(100 * q)}": q for q in SIZE_SHARES}
+    under = sizes.agg(*[F.count_if(F.col("n") < t).alias(f"under_{t}") for t in SIZE_LIMITS])
+    return global_quantiles(sizes, "n", names).select(*[F.round(n, 4).alias(n) for n in names]).crossJoin(under)  # one row each
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         object_table, frame_object_counts, volume_summary, boundary_pixels, touching_objects, overlap_links, stitched_objects, stitch_summary,
-        relabelled, mask_under_point, disc_overlaps, nearest_centres, nearest_masks, nearest_mask_pairs, nearest_mask_pixels, farthest_object, nearest_summary, largest_object, label_colours,
+        relabelled, mask_under_point, disc_overlaps, nearest_centres, nearest_masks, nearest_mask_pairs, nearest_mask_pixels, farthest_object, nearest_summary, largest_object, label_colours, size_quantiles,
     )
 }
 
@@ -190,5 +207,6 @@ ORACLE_SQL = {
     "nearest_masks": A.sql(NEAREST_SQL, "SELECT frame, label, round(distance, 6) AS distance, round(greatest(distance - 1, 0), 6) AS gap FROM near"),
     "nearest_summary": A.sql(NEAREST_SQL, "SELECT frame, count(*) AS n, count(*) FILTER (distance IS NULL) AS n_missing, round(quantile_cont(distance, 0.5), 4) AS median, round(quantile_cont(distance, 0.9), 4) AS p90, round(quantile_cont(distance, 0.99), 4) AS p99, round(max(distance), 4) AS most FROM (SELECT DISTINCT frame, label FROM pixels) LEFT JOIN near USING (frame, label) GROUP BY frame"),
     "largest_object": A.sql(A.PIXELS_SQL, "SELECT label, count(*) AS n FROM pixels GROUP BY label HAVING count(*) >= 20 ORDER BY n DESC, label LIMIT 5"),
-    "label_colours": A.sql(A.PIXELS_SQL, "SELECT DISTINCT label, CAST((label * 37 + 41) % 192 AS BIGINT) AS red, CAST((label * 67 + 41) % 192 AS BIGINT) AS green, CAST((label * 97 + 41) % 192 AS BIGINT) AS blue FROM pixels"),
+    "label_colours": A.sql(A.PIXELS_SQL, "SELECT DISTINCT label, CAST((label * 37 + 41) % 255 AS BIGINT) AS red, CAST((label * 67 + 89) % 255 AS BIGINT) AS green, CAST((label * 97 + 131) % 255 AS BIGINT) AS blue FROM pixels"),
+    "size_quantiles": A.sql(A.PIXELS_SQL, "SELECT " + ", ".join(f"round(quantile_cont(n, {q}), 4) AS q{round(100 * q)}" for q in SIZE_SHARES) + ", " + ", ".join(f"count(*) FILTER (n < {t}) AS under_{t}" for t in SIZE_LIMITS) + " FROM (SELECT label, count(*) AS n FROM pixels GROUP BY label)"),
 }

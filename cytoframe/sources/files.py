@@ -52,10 +52,11 @@ def _counts(values) -> dict[str, int]:
     return dict(sorted(out.items()))
 
 
-def walk(spark: SparkSession, root: str, timeout: float = 2.0, sample: int = 50, max_depth: int = 64) -> DataFrame:
+def walk(spark: SparkSession, root: str, timeout: float = 2.0, sample: int = 50) -> DataFrame:
     """Records of every directory under a root that all executors mount, level by level.
 
-    A level is one job over its folders; only the record table and the folders of the next level exist between jobs.
+    A level is one job over its folders; only the record table and the folders of the next level exist between
+    jobs. It ends where a level has no folders; links to folders are not followed.
     """
     from cytoframe.functions.session import durable, partitions
 
@@ -73,7 +74,7 @@ def walk(spark: SparkSession, root: str, timeout: float = 2.0, sample: int = 50,
 
     level = spark.createDataFrame([(root, 0)], "path string, depth int")
     out = None
-    for _ in range(max_depth):
+    while True:
         found = durable(level.repartition(partitions(spark), "path").mapInPandas(visit, schema))
         out = found if out is None else out.unionByName(found)
         level = found.select(F.explode("children").alias("path"), (F.col("depth") + 1).cast("int").alias("depth"))

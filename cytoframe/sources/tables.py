@@ -226,3 +226,46 @@ def flat_tracks(df: DataFrame, arrays: Sequence[str]) -> DataFrame:
     """One row per point of tracks with parallel arrays; the other columns repeat."""
     rest = [c for c in df.columns if c not in arrays]
     return df.select(*rest, F.explode(F.arrays_zip(*arrays)).alias("_p")).select(*rest, *[F.col(f"_p.{a}").alias(a) for a in arrays])
+
+
+def elapsed_label(frame: str = "frame", hours: float = 2, base: int = 0) -> Column:
+    """Time since the first frame as `01d04h00m`; frames are `hours` apart and count from `base`."""
+    since = ((F.col(frame) - base) * hours).cast("bigint")
+    return F.format_string("%02dd%02dh00m", F.floor(since / 24).cast("bigint"), F.pmod(since, F.lit(24)))
+
+
+def isolated_tracks(spark: SparkSession, paths: Sequence[str], wells: Sequence[str] | None = None, sep: str = "\t") -> DataFrame:
+    """Tables of isolated tracks bound by name, each row with source_file.
+
+    split_track_id gets the name in `file` before it; a missing well is read from that name; rows without
+    a frame, a place or a track are left out; wells keeps rows of those wells by either. Numbers are cast.
+    """
+    rows = require_columns(bind_with_source(spark, paths, sep), ["file", "well", "site", "split_track_id", "frame", "x", "y"])
+    named = F.regexp_extract("file", r"^[A-H][0-9]{1,2}", 0)
+    rows = rows.withColumn("well_from_file", F.when(named != "", named))
+    rows = rows.withColumns({
+        "well": F.coalesce("well", "well_from_file"), "site": F.col("site").try_cast("int"), "split_track_id": F.when(F.col("split_track_id").isNotNull(), F.concat_ws("::", "file", "split_track_id")),
+        **{c: F.col(c).try_cast("double") for c in ("frame", "x", "y")},
+    })
+    rows = rows.dropna(subset=["frame", "x", "y", "split_track_id"])
+    return rows if wells is None else rows.where(F.col("well_from_file").isin(*wells) | F.col("well").isin(*wells))
+
+
+#: Columns that combined tracks keep, with their kinds.
+LIGHT = "source string, ploidy string, dose double, dose_label string, site_id string, track_id string, frame int, track_step int, x double, y double"
+
+
+def light_tracks(spark: SparkSession, df: DataFrame | None, kinds: str = LIGHT) -> DataFrame:
+    """The light columns of tracks; a typed empty table where there are none or a column is missing."""
+    names = [c.strip().split(" ")[0] for c in kinds.split(",")]
+    if df is None or not set(names) <= set(df.columns):
+        return spark.createDataFrame([], kinds)
+    return df.select(*[F.col(n).cast(k.strip().split(" ")[1]).alias(n) for n, k in zip(names, kinds.split(","))])
+
+
+def in_batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
+    """Adds batch, from 1: rows of each key cut in batches of `size` in the given order; rows of a batch share a partition."""
+    from cytoframe.operators.summaries import ranked
+
+    rows = ranked(df, order, keys).withColumn("batch", (F.floor(F.col("rank") / size) + 1).cast("int")).drop("rank", "total")
+    return rows.repartition(*keys, "batch")

@@ -235,3 +235,93 @@ def test_segmentation_inputs_have_their_channels(spark):
 def test_presets_fill_missing_pixels(spark):
     rows = [(1, z, y, x, float(x)) for z in range(2) for y in range(4) for x in range(5) if (z, y, x) != (1, 2, 3)]
     assert imaging.apply_preset(spark.createDataFrame(rows, "image_id long, z int, y int, x int, v double"), "abs_z").count() == 40
+
+
+def test_linking_by_cells_is_greedy_nearest(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(0, f, k, float(y), float(x)) for f in range(6) for k, (y, x) in enumerate(rnd.random((40, 2)) * 30)]
+    got = W.link_objects(spark.createDataFrame(rows, "key int, frame int, label int, y double, x double"), ["key"], 2.5).collect()
+    track = {(r.frame, r.label): r.track for r in got}
+    places, last, following = {(f, k): np.array([y, x]) for _, f, k, y, x in rows}, {}, 1
+    for f in range(6):
+        live = {t: p + v for t, (g, p, v) in last.items() if g == f - 1}
+        pairs = sorted((float(np.sqrt(((places[f, k] - p) ** 2).sum())), k, n, t) for n, (t, p) in enumerate(live.items()) for k in range(40))
+        chosen = {}
+        for d, k, _, t in pairs:
+            if d <= 2.5 and k not in chosen and t not in chosen.values():
+                chosen[k] = t
+        for k in range(40):
+            if k not in chosen:
+                chosen[k], following = following, following + 1
+            t = chosen[k]
+            last[t] = (f, places[f, k], places[f, k] - last[t][1] if t in last else np.zeros(2))
+            assert track[f, k] == t
+
+
+def test_group_variance_is_estimated(spark):
+    rnd = np.random.default_rng(9)
+    rows = []
+    for g, u in enumerate(rnd.normal(0, 1.5, 120)):
+        x = rnd.normal(size=80)
+        rows += [(g, float(a), int(rnd.random() < 1 / (1 + np.exp(-(-0.5 + 0.8 * a + u))))) for a in x]
+    df = spark.createDataFrame(rows, "g int, x double, y int").cache()
+    got = W.fit_logistic(df, "y", ["x"], "g")
+    assert abs(got["x"] - 0.8) < 0.12 and 1.4 < got["(group variance)"] < 3.2
+    assert W.fit_logistic(df, "y", ["x"], "g", penalty=1 / 2.25)["(group variance)"] == 2.25
+    assert "(group variance)" not in W.fit_logistic(df, "y", ["x"])
+
+
+def test_simulated_tracks_follow_the_model(spark):
+    rows = spark.range(3000).selectExpr("id AS track_id", "CAST(6 AS INT) AS n_frames", "4.0D AS tau", "2.0D AS velocity_scale", "0.5D AS obs_noise")
+    got = W.simulate(rows).toPandas()
+    assert len(got) == 18000 and sorted(got.frame.unique()) == list(range(6))
+    last = got[got.frame == 5]
+    f = got[got.frame == 0].set_index("track_id")
+    msd = (((last.set_index("track_id")[["x", "y"]] - f[["x", "y"]]) ** 2).sum(axis=1)).mean()
+    t = 10.0
+    want = 4 * 2.0**2 * 4.0**2 * (t / 4.0 - 1 + np.exp(-t / 4.0)) + 4 * 0.25
+    assert abs(msd / want - 1) < 0.1
+    again = W.simulate(rows.repartition(7)).toPandas().sort_values(["track_id", "frame"])
+    assert np.allclose(again[["x", "y"]], got.sort_values(["track_id", "frame"])[["x", "y"]])
+    assert W.simulate(rows.where("false")).count() == 0
+
+
+def test_ranks_within_keys_and_global_quantiles(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(k, int(k) % 3 if k % 7 else None, float(v)) for k, v in enumerate(rnd.integers(0, 9, 200))]
+    df = spark.createDataFrame(rows, "i long, g int, v double")
+    for r in S.ranked(df, ["v", "i"], ["g"]).collect():
+        own = sorted((v, i) for i, g, v in rows if g == r.g)
+        assert own[r["rank"]] == (r.v, r.i) and r.total == len(own)
+    shares = {"a": 0.0, "b": 0.13, "c": 0.5, "d": 0.987, "e": 1.0}
+    got = S.global_quantiles(df, "v", shares).first()
+    assert np.allclose([got[n] for n in shares], np.quantile([v for _, _, v in rows], list(shares.values())))
+    assert S.global_quantiles(df.where("false"), "v", shares).first().a is None
+
+
+def test_neighbours_in_time_of_repeated_missing_and_null_frames(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(int(t) if t else None, int(f) if f < 9 else None, bool(p), k) for k, (t, f, p) in enumerate(zip(rnd.integers(0, 4, 150), rnd.integers(0, 10, 150), rnd.integers(0, 2, 150)))]
+    df = spark.createDataFrame(rows, "t int, frame int, passes_point boolean, k int")
+    df = df.withColumns({f: df.k % (i + 2) == 0 for i, f in enumerate(C.FLAGS)})
+    for r in C.neighbours_in_time(df, ["t"], ["k"]).collect():
+        beside = {d: sorted((k, p) for t, f, p, k in rows if t is not None and f is not None and r.frame is not None and t == r.t and f == r.frame + d) for d in (1, -1)}
+        assert r.next_point == any(p for _, p in beside[1]) and r.has_previous_point == any(p for _, p in beside[-1])
+        assert r.raw_next_exists == bool(beside[1])
+        assert r.next_passes_point == (beside[1][0][1] if beside[1] else None)
+        assert r.next_passes_link == (beside[1][0][0] % 2 == 0 if beside[1] else None)
+
+
+def test_survival_weights_are_products_over_links(spark):
+    rnd = np.random.default_rng(6)
+    links = [(t, f, float(rnd.choice([0.0, 0.5, 0.9, -0.2])), float(rnd.choice([0.0, 0.4, 0.8]))) for t in range(4) for f in range(20) if rnd.random() < 0.9]
+    pairs = [(t, f, lag) for t in range(4) for f in range(20) for lag in (1, 2, 3)]
+    survival = spark.createDataFrame(links, "t int, frame int, numer double, denom double")
+    got = {(r.t, r.frame, r.lag): r.weight for r in C.survival_weights(spark.createDataFrame(pairs, "t int, frame int, lag int"), survival, ["t"]).collect()}
+    usable = {(t, f): n / d for t, f, n, d in links if d > 0}
+    want = {}
+    for t, f, lag in pairs:
+        parts = [usable.get((t, f + k)) for k in range(lag)]
+        if None not in parts:
+            want[t, f, lag] = float(np.prod(parts))
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)

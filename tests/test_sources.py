@@ -113,3 +113,23 @@ def test_landing_records_are_scored(spark, tmp_path):
     query.awaitTermination(60)
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert row.z_score == 7 and row.origin == "raw_hint"
+
+
+def test_tracks_labels_and_batches(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("file\twell\tsite\tsplit_track_id\tframe\tx\ty\nB03_run\t\t1\t7\t0\t1.5\t2\nB03_run\tC01\t1\t\t0\t1\t2\n")
+    (tmp_path / "b.tsv").write_text("file\twell\tsite\tsplit_track_id\tframe\tx\ty\textra\nrun\tD04\tq\t9\t1\t3\t4\tz\nB11_r\t\t2\t1\t2\tNA\t1\tz\n")
+    paths = [str(tmp_path / n) for n in ("a.tsv", "b.tsv")]
+    got = {r.split_track_id: r for r in tables.isolated_tracks(spark, paths).collect()}
+    assert set(got) == {"B03_run::7", "run::9"} and got["B03_run::7"].well == "B03" and got["run::9"].site is None and got["run::9"].well_from_file is None
+    assert got["B03_run::7"].source_file == "a.tsv" and got["B03_run::7"].x == 1.5
+    assert [r.split_track_id for r in tables.isolated_tracks(spark, paths, ["D04"]).collect()] == ["run::9"]
+    frames = spark.createDataFrame([(0,), (13,), (25,)], "frame int")
+    assert [r[0] for r in frames.orderBy("frame").select(tables.elapsed_label()).collect()] == ["00d00h00m", "01d02h00m", "02d02h00m"]
+    assert tables.light_tracks(spark, frames).count() == 0 and len(tables.light_tracks(spark, None).columns) == 10
+    rows = spark.createDataFrame([(g, k) for g in "ab" for k in range(7)], "g string, k int")
+    batches = {(r.g, r.k): r.batch for r in tables.in_batches(rows, ["g"], ["k"], 3).collect()}
+    assert all(b == k // 3 + 1 for (_, k), b in batches.items())
+    from cytoframe.operators.summaries import evenly_spaced
+
+    one = {r.g: r.k for r in evenly_spaced(rows, ["g"], ["k"], 1, seed=3).collect()}
+    assert set(one) == {"a", "b"} and all(0 < k < 6 for k in one.values())
