@@ -92,11 +92,14 @@ def _hints(text: Column) -> Column:
 def profiles(names: DataFrame) -> DataFrame:
     """One row per path: sorted distinct values of every kind, counts of names and images, and coverage of channels.
 
-    n_timepoints adds the distinct counts of three kinds of time. image_names are the first KEPT_NAMES;
-    hints tells whether any image name holds a word of the two lists of origins.
+    n_timepoints adds the distinct counts of three kinds of time. image_names, z_names and t_names are the
+    distinct ones among the first KEPT_NAMES rows of images and of names with a plane or a time; hints tells
+    whether any image name holds a word of the two lists of origins.
     """
-    place = F.dense_rank().over(Window.partitionBy("path", "is_image").orderBy("name"))
-    rows = parsed_names(names).withColumns({"_place": place, "_hint": F.when(F.col("is_image"), _hints(F.col("name")))})
+    kept = {"image_names": F.col("is_image"), "z_names": F.col("z").isNotNull(), "t_names": F.coalesce(F.col("t"), F.col("elapsed").cast("string"), F.col("acquired")).isNotNull()}
+    w = Window.partitionBy("path").orderBy("name").rowsBetween(Window.unboundedPreceding, 0)
+    rows = parsed_names(names).withColumn("_hint", F.when(F.col("is_image"), _hints(F.col("name"))))
+    rows = rows.withColumns({f"_in_{n}": rule & (F.count_if(rule).over(w) <= KEPT_NAMES) for n, rule in kept.items()})
     sets = {"z_values": "z", "t_values": "t", "elapsed_minutes": "elapsed", "acquired_at": "acquired", "acquired_minutes": "minute", "planes": "plane", "wells": "well"}
     fields = F.array_compact(F.array("reader_field", "site"))
     seen = F.array_compact(F.concat("channels", F.array("reader_channel")))
@@ -104,7 +107,7 @@ def profiles(names: DataFrame) -> DataFrame:
     out = rows.groupBy("path").agg(
         F.count("*").alias("n_names"), F.count_if("is_image").alias("n_images"), *[F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()],
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(fields)))).alias("fields"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(seen)))).alias("channels"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("coverage"), F.array_sort(F.collect_set(F.when(F.col("is_image") & (F.col("_place") <= KEPT_NAMES), F.col("name")))).alias("image_names"),
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("coverage"), *[F.array_sort(F.collect_set(F.when(F.col(f"_in_{n}"), F.col("name")))).alias(n) for n in kept],
         F.struct(*[F.coalesce(F.bool_or(f"_hint.{k}"), F.lit(False)).alias(k) for k in ("derived", "raw")]).alias("hints"),
     )
     return out.withColumn("n_timepoints", F.size("t_values") + F.size("elapsed_minutes") + F.size("acquired_at"))
@@ -194,14 +197,15 @@ def tracking_score(status: str = "origin", stacks: str = "n_stacks") -> Column:
     return _stepped(F.col("n_timepoints"), (5, 5), (2, 3), (1, 1)) + _stepped(n["wells"], (2, 2), (1, 1)) + _points((F.col("n_images") > 0, 1), (n["fields"] >= 2, 1), (n["channels"] > 0, 1), (n["cell_lines"] > 0, 1), (F.col(stacks) > 0, 2), (F.col(status) == "derived", -2))
 
 
-STACK_LISTS = ("stack_kinds", "stack_pages", "stack_shapes", "stack_examples", "stack_errors")
+STACK_LISTS = ("stack_kinds", "stack_sizes", "stack_pages", "stack_shapes", "stack_examples", "stack_errors")
 
 
 def stack_profiles(probed: DataFrame) -> DataFrame:
     """Rows of probe_tiffs by directory: n_stacks, the files with a stack kind, and sorted lists of what they show."""
     stack = F.coalesce(F.col("kind"), F.lit("")) != ""
     cut = F.element_at(F.split("path", "/"), -1)
-    text = {"stack_kinds": F.col("kind"), "stack_pages": F.col("pages").cast("string"), "stack_shapes": F.concat_ws("x", F.col("height").cast("string"), F.col("width").cast("string")), "stack_examples": cut}
+    sizes = F.col("sizes") if "sizes" in probed.columns else F.lit(None).cast("string")
+    text = {"stack_kinds": F.col("kind"), "stack_sizes": sizes, "stack_pages": F.col("pages").cast("string"), "stack_shapes": F.concat_ws("x", F.col("height").cast("string"), F.col("width").cast("string")), "stack_examples": cut}
     lists = [F.array_sort(F.collect_set(F.when(stack, c))).alias(n) for n, c in text.items()]
     return probed.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.count_if(stack).cast("int").alias("n_stacks"), *lists, F.array_sort(F.collect_set("error")).alias("stack_errors"))
 
@@ -407,14 +411,38 @@ def without_suffix(name: Column, suffixes: Sequence[str]) -> Column:
     return chosen
 
 
-def candidate_rows(rows: DataFrame, score: str, example_limit: int = KEPT_NAMES) -> DataFrame:
-    """Scored directories as flat rows of a candidate table: counts, rendered lists, spacing and examples."""
-    counts = {"distinct_z": "z_values", "distinct_planes": "planes", "distinct_wells": "wells", "distinct_fields_or_sites": "fields", "distinct_channels": "channels"}
-    return rows.select(
-        F.col(score).alias("score"), "path", F.col("origin").alias("raw_or_derived"), F.col("n_images").alias("image_like_count"), *[F.size(c).alias(n) for n, c in counts.items()],
-        F.col("n_timepoints").alias("distinct_timepoints"), F.col("spacing.least").alias("min_time_spacing_minutes"), F.col("spacing.upper_median").alias("median_time_spacing_minutes"), F.col("spacing.unit").alias("time_spacing_unit"),
-        compact(F.col("channels")).alias("channels"), (F.size("channels") >= 2).cast("int").alias("has_multiple_channels"), coverage_text().alias("channel_z_or_plane_coverage"), F.array_join("cell_lines", "; ").alias("cell_line_hits"),
-        F.array_join("context", " / ").alias("path_context"), compact(F.col("z_values")).alias("z_values"), compact(F.array_sort(F.concat(F.col("t_values"), F.transform("elapsed_minutes", lambda v: v.cast("string")), F.col("acquired_at")))).alias("time_values"),
-        F.col("n_stacks").alias("stack_tiff_count_sampled"), *[compact(F.col(f"stack_{c}")).alias(f"stack_tiff_{c.removesuffix('s') if c == 'kinds' else c}") for c in ("kinds", "pages", "shapes")],
-        F.array_join(F.slice("image_names", 1, example_limit), "; ").alias("examples"), F.array_join(F.slice("stack_examples", 1, example_limit), "; ").alias("stack_tiff_examples"), F.array_join("stack_errors", "; ").alias("stack_tiff_errors"),
-    )
+def focus_texts(focus: str = "focus") -> dict[str, Column]:
+    """What focus_matches found as texts: the best ratio, the best term with its token, and all matches."""
+    best = F.aggregate(focus, F.lit(None).cast("struct<term:string,token:string,ratio:double>"), lambda a, m: F.when(a.isNull() | (m["ratio"] > a["ratio"]), m).otherwise(a))
+    every = F.transform(focus, lambda m: F.when(m["token"] == m["term"], F.concat(m["term"], F.lit(":exact"))).otherwise(F.concat_ws(":", m["term"], F.lit("soft"), m["token"], F.format_string("%.2f", m["ratio"]))))
+    return {
+        "tracking_focus_score": F.when(best.isNotNull(), F.format_string("%.2f", best["ratio"])), "tracking_focus_best_match": F.when(best.isNotNull(), F.concat_ws(":", best["term"], best["token"])), "tracking_focus_matches": F.array_join(every, "; "),
+    }
+
+
+def candidate_rows(rows: DataFrame, score: str, example_limit: int = KEPT_NAMES, records: DataFrame | None = None) -> DataFrame:
+    """Scored directories as flat rows of a candidate table, in the columns and order of its file.
+
+    Counts are numbers, NULL where unknown (blank in a written table). Examples are names with a plane for
+    the z score and with a time for the tracking score, else image names. records: directory records, for
+    status, entries, files and the image-like count; without one a path has the count of its names. A
+    column focus, of focus_matches, fills the focus columns.
+    """
+    if records is None:
+        rows = rows.withColumns({"status": F.lit(""), "Nentries": F.lit(None).cast("bigint"), "Nfiles": F.lit(None).cast("bigint"), "_like": F.lit(None).cast("bigint")})
+    else:
+        known = records.select("path", F.coalesce("status", F.lit("")).alias("status"), "Nentries", "Nfiles", map_count("extension_counts", "sampleExtensions").alias("_like")).dropDuplicates(["path"])
+        rows = rows.join(known, "path", "left").withColumn("status", F.coalesce("status", F.lit("")))
+    named = F.col("z_names" if score == "z_score" else "t_names")
+    examples = F.when(F.size(named) > 0, named).otherwise(F.col("image_names"))
+    times = F.array_sort(F.concat(F.col("t_values"), F.transform("elapsed_minutes", lambda v: v.cast("string")), F.col("acquired_at")))
+    focus = focus_texts() if "focus" in rows.columns else {c: F.lit("") for c in ("tracking_focus_score", "tracking_focus_best_match", "tracking_focus_matches")}
+    out = {
+        "score": F.col(score), "path": F.col("path"), "status": F.col("status"), "raw_or_derived": F.col("origin"), "Nentries": F.col("Nentries"), "Nfiles": F.col("Nfiles"), "image_like_count": F.coalesce("_like", "n_images"), "sample_image_count": F.col("n_images"),
+        "stack_tiff_count_sampled": F.col("n_stacks"), "stack_tiff_kind": compact(F.col("stack_kinds")), "stack_tiff_ome_sizes": compact(F.col("stack_sizes")), "stack_tiff_pages": compact(F.col("stack_pages")), "stack_tiff_shapes": compact(F.col("stack_shapes")),
+        "distinct_z": F.size("z_values"), "distinct_planes": F.size("planes"), "distinct_timepoints": F.col("n_timepoints"), "min_time_spacing_minutes": F.col("spacing.least"), "median_time_spacing_minutes": F.col("spacing.upper_median"), "time_spacing_unit": F.col("spacing.unit"),
+        "distinct_wells": F.size("wells"), "distinct_fields_or_sites": F.size("fields"), "channels": compact(F.col("channels")), "distinct_channels": F.size("channels"), "has_multiple_channels": (F.size("channels") >= 2).cast("int"), "channel_z_or_plane_coverage": coverage_text(),
+        "cell_line_hits": F.array_join("cell_lines", "; "), **focus, "path_context": F.array_join("context", " / "), "z_values": compact(F.col("z_values")), "time_values": compact(times),
+        "stack_tiff_examples": F.array_join(F.slice("stack_examples", 1, example_limit), "; "), "stack_tiff_errors": F.array_join("stack_errors", "; "), "examples": F.array_join(F.slice(examples, 1, example_limit), "; "),
+    }
+    return rows.select(*[c.alias(n) for n, c in out.items()])

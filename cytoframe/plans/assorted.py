@@ -10,6 +10,7 @@ from cytoframe.operators import raster as R
 from cytoframe.operators import summaries as S
 from cytoframe.operators import tracks as T
 from cytoframe.operators import walk_model as W
+from cytoframe.plans import inventory as PI
 from cytoframe.plans import motility as M
 from cytoframe.sources import adapters as A
 from cytoframe.sources import tables
@@ -114,4 +115,13 @@ ORACLE_SQL = {
         s AS (SELECT *, sum(n) OVER u AS w1, sum(n) OVER d AS w2, sum(n * c) OVER u AS s1, sum(n * c) OVER d AS s2 FROM r WINDOW u AS (PARTITION BY image_id, label ORDER BY k ROWS UNBOUNDED PRECEDING), d AS (PARTITION BY image_id, label ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
         t AS (SELECT image_id, label, arg_max(c, (w1 * w2 * power(s1 / greatest(w1, 1) - s2 / greatest(w2, 1), 2), -k)) AS threshold FROM s WHERE k < 255 AND n > 0 GROUP BY ALL UNION ALL SELECT image_id, label, a FROM e WHERE b <= a)
         SELECT image_id, label, count(*) FILTER (z >= threshold) AS n_kept, round(avg(z), 4) AS mean_abs_z FROM z JOIN t USING (image_id, label) GROUP BY ALL"""),
+    "candidate_table": A.sql(PI.SCORED_SQL, """, few AS (SELECT path, list(DISTINCT name ORDER BY name) FILTER (z IS NOT NULL) AS zn, list(DISTINCT name ORDER BY name) FILTER (img) AS im,
+          list_sort(list_distinct(list_concat(coalesce(list(t) FILTER (t IS NOT NULL), []), coalesce(list(elapsed::VARCHAR) FILTER (elapsed IS NOT NULL), []), coalesce(list(strftime(acquired, '%Y-%m-%d %H:%M')) FILTER (acquired IS NOT NULL), [])))) AS ts FROM pr GROUP BY path)
+        SELECT z_score AS score, path, '' AS status, origin AS raw_or_derived, NULL::BIGINT AS Nentries, NULL::BIGINT AS Nfiles, n_images AS image_like_count, n_images AS sample_image_count,
+          0 AS stack_tiff_count_sampled, '' AS stack_tiff_kind, '' AS stack_tiff_ome_sizes, '' AS stack_tiff_pages, '' AS stack_tiff_shapes, n_z AS distinct_z, n_planes AS distinct_planes, n_timepoints AS distinct_timepoints,
+          least AS min_time_spacing_minutes, upper_median AS median_time_spacing_minutes, unit AS time_spacing_unit, n_wells AS distinct_wells, n_fields AS distinct_fields_or_sites, coalesce(channel_text, '') AS channels, n_channels AS distinct_channels, CAST(n_channels >= 2 AS INTEGER) AS has_multiple_channels,
+          coalesce(coverage, '') AS channel_z_or_plane_coverage, cell_lines AS cell_line_hits, '' AS tracking_focus_score, '' AS tracking_focus_best_match, '' AS tracking_focus_matches, array_to_string(parts[greatest(len(parts) - 4, 1):], ' / ') AS path_context,
+          array_to_string(list_concat(zs[1:12], CASE WHEN len(zs) > 12 THEN ['...(+' || (len(zs) - 12) || ')'] ELSE [] END), '; ') AS z_values, array_to_string(list_concat(ts[1:12], CASE WHEN len(ts) > 12 THEN ['...(+' || (len(ts) - 12) || ')'] ELSE [] END), '; ') AS time_values,
+          '' AS stack_tiff_examples, '' AS stack_tiff_errors, array_to_string(CASE WHEN len(zn) > 0 THEN zn ELSE coalesce(im, []) END[1:8], '; ') AS examples
+        FROM scd LEFT JOIN chs USING (path) JOIN few USING (path) WHERE z_score >= 4"""),
 }

@@ -126,7 +126,7 @@ def stack_kind(header: dict) -> str:
 
 
 def probe_tiffs(files: DataFrame) -> DataFrame:
-    """(path, kind, pages, height, width, error) of TIFF files read as (path, content)."""
+    """(path, kind, pages, height, width, sizes, error) of TIFF files read as (path, content); sizes as declared, in a fixed order."""
 
     def run(parts):
         for part in parts:
@@ -134,9 +134,11 @@ def probe_tiffs(files: DataFrame) -> DataFrame:
             for path, content in zip(part["path"], part["content"]):
                 try:
                     h = tiff_header(bytes(content))
-                    rows.append((path, stack_kind(h), h["pages"], h["height"], h["width"], None))
+                    declared = dict(SIZES.findall(h["description"]))
+                    sizes = ",".join(f"{k}={int(declared[k])}" for k in ("SizeC", "SizeT", "SizeZ", "SizeY", "SizeX") if k in declared)
+                    rows.append((path, stack_kind(h), h["pages"], h["height"], h["width"], sizes or None, None))
                 except (ValueError, struct.error) as e:
-                    rows.append((path, None, None, None, None, type(e).__name__))
-            yield pd.DataFrame(rows, columns=["path", "kind", "pages", "height", "width", "error"]).astype({c: "Int64" for c in ("pages", "height", "width")})
+                    rows.append((path, None, None, None, None, None, type(e).__name__))
+            yield pd.DataFrame(rows, columns=["path", "kind", "pages", "height", "width", "sizes", "error"]).astype({c: "Int64" for c in ("pages", "height", "width")})
 
-    return files.select("path", "content").mapInPandas(run, "path string, kind string, pages long, height long, width long, error string")
+    return files.select("path", "content").mapInPandas(run, "path string, kind string, pages long, height long, width long, sizes string, error string")
