@@ -26,6 +26,8 @@ LENGTH, GRAM = 100, 24
 #: Bits of a position in a block; a block is one document at least, so documents up to 2**32 bytes fit.
 PLACE_BITS = 32
 KEYS_PER_BYTE, RANGE_BYTES = 0.03, 8 << 20
+#: Window starts that are hashed at once.
+SLICE = 1 << 20
 NO_DOC = np.iinfo(np.int64).min
 
 
@@ -42,26 +44,23 @@ class Segments:
     """Runs of window starts with one anchor: start, count, place of the anchor from the start, and key of each, in order."""
 
     def __init__(self, texts: Texts, length: int, gram: int, bits: int):
-        prefix = prefix_hash(byte_values(False)[texts.bytes])
-        n = len(texts.bytes)
-        self.start = self.count = self.rel = np.zeros(0, np.int64)
-        self.key = np.zeros(0, U)
-        if n >= length:
-            grams = rolling_hash(prefix, gram)
-            mask = U((1 << PLACE_BITS) - 1)
+        n, mask = len(texts.bytes), U((1 << PLACE_BITS) - 1)
+        parts = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),)]
+        for a in range(0, n - length + 1, SLICE):  # of window starts, so that a long text takes no more room
+            b = min(a + SLICE, n - length + 1)
+            grams = rolling_hash(prefix_hash(byte_values(False)[texts.bytes[a : b + length - 1]]), gram)
             anchor = (sliding_least((grams & ~mask) | np.arange(len(grams), dtype=U), length - gram + 1) & mask).astype(np.int64)
-            size = np.diff(texts.offsets)
-            last = np.repeat(texts.offsets[1:], size)[: len(anchor)]
-            anchor[np.arange(len(anchor)) + length > last] = -1
+            start = np.arange(a, b)
+            anchor[start + length > texts.offsets[np.searchsorted(texts.offsets, start, "right")]] = -1
             cuts = np.flatnonzero(np.diff(anchor, prepend=-2))
-            ends = np.append(cuts[1:], len(anchor))
-            real = anchor[cuts] >= 0
-            place = anchor[cuts][real]
-            self.start, self.count, self.rel = cuts[real], (ends - cuts)[real], place - cuts[real]
-            self.key = mix(grams[place]) >> U(64 - bits)  # least hashes are small; mixed, they spread over ranges
+            count, real = np.diff(np.append(cuts, b - a)), anchor[cuts] >= 0
+            cuts, count = cuts[real], count[real]
+            parts.append((a + cuts, count, a + anchor[cuts], mix(grams[anchor[cuts]]) >> U(64 - bits)))  # least hashes are small; mixed, they spread over ranges
+        start, count, place, key = (np.concatenate(x) for x in zip(*parts))
+        new = np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + count[:-1])) if len(start) else np.zeros(0, bool)
+        self.count = np.add.reduceat(count, np.flatnonzero(new)) if len(start) else count
+        self.start, self.rel, self.key = start[new], (place - start)[new], key[new]
         self.text = np.searchsorted(texts.offsets, self.start, "right") - 1
-        while (empty := texts.offsets[self.text + 1] <= self.start).any():  # empty texts share an offset
-            self.text[empty] += 1
 
 
 def later(doc, pos, first):
@@ -401,17 +400,15 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         index = index.astype(np.int64)
         parts = [(gone, np.zeros(len(gone), np.int64), s.count[gone] - 1), (index, low, high), _shared(level, first[level], index, low, high)]
         owner, low, high = (np.concatenate(x).astype(np.int64) for x in zip(*parts))
-        change = np.zeros(len(texts.bytes) + 1, np.int64)
+        change = np.zeros(len(texts.bytes) + 1, np.int32)
         np.add.at(change, s.start[owner] + low, 1)
         np.add.at(change, s.start[owner] + high + length, -1)
-        removed = np.cumsum(change)[:-1] > 0
-        so_far = np.append(0, np.cumsum(removed))
+        removed = np.cumsum(change, dtype=np.int32)[:-1] > 0
         edge = removed.copy()
         edge[1:] &= ~removed[:-1]
         begins = texts.offsets[:-1][texts.offsets[:-1] < len(removed)]
         edge[begins] = removed[begins]
-        edges = np.append(0, np.cumsum(edge))
-        n_removed, n_spans = np.diff(so_far[texts.offsets]), np.diff(edges[texts.offsets])
+        n_removed, n_spans = (np.diff(np.searchsorted(np.flatnonzero(x), texts.offsets)) for x in (removed, edge))
         kept = [texts.bytes[a:b][~removed[a:b]].tobytes() if n else texts.bytes[a:b].tobytes() for a, b, n in zip(texts.offsets[:-1], texts.offsets[1:], n_removed)]
         return pa.table({"doc_id": table.column("doc_id").cast(pa.int64()), "n_bytes": np.diff(texts.offsets), "n_removed": n_removed, "n_spans": n_spans, "kept": pa.array(kept, pa.binary())})
 

@@ -116,6 +116,20 @@ def test_suffix_dedup(docs, rows, none, length, gram):
     assert suffix_dedup.remove_repeated_bytes(none).count() == 0
 
 
+def test_segments_do_not_depend_on_slices(rows, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = suffix_dedup.Texts(pa.array([t for _, t, *_ in rows]))
+    whole = suffix_dedup.Segments(texts, 100, 24, 64)
+    text = texts.offsets[np.searchsorted(texts.offsets, whole.start, "right")]
+    assert (whole.start + whole.count - 1 + 100 <= text).all()
+    for n in (1, 37, 5000):
+        monkeypatch.setattr(suffix_dedup, "SLICE", n)
+        part = suffix_dedup.Segments(texts, 100, 24, 64)
+        assert all((getattr(whole, c) == getattr(part, c)).all() for c in ("start", "count", "rel", "key", "text"))
+
+
 def test_suffix_dedup_over_many_blocks(docs, rows, monkeypatch):
     from cytoframe.llm import _blocks
 
