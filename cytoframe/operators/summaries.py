@@ -88,18 +88,25 @@ def ranked(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> Dat
     return met.withColumn("rank", F.col("_before") + F.col("_local")).drop("_part", "_local", "_before", *[f"_k_{c}" for c in ("_part", *keys)])
 
 
-def global_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """One row of linearly interpolated quantiles of all rows, one column each; NULL without a value.
+def global_quantiles(df: DataFrame, value: str, shares: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Linearly interpolated quantiles, one column each: a row for all rows (NULL without a value), or one for each key that has a value.
 
     Values are counted first and cut by range; each range adds up its counts from those of the ranges
-    before it, so no task holds all distinct values.
+    before it, so no task holds all distinct values of a key.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    cut = durable(counted.repartitionByRange(partitions(df.sparkSession), "_v").withColumn("_part", F.spark_partition_id()))
-    parts = cut.groupBy("_part").agg(F.sum("_n").alias("_count"))
-    shifts = parts.select("_part", F.coalesce(F.sum("_count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_count").over(Window.partitionBy()).alias("_total"))
-    so_far = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    rows = cut.withColumn("_end", so_far).join(F.broadcast(shifts), "_part").withColumn("_end", F.col("_before") + F.col("_end"))  # a row per partition
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    cut = durable(counted.repartitionByRange(partitions(df.sparkSession), *keys, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = cut.groupBy("_part", *keys).agg(F.sum("_n").alias("_count"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = parts.select("_part", *keys, F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"), F.sum("_count").over(Window.partitionBy(*keys)).alias("_total"))
+    so_far = F.sum("_n").over(Window.partitionBy("_part", *keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = cut.withColumn("_end", so_far)
+    if keys:
+        shifts = shifts.withColumnsRenamed({c: f"_k_{c}" for c in ("_part", *keys)})
+        rows = rows.join(shifts, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in ("_part", *keys)])
+    else:
+        rows = rows.join(F.broadcast(shifts), "_part")  # a row per partition
+    rows = rows.withColumn("_end", F.col("_before") + F.col("_end"))
     out = {}
     for name, share in shares.items():
         place = share * (F.col("_total") - 1)
@@ -109,7 +116,7 @@ def global_quantiles(df: DataFrame, value: str, shares: dict[str, float]) -> Dat
 
         low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
         out[name] = F.when(low == high, low).otherwise(low * (1 - part) + high * part)
-    return rows.agg(*[c.alias(n) for n, c in out.items()])
+    return rows.groupBy(*keys).agg(*[c.alias(n) for n, c in out.items()])
 
 
 def capped(df: DataFrame, value: str, share: float, name: str) -> DataFrame:

@@ -126,8 +126,10 @@ wts AS (SELECT s.ploidy, s.dose, s.site_id, s.track_id, s.frame, lag, any_value(
 def survival_weights(spark, sf_dir, max_lag=3):
     """Quantiles of the weights by lag, and their caps."""
     rows = _weights(spark, sf_dir, max_lag)
-    out = rows.groupBy("lag").agg(F.count("*").alias("n"), F.percentile("weight", F.lit(0.5)).alias("median"), F.percentile("weight", F.lit(0.95)).alias("p95"), F.percentile("weight", F.lit(0.99)).alias("p99"), F.max("weight").alias("most"), F.least(F.percentile("weight", F.lit(0.95)), F.lit(20.0)).alias("cap"))
-    return _rounded(out, "median", "p95", "p99", "most", "cap")
+    rows = durable(rows.select("lag", "weight"))
+    shares = S.global_quantiles(rows, "weight", {"median": 0.5, "p95": 0.95, "p99": 0.99}, ["lag"])
+    out = rows.groupBy("lag").agg(F.count("*").alias("n"), F.max("weight").alias("most")).join(shares, "lag")
+    return _rounded(out.withColumn("cap", F.least("p95", F.lit(20.0))), "median", "p95", "p99", "most", "cap")
 
 
 def survival_weights_5(spark, sf_dir):

@@ -27,11 +27,8 @@ def frame_object_counts(spark, sf_dir):
 def volume_summary(spark, sf_dir):
     """Objects, greatest label, sizes, size quantiles and counts under thresholds, of the whole stack."""
     sizes = A.pixels(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
-    out = sizes.agg(
-        F.count("*").alias("n_objects"), F.max("label").alias("max_label"), F.min("n").alias("min_size"), F.percentile("n", F.lit(0.5)).alias("median_size"), F.max("n").alias("max_size"),
-        F.percentile("n", F.lit(0.1)).alias("q10"), F.percentile("n", F.lit(0.9)).alias("q90"), F.count_if(F.col("n") < 50).alias("under_50"), F.count_if(F.col("n") < 100).alias("under_100"),
-    )
-    return _rounded(out, "median_size", "q10", "q90")
+    counts = sizes.agg(F.count("*").alias("n_objects"), F.max("label").alias("max_label"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.count_if(F.col("n") < 50).alias("under_50"), F.count_if(F.col("n") < 100).alias("under_100"))
+    return _rounded(counts.crossJoin(global_quantiles(sizes, "n", {"median_size": 0.5, "q10": 0.1, "q90": 0.9})), "median_size", "q10", "q90")  # one row each
 
 
 def boundary_pixels(spark, sf_dir):

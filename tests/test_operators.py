@@ -297,6 +297,10 @@ def test_ranks_within_keys_and_global_quantiles(spark):
     got = S.global_quantiles(df, "v", shares).first()
     assert np.allclose([got[n] for n in shares], np.quantile([v for _, _, v in rows], list(shares.values())))
     assert S.global_quantiles(df.where("false"), "v", shares).first().a is None
+    keyed = S.global_quantiles(df, "v", shares, ["g"]).collect()
+    assert len(keyed) == 4
+    for r in keyed:
+        assert np.allclose([r[n] for n in shares], np.quantile([v for _, g, v in rows if g == r.g], list(shares.values())))
 
 
 def test_neighbours_in_time_of_repeated_missing_and_null_frames(spark):
