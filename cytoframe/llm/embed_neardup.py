@@ -27,24 +27,31 @@ U = np.uint64
 #: unrelated ones (distance 1.41) share a table's key with 0.000002.
 TABLES, PROJECTIONS, WIDTH, SEED = 112, 14, 1.5, 11
 #: Rows of a bucket that meet at once; larger buckets are cut in chunks that meet two by two. Rows to a task, and to a key range.
-CHUNK, ROWS_PER_TASK, ROWS_PER_RANGE = 2048, 16384, 16384
+CHUNK, BYTES_PER_TASK, ROWS_PER_RANGE = 2048, 8 << 20, 16384
+#: Rows of a bucket that is compared together with others.
+SMALL = 64
 
 
 @lru_cache(4)
 def _projections(dim: int, tables: int, per_table: int, width: float, seed: int):
+    """Axes and shifts in units of a step, and a random odd number for each axis."""
     random = np.random.default_rng(seed)
-    return random.standard_normal((dim, tables * per_table)), random.uniform(0, width, tables * per_table)
+    axes, shift = random.standard_normal((dim, tables * per_table)), random.uniform(0, width, tables * per_table)
+    return axes / width, shift / width, mix(np.arange(1, tables * per_table + 1)) | U(1)
 
 
 def _keys(unit: np.ndarray, labels: np.ndarray, tables: int, per_table: int, width: float, seed: int) -> np.ndarray:
     """A 64-bit key of each vector in each table, of its label and quantised projections."""
-    axes, shift = _projections(unit.shape[1], tables, per_table, width, seed)
-    steps = np.floor((unit @ axes + shift) / width).astype(np.int64).astype(U).reshape(len(unit), tables, per_table)
-    key = mix(labels.astype(np.int64).astype(U)[:, None] * U(0x9E3779B97F4A7C15) + np.arange(1, tables + 1, dtype=U))
-    for j in range(per_table):
-        key = (key ^ steps[:, :, j]) * U(0xFF51AFD7ED558CCD)
-        key ^= key >> U(32)
-    return mix(key)
+    axes, shift, factors = _projections(unit.shape[1], tables, per_table, width, seed)
+    own = mix(labels.astype(np.int64))[:, None] + mix(np.arange(tables) + 1)
+    out = np.empty((len(unit), tables), U)
+    for at in range(0, len(unit), 256):  # what a core's cache holds
+        steps = unit[at : at + 256] @ axes
+        steps += shift
+        steps = np.floor(steps, out=steps).astype(np.int64).view(U)
+        steps *= factors
+        out[at : at + 256] = steps.reshape(-1, tables, per_table).sum(2, dtype=U)
+    return mix(out + own)
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -64,6 +71,38 @@ def _earlier(own: np.ndarray, tab: int, tabs: list[np.ndarray], keys: list[np.nd
     return out
 
 
+def _first_tables(i: np.ndarray, j: np.ndarray, tabs: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
+    """The first table in which the rows of each pair (i, j) share a bucket; every pair shares one."""
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    tab, key = (np.concatenate([x[k] for k in rows]) for x in (tabs, keys))
+    dense = np.tile(np.arange(len(rows), dtype=U)[:, None], (1, int(tab.max()) + 1))  # a number of the row's own where it meets nobody
+    dense[np.repeat(np.arange(len(rows)), [len(tabs[k]) for k in rows]), tab] = key
+    return (dense[at[: len(i)]] == dense[at[len(i) :]]).argmax(1)
+
+
+def _small_links(x, tab, chunk, across, end, tabs, keys, threshold):
+    """Linked pairs of rows in the small buckets, each in the first table where it meets.
+
+    Rows stand by bucket; end is the end of each row's bucket, or 0 where the bucket is large. Rows at one
+    distance are compared at once, for all buckets.
+    """
+    here, found = np.flatnonzero(end), [(np.zeros(0, np.int64),) * 2]
+    for far in range(1, SMALL):
+        here = here[here + far < end[here]]
+        if not len(here):
+            break
+        for at in range(0, len(here), 1 << 13):
+            i = here[at : at + (1 << 13)]
+            j = i + far
+            near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+            near &= ~across[i] | (chunk[i] != chunk[j])
+            i, j = i[near], j[near]
+            if len(i):
+                first = _first_tables(i, j, tabs, keys) == tab[i]
+                found.append((i[first], j[first]))
+    return (np.concatenate(p) for p in zip(*found))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, per_table: int = PROJECTIONS, width: float = WIDTH, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector; links hold between equal, non-null labels at cosine >= threshold.
 
@@ -88,7 +127,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
     size = classes.agg(F.count("*"), F.sum(F.size("e"))).first()
     n_rows, n_bytes = size[0], (size[1] or 0) * np.dtype(number).itemsize
     blocks, ranges = max(1, math.ceil(n_bytes / B.BLOCK_BYTES)), max(2 * partitions(spark), math.ceil(n_rows / ROWS_PER_RANGE))
-    tasks = max(2 * partitions(spark), math.ceil(2 * n_rows / ROWS_PER_TASK))
+    tasks = max(2 * partitions(spark), math.ceil(4 * n_bytes / BYTES_PER_TASK))
     placed = classes.withColumn("block", F.pmod(F.xxhash64("id", "label"), F.lit(blocks)).cast("int"))
 
     def hashed(table):
@@ -142,34 +181,53 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
 
     def compare(table):
         table = table.combine_chunks()
+        data = [np.frombuffer(x.as_buffer(), number) for x in table.column("vector")]
+        dims = np.array([len(x) for x in data])
+        bucket = table.column("bucket").to_numpy()
+        a, b, ids = (table.column(c).to_numpy() for c in ("a", "b", "id"))
+        parts = []
+        for dim in np.unique(dims):
+            own = np.flatnonzero(dims == dim)
+            parts.append(linked(table.take(own[np.lexsort((ids[own], b[own], a[own], bucket[own]))]), dim))
+        return pa.concat_tables(parts)
+
+    def linked(table, dim):
+        """Links of rows of one length, which stand by bucket."""
         tab, bucket, a, b, chunk = (table.column(c).to_numpy().astype(np.int64) for c in ("tab", "bucket", "a", "b", "chunk"))
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-        data = [np.frombuffer(x.as_buffer(), number) for x in table.column("vector")]
-        tabs, keys = ([np.frombuffer(x.as_buffer(), k) for x in table.column(c)] for c, k in (("tabs", np.uint16), ("keys", U)))
-        order = np.lexsort((ids, b, a, bucket, tab))
-        cuts = np.flatnonzero(np.any([np.diff(x[order], prepend=x[order[0]] - 1) != 0 for x in (tab, bucket, a, b)], axis=0))
+        x = _units(np.frombuffer(b"".join(table.column("vector").to_pylist()), number).reshape(-1, dim))
+        tabs, keys = ([np.frombuffer(v.as_buffer(), k) for v in table.column(c)] for c, k in (("tabs", np.uint16), ("keys", U)))
+        cuts = np.flatnonzero(np.any([np.diff(v, prepend=v[0] - 1) != 0 for v in (bucket, a, b)], axis=0))
+        ends = np.append(cuts[1:], len(ids))
+        size = ends - cuts
         links, root = np.zeros(len(ids), np.int64), ids.copy()
-        for own in np.split(order, cuts[1:]):
-            if len(own) < 2:
-                continue
-            x, t = _units(np.stack([data[k] for k in own])), tab[own[0]]
-            before = _earlier(own, t, tabs, keys)
-            pairs_i, pairs_j = [], []
-            for at in range(0, len(own), 512):
-                i, j = np.nonzero(x[at : at + 512] @ x.T >= threshold)
-                i = i + at
+
+        def tie(i, j):
+            """Counts pairs and names each of their rows by the least row, and so id, that they tie it to."""
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            root[rows] = ids[rows[least_reached(len(rows), at[: len(i)], at[len(i) :])]]
+
+        i, j = _small_links(x, tab, chunk, a != b, np.where(np.repeat(size, size) <= SMALL, np.repeat(ends, size), 0), tabs, keys, threshold)
+        if len(i):
+            tie(i, j)
+        for start, end in zip(cuts[size > SMALL], ends[size > SMALL]):
+            before, found = _earlier(np.arange(start, end), tab[start], tabs, keys), []
+            for at in range(start, end, 512):
+                i, j = np.nonzero(x[at : min(end, at + 512)] @ x[start:end].T >= threshold)
+                i, j = i + at, j + start
                 i, j = i[i < j], j[i < j]
-                if a[own[0]] != b[own[0]]:
-                    across = chunk[own[i]] != chunk[own[j]]
-                    i, j = i[across], j[across]
-                fresh = ~np.any([before[i, c] == before[j, c] for c in range(before.shape[1])], axis=0) if before.shape[1] else np.ones(len(i), bool)
-                pairs_i.append(i[fresh])
-                pairs_j.append(j[fresh])
-            i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
+                if a[start] != b[start]:
+                    other = chunk[i] != chunk[j]
+                    i, j = i[other], j[other]
+                if before.shape[1] and len(i):
+                    fresh = ~np.any([before[i - start, c] == before[j - start, c] for c in range(before.shape[1])], axis=0)
+                    i, j = i[fresh], j[fresh]
+                found.append((i, j))
+            i, j = (np.concatenate(side) for side in zip(*found))
             if len(i):
-                np.add.at(links, own[i], copies[own[j]])
-                np.add.at(links, own[j], copies[own[i]])
-                root[own] = ids[own][least_reached(len(own), i, j)]
+                tie(i, j)
         some = links > 0
         return pa.table({"id": ids[some], "links": links[some], "root": root[some]})
 

@@ -25,9 +25,10 @@ def brute(rows, threshold):
     return links, {i: find(i) for i in root}
 
 
-@pytest.mark.parametrize("chunk", [2048, 3])
-def test_links_and_components(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, small", [(2048, 64), (3, 64), (2048, 2), (100, 1)])
+def test_links_and_components(spark, monkeypatch, chunk, small):
     monkeypatch.setattr(E, "CHUNK", chunk)
+    monkeypatch.setattr(E, "SMALL", small)
     random = np.random.default_rng(5)
     centres = random.normal(size=(12, 32))
     rows = [(k, int(k % 3), (centres[k % 12] + random.normal(size=32) * random.choice([0.05, 0.2, 0.35])).tolist()) for k in range(150)]
