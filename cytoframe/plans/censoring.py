@@ -117,13 +117,13 @@ def _weights(spark, sf_dir, max_lag):
 
 _WEIGHTS_SQL = M.RUNS_SQL + "," + _PREDICTED_SQL.split("\ntracks AS", 1)[1].split("WHERE rn = 1),", 1)[1] + """,
 prs AS (SELECT a.ploidy, a.dose, a.site_id, a.track_id, a.frame, b.frame - a.frame AS lag, power(b.x - a.x, 2) + power(b.y - a.y, 2) AS v
-  FROM runs a JOIN runs b ON a.site_id = b.site_id AND a.track_id = b.track_id AND b.frame BETWEEN a.frame + 1 AND a.frame + 3),
+  FROM runs a JOIN runs b ON a.site_id = b.site_id AND a.track_id = b.track_id AND b.frame BETWEEN a.frame + 1 AND a.frame + 5),
 wts AS (SELECT s.ploidy, s.dose, s.site_id, s.track_id, s.frame, lag, any_value(v) AS v, product(1 - p0) / product(1 - p) AS weight
   FROM prs s JOIN pred d ON d.site_id = s.site_id AND d.track_id = s.track_id AND d.frame BETWEEN s.frame AND s.frame + lag - 1
   GROUP BY ALL HAVING count(*) = lag)"""
 
 
-def survival_weights(spark, sf_dir, max_lag=3):
+def survival_weights(spark, sf_dir, max_lag=5):
     """Quantiles of the weights by lag, and their caps."""
     rows = _weights(spark, sf_dir, max_lag)
     rows = durable(rows.select("lag", "weight"))
@@ -132,22 +132,12 @@ def survival_weights(spark, sf_dir, max_lag=3):
     return _rounded(out.withColumn("cap", F.least("p95", F.lit(20.0))), "median", "p95", "p99", "most", "cap")
 
 
-def survival_weights_5(spark, sf_dir):
-    """survival_weights over lags 1 to 5."""
-    return survival_weights(spark, sf_dir, 5)
-
-
-def weighted_msd(spark, sf_dir, max_lag=3):
+def weighted_msd(spark, sf_dir, max_lag=5):
     """Displacements by lag and condition, weighed by capped survival weights."""
     rows = C.cap_weights(_weights(spark, sf_dir, max_lag), 0.99, 20.0)
     return _rounded(S.weighted_mean_se(rows, [*COND, "lag"], "v", "capped_weight"), "mean", "se", "n_effective").withColumns({c: F.round(c, 3) for c in ("mean", "se", "n_effective")})
 
 
-def weighted_msd_5(spark, sf_dir):
-    """weighted_msd over lags 1 to 5."""
-    return weighted_msd(spark, sf_dir, 5)
-
-
 def drawn_censoring(spark, sf_dir):
     out = C.draw_censoring(_predicted(spark, sf_dir), TRACK, "p", 17)
     return out.groupBy(*TRACK).agg(F.count("*").alias("n"), F.max("frame").alias("last_frame"))
@@ -181,19 +171,11 @@ def track_sample(spark, sf_dir):
     return rows.join(ids, "track_id", "left_semi").select("track_id", "frame", F.round("x", 6).alias("x"))
 
 
-def context_resample(spark, sf_dir):
-    """A context value for each late detection: of its condition and frame, else its condition, else its frame, else any."""
-    rows = A.tracks(spark, sf_dir)
-    pool = rows.where("frame % 3 = 0 AND track_id % 4 <> 0").select(*COND, "frame", "event_id")
-    wanted = rows.where("frame >= 20").select(F.col("event_id").alias("wanted_id"), *COND, "frame")
-    return C.resample(pool, wanted, [[*COND, "frame"], COND, ["frame"]], "wanted_id", ["event_id"], 17)
-
-
 CONTEXT_LADDER = [[*COND, "frame"], COND, ["frame"], []]
 
 
-def context_resample_all(spark, sf_dir):
-    """context_resample from all detections, with any detection as the last resort."""
+def context_resample(spark, sf_dir):
+    """A context value for each late detection, drawn from all detections: of its condition and frame, else its condition, else its frame, else any."""
     rows = A.tracks(spark, sf_dir)
     wanted = rows.where("frame >= 20").select(F.col("event_id").alias("wanted_id"), *COND, "frame")
     return C.resample(rows.select(*COND, "frame", "event_id"), wanted, CONTEXT_LADDER, "wanted_id", ["event_id"], 17)
@@ -214,13 +196,11 @@ def uncensored_tracks(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        at_risk, point_flags, censor_reasons, stage_counts, track_summary, model_quality, calibration, survival_by_condition, survival_weights, survival_weights_5, weighted_msd, weighted_msd_5,
-        drawn_censoring, boundary_censoring, holdout_roles, group_sample, row_cap, track_sample, context_resample, context_resample_all, standardised_covariates, uncensored_tracks,
+        at_risk, point_flags, censor_reasons, stage_counts, track_summary, model_quality, calibration, survival_by_condition, survival_weights, weighted_msd,
+        drawn_censoring, boundary_censoring, holdout_roles, group_sample, row_cap, track_sample, context_resample, standardised_covariates, uncensored_tracks,
     )
 }
 
-_WEIGHTS_5_SQL = _WEIGHTS_SQL.replace("a.frame + 3", "a.frame + 5")
-
 RISK_SQL = A.TRACKPOINTS_SQL + ",\n" + A.PIXELS_SQL + """,
 areas AS (SELECT label, count(*) AS area FROM pixels GROUP BY label),
 contact AS (SELECT DISTINCT a.label FROM pixels a JOIN pixels b ON a.frame = b.frame AND a.label <> b.label AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1
@@ -259,13 +239,9 @@ ORACLE_SQL = {
     "calibration": A.sql(_PREDICTED_SQL, "SELECT CAST(b AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(ended), 6) AS observed FROM (SELECT *, ntile(20) OVER (ORDER BY p, site_id, track_id, frame) AS b FROM pred) GROUP BY ALL"),
     "survival_by_condition": A.sql(_PREDICTED_SQL, "SELECT ploidy, dose, count(*) AS n, count(DISTINCT (site_id, track_id)) AS n_tracks, round(avg(ended), 6) AS dropout, round(avg(1 - p), 6) AS survival FROM pred GROUP BY ALL"),
     "survival_weights": A.sql(_WEIGHTS_SQL, "SELECT lag, count(*) AS n, round(quantile_cont(weight, 0.5), 6) AS median, round(quantile_cont(weight, 0.95), 6) AS p95, round(quantile_cont(weight, 0.99), 6) AS p99, round(max(weight), 6) AS most, round(least(quantile_cont(weight, 0.95), 20), 6) AS cap FROM wts GROUP BY lag"),
-    "survival_weights_5": A.sql(_WEIGHTS_5_SQL, "SELECT lag, count(*) AS n, round(quantile_cont(weight, 0.5), 6) AS median, round(quantile_cont(weight, 0.95), 6) AS p95, round(quantile_cont(weight, 0.99), 6) AS p99, round(max(weight), 6) AS most, round(least(quantile_cont(weight, 0.95), 20), 6) AS cap FROM wts GROUP BY lag"),
     "weighted_msd": A.sql(_WEIGHTS_SQL, """, c AS (SELECT *, least(weight, (SELECT least(quantile_cont(weight, 0.99), 20) FROM wts)) AS w FROM wts),
         z AS (SELECT ploidy, dose, lag, sum(w) AS sw, sum(w * w) AS sw2, sum(w * v) AS wv, sum(w * v * v) AS wv2, count(*) AS n FROM c GROUP BY ALL)
         SELECT ploidy, dose, lag, round(wv / sw, 3) AS mean, round(sqrt(greatest(wv2 / sw - power(wv / sw, 2), 0) / (sw * sw / sw2)), 3) AS se, round(sw * sw / sw2, 3) AS n_effective, n FROM z"""),
-    "weighted_msd_5": A.sql(_WEIGHTS_5_SQL, """, c AS (SELECT *, least(weight, (SELECT least(quantile_cont(weight, 0.99), 20) FROM wts)) AS w FROM wts),
-        z AS (SELECT ploidy, dose, lag, sum(w) AS sw, sum(w * w) AS sw2, sum(w * v) AS wv, sum(w * v * v) AS wv2, count(*) AS n FROM c GROUP BY ALL)
-        SELECT ploidy, dose, lag, round(wv / sw, 3) AS mean, round(sqrt(greatest(wv2 / sw - power(wv / sw, 2), 0) / (sw * sw / sw2)), 3) AS se, round(sw * sw / sw2, 3) AS n_effective, n FROM z"""),
     "drawn_censoring": A.sql(_PREDICTED_SQL, f""", d AS (SELECT *, CASE WHEN {_U.format("site_id::VARCHAR || ':' || track_id::VARCHAR || ':' || frame::VARCHAR")} < p THEN frame END AS e FROM pred),
         m AS (SELECT *, min(e) OVER (PARTITION BY site_id, track_id) AS m FROM d)
         SELECT site_id, track_id, count(*) AS n, max(frame) AS last_frame FROM m WHERE m IS NULL OR frame <= m GROUP BY ALL"""),
@@ -276,15 +252,7 @@ ORACLE_SQL = {
     "group_sample": A.sql(A.TRACKPOINTS_SQL, "SELECT ploidy, dose, event_id FROM (SELECT *, row_number() OVER (PARTITION BY ploidy, dose ORDER BY md5(event_id::VARCHAR || ':17'), event_id) AS k FROM trackpoints) WHERE k <= 5"),
     "row_cap": "SELECT event_id, user_id AS track_id FROM events ORDER BY md5(event_id::VARCHAR || ':17'), event_id LIMIT 1000",
     "track_sample": A.sql(A.TRACKS_SQL, "SELECT track_id, frame, round(x, 6) AS x FROM tracks WHERE track_id IN (SELECT track_id FROM (SELECT DISTINCT track_id FROM tracks) ORDER BY md5(track_id::VARCHAR || ':17'), track_id LIMIT 40)"),
-    "context_resample": A.sql(A.TRACKS_SQL, f""", pool AS (SELECT ploidy, dose, frame, event_id FROM tracks WHERE frame % 3 = 0 AND track_id % 4 <> 0),
-        want AS (SELECT event_id AS wanted_id, ploidy, dose, frame, {_U.format("event_id::VARCHAR")} AS u FROM tracks WHERE frame >= 20),
-        l0 AS (SELECT *, row_number() OVER (PARTITION BY ploidy, dose, frame ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY ploidy, dose, frame) AS n FROM pool),
-        l1 AS (SELECT *, row_number() OVER (PARTITION BY ploidy, dose ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY ploidy, dose) AS n FROM pool),
-        l2 AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY frame) AS n FROM pool)
-        SELECT wanted_id, want.ploidy, want.dose, want.frame, coalesce(l0.event_id, l1.event_id, l2.event_id) AS event_id, CASE WHEN l0.event_id IS NOT NULL THEN 0 WHEN l1.event_id IS NOT NULL THEN 1 WHEN l2.event_id IS NOT NULL THEN 2 END AS ladder_level
-        FROM want LEFT JOIN l0 ON l0.ploidy = want.ploidy AND l0.dose = want.dose AND l0.frame = want.frame AND l0.i = floor(u * l0.n)
-        LEFT JOIN l1 ON l1.ploidy = want.ploidy AND l1.dose = want.dose AND l1.i = floor(u * l1.n) LEFT JOIN l2 ON l2.frame = want.frame AND l2.i = floor(u * l2.n)"""),
-    "context_resample_all": A.sql(A.TRACKS_SQL, f""", pool AS (SELECT ploidy, dose, frame, event_id FROM tracks),
+    "context_resample": A.sql(A.TRACKS_SQL, f""", pool AS (SELECT ploidy, dose, frame, event_id FROM tracks),
         want AS (SELECT event_id AS wanted_id, ploidy, dose, frame, {_U.format("event_id::VARCHAR")} AS u FROM tracks WHERE frame >= 20),
         l0 AS (SELECT *, row_number() OVER (PARTITION BY ploidy, dose, frame ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY ploidy, dose, frame) AS n FROM pool),
         l1 AS (SELECT *, row_number() OVER (PARTITION BY ploidy, dose ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY ploidy, dose) AS n FROM pool),

@@ -87,18 +87,13 @@ def origin_msd(spark, sf_dir):
     return _rounded(S.mean_se(rows, [*COND, "track_step"], "squared_displacement"), "mean", "se").withColumn("track_step", F.col("track_step").cast("long"))
 
 
-def windowed_msd(spark, sf_dir, max_lag=5):
+def windowed_msd(spark, sf_dir, max_lag=10):
     """All-pairs displacement by lag and by the window of the earlier frame."""
     pairs = T.lag_pairs(_runs(spark, sf_dir).select(*ALL, "frame", "x", "y"), ALL, max_lag).withColumn("frame_window", T.frame_window())
     squared = (F.col("x_later") - F.col("x")) ** 2 + (F.col("y_later") - F.col("y")) ** 2
     return _rounded(S.mean_se(pairs.withColumn("v", squared), [*COND, "frame_window", "lag"], "v"), "mean", "se")
 
 
-def windowed_msd_10(spark, sf_dir):
-    """windowed_msd over lags 1 to 10."""
-    return windowed_msd(spark, sf_dir, 10)
-
-
 def centred_segments(spark, sf_dir):
     out = T.centred_segments(A.tracks(spark, sf_dir), TRACK)
     return out.select(*TRACK, "frame", F.col("segment_step").cast("long"), F.round("x_centred", 6).alias("x_centred"), F.round("y_centred", 6).alias("y_centred"))
@@ -108,16 +103,11 @@ def _step_pairs(spark, sf_dir, max_lag=5):
     return T.lag_pairs(_steps(spark, sf_dir).select(*ALL, "frame", "dx", "dy"), ALL, max_lag, ("dx", "dy"))
 
 
-def acf_cosine(spark, sf_dir, max_lag=5):
+def acf_cosine(spark, sf_dir, max_lag=10):
     """Mean cosine between steps by lag."""
     return _rounded(S.mean_se(_step_pairs(spark, sf_dir, max_lag).withColumn("v", T.step_cosine()), [*COND, "lag"], "v"), "mean", "se")
 
 
-def acf_cosine_10(spark, sf_dir):
-    """acf_cosine over lags 1 to 10."""
-    return acf_cosine(spark, sf_dir, 10)
-
-
 def acf_dot(spark, sf_dir):
     """Mean dot product of steps by lag over the mean squared step of the condition."""
     base = _steps(spark, sf_dir).groupBy(*COND).agg(F.avg("squared_step").alias("base"))
@@ -231,8 +221,8 @@ def latest_detection(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        msd_by_lag, track_runs, raw_track_runs, sliding_segments, previous_steps, forward_steps, origin_msd, windowed_msd, windowed_msd_10,
-        centred_segments, acf_cosine, acf_cosine_10, acf_dot, turning, msd_auc, ploidy_contrast, track_lengths, length_distribution,
+        msd_by_lag, track_runs, raw_track_runs, sliding_segments, previous_steps, forward_steps, origin_msd, windowed_msd,
+        centred_segments, acf_cosine, acf_dot, turning, msd_auc, ploidy_contrast, track_lengths, length_distribution,
         threshold_sensitivity, step_metrics_long, track_paths, crop_size, weighted_steps, speed_quartiles, capped_steps,
         best_step, latest_detection,
     )
@@ -261,12 +251,10 @@ ORACLE_SQL = {
     "forward_steps": A.sql(STEPS_SQL, f"SELECT ploidy, dose, site_id, track_id, frame, round(dx, 6) AS dx, round(dy, 6) AS dy, round(step_distance, 6) AS step_distance, round(squared_step, 6) AS squared_step, {_WINDOW} AS frame_window FROM steps"),
     "origin_msd": A.sql(RUNS_SQL, f""", o AS (SELECT ploidy, dose, row_number() OVER w - 1 AS track_step, power(x - first_value(x) OVER w, 2) + power(y - first_value(y) OVER w, 2) AS v FROM runs WINDOW w AS (PARTITION BY ploidy, dose, site_id, track_id, run_index ORDER BY frame))
         SELECT ploidy, dose, track_step, {MEAN_SE} FROM o WHERE track_step <= 10 GROUP BY ALL"""),
-    "windowed_msd": A.sql(MSD_SQL.replace("b.frame - a.frame AS lag", "a.frame AS frame, b.frame - a.frame AS lag"), f"SELECT ploidy, dose, {_WINDOW} AS frame_window, lag, {MEAN_SE} FROM pairs GROUP BY ALL"),
-    "windowed_msd_10": A.sql(MSD_SQL.replace("a.frame + 5", "a.frame + 10").replace("b.frame - a.frame AS lag", "a.frame AS frame, b.frame - a.frame AS lag"), f"SELECT ploidy, dose, {_WINDOW} AS frame_window, lag, {MEAN_SE} FROM pairs GROUP BY ALL"),
+    "windowed_msd": A.sql(MSD_SQL.replace("a.frame + 5", "a.frame + 10").replace("b.frame - a.frame AS lag", "a.frame AS frame, b.frame - a.frame AS lag"), f"SELECT ploidy, dose, {_WINDOW} AS frame_window, lag, {MEAN_SE} FROM pairs GROUP BY ALL"),
     "centred_segments": A.sql(A.TRACKS_SQL, """SELECT site_id, track_id, frame, segment_step, round(xc, 6) AS x_centred, round(yc, 6) AS y_centred FROM (
         SELECT *, count(*) OVER (PARTITION BY site_id, track_id) AS n, row_number() OVER w - 1 AS segment_step, x - first_value(x) OVER w AS xc, y - first_value(y) OVER w AS yc FROM tracks WINDOW w AS (PARTITION BY site_id, track_id ORDER BY frame)) WHERE n >= 10 AND segment_step < 10"""),
-    "acf_cosine": A.sql(_STEP_PAIRS, f"SELECT ploidy, dose, lag, {MEAN_SE} FROM (SELECT *, (dx * ex + dy * ey) / greatest(sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey), 1e-9) AS v FROM sp) GROUP BY ALL"),
-    "acf_cosine_10": A.sql(_STEP_PAIRS.replace("a.frame + 5", "a.frame + 10"), f"SELECT ploidy, dose, lag, {MEAN_SE} FROM (SELECT *, (dx * ex + dy * ey) / greatest(sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey), 1e-9) AS v FROM sp) GROUP BY ALL"),
+    "acf_cosine": A.sql(_STEP_PAIRS.replace("a.frame + 5", "a.frame + 10"), f"SELECT ploidy, dose, lag, {MEAN_SE} FROM (SELECT *, (dx * ex + dy * ey) / greatest(sqrt(dx * dx + dy * dy) * sqrt(ex * ex + ey * ey), 1e-9) AS v FROM sp) GROUP BY ALL"),
     "acf_dot": A.sql(_STEP_PAIRS, "SELECT ploidy, dose, lag, round(avg(dx * ex + dy * ey) / any_value(base), 6) AS acf, count(*) AS n_pairs FROM sp JOIN (SELECT ploidy, dose, avg(squared_step) AS base FROM steps GROUP BY ALL) USING (ploidy, dose) GROUP BY ALL"),
     "turning": A.sql(STEPS_SQL, """, t AS (SELECT *, lead(frame) OVER w AS n2, lead(dx) OVER w AS ex, lead(dy) OVER w AS ey, atan2(dy, dx) AS h FROM steps WINDOW w AS (PARTITION BY site_id, track_id ORDER BY frame))
         SELECT ploidy, dose, CASE WHEN step_distance <= 5 THEN '0-5 px' WHEN step_distance <= 10 THEN '5-10 px' WHEN step_distance <= 20 THEN '10-20 px' ELSE '>=20 px' END AS step_bin,

@@ -150,14 +150,14 @@ def test_context_is_drawn_from_all_detections(spark, sf):
     from cytoframe.plans import censoring as P
     from cytoframe.sources import adapters as A
 
-    rows = P.context_resample_all(spark, sf).join(A.tracks(spark, sf).select("event_id", "track_id", F.col("frame").alias("f")), "event_id", "left").collect()
+    rows = P.context_resample(spark, sf).join(A.tracks(spark, sf).select("event_id", "track_id", F.col("frame").alias("f")), "event_id", "left").collect()
     assert all(r.ladder_level is not None for r in rows) and any(r.f % 3 for r in rows) and any(r.track_id % 4 == 0 for r in rows)
 
 
 def test_lags_reach_those_of_the_reference(spark, sf):
     from cytoframe.plans import censoring, motility
 
-    for query, most in ((motility.windowed_msd_10, 10), (motility.acf_cosine_10, 10), (censoring.survival_weights_5, 5), (censoring.weighted_msd_5, 5)):
+    for query, most in ((motility.windowed_msd, 10), (motility.acf_cosine, 10), (censoring.survival_weights, 5), (censoring.weighted_msd, 5)):
         assert [r.lag for r in query(spark, sf).select("lag").distinct().orderBy("lag").collect()] == list(range(1, most + 1))
 
 
