@@ -11,6 +11,8 @@ from cytoframe.llm._text import Texts, slices
 from cytoframe.llm.quality import held_out
 
 FEATURE_BITS, MAX_TRAIN_ROWS = 12, 6000
+#: Parts of a language's ids that are ranked apart before they are ranked together.
+SALTS = 64
 AMBIGUOUS_MARGIN = 0.1
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -107,17 +109,28 @@ def fit(x: np.ndarray, names: list[str], steps: int = 150, decay: float = 1e-4)
     return Model(langs, code, weights, bias, trust / trust.sum())
 
 
-def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Fits to at most max_rows rows outside the held-out third with a lang and a text.
+def training_ids(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """At most max_rows distinct (doc_id, lang) outside the held-out third, of rows with a lang and a text.
 
     Languages share the rows evenly, each with its first by a hash of doc_id; what a rare one leaves goes
-    to the others, so no language is lost to those with more rows. Of rows with one doc_id and lang the
-    one with the least vector counts.
+    to the others. A language's ids are ranked in SALTS parts first, so the task that ranks them over all
+    parts gets SALTS * max_rows narrow rows at most, however many the language has.
+    """
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    known = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").distinct()
+    known = known.withColumn("_salt", F.pmod(F.xxhash64(F.lit(SALTS), "doc_id"), F.lit(SALTS)))
+    for keys in (["lang", "_salt"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        known = known.withColumn("_place", place).where(F.col("_place") <= max_rows)
+    return known.orderBy("_place", *order, "lang").limit(max_rows).select("doc_id", "lang")
+
+
+def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
+    """Fits to the rows of training_ids, at most max_rows of them.
+
+    Of rows with one doc_id and lang the one with the least vector counts.
     """
-    known = docs.where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    some = known.withColumn("_place", place).where(F.col("_place") <= max_rows).orderBy("_place", F.xxhash64("doc_id"), "doc_id", "lang").limit(max_rows).drop("_place")
-    picked = F.broadcast(some.distinct().withColumnRenamed("lang", "_lang"))  # at most max_rows narrow rows
+    picked = F.broadcast(training_ids(docs, max_rows).withColumnRenamed("lang", "_lang"))  # at most max_rows narrow rows
 
     def extract(batches):
         for batch in (part for whole in batches for part in slices(whole, "text")):

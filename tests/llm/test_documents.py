@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+import xxhash
 
 from cytoframe.llm import decontaminate, langid, ngram_join, packing, quality, secrets, sharding, suffix_dedup, window_dedup
 
@@ -364,6 +365,26 @@ def test_rare_language_keeps_its_training_rows(spark):
     assert all(got[i] == lang for i, _, lang in rows)
 
 
+def test_training_ids_are_each_languages_first_by_hash(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(400), None if rnd.random() < 0.1 else "text", rnd.choice(["aa"] * 40 + ["bb"] * 8 + ["cc", None])) for _ in range(900)]
+    rows += [(7, "text", "aa")] * 300  # one id with many of the rows
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+
+    def place(doc_id):
+        number = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little"), seed=42)
+        return (number - (1 << 64) if number >> 63 else number, doc_id)
+
+    by_lang = defaultdict(set)
+    for doc_id, text, lang in rows:
+        if text and lang and zlib.crc32(str(doc_id).encode()) % 3 != 1:
+            by_lang[lang].add(doc_id)
+    ranked = sorted((k, place(d), lang, d) for lang, ids in by_lang.items() for k, d in enumerate(sorted(ids, key=place)))
+    for most in (1, 30, 100, 10000):
+        got = {(r.doc_id, r.lang) for r in langid.training_ids(docs, most).collect()}
+        assert got == {(d, lang) for _, _, lang, d in ranked[:most]}
+
+
 def test_language_on_held_out_rows(spark, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs)
