@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from cytoframe.llm import decontaminate, embed_neardup, langid, ngram_join, packing, quality, secrets, sharding, suffix_dedup, window_dedup
-from cytoframe.llm._session import table
+from cytoframe.llm import decontaminate, embed_neardup, langid, ngram_join, packing, quality, resample, secrets, sharding, suffix_dedup, warc, window_dedup
+from cytoframe.llm._session import shared_dir, table
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -76,6 +78,17 @@ def op10_quality(spark, sf_dir):
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    rows = resample.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_warc(spark, sf_dir):
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +102,8 @@ QUERIES = {
         op8_embedding_neardup,
         op9_window_dedup,
         op10_quality,
+        op11_importance_resampling,
+        op12_warc,
     )
 }
 
@@ -143,4 +158,27 @@ g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM f WHERE first <
 a AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
 k AS (SELECT a.doc_id, count(g.p) AS n_removed, string_agg(a.word, ' ' ORDER BY a.p) FILTER (g.p IS NULL) AS kept FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.p = a.p GROUP BY a.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    "op11_importance_resampling": f"""
+WITH tb AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(0 AS BIGINT) for k in range(8)]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+b AS (SELECT {_TERMS} AS ws FROM benchmark),
+f AS (SELECT doc_id, array_to_string(ws[i : i + n - 1], ' ') AS g, count(*) AS k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (VALUES (1), (2), (3)) v(n)) GROUP BY ALL),
+e AS (SELECT array_to_string(ws[i : i + n - 1], ' ') AS g, count(*) AS k FROM (SELECT ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM b, (VALUES (1), (2), (3)) v(n)) GROUP BY ALL),
+h AS (SELECT g, hex(encode(g)) AS x FROM (SELECT g FROM f UNION SELECT g FROM e)),
+u AS (SELECT g, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(x, 2 * j + 1, 2) AS BIGINT) for j in range(len(x) // 2)]), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS q FROM h, tb),
+s AS (SELECT q, sum(k) AS n FROM f JOIN u USING (g) GROUP BY q),
+t AS (SELECT q, sum(k) AS n FROM e JOIN u USING (g) GROUP BY q),
+z AS (SELECT CAST(coalesce((SELECT sum(n) FROM s), 0) AS DOUBLE) AS s, CAST(coalesce((SELECT sum(n) FROM t), 0) AS DOUBLE) AS t),
+w AS (SELECT s.q, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (z.s + 10000) / ((s.n::DOUBLE + 1) * (z.t + 10000)))) AS gain FROM s LEFT JOIN t USING (q), z),
+o AS (SELECT doc_id, sum(k) AS n, sum(k * gain) AS weight FROM f JOIN u USING (g) JOIN w USING (q) GROUP BY doc_id),
+r AS (SELECT d.doc_id, len(ws) AS n_words, CAST(coalesce(o.n, 0) AS BIGINT) AS n_features, CAST(coalesce(o.weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(o.weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || d.doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN o USING (doc_id)),
+p AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM r WHERE n_words >= 20)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN rank <= 5 * p.n // 100 THEN rank END AS rank FROM r LEFT JOIN p USING (doc_id)""",
+    "op12_warc": """
+WITH d AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, octet_length(encode(t)) AS n, sha1(t) AS x, min(page_id) OVER (PARTITION BY t) AS first FROM d)
+SELECT page_id, n AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM h""",
 }
