@@ -1,8 +1,10 @@
 """Embedding near-dedup: Euclidean p-stable hashing of unit vectors, then exact cosines.
 
-Blocks of vectors send their distinct bucket keys to key ranges, which answer with the sizes of buckets
-that other blocks share. A vector travels only to buckets that hold another one: unrelated vectors
-rarely share all projections of a table, so most don't travel at all.
+Blocks of vectors send their distinct bucket keys to key ranges, which answer with the size and the least
+member of buckets that other blocks share. A vector travels only for buckets that hold another one:
+unrelated vectors rarely share all projections of a table, so most don't travel at all. Small buckets
+with one least member meet in one place, whatever their tables, so a vector goes there once; the
+tables in which it does are sent as bits, and its keys are worked out again where it arrives.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 from cytoframe.llm import _blocks as B
 from cytoframe.llm._graph import components, least_reached
 from cytoframe.llm._session import durable, partitions
+from cytoframe.llm._skew import looked_up
 from cytoframe.llm._text import mix
 
 U = np.uint64
@@ -28,7 +31,7 @@ U = np.uint64
 TABLES, PROJECTIONS, WIDTH, SEED = 112, 14, 1.5, 11
 #: Rows of a bucket that meet at once; larger buckets are cut in chunks that meet two by two. Rows to a task, and to a key range.
 CHUNK, BYTES_PER_TASK, ROWS_PER_RANGE = 2048, 8 << 20, 16384
-#: Rows of a bucket that is compared together with others.
+#: Rows of a bucket that meets with others of its least member; rows of a meeting that is compared together with others.
 SMALL = 64
 
 
@@ -61,30 +64,39 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _earlier(own: np.ndarray, tab: int, tabs: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
-    """Keys of rows in the tables before tab in which they share a bucket, a column a table; elsewhere a number of the row's own."""
-    at = [np.flatnonzero(tabs[k] < tab) for k in own]
-    columns = np.unique(np.concatenate([tabs[k][i] for k, i in zip(own, at)]))
-    out = np.tile(np.arange(len(own), dtype=U)[:, None], (1, len(columns)))
-    for row, k, i in zip(out, own, at):
-        row[np.searchsorted(columns, tabs[k][i])] = keys[k][i]
-    return out
+def _bounds(table):
+    """Reducer of a range: total count and least member of the keys that another block holds too."""
+    blocks, (keys, counts, least) = B.gather(table, 2)
+    order = np.argsort(keys, kind="stable")
+    blocks, keys, counts, least = blocks[order], keys[order], counts[order], least[order]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(head, len(keys)))
+    if len(keys):
+        total, first = np.repeat(np.add.reduceat(counts, head), sizes), np.repeat(np.minimum.reduceat(least, head), sizes)
+    else:
+        total, first = counts, least
+    more = total > counts
+    return B.replies(blocks[more], keys[more], [total[more], first[more]])
 
 
-def _first_tables(i: np.ndarray, j: np.ndarray, tabs: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
-    """The first table in which the rows of each pair (i, j) share a bucket; every pair shares one."""
-    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    tab, key = (np.concatenate([x[k] for k in rows]) for x in (tabs, keys))
-    dense = np.tile(np.arange(len(rows), dtype=U)[:, None], (1, int(tab.max()) + 1))  # a number of the row's own where it meets nobody
-    dense[np.repeat(np.arange(len(rows)), [len(tabs[k]) for k in rows]), tab] = key
-    return (dense[at[: len(i)]] == dense[at[len(i) :]]).argmax(1)
+def _counted(i: np.ndarray, j: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) count here: those whose first table with a common key is one of the tables that i came for."""
+    out, open_ = np.zeros(len(i), bool), np.arange(len(i))
+    for tab in range(keys.shape[1]):
+        same = keys[i[open_], tab] == keys[j[open_], tab]
+        met = open_[same]
+        out[met] = bits[i[met], tab]
+        open_ = open_[~same]
+        if not len(open_):
+            break
+    return out
 
 
-def _small_links(x, tab, chunk, across, end, tabs, keys, threshold):
-    """Linked pairs of rows in the small buckets, each in the first table where it meets.
+def _small_links(x, chunk, across, end, keys, bits, threshold):
+    """Linked pairs of rows in the small meetings, each where it counts.
 
-    Rows stand by bucket; end is the end of each row's bucket, or 0 where the bucket is large. Rows at one
-    distance are compared at once, for all buckets.
+    Rows stand by meeting; end is the end of each row's meeting, or 0 where that is large. Rows at one
+    distance are compared at once, for all meetings.
     """
     here, found = np.flatnonzero(end), [(np.zeros(0, np.int64),) * 2]
     for far in range(1, SMALL):
@@ -98,8 +110,8 @@ def _small_links(x, tab, chunk, across, end, tabs, keys, threshold):
             near &= ~across[i] | (chunk[i] != chunk[j])
             i, j = i[near], j[near]
             if len(i):
-                first = _first_tables(i, j, tabs, keys) == tab[i]
-                found.append((i[first], j[first]))
+                counts = _counted(i, j, keys, bits)
+                found.append((i[counts], j[counts]))
     return (np.concatenate(p) for p in zip(*found))
 
 
@@ -107,28 +119,31 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
     """(vec_id, n_links, component_id, kept) of every vector; links hold between equal, non-null labels at cosine >= threshold.
 
     Cosines are of double precision. Vectors that are null, empty, zero or hold a null or non-finite
-    component link with nothing, and vectors of different lengths are never compared. Vectors equal in
-    label and components are one class with a count, so copies cost one row; n_links counts each of
-    them. Rows with one vec_id count as vectors of their own in n_links and share a component. A pair
-    is counted in the first table in which it meets, so nothing is capped and no pair is emitted. Rows
-    find their class by 128 bits of hash. Other columns are ignored.
+    component link with nothing, and vectors of different lengths are never compared. Labels may be of
+    any type. Vectors equal in label and components are one class with a count and a number of its
+    own, so copies cost one row; n_links counts each of them. Rows with one vec_id are vectors of
+    their own: each has its own links, and its component is that of its vector. A component is named by
+    its least vec_id; null ids name one only where it has no other. A pair is counted in the first table in which
+    it meets, so nothing is capped and no pair is emitted. Rows find their class by 128 bits of hash,
+    labels are told apart by 64. Other columns are ignored.
     """
     spark = vectors.sparkSession
     single = vectors.schema["embedding"].dataType.elementType == T.FloatType()
     kind, number = ("float", np.float32) if single else ("double", np.float64)
     e = F.col("embedding").cast(f"array<{kind}>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), e.alias("e"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), e.alias("e"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("e").isNotNull() & finite & F.exists("e", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable).withColumn("e", F.transform("e", lambda x: x + F.lit(0.0).cast(kind)))  # no negative zeros
     digest = [F.xxhash64("label", "e").alias("h1"), F.xxhash64(F.lit(seed), "e", "label").alias("h2")]
-    narrow = durable(rows.select("vec_id", "usable", *digest))
-    classes = durable(rows.where("usable").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    narrow = durable(rows.select("vec_id", "usable", *digest).withColumn("row", F.monotonically_increasing_id()))
+    classes = durable(rows.where("usable").groupBy("label", "e").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")))
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "first", "copies", F.xxhash64("label").alias("label"), "e", *digest)  # numbers of written rows
     size = classes.agg(F.count("*"), F.sum(F.size("e"))).first()
     n_rows, n_bytes = size[0], (size[1] or 0) * np.dtype(number).itemsize
     blocks, ranges = max(1, math.ceil(n_bytes / B.BLOCK_BYTES)), max(2 * partitions(spark), math.ceil(n_rows / ROWS_PER_RANGE))
     tasks = max(2 * partitions(spark), math.ceil(4 * n_bytes / BYTES_PER_TASK))
-    placed = classes.withColumn("block", F.pmod(F.xxhash64("id", "label"), F.lit(blocks)).cast("int"))
+    placed = classes.select("id", "copies", "label", "e", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
     def hashed(table):
         """Vectors of a block, by length, and their keys."""
@@ -144,60 +159,70 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
                 data[k] = row.astype(number).tobytes()
         return keys, data
 
-    def send(key, table):
-        keys, _ = hashed(table)
-        return B.packets(key[0].as_py(), *_counted(keys), 64, ranges)
+    def by_key(keys, ids):
+        """The block's ascending keys, how many of its rows hold each, and the least of them."""
+        flat = keys.ravel()
+        order = np.argsort(flat, kind="stable")
+        flat, who = flat[order], np.repeat(ids, keys.shape[1])[order]
+        head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        return flat[head], [np.diff(np.append(head, len(flat))), np.minimum.reduceat(who, head)]
 
-    def _counted(keys):
-        own, n = np.unique(keys, return_counts=True)
-        return own, [n]
+    def send(key, table):
+        return B.packets(key[0].as_py(), *by_key(hashed(table)[0], table.column("id").to_numpy()), 64, ranges)
 
     def emit(key, table, reply):
-        keys, data = hashed(table)
-        own, (n,) = _counted(keys)
-        known, total = B.received(reply, 1)
+        (keys, data), ids = hashed(table), table.column("id").to_numpy()
+        own, (n, least) = by_key(keys, ids)
+        known, total, first = B.received(reply, 2)
         at, there = B.lookup(known, own)
         if len(known):
-            n = np.where(there, total[at], n)
-        n = n[np.searchsorted(own, keys)]
-        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+            n, least = np.where(there, total[at], n), np.where(there, first[at], least)
+        place = np.searchsorted(own, keys)
+        n, least = n[place], least[place]
         row, tab = np.nonzero(n > 1)
-        cuts = np.searchsorted(row, np.arange(len(ids) + 1))
-        tabs, shared = tab.astype(np.uint16), keys[row, tab]
-        chunks = -(-n[row, tab] // CHUNK)
+        size, few = n[row, tab], n[row, tab] <= SMALL
+        meeting = np.where(few, mix(least[row, tab]), mix(keys[row, tab] + U(seed)))
+        # A row goes once to each meeting, with a bit for every table that brings it there.
+        order = np.lexsort((tab, meeting, row))
+        row, tab, size, few, meeting = (v[order] for v in (row, tab, size, few, meeting))
+        head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (meeting[1:] != meeting[:-1]))) if len(row) else np.zeros(0, np.int64)
+        bits = np.zeros((len(head), tables), bool)
+        bits[np.repeat(np.arange(len(head)), np.diff(np.append(head, len(row)))), tab] = True
+        row, meeting, chunks = row[head], meeting[head], np.where(few[head], 1, -(-size[head] // CHUNK))
         chunk = (mix(ids)[row] % chunks.astype(U)).astype(np.int64)
         copy = np.repeat(np.arange(len(row)), chunks)
         other = np.arange(len(copy)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-        row, tab, bucket, chunk = row[copy], tab[copy], shared[copy], chunk[copy]
+        row, meeting, chunk = row[copy], meeting[copy], chunk[copy]
         a, b = np.minimum(chunk, other), np.maximum(chunk, other)
-        task = mix(bucket + mix(a.astype(U) * U(1 << 32) + b.astype(U))) % U(tasks)
-        lists = {name: [x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])] for name, x in (("tabs", tabs), ("keys", shared))}
+        task = mix(meeting + mix(a.astype(U) * U(1 << 32) + b.astype(U))) % U(tasks)
+        packed, labels = [x.tobytes() for x in np.packbits(bits, axis=1)], table.column("label").to_numpy()
         return pa.table(
             {
-                "task": task.astype(np.int32), "tab": tab.astype(np.int32), "bucket": bucket.view(np.int64), "a": a.astype(np.int32), "b": b.astype(np.int32), "chunk": chunk.astype(np.int32), "id": ids[row], "copies": copies[row],
-                "vector": pa.array([data[k] for k in row], pa.binary()), **{name: pa.array([x[k] for k in row], pa.binary()) for name, x in lists.items()},
+                "task": task.astype(np.int32), "meeting": meeting.view(np.int64), "a": a.astype(np.int32), "b": b.astype(np.int32), "chunk": chunk.astype(np.int32), "id": ids[row], "label": labels[row],
+                "copies": table.column("copies").to_numpy()[row], "vector": pa.array([data[k] for k in row], pa.binary()), "bits": pa.array([packed[k] for k in copy], pa.binary()),
             }
         )
 
     def compare(table):
         table = table.combine_chunks()
-        data = [np.frombuffer(x.as_buffer(), number) for x in table.column("vector")]
-        dims = np.array([len(x) for x in data])
-        bucket = table.column("bucket").to_numpy()
+        dims = np.array([len(x.as_buffer()) // np.dtype(number).itemsize for x in table.column("vector")])
+        meeting = table.column("meeting").to_numpy()
         a, b, ids = (table.column(c).to_numpy() for c in ("a", "b", "id"))
         parts = []
         for dim in np.unique(dims):
             own = np.flatnonzero(dims == dim)
-            parts.append(linked(table.take(own[np.lexsort((ids[own], b[own], a[own], bucket[own]))]), dim))
+            parts.append(linked(table.take(own[np.lexsort((ids[own], b[own], a[own], meeting[own]))]), dim))
         return pa.concat_tables(parts)
 
     def linked(table, dim):
-        """Links of rows of one length, which stand by bucket."""
-        tab, bucket, a, b, chunk = (table.column(c).to_numpy().astype(np.int64) for c in ("tab", "bucket", "a", "b", "chunk"))
-        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+        """Links of rows of one length, which stand by meeting."""
+        meeting, a, b, chunk = (table.column(c).to_numpy().astype(np.int64) for c in ("meeting", "a", "b", "chunk"))
+        ids, copies, labels = (table.column(c).to_numpy() for c in ("id", "copies", "label"))
         x = _units(np.frombuffer(b"".join(table.column("vector").to_pylist()), number).reshape(-1, dim))
-        tabs, keys = ([np.frombuffer(v.as_buffer(), k) for v in table.column(c)] for c, k in (("tabs", np.uint16), ("keys", U)))
-        cuts = np.flatnonzero(np.any([np.diff(v, prepend=v[0] - 1) != 0 for v in (bucket, a, b)], axis=0))
+        bits = np.unpackbits(np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)[:, :tables].astype(bool)
+        _, one, which = np.unique(ids, return_index=True, return_inverse=True)
+        keys = _keys(x[one], labels[one] * 65537 + dim, tables, per_table, width, seed)[which]
+        cuts = np.flatnonzero(np.any([np.diff(v, prepend=v[0] - 1) != 0 for v in (meeting, a, b)], axis=0))
         ends = np.append(cuts[1:], len(ids))
         size = ends - cuts
         links, root = np.zeros(len(ids), np.int64), ids.copy()
@@ -209,11 +234,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
             rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
             root[rows] = ids[rows[least_reached(len(rows), at[: len(i)], at[len(i) :])]]
 
-        i, j = _small_links(x, tab, chunk, a != b, np.where(np.repeat(size, size) <= SMALL, np.repeat(ends, size), 0), tabs, keys, threshold)
+        i, j = _small_links(x, chunk, a != b, np.where(np.repeat(size, size) <= SMALL, np.repeat(ends, size), 0), keys, bits, threshold)
         if len(i):
             tie(i, j)
         for start, end in zip(cuts[size > SMALL], ends[size > SMALL]):
-            before, found = _earlier(np.arange(start, end), tab[start], tabs, keys), []
+            found = []
             for at in range(start, end, 512):
                 i, j = np.nonzero(x[at : min(end, at + 512)] @ x[start:end].T >= threshold)
                 i, j = i + at, j + start
@@ -221,10 +246,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
                 if a[start] != b[start]:
                     other = chunk[i] != chunk[j]
                     i, j = i[other], j[other]
-                if before.shape[1] and len(i):
-                    fresh = ~np.any([before[i - start, c] == before[j - start, c] for c in range(before.shape[1])], axis=0)
-                    i, j = i[fresh], j[fresh]
-                found.append((i, j))
+                counts = _counted(i, j, keys, bits)
+                found.append((i[counts], j[counts]))
             i, j = (np.concatenate(side) for side in zip(*found))
             if len(i):
                 tie(i, j)
@@ -232,13 +255,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
         return pa.table({"id": ids[some], "links": links[some], "root": root[some]})
 
     sent = placed.groupBy("block").applyInArrow(send, B.PACKET)
-    told = sent.groupBy("range").applyInArrow(B.total_counts, B.REPLY)
-    met = placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(emit, "task int, tab int, bucket long, a int, b int, chunk int, id long, copies long, vector binary, tabs binary, keys binary")
+    told = sent.groupBy("range").applyInArrow(_bounds, B.REPLY)
+    met = placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(emit, "task int, meeting long, a int, b int, chunk int, id long, label long, copies long, vector binary, bits binary")
     found = durable(met.groupBy("task").applyInArrow(compare, "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    named = classes.select("id", "copies", *digest).join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("h1", "h2", F.coalesce("root", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = narrow.where("usable").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    tied = classes.select("id", "first", "copies", "h1", "h2").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    tied = durable(tied.withColumn("root", F.coalesce("root", "id")))
+    names = durable(tied.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n")))
+    named = looked_up(tied, names.select("root", "component_id"), ["root"], names.select("root", "_n"), n_rows, "id")
+    named = durable(named.select("h1", "h2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("_n")))
+    linked_rows = looked_up(narrow.where("usable"), named.drop("_n"), ["h1", "h2"], named.select("h1", "h2", "_n"), narrow.count(), "row").select("vec_id", "n_links", "component_id")
     alone = narrow.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked_rows.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -17,12 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoframe.llm._session import durable, partitions
+from cytoframe.llm._session import durable
+from cytoframe.llm._skew import looked_up
 
 #: Bytes of a record's block, of a chunk of the transfer framing, and of the rows that leave a task at once.
 SEGMENT_BYTES, CHUNK_BYTES, BATCH_BYTES = 64 << 10, 8 << 10, 4 << 20
-#: A key that more rows hold is dealt out by a salt; at most one row in so many shares of the table is such a key's.
-HOT_ROWS, HOT_SHARE = 1000, 10_000
 #: The version line that begins a record, and the profile of revisits.
 VERSION = b"WARC/1.1\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -111,20 +110,6 @@ def _in_batches(rows, schema: pa.Schema, size):
     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame, total: int, spread: str) -> DataFrame:
-    """rows with the columns of table, which has one row a key, where a key may be that of a third of the rows.
-
-    Keys with more than HOT_ROWS rows and a HOT_SHARE-th of all, so HOT_SHARE keys at most, are
-    broadcast and dealt out by a hash of `spread`; their rows of the table are repeated for each salt.
-    """
-    spark = rows.sparkSession
-    salts = 2 * partitions(spark)
-    hot = F.broadcast(counts.where(F.col("_n") > max(HOT_ROWS, total // HOT_SHARE)).select(*keys, F.lit(True).alias("_hot")))
-    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    right = table.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
-
-
 def write_warc(
     pages: DataFrame, path: str, min_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES, date: str = "1970-01-01T00:00:00Z", codec: str = "gzip"
 ) -> None:
@@ -145,7 +130,7 @@ def write_warc(
     hashed = rows.withColumns({"sha1": F.unhex(F.sha1("payload")), "hash": F.xxhash64("payload"), "size": F.octet_length("payload"), "_id": F.coalesce("page_id", F.lit(0)), "_null": F.col("page_id").isNull(), "_url": F.xxhash64("url")})
     narrow = durable(hashed.drop("payload").withColumn("row", F.monotonically_increasing_id()))
     groups = durable(narrow.where(F.col("size") >= min_bytes).groupBy(*same).agg(F.min(F.struct("page_id", "row", "url")).alias("first"), F.count("*").alias("_n")).where("_n > 1"))
-    placed = durable(_looked_up(narrow, groups.select(*same, "first"), same, groups.select(*same, "_n"), narrow.count(), "row"))
+    placed = durable(looked_up(narrow, groups.select(*same, "first"), same, groups.select(*same, "_n"), narrow.count(), "row"))
     revisits = placed.where(F.col("first.row") != F.col("row"))
     copies = placed.where(F.col("first").isNull() | (F.col("first.row") == F.col("row"))).groupBy(*key).agg(F.count("*").alias("copies"))
     bodies = hashed.join(copies, key).dropDuplicates(key).select("page_id", "url", "sha1", "payload", "copies")
@@ -290,7 +275,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     targets = answers.where("record_id IS NOT NULL").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", "status").dropDuplicates(["target"])
     counts = durable(revisits.groupBy("target").agg(F.count("*").alias("_n")))
     total = counts.agg(F.sum("_n")).first()[0] or 0
-    found = _looked_up(revisits, targets, ["target"], counts, total, "record_id")
+    found = looked_up(revisits, targets, ["target"], counts, total, "record_id")
     good = (F.col("status") == "ok") & (F.col("digest").isNull() | (F.col("digest") == F.col("payload_digest")))
     state = F.when(F.col("_own") != "ok", F.col("_own")).when(F.coalesce(good, F.lit(False)), "ok").otherwise("unresolved")
     columns = ["page_id", "url", "record_type", "record_id", "refers_to", "payload", "payload_bytes", "payload_digest", "status"]

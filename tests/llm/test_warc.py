@@ -7,7 +7,7 @@ import hashlib
 
 import pytest
 
-from cytoframe.llm import warc
+from cytoframe.llm import _skew, warc
 
 
 def b32(data):
@@ -57,7 +57,7 @@ def wanted(rows, least=0):
 @pytest.mark.parametrize("least, segment, chunk, hot", [(0, 64 << 10, 8 << 10, 1000), (5, 200, 16, 2), (0, 37, 1000, 0)])
 @pytest.mark.parametrize("payloads", [True, False])
 def test_round_trip(spark, rows, tmp_path, monkeypatch, least, segment, chunk, hot, payloads):
-    monkeypatch.setattr(warc, "HOT_ROWS", hot)
+    monkeypatch.setattr(_skew, "HOT_ROWS", hot)
     rows = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, size int, sha1 string")
     warc.write_warc(df.repartition(3), f"{tmp_path}/a", least, segment, chunk)
