@@ -143,6 +143,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
     n_rows, n_bytes = size[0], (size[1] or 0) * np.dtype(number).itemsize
     blocks, ranges = max(1, math.ceil(n_bytes / B.BLOCK_BYTES)), max(2 * partitions(spark), math.ceil(n_rows / ROWS_PER_RANGE))
     tasks = max(2 * partitions(spark), math.ceil(4 * n_bytes / BYTES_PER_TASK))
+    # Ranges see the leading bits of keys: one in 16,384 of them falls in with another, whose rows then meet for nothing.
+    bits_sent = min(64, max(40, (n_rows * tables).bit_length() + 14))
     placed = classes.select("id", "copies", "label", "e", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
 
     def hashed(table):
@@ -161,14 +163,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
 
     def by_key(keys, ids):
         """The block's ascending keys, how many of its rows hold each, and the least of them."""
-        flat = keys.ravel()
+        flat = (keys >> U(64 - bits_sent)).ravel()
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], np.repeat(ids, keys.shape[1])[order]
         head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
         return flat[head], [np.diff(np.append(head, len(flat))), np.minimum.reduceat(who, head)]
 
     def send(key, table):
-        return B.packets(key[0].as_py(), *by_key(hashed(table)[0], table.column("id").to_numpy()), 64, ranges)
+        return B.packets(key[0].as_py(), *by_key(hashed(table)[0], table.column("id").to_numpy()), bits_sent, ranges)
 
     def emit(key, table, reply):
         (keys, data), ids = hashed(table), table.column("id").to_numpy()
@@ -177,6 +179,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
         at, there = B.lookup(known, own)
         if len(known):
             n, least = np.where(there, total[at], n), np.where(there, first[at], least)
+        keys = keys >> U(64 - bits_sent)
         place = np.searchsorted(own, keys)
         n, least = n[place], least[place]
         row, tab = np.nonzero(n > 1)
