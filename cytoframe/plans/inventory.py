@@ -115,6 +115,13 @@ scd AS (SELECT *, CASE WHEN n_images > 0 THEN 1 ELSE 0 END + CASE WHEN n_z >= 2
   CASE WHEN n_images > 0 THEN 1 ELSE 0 END + CASE WHEN n_timepoints >= 5 THEN 5 WHEN n_timepoints >= 2 THEN 3 WHEN n_timepoints = 1 THEN 1 ELSE 0 END + CASE WHEN n_wells >= 2 THEN 2 WHEN n_wells = 1 THEN 1 ELSE 0 END
     + CASE WHEN n_fields >= 2 THEN 1 ELSE 0 END + CASE WHEN n_channels > 0 THEN 1 ELSE 0 END + CASE WHEN cell_lines <> '' THEN 1 ELSE 0 END - CASE WHEN origin = 'derived' THEN 2 ELSE 0 END AS tracking_score FROM sc)"""
 
+
+
+def with_names(cte: str, body: str) -> str:
+    """A query over scored directories (scd) whose names come from another CTE `inventory` (path, name)."""
+    return A.sql(SCORED_SQL.replace(A.INVENTORY_SQL, cte), body)
+
+
 ORACLE_SQL = {
     "name_profiles": A.sql(PARSED_SQL, """SELECT path, n_names, n_images, n_z, n_planes, n_wells, n_fields, n_channels, n_timepoints,
         array_to_string(list_concat(zs[1:3], CASE WHEN len(zs) > 3 THEN ['...(+' || (len(zs) - 3) || ')'] ELSE [] END), '; ') AS z_text, array_to_string(list_concat(es[1:12]::VARCHAR[], CASE WHEN len(es) > 12 THEN ['...(+' || (len(es) - 12) || ')'] ELSE [] END), '; ') AS elapsed_text, coalesce(coverage, '') AS coverage FROM pf LEFT JOIN chs USING (path)"""),

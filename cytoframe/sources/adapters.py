@@ -29,8 +29,12 @@ def with_condition(df: DataFrame, key: str = "track_id") -> DataFrame:
 
 
 def trackpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(read(spark, sf_dir, "events"))
+
+
+def detections(events: DataFrame) -> DataFrame:
     """Detections with repeated frames; order of arrival is (ts, event_id)."""
-    rows = read(spark, sf_dir, "events").select(
+    rows = events.select(
         F.col("user_id").alias("track_id"),
         F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("frame"),
         F.col("value").alias("x"),
@@ -43,10 +47,14 @@ def trackpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One detection of each track and frame, the first to arrive."""
+    return first_detections(trackpoints(spark, sf_dir))
+
+
+def first_detections(rows: DataFrame) -> DataFrame:
+    """One detection of each track and frame, the first to arrive; rows stand by track, so that windows over tracks need no further shuffle."""
     from cytoframe.operators.tracks import keep_first
 
-    return keep_first(trackpoints(spark, sf_dir), ["track_id", "frame"], ["ts", "event_id"]).drop("ts")
+    return keep_first(rows.repartition("track_id"), ["track_id", "frame"], ["ts", "event_id"]).drop("ts")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

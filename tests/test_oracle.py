@@ -6,11 +6,14 @@ import os
 import duckdb
 import pytest
 
+from jobs import directory_inventory, motility_report
+
 from cytoframe.plans import assorted, censoring, imaging, inventory, motility, raster, walk_model
 
+JOBS = {"job1_directory_inventory": directory_inventory, "job2_motility_report": motility_report}
 PLANS = (assorted, censoring, imaging, inventory, motility, raster, walk_model)
-QUERIES = {n: q for p in PLANS for n, q in p.QUERIES.items()}
-SQL = {n: q for p in PLANS for n, q in p.ORACLE_SQL.items()}
+QUERIES = {n: q for p in PLANS for n, q in p.QUERIES.items()} | {n: getattr(j, n) for n, j in JOBS.items()}
+SQL = {n: q for p in PLANS for n, q in p.ORACLE_SQL.items()} | {n: j.SQL for n, j in JOBS.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
