@@ -95,14 +95,17 @@ def centred_segments(df: DataFrame, keys: Sequence[str], size: int = 10) -> Data
 
 
 def lag_pairs(df: DataFrame, keys: Sequence[str], max_lag: int, values: Sequence[str] = ("x", "y")) -> DataFrame:
-    """Pairs of rows of one track at frames f and f + lag, for lags 1 to max_lag, in one equi-join.
+    """Pairs of rows of one track at frames f and f + lag, for lags 1 to max_lag, in one sort of each track.
 
-    Repeated frames on the later side count once, the first by value order; columns of the later row end in _later.
+    Repeated frames on the later side count once, the first by value order; columns of the later row end
+    in _later. Rows without a frame or a key have no pairs.
     """
-    later = keep_first(df.select(*keys, "frame", *values), [*keys, "frame"], list(values))
-    later = later.select(*keys, F.col("frame").alias("_frame"), *[F.col(v).alias(f"{v}_later") for v in values])
-    ahead = df.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("_frame", F.col("frame") + F.col("lag"))
-    return ahead.join(later, [*keys, "_frame"]).drop("_frame")
+    w = Window.partitionBy(*keys).orderBy("frame")
+    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in dict.fromkeys([*keys, "frame"])))
+    later = F.struct(*[F.col(v).alias(f"{v}_later") for v in values])
+    ahead = rows.withColumns({f"_lag_{k}": F.min(later).over(w.rangeBetween(k, k)) for k in range(1, max_lag + 1)})
+    pairs = F.array(*[F.when(F.col(f"_lag_{k}").isNotNull(), F.struct(F.lit(k).alias("lag"), *[F.col(f"_lag_{k}.{v}_later") for v in values])) for k in range(1, max_lag + 1)])
+    return ahead.select(*df.columns, F.inline(F.array_compact(pairs)))
 
 
 def turning(df: DataFrame, keys: Sequence[str]) -> DataFrame:
