@@ -345,66 +345,6 @@ def simulate(tracks: DataFrame, interval: float = 2.0, seed: int = 17) -> DataFr
     return tracks.select("track_id", "n_frames", "tau", "velocity_scale", "obs_noise").mapInPandas(run, "track_id long, frame int, x double, y double")
 
 
-def fit_logistic(df: DataFrame, outcome: str, covariates: Sequence[str], group: str | None = None, penalty: float | None = None, steps: int = 16) -> dict[str, float]:
-    """Logistic regression by iterated weighted least squares, with a random intercept per group if named.
-
-    Each step is one aggregation of sums of products; with groups their penalised intercepts are
-    eliminated from group sums first, so the driver holds a matrix of the covariates alone. Unless a
-    penalty (one over the intercepts' variance) is given, each step also moves the variance towards the
-    mean over groups of the squared intercept and of its variance given the data, half as far again, and
-    the result names it (group variance).
-    """
-    variance = 1.0 if penalty is None else 1 / penalty
-    names = ["(intercept)", *covariates]
-    beta = np.zeros(len(names))
-    columns = [F.lit(1.0), *[F.col(c).cast("double") for c in covariates]]
-    y = F.col(outcome).cast("double")
-    offsets = None
-    few = group is not None and df.select(group).distinct().limit(100_001).count() <= 100_000  # such groups are broadcast
-    for _ in range(steps):
-        rows = df if offsets is None else df.join(F.broadcast(offsets) if few else offsets, group, "left")
-        eta = sum((float(b) * c for b, c in zip(beta, columns)), F.lit(0.0))
-        if offsets is not None:
-            eta = eta + F.coalesce("_u", F.lit(0.0))
-        p = 1 / (1 + F.exp(-eta))
-        w = F.greatest(p * (1 - p), F.lit(1e-6))
-        score = y - p
-        pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-        sums = [F.sum(w * columns[i] * columns[j]).alias(f"h{i}_{j}") for i, j in pairs] + [F.sum(score * c).alias(f"g{i}") for i, c in enumerate(columns)]
-        if group is None:
-            r = rows.agg(*sums).first()
-            h, g = np.zeros((len(names),) * 2), np.array([r[f"g{i}"] for i in range(len(names))])
-            for i, j in pairs:
-                h[i, j] = h[j, i] = r[f"h{i}_{j}"]
-        else:
-            own = rows.groupBy(group).agg(*sums, F.first("_u").alias("_u") if offsets is not None else F.lit(0.0).alias("_u"))
-            tight = 1 / variance
-            d = F.col("h0_0") + F.lit(tight)
-            residual = F.col("g0") - tight * F.col("_u")
-            folded = [F.sum(F.col(f"h{i}_{j}") - F.col(f"h0_{i}") * F.col(f"h0_{j}") / d).alias(f"h{i}_{j}") for i, j in pairs]
-            folded += [F.sum(F.col(f"g{i}") - F.col(f"h0_{i}") * residual / d).alias(f"g{i}") for i in range(len(names))]
-            r = own.agg(*folded).first()
-            h, g = np.zeros((len(names),) * 2), np.array([r[f"g{i}"] for i in range(len(names))])
-            for i, j in pairs:
-                h[i, j] = h[j, i] = r[f"h{i}_{j}"]
-        move = np.linalg.solve(h + 1e-9 * np.eye(len(names)), g)
-        if group is not None:
-            shift = sum((F.col(f"h0_{i}") * float(m) for i, m in enumerate(move)), F.lit(0.0))
-            from cytoframe.functions.session import durable
-
-            offsets = durable(own.select(group, (F.col("_u") + (residual - shift) / d).alias("_u"), (1 / d).alias("_given")))
-            old = variance
-            if penalty is None:
-                seen = offsets.agg(F.avg(F.col("_u") * F.col("_u") + F.col("_given"))).first()[0] or old
-                variance = max(old * (seen / old) ** 1.5, 1e-4)
-            offsets = offsets.drop("_given")
-        beta = beta + move
-        if np.abs(move).max() < 1e-8 or np.abs(move).max() < 1e-3 and group is not None and penalty is None and abs(np.log(variance / old)) < 0.02:
-            break
-    found = dict(zip(names, beta.tolist()))
-    return found if group is None else found | {"(group variance)": variance}
-
-
 def score_logistic(coefficients: dict[str, float]) -> Column:
     """Population-level probability from coefficients; group intercepts and their variance don't enter."""
     eta = F.lit(coefficients["(intercept)"])
@@ -412,49 +352,3 @@ def score_logistic(coefficients: dict[str, float]) -> Column:
         if not name.startswith("("):
             eta = eta + b * F.col(name).cast("double")
     return 1 / (1 + F.exp(-eta))
-
-
-def link_objects(df: DataFrame, keys: Sequence[str], radius: float) -> DataFrame:
-    """Tracks of objects (keys, frame, label, y, x) by greedy nearest links between consecutive frames, within a radius.
-
-    Frames follow each other, so one task takes one key; an object takes the track whose extrapolated
-    last position is nearest, the nearest pairs first, or begins a track. Adds track, from 1.
-    """
-
-    def within(at, guess):
-        """Pairs of places nearer than the radius, the nearest first, by cells of that size."""
-        cells: dict[tuple[int, int], list[int]] = {}
-        for j, cell in enumerate(np.floor(guess / radius).astype(int).tolist()):
-            cells.setdefault(tuple(cell), []).append(j)
-        found = []
-        for i, (a, b) in enumerate(np.floor(at / radius).astype(int).tolist()):
-            near = [j for c in (a - 1, a, a + 1) for d in (b - 1, b, b + 1) for j in cells.get((c, d), ())]
-            if near:
-                far = np.sqrt(((guess[near] - at[i]) ** 2).sum(1))
-                found += [(d, i, j) for d, j in zip(far.tolist(), near) if d <= radius]
-        return [(i, j) for _, i, j in sorted(found)]
-
-    def link(table):
-        table = table.sort_values(["frame", "label"], ignore_index=True)
-        ids, following = np.zeros(len(table), np.int64), 1
-        last: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
-        for frame, rows in table.groupby("frame").groups.items():
-            at = table.loc[rows, ["y", "x"]].to_numpy(float)
-            live = [t for t, (f, _, _) in last.items() if f == frame - 1]
-            taken: set[int] = set()
-            if live:
-                guess = np.array([last[t][1] + last[t][2] for t in live])
-                for i, j in within(at, guess):
-                    if ids[rows[i]] == 0 and live[j] not in taken:
-                        ids[rows[i]] = live[j]
-                        taken.add(live[j])
-            for i, row in enumerate(rows):
-                if ids[row] == 0:
-                    ids[row], following = following, following + 1
-                t = int(ids[row])
-                speed = at[i] - last[t][1] if t in last else np.zeros(2)
-                last[t] = (frame, at[i], speed)
-        return table.assign(track=ids)[[*keys, "frame", "label", "track"]]
-
-    kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in [*keys, "frame", "label"])
-    return df.select(*keys, "frame", "label", "y", "x").groupBy(*keys).applyInPandas(link, f"{kinds}, track long")

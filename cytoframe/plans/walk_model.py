@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cytoframe.functions.session import durable
 from cytoframe.operators import censoring as C
+from cytoframe.operators import imaging as G
+from cytoframe.operators import linking as L
+from cytoframe.operators import mixed_logistic as ML
 from cytoframe.operators import raster as R
 from cytoframe.operators import summaries as S
 from cytoframe.operators import tracks as T
@@ -58,11 +64,32 @@ def box_check(spark, sf_dir):
     return counts.join(kept.groupBy("box").agg(F.count("*").alias("n_kept")), "box", "left")
 
 
+#: Terms of the two dropout models, of standardised covariates; the full one adds the condition and its interactions.
+CONTEXT = ("z_speed", "z_edge", "z_near", "z_frame")
+FULL = (*CONTEXT, "ploidy", "z_dose", "z_speed:ploidy", "z_speed:z_dose", "ploidy:z_dose")
+
+
+def at_risk_covariates(spark, sf_dir):
+    """Detections with a later one in their track; it ends a track where it is an error. Site, condition, and covariates by their mean and deviation."""
+    w = Window.partitionBy("site_id", "track_id").orderBy("frame")
+    step = T.distance(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    raw = {"speed": F.coalesce(step, F.lit(0.0)), "edge": C.edge_distance(560.0, 100.0), "near": F.abs(F.lead("frame").over(w) - F.col("frame") - 1).cast("double"), "frame": F.col("frame").cast("double"), "dose": F.log10(F.col("dose") + 1)}
+    rows = A.tracks(spark, sf_dir).withColumn("ended", (F.lead("event_type").over(w) == "error").cast("int"))
+    rows = rows.select("site_id", "ploidy", "ended", *[c.alias(n) for n, c in raw.items()]).where("ended IS NOT NULL")
+    return durable(S.standardised(rows, ["speed", "edge", "near", "frame", "dose"]))
+
+
 def dropout_model(spark, sf_dir):
-    """Coefficients of dropout by frame and position, with a random intercept per site."""
-    rows = durable(PC._predicted(spark, sf_dir).select("site_id", "ended", (F.col("frame") / 30).alias("f"), (F.col("x") / 560).alias("px")))
-    got = W.fit_logistic(rows, "ended", ["f", "px"], "site_id")
-    return spark.createDataFrame([(k, float(v)) for k, v in got.items()], "term string, estimate double")
+    """Coefficients of the full dropout model with a random intercept per site, their errors and the intercepts' variance."""
+    got = ML.fit(at_risk_covariates(spark, sf_dir), "ended", FULL, "site_id")
+    rows = [(n, float(b), float(e)) for n, b, e in zip(got.names, got.coefficients, got.errors)] + [("(group variance)", got.variance, None)]
+    return spark.createDataFrame([(*r, got.converged) for r in rows], "term string, estimate double, error double, converged boolean")
+
+
+def dropout_comparison(spark, sf_dir):
+    """The context and the full dropout model, both fitted to all rows: log likelihood, AIC, distance to the best, gain, convergence."""
+    rows = at_risk_covariates(spark, sf_dir)
+    return ML.comparison(spark, {name: ML.fit(rows, "ended", terms, "site_id") for name, terms in (("context", CONTEXT), ("full", FULL))})
 
 
 def dropout_scores(spark, sf_dir):
@@ -80,19 +107,19 @@ def model_comparison(spark, sf_dir):
         return rows.agg(F.lit(name).alias("model"), F.lit(df).alias("df"), ll.alias("log_likelihood"))
 
     both = part("frame", "p0", 2).unionByName(part("frame_and_x", "p", 3)).withColumn("aic", 2 * F.col("df") - 2 * F.col("log_likelihood"))
-    from pyspark.sql import Window
-
     every = Window.partitionBy()
     return both.select("model", "df", F.round("log_likelihood", 3).alias("log_likelihood"), F.round("aic", 3).alias("aic"), F.round(F.col("aic") - F.min("aic").over(every), 3).alias("delta_aic"))
 
 
 def object_tracks(spark, sf_dir):
-    """Objects linked over frames by the greedy nearest rule, per column of tiles."""
-    centres = R.objects(A.pixels(spark, sf_dir)).select("frame", "label", F.col("centroid_y").alias("y"), F.col("centroid_x").alias("x"), F.floor(F.col("centroid_x") / 16).alias("band"))
-    return W.link_objects(centres, ["band"], 12.0)
+    """Objects linked over frames by place and size, per column of tiles."""
+    rows = R.objects(A.pixels(spark, sf_dir)).withColumns({"log_area": F.log("area"), "log_diameter": F.log(F.sqrt(4 * F.col("area") / math.pi))})
+    sized = G.unit_scaled(rows, ["log_area", "log_diameter"], 0.01, 0.99)
+    centres = sized.select("frame", "label", F.col("centroid_y").alias("y"), F.col("centroid_x").alias("x"), F.floor(F.col("centroid_x") / 16).alias("band"), "u_log_area", "u_log_diameter")
+    return L.track_objects(centres, ["band"], mode="motion-visual", features=["u_log_area", "u_log_diameter"])
 
 
-QUERIES = {f.__name__: f for f in (expected_msd, walk_segments, walk_fits, simulated_msd, box_check, dropout_model, dropout_scores, model_comparison, object_tracks)}
+QUERIES = {f.__name__: f for f in (expected_msd, walk_segments, walk_fits, simulated_msd, box_check, dropout_model, dropout_comparison, dropout_scores, model_comparison, object_tracks)}
 
 ORACLE_SQL = {
     "expected_msd": A.sql(M.STEPS_SQL, """, v AS (SELECT ploidy, dose, quantile_cont(step_distance, 0.5) / sqrt(2.0) AS v FROM steps GROUP BY ALL), g AS (SELECT *, CAST(unnest(range(1, 11)) AS INTEGER) AS step FROM v)

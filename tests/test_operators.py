@@ -161,13 +161,6 @@ def test_lags_reach_those_of_the_reference(spark, sf):
         assert [r.lag for r in query(spark, sf).select("lag").distinct().orderBy("lag").collect()] == list(range(1, most + 1))
 
 
-def test_logistic_regression_finds_its_coefficients(spark):
-    df = spark.range(20000).withColumn("a", S.unit_hash(F.col("id"), 1) * 2 - 1)
-    df = df.withColumn("y", (S.unit_hash(F.col("id"), 2) < S.logistic(-0.5 + 1.5 * F.col("a"))).cast("int")).withColumn("g", F.col("id") % 7)
-    for got in (W.fit_logistic(df, "y", ["a"]), W.fit_logistic(df, "y", ["a"], "g")):
-        assert abs(got["(intercept)"] + 0.5) < 0.12 and abs(got["a"] - 1.5) < 0.12
-
-
 def test_gaussian_keeps_a_constant_and_its_mass():
     flat = np.full((2, 9, 9), 3.0)
     assert np.allclose(imaging.gaussian(flat, (1, 2, 2)), 3.0)
@@ -237,40 +230,6 @@ def test_presets_fill_missing_pixels(spark):
     assert imaging.apply_preset(spark.createDataFrame(rows, "image_id long, z int, y int, x int, v double"), "abs_z").count() == 40
 
 
-def test_linking_by_cells_is_greedy_nearest(spark):
-    rnd = np.random.default_rng(5)
-    rows = [(0, f, k, float(y), float(x)) for f in range(6) for k, (y, x) in enumerate(rnd.random((40, 2)) * 30)]
-    got = W.link_objects(spark.createDataFrame(rows, "key int, frame int, label int, y double, x double"), ["key"], 2.5).collect()
-    track = {(r.frame, r.label): r.track for r in got}
-    places, last, following = {(f, k): np.array([y, x]) for _, f, k, y, x in rows}, {}, 1
-    for f in range(6):
-        live = {t: p + v for t, (g, p, v) in last.items() if g == f - 1}
-        pairs = sorted((float(np.sqrt(((places[f, k] - p) ** 2).sum())), k, n, t) for n, (t, p) in enumerate(live.items()) for k in range(40))
-        chosen = {}
-        for d, k, _, t in pairs:
-            if d <= 2.5 and k not in chosen and t not in chosen.values():
-                chosen[k] = t
-        for k in range(40):
-            if k not in chosen:
-                chosen[k], following = following, following + 1
-            t = chosen[k]
-            last[t] = (f, places[f, k], places[f, k] - last[t][1] if t in last else np.zeros(2))
-            assert track[f, k] == t
-
-
-def test_group_variance_is_estimated(spark):
-    rnd = np.random.default_rng(9)
-    rows = []
-    for g, u in enumerate(rnd.normal(0, 1.5, 120)):
-        x = rnd.normal(size=80)
-        rows += [(g, float(a), int(rnd.random() < 1 / (1 + np.exp(-(-0.5 + 0.8 * a + u))))) for a in x]
-    df = spark.createDataFrame(rows, "g int, x double, y int").cache()
-    got = W.fit_logistic(df, "y", ["x"], "g")
-    assert abs(got["x"] - 0.8) < 0.12 and 1.4 < got["(group variance)"] < 3.2
-    assert W.fit_logistic(df, "y", ["x"], "g", penalty=1 / 2.25)["(group variance)"] == 2.25
-    assert "(group variance)" not in W.fit_logistic(df, "y", ["x"])
-
-
 def test_simulated_tracks_follow_the_model(spark):
     rows = spark.range(3000).selectExpr("id AS track_id", "CAST(6 AS INT) AS n_frames", "4.0D AS tau", "2.0D AS velocity_scale", "0.5D AS obs_noise")
     got = W.simulate(rows).toPandas()
