@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytoframe.operators.summaries import finite, global_quantiles, ranked, unit_hash
+from cytoframe.operators.summaries import fine_hash, finite, global_quantiles, ranked, unit_hash
 from cytoframe.operators.tracks import keep_first
 
 FLAGS = ("passes_link", "passes_object", "passes_area_ratio", "passes_track_id", "passes_numeric")
@@ -151,13 +151,13 @@ def resample(pool: DataFrame, wanted: DataFrame, ladder: Sequence[Sequence[str]]
     Pools are numbered within their key by ranges, so no task holds a whole key; a draw is an index and the
     join an equi-join.
     """
-    drawn = wanted.withColumn("_u", unit_hash(F.col(ident), seed))
+    drawn = wanted.withColumn("_u", fine_hash(F.col(ident), seed))
     out = drawn
     for level, keys in enumerate(ladder):
-        numbered = ranked(pool.select(*keys, *values), values, keys).select(*keys, *values, F.col("rank").cast("int").alias("_i"))
+        numbered = ranked(pool.select(*keys, *values), values, keys).select(*keys, *values, F.col("rank").cast("bigint").alias("_i"))
         counts = numbered.groupBy(*keys).agg(F.count("*").alias(f"_n{level}")) if keys else numbered.agg(F.count("*").alias(f"_n{level}"))
         out = out.join(counts, list(keys), "left") if keys else out.crossJoin(F.broadcast(counts))
-        out = out.withColumn("_i", F.floor(F.col("_u") * F.coalesce(F.col(f"_n{level}"), F.lit(0))).cast("int"))
+        out = out.withColumn("_i", F.floor(F.col("_u") * F.coalesce(F.col(f"_n{level}"), F.lit(0))).cast("bigint"))
         renamed = numbered.select(*keys, "_i", *[F.col(v).alias(f"_{v}{level}") for v in values], F.lit(level).alias(f"_l{level}"))
         out = out.join(renamed, [*keys, "_i"], "left").drop("_i", f"_n{level}")
     best = F.coalesce(*[F.col(f"_l{k}") for k in range(len(ladder))])

@@ -1,8 +1,8 @@
 """Image operators: relational ones over pixel rows, and kernels over dense volumes.
 
 Rows are (image_id, z, y, x, v). What needs a whole image only through a few numbers (percentiles,
-means, histograms) is an aggregate and a join; filters with a neighbourhood run on dense arrays, one
-task a volume, with numpy alone.
+means, histograms) is an aggregate and a join; filters with a neighbourhood run on dense arrays with
+numpy alone, one task a volume, or on tiles with halos where a volume is wider than a task holds.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cytoframe.functions.session import durable
 from cytoframe.operators.summaries import global_quantiles
 
 
@@ -277,7 +279,40 @@ def smooth_abs_z(x: np.ndarray, blur: float = 20, anisotropy: float = 1.44) -> d
     return {"zscore": z, "abs_zscore": np.abs(z), "smooth": blurred_focus(np.abs(z), blur, anisotropy)}
 
 
-#: Named settings of the focus kernels.
+def detector_blur(x: np.ndarray, method: str = "log", scale: float = 2.0, blur: float = 20, anisotropy: float = 1.44) -> dict[str, np.ndarray]:
+    """Confidence of one detector at a scale (window of local_sd, sigma of log), blurred, and their product."""
+    own = {"local_sd": {"window": round(scale)}, "log": {"log_sigma": scale}}.get(method, {})
+    confidence = relative(focus_score(x, method, **own))
+    wide = blurred_focus(confidence, blur, anisotropy)
+    return {"confidence": confidence, "blurred": wide, "product": confidence * wide}
+
+
+# The eight mixed settings (method, background, highpass, window, log_sigma), the eight log scales, and the grid of detector scales and blurs.
+MIXED = {
+    "sd_w9": ("local_sd", 24, 8, 9, 1.2),
+    "sd_w17": ("local_sd", 24, 8, 17, 1.2),
+    "ten_hp8": ("tenengrad", 24, 8, 9, 1.2),
+    "ten_hp16": ("tenengrad", 40, 16, 9, 1.2),
+    "log1.2": ("log", 24, 8, 9, 1.2),
+    "log2.0": ("log", 24, 8, 9, 2.0),
+    "combo_base": ("composite", 24, 8, 9, 1.2),
+    "combo_w17": ("composite", 24, 8, 17, 1.2),
+}
+LOG_SCALES = (0.7, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0)
+GRID_SCALES, GRID_BLURS = (1.0, 2.0, 4.0), (5.0, 10.0, 20.0, 30.0, 40.0)
+
+
+def blur_grid(method: str = "log", scales: Sequence[float] = GRID_SCALES, blurs: Sequence[float] = GRID_BLURS) -> dict[str, Callable[[np.ndarray], dict[str, np.ndarray]]]:
+    """Settings of detector_blur for every scale and blur, by the labels of their grid."""
+
+    def label(scale, blur):
+        own = {"local_sd": f"sd_w{round(scale)}", "log": f"log{scale:g}"}.get(method, f"{method} {scale:g}")
+        return f"{own} b{blur:g}"
+
+    return {label(s, b): (lambda x, s=s, b=b: detector_blur(x, method, s, b)) for s in scales for b in blurs}
+
+
+#: Named settings of the focus kernels: single detectors, the mixed ones, log scales, and the grid of log scales by blurs.
 PRESETS: dict[str, Callable[[np.ndarray], dict[str, np.ndarray]]] = {
     "composite": lambda x: {"score": focus_score(x)},
     "local_sd": lambda x: {"score": focus_score(x, "local_sd")},
@@ -286,8 +321,9 @@ PRESETS: dict[str, Callable[[np.ndarray], dict[str, np.ndarray]]] = {
     "sd_blur": deviation_blur,
     "sd_log": deviation_log,
     "abs_z": smooth_abs_z,
-    **{f"log_scale_{s}": (lambda x, s=s: {"score": focus_score(x, "log", log_sigma=s)}) for s in (0.8, 1.2, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0)},
-    **{f"sd_{w}_blur_{b}": (lambda x, w=w, b=b: deviation_blur(x, w, b)) for w in (6, 12, 18) for b in (5, 10, 20)},
+    **{f"log{s:.1f}": (lambda x, s=s: {"score": focus_score(x, "log", log_sigma=s)}) for s in LOG_SCALES},
+    **{n: (lambda x, v=v: {"score": focus_score(x, *v)}) for n, v in MIXED.items()},
+    **blur_grid(),
 }
 
 
@@ -321,6 +357,106 @@ def apply_preset(px: DataFrame, name: str, keys: Sequence[str] = ("image_id",))
     return dense(px, keys).mapInPandas(kernel, f"{kinds}, z int, y int, x int, " + ", ".join(f"{o} double" for o in outputs))
 
 
+def on_tiles(px: DataFrame, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], outputs: Sequence[str], halo: int, tile: int = 256, keys: Sequence[str] = ("image_id",), value: str = "v") -> DataFrame:
+    """(keys, z, y, x) with the outputs of a kernel whose results depend on `halo` pixels around along y and x, and on all planes.
+
+    A pixel goes to each tile whose halo holds it; a task runs one tile of all planes, depth x (tile + 2 halo)^2
+    voxels, and gives its core, so a volume of any width is worked through. Missing pixels and null values
+    count as 0 and are part of the result; of repeated pixels the greatest counts.
+    """
+    names = list(keys)
+    ends = px.groupBy(*names).agg((F.max("z") + 1).cast("int").alias("depth"), (F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
+    every = ends.select(*names, "depth", "height", "width", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((height - 1) DIV {tile} AS INT)"))).alias("ty"))
+    every = every.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((width - 1) DIV {tile} AS INT)"))).alias("tx"))
+
+    def reach(c):
+        """The tiles along an axis that see a place."""
+        return F.explode(F.sequence(F.floor(F.greatest(F.col(c) - halo, F.lit(0)) / tile).cast("int"), F.floor((F.col(c) + halo) / tile).cast("int")))
+
+    sent = px.select(*names, F.col("z").cast("int").alias("z"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias("v"), reach("y").alias("ty")).select("*", reach("x").alias("tx"))
+    group = [*names, "ty", "tx"]
+
+    def run(key, tiles, found):
+        if not tiles.num_rows:  # past the end of the volume
+            return table(key, *[np.zeros(0, np.int32)] * 3, {o: np.zeros(0) for o in outputs})
+        depth, height, width, ty, tx = (tiles.column(c)[0].as_py() for c in ("depth", "height", "width", "ty", "tx"))
+        y0, x0 = max(0, ty * tile - halo), max(0, tx * tile - halo)
+        y1, x1 = min(height, (ty + 1) * tile + halo), min(width, (tx + 1) * tile + halo)
+        volume = np.full((depth, y1 - y0, x1 - x0), -np.inf)
+        z, y, x = (found.column(c).to_numpy() for c in ("z", "y", "x"))
+        np.maximum.at(volume, (z, y - y0, x - x0), np.nan_to_num(found.column("v").to_numpy()))
+        volume[np.isneginf(volume)] = 0
+        got = kernel(volume)
+        core = (slice(None), slice(ty * tile - y0, min(height, (ty + 1) * tile) - y0), slice(tx * tile - x0, min(width, (tx + 1) * tile) - x0))
+        z, y, x = (v[core].ravel() for v in np.indices(volume.shape))
+        return table(key, z, y + y0, x + x0, {o: np.ascontiguousarray(got[o][core]).ravel() for o in outputs})
+
+    def table(key, z, y, x, values):
+        own = {n: pa.array([k.as_py()] * len(z), k.type) for n, k in zip(names, key)}
+        return pa.table({**own, **{c: pa.array(v.astype(np.int32)) for c, v in (("z", z), ("y", y), ("x", x))}, **{o: pa.array(v) for o, v in values.items()}})
+
+    kinds = ", ".join(f"`{k}` {dict(px.dtypes)[k]}" for k in names)
+    schema = f"{kinds}, z int, y int, x int, " + ", ".join(f"{o} double" for o in outputs)
+    return every.groupBy(*group).cogroup(sent.groupBy(*group)).applyInArrow(run, schema)
+
+
+def focus_on_tiles(px: DataFrame, method: str = "composite", background: float = 24, highpass: float = 8, window: int = 9, log_sigma: float = 1.2, smooth: Sequence[float] = (0.5, 1.0, 1.0), tile: int = 256, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """(keys, z, y, x, score): focus_score of volumes wider than a task holds, equal to it for any tile.
+
+    Responses are worked out by tiles; their means and deviations come from one aggregation. Smoothing
+    keeps sums with weights, so it goes before the scaling.
+    """
+    kinds = {"local_sd": lambda s: local_deviation(s, window), "tenengrad": gradient_energy, "log": lambda s: abs_laplace(s, log_sigma)}
+    shares = {"local_sd": 1.0, "tenengrad": 1.0, "log": 0.5} if method == "composite" else {method: 1.0}
+
+    def reach(sigma):
+        return int(4.0 * sigma + 0.5)
+
+    def kernel(x):
+        _, sharp = brightfield(x, background, highpass)
+        raw = {n: kinds[n](sharp) for n in shares}
+        return {**{f"raw_{n}": v for n, v in raw.items()}, **{f"smooth_{n}": gaussian(v, smooth) for n, v in raw.items()}}
+
+    halo = 2 * reach(background) + reach(highpass) + max(window // 2 + 1, reach(log_sigma), 1) + reach(max(smooth[1:]))
+    rows = durable(on_tiles(px, kernel, [f"{k}_{n}" for n in shares for k in ("raw", "smooth")], halo, tile, keys))
+    stats = rows.groupBy(*keys).agg(*[f(f"raw_{n}").alias(f"{k}_{n}") for n in shares for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    same = stats.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    met = rows.join(same, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    score = sum((share * (F.col(f"smooth_{n}") - F.col(f"m_{n}")) / (F.col(f"s_{n}") + 1e-6) for n, share in shares.items()), F.lit(0.0))
+    return met.select(*keys, "z", "y", "x", score.alias("score"))
+
+
+def deviation_blur_on_tiles(px: DataFrame, window: int = 12, blur: float = 20, anisotropy: float = 1.44, tile: int = 256, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """(keys, z, y, x, sd_confidence, blurred, product): deviation_blur of volumes wider than a task holds."""
+    score = focus_on_tiles(px, "local_sd", window=window, tile=tile, keys=keys)
+    column = Window.partitionBy(*keys, "y", "x")
+    shifted = score.withColumn("_d", F.col("score") - F.min("score").over(column))
+    sure = durable(shifted.select(*keys, "z", "y", "x", (F.col("_d") / (F.max("_d").over(column) + 1e-6)).alias("v")))
+    wide = on_tiles(sure, lambda c: {"sd_confidence": c, "blurred": blurred_focus(c, blur, anisotropy)}, ["sd_confidence", "blurred"], int(4.0 * blur + 0.5), tile, keys)
+    return wide.withColumn("product", F.col("sd_confidence") * F.col("blurred"))
+
+
+def padded_crops(px: DataFrame, boxes: DataFrame, padding: int = 2, cell: int = 32, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """Pixels (keys, y, x, ...) inside boxes (keys, box, y_min, y_end, x_min, x_end) widened by the padding and cut at the frame's ends.
+
+    Adds box, and crop_y and crop_x from the crop's corner. Boxes go to the square cells that they touch and
+    a pixel is in one, so a pixel meets only boxes near it.
+    """
+    ends = px.groupBy(*keys).agg((F.max("y") + 1).alias("_height"), (F.max("x") + 1).alias("_width"))
+    wide = boxes.join(ends, list(keys)).select(
+        *keys, "box", F.greatest(F.col("y_min") - padding, F.lit(0)).alias("_y0"), F.least(F.col("y_end") + padding, "_height").alias("_y1"), F.greatest(F.col("x_min") - padding, F.lit(0)).alias("_x0"), F.least(F.col("x_end") + padding, "_width").alias("_x1")
+    )
+
+    def cells(low, high):
+        return F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(high) - 1) / cell)))
+
+    wide = wide.where("_y0 < _y1 AND _x0 < _x1").withColumn("_cy", cells("_y0", "_y1")).withColumn("_cx", cells("_x0", "_x1"))
+    placed = px.withColumns({"_cy": F.floor(F.col("y") / cell), "_cx": F.floor(F.col("x") / cell)})
+    inside = (F.col("y") >= F.col("_y0")) & (F.col("y") < F.col("_y1")) & (F.col("x") >= F.col("_x0")) & (F.col("x") < F.col("_x1"))
+    met = placed.join(wide, [*keys, "_cy", "_cx"]).where(inside)
+    return met.withColumns({"crop_y": F.col("y") - F.col("_y0"), "crop_x": F.col("x") - F.col("_x0")}).drop("_cy", "_cx", "_y0", "_y1", "_x0", "_x1")
+
+
 def within_objects(px: DataFrame, labels: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Pixels of objects (keys, y, x, label) with abs_z within the object, and whether it reaches the object's Otsu threshold."""
     rows = px.join(labels, [*keys, "y", "x"])
@@ -342,6 +478,8 @@ def merged_channels(red: np.ndarray, green: np.ndarray, smooth: Sequence[float]
 
 
 def _input_of(mode: str, red: np.ndarray, green: np.ndarray, bright: np.ndarray) -> list[np.ndarray]:
+    if mode in SWEEP:
+        return _sweep_of(mode, red, green, bright)
     if mode in ("raw", "raw_inverted"):
         bf = unit_range(bright)
         return [1 - bf if mode == "raw_inverted" else bf, merged_channels(red, green)]
@@ -357,8 +495,34 @@ def _input_of(mode: str, red: np.ndarray, green: np.ndarray, bright: np.ndarray)
     raise ValueError(f"unknown input: {mode}")
 
 
+#: The seven scalar channels that the sweep stacks with fluorescence, alone and with brightfield.
+SCALARS = ("absz", "absz_product", "sd_w10", "log2", "sd_log_combined", "sd_log_product", "sd_log_otsu_product")
+#: Inputs of the sweep by name, with their channels: three raw ones, two raw stacks, fused fluorescence with and without brightfield, each with every scalar channel.
+SWEEP: dict[str, tuple[str, ...]] = {
+    "raw_ch00": ("ch00",), "raw_ch01_bf": ("bf",), "raw_ch02": ("ch02",), "raw_ch00_ch02": ("ch00", "ch02"), "raw_all_ch00_ch01_ch02": ("ch00", "bf", "ch02"), "fucci": ("fucci",), "fucci_bf": ("fucci", "bf"),
+    **{f"fucci_{b}{n}": ("fucci", *(["bf"] if b else []), n) for n in SCALARS for b in ("", "bf_")},
+}
+
+
+def _sweep_of(name: str, red: np.ndarray, green: np.ndarray, bright: np.ndarray) -> list[np.ndarray]:
+    """The channels of a variant of the sweep; only what it needs is worked out."""
+    once: dict[str, dict[str, np.ndarray]] = {}
+
+    def combo():
+        return once.setdefault("combo", deviation_log(bright))
+
+    def focus():
+        return once.setdefault("focus", smooth_abs_z(bright))
+
+    channels = {
+        "ch00": lambda: unit_range(red), "bf": lambda: unit_range(bright), "ch02": lambda: unit_range(green), "fucci": lambda: merged_channels(red, green), "absz": lambda: unit_range(focus()["abs_zscore"]), "absz_product": lambda: unit_range(focus()["abs_zscore"] * focus()["smooth"]),
+        "sd_w10": lambda: unit_range(combo()["sd_confidence"]), "log2": lambda: unit_range(combo()["log_confidence"]), "sd_log_combined": lambda: unit_range(combo()["combined"]), "sd_log_product": lambda: unit_range(combo()["product"]), "sd_log_otsu_product": lambda: unit_range(combo()["otsu_product"]),
+    }
+    return [channels[c]() for c in SWEEP[name]]
+
+
 #: Inputs of a segmentation by name, and how many channels each has.
-INPUTS = {"raw": 2, "raw_inverted": 2, "product": 3, "fused_absz": 2, "fused_absz_sd2": 2}
+INPUTS = {"raw": 2, "raw_inverted": 2, "product": 3, "fused_absz": 2, "fused_absz_sd2": 2, **{n: len(c) for n, c in SWEEP.items()}}
 
 
 def segmentation_input(px: DataFrame, mode: str, keys: Sequence[str] = ("image_id",), channels: Sequence[str] = ("r", "g", "b")) -> DataFrame:

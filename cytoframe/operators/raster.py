@@ -241,13 +241,15 @@ def nearest_mask_pixels(px: DataFrame, height: int, width: int, keys: Sequence[s
     """(keys, y, x, nearest, distance, nearest_y, nearest_x) of every pixel of height x width frames.
 
     A labelled pixel is its own nearest at distance 0; ties go to the smaller label, then place. Frames
-    without a labelled pixel have no rows; pixels outside the frame are an error of the input.
+    without a labelled pixel have no rows; a pixel outside the frame is a ValueError.
     """
     names = list(keys)
 
     def kernel(table):
-        image = np.zeros((height, width), np.int64)
-        np.maximum.at(image, (table.column("y").to_numpy(), table.column("x").to_numpy()), table.column("label").to_numpy())
+        image, at = np.zeros((height, width), np.int64), [table.column(c).to_numpy() for c in "yx"]
+        if any(len(v) and (v.min() < 0 or v.max() >= n) for v, n in zip(at, image.shape)):
+            raise ValueError(f"a pixel outside the frame of {height} x {width}")
+        np.maximum.at(image, tuple(at), table.column("label").to_numpy())
         y, x = (v.ravel().astype(np.int64) for v in np.indices(image.shape))
         squared, nearest, _, _, ny, nx = nearest_labelled(image, y, x, np.full(len(y), -1), np.arange(len(y)), len(y)).T
         columns = {k: pa.array([table.column(k)[0].as_py()] * len(y), table.schema.field(k).type) for k in names}

@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cytoframe.functions.session import durable
+from cytoframe.operators.summaries import global_quantiles
+
 #: Bounds of (tau, velocity scale, observation noise).
 LOWER, UPPER = np.log([1e-4, 1e-8, 1e-8]), np.log([1e6, 1e6, 1e6])
 #: Sums that a task holds before it hands them on.
@@ -219,11 +222,14 @@ def step_scales(rows: DataFrame, keys: Sequence[str], interval: float) -> DataFr
     at = lambda c, i: F.get(c, i).cast("double")
     step = F.transform(F.sequence(F.lit(1), F.size("frames") - 1), lambda i: F.struct(((at("frames", i) - at("frames", i - 1)) * interval).alias("dt"), F.hypot(at("xs", i) - at("xs", i - 1), at("ys", i) - at("ys", i - 1)).alias("move")))
     each = rows.select(*keys, F.explode(step).alias("s")).select(*keys, "s.dt", "s.move").withColumn("speed", F.col("move") / F.col("dt"))
-    points = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
-    return each.groupBy(*keys).agg(
-        F.percentile("dt", F.lit(0.5)).alias("dt"), F.min("dt").alias("least_dt"), F.sum("dt").alias("time"), F.percentile("move", F.lit(0.5)).alias("move"),
-        F.percentile(F.when(F.col("speed") > 0, F.col("speed")), points).alias("speed"), F.percentile(F.when(F.col("move") > 0, F.col("move")), points).alias("moves"),
-    )
+    each = durable(each)
+    shares = {"a": 0.05, "b": 0.5, "c": 0.95}
+    out = each.groupBy(*keys).agg(F.min("dt").alias("least_dt"), F.sum("dt").alias("time"))
+    for name, value, rule in (("dt", "dt", None), ("move", "move", None), ("speed", "speed", "speed > 0"), ("moves", "move", "move > 0")):
+        q = global_quantiles(each if rule is None else each.where(rule), value, shares, keys)
+        q = q.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("b") if rule is None else F.array("a", "b", "c")).alias(name))
+        out = out.join(q, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left").drop(*[f"_k_{k}" for k in keys])
+    return out
 
 
 def moments(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -72,7 +72,7 @@ def object_intensity(spark, sf_dir):
 
 def parameter_levels(spark, sf_dir):
     """Low and high step scales over conditions, and the model displacement after five steps of each pair with a time constant."""
-    v = M._steps(spark, sf_dir).groupBy(*COND).agg((F.percentile("step_distance", F.lit(0.5)) / F.sqrt(F.lit(2.0))).alias("v"))
+    v = S.global_quantiles(M._steps(spark, sf_dir), "step_distance", {"median": 0.5}, COND).select(*COND, (F.col("median") / F.sqrt(F.lit(2.0))).alias("v"))
     q = v.agg(F.percentile("v", F.lit(0.1)).alias("low"), F.percentile("v", F.lit(0.9)).alias("high")).unpivot([], ["low", "high"], "level", "v")
     grid = q.crossJoin(spark.createDataFrame([("short", 2.0), ("long", 8.0)], "persistence string, tau double"))  # 2 x 2
     return grid.select("level", "persistence", F.round("v", 4).alias("v"), F.round(W.expected_msd(F.lit(5.0), F.col("tau"), F.col("v"), F.lit(0.0)), 3).alias("msd"))

@@ -103,6 +103,17 @@ def calibration(spark, sf_dir):
     return _rounded(rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("predicted"), F.avg("ended").alias("observed")), "predicted", "observed")
 
 
+def covariate_checks(spark, sf_dir):
+    """Predicted and observed dropout and survival in the quartiles of each covariate."""
+    rows = _predicted(spark, sf_dir).select(*TRACK, "frame", "p", "ended", F.col("frame").cast("double").alias("frame_bin"), F.col("x").alias("x_bin"), F.least("y", 100 - F.col("y")).alias("edge_bin"))
+    names = ["frame_bin", "x_bin", "edge_bin"]
+    for c in names:
+        rows = S.tiles(rows, c, 4, f"_{c}", ["site_id", "track_id", "frame"])
+    rows = rows.select("p", "ended", *[F.col(f"_{c}").alias(c) for c in names]).unpivot(["p", "ended"], names, "diagnostic", "k")
+    out = rows.groupBy("diagnostic", F.concat(F.lit("quartile "), F.col("k").cast("string")).alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("predicted_dropout"), F.avg("ended").alias("observed_dropout"), F.avg(1 - F.col("p")).alias("predicted_survival"), F.avg(1 - F.col("ended")).alias("observed_survival"))
+    return _rounded(out, "predicted_dropout", "observed_dropout", "predicted_survival", "observed_survival")
+
+
 def survival_by_condition(spark, sf_dir):
     rows = _predicted(spark, sf_dir)
     return _rounded(rows.groupBy(*COND).agg(F.count("*").alias("n"), F.count_distinct("site_id", "track_id").alias("n_tracks"), F.avg("ended").alias("dropout"), F.avg(1 - F.col("p")).alias("survival")), "dropout", "survival")
@@ -175,9 +186,9 @@ CONTEXT_LADDER = [[*COND, "frame"], COND, ["frame"], []]
 
 
 def context_resample(spark, sf_dir):
-    """A context value for each late detection, drawn from all detections: of its condition and frame, else its condition, else its frame, else any."""
+    """A context value for each detection, drawn from all detections: of its condition and frame, else its condition, else its frame, else any."""
     rows = A.tracks(spark, sf_dir)
-    wanted = rows.where("frame >= 20").select(F.col("event_id").alias("wanted_id"), *COND, "frame")
+    wanted = rows.select(F.col("event_id").alias("wanted_id"), *COND, "frame")
     return C.resample(rows.select(*COND, "frame", "event_id"), wanted, CONTEXT_LADDER, "wanted_id", ["event_id"], 17)
 
 
@@ -196,7 +207,7 @@ def uncensored_tracks(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        at_risk, point_flags, censor_reasons, stage_counts, track_summary, model_quality, calibration, survival_by_condition, survival_weights, weighted_msd,
+        at_risk, point_flags, censor_reasons, stage_counts, track_summary, model_quality, calibration, covariate_checks, survival_by_condition, survival_weights, weighted_msd,
         drawn_censoring, boundary_censoring, holdout_roles, group_sample, row_cap, track_sample, context_resample, standardised_covariates, uncensored_tracks,
     )
 }
@@ -236,6 +247,8 @@ ORACLE_SQL = {
     "track_summary": A.sql(A.TRACKS_SQL, """, p AS (SELECT *, CASE WHEN frame = lag(frame) OVER w + 1 THEN sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) END AS s, min(frame) OVER (PARTITION BY site_id, track_id) AS f0 FROM tracks WINDOW w AS (PARTITION BY site_id, track_id ORDER BY frame))
         SELECT site_id, track_id, min(frame) AS first_frame, max(frame) AS last_frame, count(DISTINCT frame) AS track_length, round(avg(s), 6) AS mean_speed, round(avg(s) FILTER (frame <= f0 + 3), 6) AS early_speed, round(arg_min(x, frame), 6) AS start_x, round(arg_min(y, frame), 6) AS start_y FROM p GROUP BY site_id, track_id"""),
     "model_quality": A.sql(_PREDICTED_SQL, "SELECT ploidy, dose, count(*) AS n, round(avg(ended), 6) AS event_rate, round(avg(p), 6) AS mean_predicted, round(avg(power(ended - p, 2)), 6) AS brier, round(-avg(ended * ln(p) + (1 - ended) * ln(1 - p)), 6) AS log_loss FROM pred GROUP BY ALL"),
+    "covariate_checks": A.sql(_PREDICTED_SQL, """, q AS (SELECT p, ended, ntile(4) OVER (ORDER BY frame, site_id, track_id) AS frame_bin, ntile(4) OVER (ORDER BY x, site_id, track_id, frame) AS x_bin, ntile(4) OVER (ORDER BY least(y, 100 - y), site_id, track_id, frame) AS edge_bin FROM pred)
+        SELECT diagnostic, 'quartile ' || k AS bin, count(*) AS n, round(avg(p), 6) AS predicted_dropout, round(avg(ended), 6) AS observed_dropout, round(avg(1 - p), 6) AS predicted_survival, round(avg(1 - ended), 6) AS observed_survival FROM (UNPIVOT q ON frame_bin, x_bin, edge_bin INTO NAME diagnostic VALUE k) GROUP BY ALL"""),
     "calibration": A.sql(_PREDICTED_SQL, "SELECT CAST(b AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(ended), 6) AS observed FROM (SELECT *, ntile(20) OVER (ORDER BY p, site_id, track_id, frame) AS b FROM pred) GROUP BY ALL"),
     "survival_by_condition": A.sql(_PREDICTED_SQL, "SELECT ploidy, dose, count(*) AS n, count(DISTINCT (site_id, track_id)) AS n_tracks, round(avg(ended), 6) AS dropout, round(avg(1 - p), 6) AS survival FROM pred GROUP BY ALL"),
     "survival_weights": A.sql(_WEIGHTS_SQL, "SELECT lag, count(*) AS n, round(quantile_cont(weight, 0.5), 6) AS median, round(quantile_cont(weight, 0.95), 6) AS p95, round(quantile_cont(weight, 0.99), 6) AS p99, round(max(weight), 6) AS most, round(least(quantile_cont(weight, 0.95), 20), 6) AS cap FROM wts GROUP BY lag"),
@@ -253,7 +266,7 @@ ORACLE_SQL = {
     "row_cap": "SELECT event_id, user_id AS track_id FROM events ORDER BY md5(event_id::VARCHAR || ':17'), event_id LIMIT 1000",
     "track_sample": A.sql(A.TRACKS_SQL, "SELECT track_id, frame, round(x, 6) AS x FROM tracks WHERE track_id IN (SELECT track_id FROM (SELECT DISTINCT track_id FROM tracks) ORDER BY md5(track_id::VARCHAR || ':17'), track_id LIMIT 40)"),
     "context_resample": A.sql(A.TRACKS_SQL, f""", pool AS (SELECT ploidy, dose, frame, event_id FROM tracks),
-        want AS (SELECT event_id AS wanted_id, ploidy, dose, frame, {_U.format("event_id::VARCHAR")} AS u FROM tracks WHERE frame >= 20),
+        want AS (SELECT event_id AS wanted_id, ploidy, dose, frame, CAST(('0x' || substr(md5(event_id::VARCHAR || ':17'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM tracks),
         l0 AS (SELECT *, row_number() OVER (PARTITION BY ploidy, dose, frame ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY ploidy, dose, frame) AS n FROM pool),
         l1 AS (SELECT *, row_number() OVER (PARTITION BY ploidy, dose ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY ploidy, dose) AS n FROM pool),
         l2 AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY frame) AS n FROM pool),

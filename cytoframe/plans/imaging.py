@@ -72,7 +72,7 @@ def unit_scaled_objects(spark, sf_dir):
 
 def focus_scores(spark, sf_dir):
     """Mean and greatest composite focus of each plane of each volume."""
-    rows = G.apply_preset(A.volume(spark, sf_dir), "composite")
+    rows = G.focus_on_tiles(A.volume(spark, sf_dir))
     return _rounded(rows.groupBy("image_id", "z").agg(F.avg("score").alias("mean_score"), F.max("score").alias("max_score")), "mean_score", "max_score", digits=4)
 
 

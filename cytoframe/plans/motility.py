@@ -155,19 +155,19 @@ def length_distribution(spark, sf_dir):
 
 def threshold_sensitivity(spark, sf_dir):
     """Track and step statistics for several least track lengths at once."""
-    rows = _runs(spark, sf_dir)
-    key = [*ALL, "run_index"]
-    lengths = rows.groupBy(*key).agg(F.count("*").alias("n_frames"))
-    least = F.explode(F.array(*map(F.lit, (3, 4, 5)))).alias("min_frames")
-    eligible = lengths.select("*", least).where("n_frames >= min_frames")
-    by = [*COND, "min_frames"]
-    counted = eligible.groupBy(*by).agg(F.count("*").alias("n_tracks"), F.percentile("n_frames", F.lit(0.5)).alias("median_frames"), F.percentile("n_frames", F.lit(0.9)).alias("p90_frames"))
-    steps = T.forward_steps(rows, key).select(*key, "step_distance").join(eligible.select(*key, "min_frames"), key)
-    stepped = steps.groupBy(*by).agg(F.count("*").alias("n_steps"), F.avg("step_distance").alias("mean_step"))
-    origin = T.origin_displacement(rows, key).where(F.col("track_step").isin(3, 5, 10)).join(eligible.select(*key, "min_frames"), key)
-    wide = origin.groupBy(*by).pivot("track_step", [3, 5, 10]).agg(F.avg("squared_displacement"))
-    wide = wide.select(*by, *[F.col(f"`{k}`").alias(f"msd_step_{k}") for k in (3, 5, 10)])
-    out = counted.join(stepped, by, "left").join(wide, by, "left")
+    w = Window.partitionBy(*TRACK, "run_index").orderBy("frame")
+    start = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = _runs(spark, sf_dir).withColumns({
+        "step": T.distance(F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")), "k": F.row_number().over(w) - 1,
+        "squared": F.pow(F.col("x") - F.first("x").over(start), 2) + F.pow(F.col("y") - F.first("y").over(start), 2),
+    })
+    # A row counts for each threshold that its run reaches; the first row of a run stands for the run.
+    rows = rows.withColumn("min_frames", F.explode(F.filter(F.array(*map(F.lit, (3, 4, 5))), lambda t: t <= F.col("run_frames"))))
+    length = F.when(F.col("k") == 0, F.col("run_frames"))
+    out = rows.groupBy(*COND, "min_frames").agg(
+        F.count(length).alias("n_tracks"), F.percentile(length, F.lit(0.5)).alias("median_frames"), F.percentile(length, F.lit(0.9)).alias("p90_frames"), F.count("step").alias("n_steps"), F.avg("step").alias("mean_step"),
+        *[F.avg(F.when(F.col("k") == k, F.col("squared"))).alias(f"msd_step_{k}") for k in (3, 5, 10)],
+    )
     return out.withColumns({c: F.round(c, 2) for c in ("median_frames", "p90_frames", "mean_step", "msd_step_3", "msd_step_5", "msd_step_10")})
 
 

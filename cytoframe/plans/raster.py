@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cytoframe.functions.session import durable
+from cytoframe.operators import imaging as G
 from cytoframe.operators import raster as R
 from cytoframe.operators.summaries import global_quantiles
 from cytoframe.sources import adapters as A
@@ -145,11 +146,19 @@ def size_quantiles(spark, sf_dir):
     return global_quantiles(sizes, "n", names).select(*[F.round(n, 4).alias(n) for n in names]).crossJoin(under)  # one row each
 
 
+def padded_crops(spark, sf_dir):
+    """Of the crop around each object, two pixels wider: its pixels, those of the object, and its size."""
+    px = durable(A.pixels(spark, sf_dir))
+    boxes = R.objects(px).withColumnRenamed("label", "box").select("frame", "box", "y_min", "y_end", "x_min", "x_end")
+    rows = G.padded_crops(px, boxes, 2)
+    return rows.groupBy("frame", "box").agg(F.count("*").alias("n_pixels"), F.count_if(F.col("label") == F.col("box")).alias("n_own"), (F.max("crop_y") + 1).cast("long").alias("height"), (F.max("crop_x") + 1).cast("long").alias("width"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         object_table, frame_object_counts, volume_summary, boundary_pixels, touching_objects, overlap_links, stitched_objects, stitch_summary,
-        relabelled, mask_under_point, disc_overlaps, nearest_centres, nearest_masks, nearest_mask_pairs, nearest_mask_pixels, farthest_object, nearest_summary, largest_object, label_colours, size_quantiles,
+        relabelled, mask_under_point, disc_overlaps, nearest_centres, nearest_masks, nearest_mask_pairs, nearest_mask_pixels, farthest_object, nearest_summary, largest_object, label_colours, size_quantiles, padded_crops,
     )
 }
 
@@ -206,4 +215,7 @@ ORACLE_SQL = {
     "largest_object": A.sql(A.PIXELS_SQL, "SELECT label, count(*) AS n FROM pixels GROUP BY label HAVING count(*) >= 20 ORDER BY n DESC, label LIMIT 5"),
     "label_colours": A.sql(A.PIXELS_SQL, "SELECT DISTINCT label, CAST((label * 37 + 41) % 255 AS BIGINT) AS red, CAST((label * 67 + 89) % 255 AS BIGINT) AS green, CAST((label * 97 + 131) % 255 AS BIGINT) AS blue FROM pixels"),
     "size_quantiles": A.sql(A.PIXELS_SQL, "SELECT " + ", ".join(f"round(quantile_cont(n, {q}), 4) AS q{round(100 * q)}" for q in SIZE_SHARES) + ", " + ", ".join(f"count(*) FILTER (n < {t}) AS under_{t}" for t in SIZE_LIMITS) + " FROM (SELECT label, count(*) AS n FROM pixels GROUP BY label)"),
+    "padded_crops": A.sql(A.PIXELS_SQL, """, e AS (SELECT frame, max(y) + 1 AS h, max(x) + 1 AS w FROM pixels GROUP BY frame),
+        b AS (SELECT frame, label AS box, greatest(min(y) - 2, 0) AS y0, least(max(y) + 3, any_value(h)) AS y1, greatest(min(x) - 2, 0) AS x0, least(max(x) + 3, any_value(w)) AS x1 FROM pixels JOIN e USING (frame) GROUP BY ALL)
+        SELECT p.frame, box, count(*) AS n_pixels, count(*) FILTER (label = box) AS n_own, CAST(max(y - y0) + 1 AS BIGINT) AS height, CAST(max(x - x0) + 1 AS BIGINT) AS width FROM pixels p JOIN b ON p.frame = b.frame AND y >= y0 AND y < y1 AND x >= x0 AND x < x1 GROUP BY ALL"""),
 }

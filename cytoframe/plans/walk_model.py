@@ -26,7 +26,7 @@ SEGMENT = ["site_id", "track_id", "run_index"]
 
 def expected_msd(spark, sf_dir):
     """Model displacement by step for the tau and scale that a condition's medians suggest."""
-    steps = M._steps(spark, sf_dir).groupBy(*COND).agg((F.percentile("step_distance", F.lit(0.5)) / F.sqrt(F.lit(2.0))).alias("v"))
+    steps = S.global_quantiles(M._steps(spark, sf_dir), "step_distance", {"median": 0.5}, COND).select(*COND, (F.col("median") / F.sqrt(F.lit(2.0))).alias("v"))
     grid = steps.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(10)))).withColumns({"tau": F.lit(3.0), "noise": F.lit(0.5)})
     out = grid.withColumns({"msd": W.expected_msd(F.col("step"), F.col("tau"), F.col("v"), F.col("noise")), "diffusivity": W.diffusivity(F.col("v"), F.col("tau")), "step_variance": W.position_variance(F.col("step"), F.col("tau"), F.col("v"))})
     return out.select(*COND, "step", *[F.round(c, 4).alias(c) for c in ("msd", "diffusivity", "step_variance")])
