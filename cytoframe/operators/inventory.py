@@ -201,13 +201,13 @@ STACK_LISTS = ("stack_kinds", "stack_sizes", "stack_pages", "stack_shapes", "sta
 
 
 def stack_profiles(probed: DataFrame) -> DataFrame:
-    """Rows of probe_tiffs by directory: n_stacks, the files with a stack kind, and sorted lists of what they show."""
+    """Rows of probe_stacks by directory: n_stacks, the files with a stack kind, and sorted lists of what they show; errors by file name."""
     stack = F.coalesce(F.col("kind"), F.lit("")) != ""
     cut = F.element_at(F.split("path", "/"), -1)
-    sizes = F.col("sizes") if "sizes" in probed.columns else F.lit(None).cast("string")
-    text = {"stack_kinds": F.col("kind"), "stack_sizes": sizes, "stack_pages": F.col("pages").cast("string"), "stack_shapes": F.concat_ws("x", F.col("height").cast("string"), F.col("width").cast("string")), "stack_examples": cut}
+    text = {"stack_kinds": F.col("kind"), "stack_sizes": F.col("sizes"), "stack_pages": F.col("pages").cast("string"), "stack_shapes": F.format_string("page0:%dx%d:%s", "height", "width", "dtype"), "stack_examples": cut}
     lists = [F.array_sort(F.collect_set(F.when(stack, c))).alias(n) for n, c in text.items()]
-    return probed.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.count_if(stack).cast("int").alias("n_stacks"), *lists, F.array_sort(F.collect_set("error")).alias("stack_errors"))
+    errors = F.array_sort(F.collect_set(F.when(F.col("error").isNotNull(), F.concat_ws(":", cut, "error")))).alias("stack_errors")
+    return probed.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("path")).agg(F.count_if(stack).cast("int").alias("n_stacks"), *lists, errors)
 
 
 def scored(names: DataFrame, min_names: int = 1, stacks: DataFrame | None = None) -> DataFrame:

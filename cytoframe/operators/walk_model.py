@@ -223,11 +223,11 @@ def step_scales(rows: DataFrame, keys: Sequence[str], interval: float) -> DataFr
     step = F.transform(F.sequence(F.lit(1), F.size("frames") - 1), lambda i: F.struct(((at("frames", i) - at("frames", i - 1)) * interval).alias("dt"), F.hypot(at("xs", i) - at("xs", i - 1), at("ys", i) - at("ys", i - 1)).alias("move")))
     each = rows.select(*keys, F.explode(step).alias("s")).select(*keys, "s.dt", "s.move").withColumn("speed", F.col("move") / F.col("dt"))
     each = durable(each)
-    shares = {"a": 0.05, "b": 0.5, "c": 0.95}
+    shares = {"_low": 0.05, "_middle": 0.5, "_high": 0.95}
     out = each.groupBy(*keys).agg(F.min("dt").alias("least_dt"), F.sum("dt").alias("time"))
     for name, value, rule in (("dt", "dt", None), ("move", "move", None), ("speed", "speed", "speed > 0"), ("moves", "move", "move > 0")):
         q = global_quantiles(each if rule is None else each.where(rule), value, shares, keys)
-        q = q.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("b") if rule is None else F.array("a", "b", "c")).alias(name))
+        q = q.select(*[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_middle") if rule is None else F.array(*shares)).alias(name))
         out = out.join(q, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left").drop(*[f"_k_{k}" for k in keys])
     return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cytoframe.functions import sql as Q
 from cytoframe.operators import summaries as S
 from cytoframe.operators import tracks as T
 from cytoframe.sources import adapters as A
@@ -66,6 +67,28 @@ def sliding_segments(spark, sf_dir):
     return out.select("site_id", "track_id", "frame", "segment_start", "segment_end", "segment_position", F.format_string("%s_%s_%03d_%03d", F.col("site_id").cast("string"), F.col("track_id").cast("string"), "segment_start", "segment_end").alias("segment_id"))
 
 
+def segments_by_sql(spark, sf_dir):
+    """The sliding segments as a query in SQL."""
+    Q.register(spark)
+    return spark.sql(
+        """SELECT site_id, track_id, frame, segment_start, segment_end, segment_position, format_string('%s_%s_%03d_%03d', CAST(site_id AS STRING), CAST(track_id AS STRING), segment_start, segment_end) AS segment_id
+        FROM sliding_segments(TABLE(SELECT site_id, track_id, run_index, frame FROM {runs}) PARTITION BY (site_id, track_id, run_index) ORDER BY (frame), 3)""",
+        runs=_runs(spark, sf_dir),
+    )
+
+
+def steps_by_sql(spark, sf_dir):
+    """Plain and weighted means of steps by condition as a query in SQL, by the library's functions."""
+    Q.register(spark)
+    return spark.sql(
+        """WITH rows AS (SELECT ploidy, dose, step_bin(step_distance) AS step_bin, finite_or_null(step_distance) AS v, CAST(1 + frame AS DOUBLE) AS w FROM {steps}),
+        sums AS (SELECT ploidy, dose, step_bin, avg(v) AS mean, stddev_samp(v) AS sd, count(v) AS n, sum(w) AS w, sum(w * w) AS w2, sum(w * v) AS wv, sum(w * v * v) AS wv2 FROM rows GROUP BY ALL),
+        found AS (SELECT *, standard_error(sd, n) AS se, weighted_standard_error(w, w2, wv, wv2) AS weighted_se, effective_n(w, w2) AS n_effective FROM sums)
+        SELECT ploidy, dose, step_bin, round(mean, 6) AS mean, round(se, 6) AS se, round(wv / w, 6) AS weighted_mean, round(weighted_se, 6) AS weighted_se, round(n_effective, 6) AS n_effective FROM found""",
+        steps=_steps(spark, sf_dir),
+    )
+
+
 def previous_steps(spark, sf_dir):
     """Step speed, the track's mean and early mean, and the first of the three that is there."""
     rows = T.previous_step(A.tracks(spark, sf_dir), TRACK)
@@ -221,7 +244,7 @@ def latest_detection(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        msd_by_lag, track_runs, raw_track_runs, sliding_segments, previous_steps, forward_steps, origin_msd, windowed_msd,
+        msd_by_lag, track_runs, raw_track_runs, sliding_segments, segments_by_sql, steps_by_sql, previous_steps, forward_steps, origin_msd, windowed_msd,
         centred_segments, acf_cosine, acf_dot, turning, msd_auc, ploidy_contrast, track_lengths, length_distribution,
         threshold_sensitivity, step_metrics_long, track_paths, crop_size, weighted_steps, speed_quartiles, capped_steps,
         best_step, latest_detection,
@@ -288,3 +311,7 @@ ORACLE_SQL = {
         SELECT ploidy, dose, site_id, track_id, frame, round(step_distance, 6) AS step_distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY ploidy, dose ORDER BY step_distance DESC, site_id, track_id) AS rank FROM b) WHERE rank <= 3"""),
     "latest_detection": A.sql(A.TRACKPOINTS_SQL, "SELECT track_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(frame, (ts, event_id)) AS frame FROM trackpoints GROUP BY ALL"),
 }
+ORACLE_SQL["segments_by_sql"] = ORACLE_SQL["sliding_segments"]
+ORACLE_SQL["steps_by_sql"] = A.sql(STEPS_SQL, """, z AS (SELECT *, 1.0::DOUBLE + frame AS w, CASE WHEN step_distance <= 5 THEN '0-5 px' WHEN step_distance <= 10 THEN '5-10 px' WHEN step_distance <= 20 THEN '10-20 px' ELSE '>=20 px' END AS step_bin FROM steps)
+    SELECT ploidy, dose, step_bin, round(avg(step_distance), 6) AS mean, round(stddev_samp(step_distance) / sqrt(count(*)), 6) AS se, round(sum(w * step_distance) / sum(w), 6) AS weighted_mean,
+      round(sqrt(greatest(sum(w * step_distance * step_distance) / sum(w) - power(sum(w * step_distance) / sum(w), 2), 0) / (sum(w) * sum(w) / sum(w * w))), 6) AS weighted_se, round(sum(w) * sum(w) / sum(w * w), 6) AS n_effective FROM z GROUP BY ALL""")

@@ -1,10 +1,9 @@
-"""Listings of directory trees and headers of TIFF files."""
+"""Listings of directory trees."""
 
 from __future__ import annotations
 
 import os
 import re
-import struct
 import subprocess
 
 import pandas as pd
@@ -13,10 +12,6 @@ from pyspark.sql import functions as F
 
 from cytoframe.sources.tables import DIRECTORY
 
-#: Fixed value: image sizes in the description of a file's first page.
-SIZES = re.compile(r'\b(Size[ZTCXY])="([^"]+)"')
-
-
 def suffix(name: str) -> str:
     return "." + name.rsplit(".", 1)[1].lower() if "." in name.lstrip(".") else "[no extension]"
 
@@ -81,64 +76,3 @@ def walk(spark: SparkSession, root: str, timeout: float = 2.0, sample: int = 50)
         if level.isEmpty():
             break
     return out.drop("children")
-
-
-def tiff_header(data: bytes, most_pages: int = 100_000) -> dict:
-    """description and shape of the first page and the number of pages of a classic or big TIFF."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None:
-        raise ValueError("not a TIFF")
-    magic = struct.unpack(order + "H", data[2:4])[0]
-    if magic not in (42, 43):
-        raise ValueError("not a TIFF")
-    big = magic == 43
-    entry, count_kind, offset_kind = (20, "Q", "Q") if big else (12, "H", "I")
-    size = struct.calcsize(order + count_kind)
-    width_of = {1: "B", 2: "B", 3: "H", 4: "I", 16: "Q"}
-    at = struct.unpack(order + offset_kind, data[8:16] if big else data[4:8])[0]
-    pages, out, seen = 0, {"description": "", "height": None, "width": None}, set()
-    while at and at not in seen and pages < most_pages:
-        seen.add(at)
-        n = struct.unpack(order + count_kind, data[at : at + size])[0]
-        for k in range(n if pages == 0 else 0):
-            e = data[at + size + k * entry : at + size + (k + 1) * entry]
-            tag, kind = struct.unpack(order + "HH", e[:4])
-            total = struct.unpack(order + offset_kind, e[4 : 4 + struct.calcsize(offset_kind)])[0]
-            value = e[4 + struct.calcsize(order + offset_kind) :]
-            if tag in (256, 257) and kind in width_of:
-                out["width" if tag == 256 else "height"] = struct.unpack(order + width_of[kind], value[: struct.calcsize(width_of[kind])])[0]
-            if tag == 270:
-                start = struct.unpack(order + offset_kind, value[: struct.calcsize(offset_kind)])[0]
-                out["description"] = (value[:total] if total <= len(value) else data[start : start + total]).rstrip(b"\0").decode("utf-8", "replace")
-        pages += 1
-        at = struct.unpack(order + offset_kind, data[at + size + n * entry :][: struct.calcsize(offset_kind)])[0]
-    return out | {"pages": pages}
-
-
-def stack_kind(header: dict) -> str:
-    """What a header says of stacks: by declared sizes, else by ten pages or more; empty for none."""
-    sizes = {k: int(v) for k, v in SIZES.findall(header["description"])}
-    if sizes:
-        if max(sizes.get("SizeZ", 1), sizes.get("SizeT", 1)) >= 2:
-            return "ome_z_or_t_stack"
-        return "ome_multichannel_single_plane" if sizes.get("SizeC", 1) >= 2 else ""
-    return "ambiguous_multipage_tiff" if header["pages"] >= 10 else ""
-
-
-def probe_tiffs(files: DataFrame) -> DataFrame:
-    """(path, kind, pages, height, width, sizes, error) of TIFF files read as (path, content); sizes as declared, in a fixed order."""
-
-    def run(parts):
-        for part in parts:
-            rows = []
-            for path, content in zip(part["path"], part["content"]):
-                try:
-                    h = tiff_header(bytes(content))
-                    declared = dict(SIZES.findall(h["description"]))
-                    sizes = ",".join(f"{k}={int(declared[k])}" for k in ("SizeC", "SizeT", "SizeZ", "SizeY", "SizeX") if k in declared)
-                    rows.append((path, stack_kind(h), h["pages"], h["height"], h["width"], sizes or None, None))
-                except (ValueError, struct.error) as e:
-                    rows.append((path, None, None, None, None, None, type(e).__name__))
-            yield pd.DataFrame(rows, columns=["path", "kind", "pages", "height", "width", "sizes", "error"]).astype({c: "Int64" for c in ("pages", "height", "width")})
-
-    return files.select("path", "content").mapInPandas(run, "path string, kind string, pages long, height long, width long, sizes string, error string")

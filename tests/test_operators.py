@@ -94,12 +94,12 @@ def test_names_and_cell_lines(spark):
 
 def test_stack_files_decide_the_cut(spark):
     names = spark.createDataFrame([("/d/plain", "a.tif"), ("/d/other", "b.tif")], "path string, name string")
-    kinds = "path string, kind string, pages long, height long, width long, error string"
-    probed = spark.createDataFrame([("/d/plain/a.tif", "ome_z_or_t_stack", 9, 64, 32, None), ("/d/plain/c.tif", "", 1, 8, 8, None), ("/d/other/b.tif", None, None, None, None, "ValueError")], kinds)
+    kinds = "path string, kind string, pages long, height long, width long, dtype string, sizes string, error string"
+    probed = spark.createDataFrame([("/d/plain/a.tif", "ome_z_or_t_stack", None, 64, 32, "uint16", "SizeZ=9", None), ("/d/plain/c.tif", "", 1, 8, 8, "uint8", None, None), ("/d/other/b.tif", None, None, None, None, None, None, "Unreadable")], kinds)
     rows = {r.path: r for r in I.candidate_rows(I.scored(names, stacks=I.stack_profiles(probed)), "z_score").collect()}
     r = rows["/d/plain"]
-    assert (r.score, r.stack_tiff_count_sampled, r.stack_tiff_kind, r.stack_tiff_pages, r.stack_tiff_shapes, r.stack_tiff_examples) == (5, 1, "ome_z_or_t_stack", "9", "64x32", "a.tif")
-    assert (rows["/d/other"].score, rows["/d/other"].stack_tiff_count_sampled, rows["/d/other"].stack_tiff_errors) == (1, 0, "ValueError")
+    assert (r.score, r.stack_tiff_count_sampled, r.stack_tiff_kind, r.stack_tiff_ome_sizes, r.stack_tiff_pages, r.stack_tiff_shapes, r.stack_tiff_examples) == (5, 1, "ome_z_or_t_stack", "SizeZ=9", "", "page0:64x32:uint16", "a.tif")
+    assert (rows["/d/other"].score, rows["/d/other"].stack_tiff_count_sampled, rows["/d/other"].stack_tiff_errors) == (1, 0, "b.tif:Unreadable")
     assert I.scored(names).where("z_score >= 4").count() == 0
 
 

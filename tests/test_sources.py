@@ -1,7 +1,5 @@
-"""Readers, writers and probes: round trips and broken inputs."""
+"""Readers and writers: round trips and broken inputs."""
 
-import os
-import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,32 +8,6 @@ from cytoframe.sources import files, tables
 from cytoframe.streaming import landing
 
 
-def tiff(description: str, pages: int = 1, order: str = "<") -> bytes:
-    """A classic TIFF with empty pages; the first says 4 x 6 and has a description."""
-    text = description.encode() + b"\0"
-    data = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8))
-    for k in range(pages):
-        entries = [(256, 4, 1, 6), (257, 4, 1, 4)] + ([(270, 2, len(text), 0)] if k == 0 else [])
-        size = 2 + 12 * len(entries) + 4
-        after = len(data) + size + (len(text) if k == 0 else 0)
-        data += struct.pack(order + "H", len(entries))
-        for tag, kind, n, value in entries:
-            data += struct.pack(order + "HHII", tag, kind, n, len(data) + 0 if tag == -1 else (8 + size if tag == 270 else value))
-        data += struct.pack(order + "I", after if k + 1 < pages else 0)
-        data += text if k == 0 else b""
-    return bytes(data)
-
-
-def test_tiff_probe(spark, tmp_path):
-    cases = {"a.tif": tiff('<OME SizeZ="5" SizeC="2">'), "b.tif": tiff('SizeZ="1" SizeC="3"', order=">"), "c.tif": tiff("none of it.", 12), "d.tif": tiff("none of it."), "e.tif": b"no image", "f.tif": b"II"}
-    for name, data in cases.items():
-        (tmp_path / name).write_bytes(data)
-    got = {os.path.basename(r.path): r for r in files.probe_tiffs(spark.read.format("binaryFile").load(str(tmp_path / "*.tif"))).collect()}
-    assert [got[f"{c}.tif"].kind for c in "abcd"] == ["ome_z_or_t_stack", "ome_multichannel_single_plane", "ambiguous_multipage_tiff", ""]
-    assert (got["c.tif"].pages, got["c.tif"].height, got["c.tif"].width) == (12, 4, 6)
-    assert got["e.tif"].error == "ValueError" and got["f.tif"].error == "error"
-
-
 def test_walk_lists_a_tree(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "x.tif").write_text("")
