@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from cytoframe.llm import decontaminate, embed_neardup, langid, ngram_join, packing, quality, resample, secrets, sharding, suffix_dedup, warc, window_dedup
-from cytoframe.llm._session import shared_dir, table
+from cytoframe.llm._session import shared_dir, spread, table
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -20,13 +20,18 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def _documents(spark, sf_dir):
+    """The documents over all cores, for operators that work on each where it stands."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_ngram_join(spark, sf_dir):
     rows = ngram_join.similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_secret_scan(spark, sf_dir):
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    found = secrets.find_secrets(_documents(spark, sf_dir))
 
     def joined(column):
         return F.concat_ws(",", F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
@@ -48,18 +53,18 @@ def op4_suffix_dedup(spark, sf_dir):
 
 
 def op5_decontamination(spark, sf_dir):
-    rows = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    rows = decontaminate.contamination(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op6_language(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     found = langid.predict_language(docs, langid.train(docs))
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op7_packing(spark, sf_dir):
-    return packing.pack_tokens(table(spark, sf_dir, "documents"), tokenizer_json(), chunked=True)
+    return packing.pack_tokens(_documents(spark, sf_dir), tokenizer_json(), chunked=True)
 
 
 def op8_embedding_neardup(spark, sf_dir):
@@ -72,14 +77,14 @@ def op9_window_dedup(spark, sf_dir):
 
 
 def op10_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
 
 
 def op11_importance_resampling(spark, sf_dir):
-    rows = resample.importance_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    rows = resample.importance_scores(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
