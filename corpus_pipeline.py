@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoframe.llm import decontaminate, ngram_join, packing, quality, secrets
-from cytoframe.llm._session import shared_dir, table
+from cytoframe.llm._session import shared_dir, spread, table
 from cytoframe.llm.queries import tokenizer_json
 
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -74,7 +74,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written as Parquet in the shared folder and reread as the next one's docs."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
+    docs, folder = spread(table(spark, sf_dir, "documents")), f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
