@@ -19,7 +19,9 @@ COND = ["ploidy", "dose"]
 
 
 def plate_layout(spark, sf_dir):
-    return tables.plate_layout(spark)
+    """The wells of the default plate with the tracks and detections of their condition; control wells have none."""
+    found = A.trackpoints(spark, sf_dir).groupBy(*COND).agg(F.count_distinct("track_id").alias("n_tracks"), F.count("*").alias("n_detections"))
+    return tables.plate_layout(spark).join(found, COND, "left").select("plate_row", "plate_col", "well", *COND, "condition_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_tracks", "n_detections")])
 
 
 def condition_jobs(spark, sf_dir):
@@ -79,8 +81,9 @@ def parameter_levels(spark, sf_dir):
 
 
 def grid_simulation(spark, sf_dir):
-    """Displacements of tracks simulated on a 2 x 2 grid of parameters."""
-    grid = spark.range(200).select(F.col("id").alias("track_id"), F.lit(20).alias("n_frames"), F.when(F.col("id") % 2 == 0, 2.0).otherwise(8.0).alias("tau"), F.when(F.col("id") % 4 < 2, 1.0).otherwise(3.0).alias("velocity_scale"), F.lit(0.2).alias("obs_noise"))
+    """Displacements of tracks simulated to the observed lengths on a 2 x 2 grid of parameters."""
+    lengths = A.tracks(spark, sf_dir).groupBy("track_id").agg(F.count("*").cast("int").alias("n_frames"))
+    grid = lengths.select("track_id", "n_frames", F.when(F.floor(F.col("track_id") / 4) % 2 == 0, 2.0).otherwise(8.0).alias("tau"), F.when(F.col("track_id") % 4 < 2, 1.0).otherwise(3.0).alias("velocity_scale"), F.lit(0.2).alias("obs_noise"))
     rows = T.origin_displacement(W.simulate(grid), ["track_id"], 10).join(grid, "track_id")
     return S.mean_se(rows, ["tau", "velocity_scale", "track_step"], "squared_displacement")
 
@@ -96,7 +99,8 @@ per AS (SELECT frame, label, count(*) AS perimeter FROM pixels p WHERE NOT EXIST
 ORACLE_SQL = {
     "plate_layout": f"""WITH g AS (SELECT chr(CAST(65 + r AS INTEGER)) AS plate_row, CAST(c AS INTEGER) AS plate_col, r FROM range(8) a(r), range(1, 13) b(c)),
         d AS (SELECT *, plate_row || plate_col AS well, CASE WHEN plate_col IN (1, 12) THEN NULL WHEN r < 4 THEN '2N' ELSE '4N' END AS ploidy, CASE WHEN plate_col BETWEEN 2 AND 11 THEN list_extract([{", ".join(map(str, A.DOSES))}]::DOUBLE[], plate_col - 1) END AS dose FROM g)
-        SELECT plate_row, plate_col, well, ploidy, dose, CASE WHEN ploidy IS NOT NULL THEN ploidy || '_gem_' || replace({_LABEL}, '.', 'p') || 'nM' END AS condition_id FROM d""",
+        , n AS (SELECT CASE WHEN user_id % 2 = 0 THEN '2N' ELSE '4N' END AS ploidy, list_extract([{", ".join(map(str, A.DOSES))}]::DOUBLE[], CAST(user_id % 10 + 1 AS INTEGER)) AS dose, count(DISTINCT user_id) AS n_tracks, count(*) AS n_detections FROM events GROUP BY ALL)
+        SELECT plate_row, plate_col, well, ploidy, dose, CASE WHEN ploidy IS NOT NULL THEN ploidy || '_gem_' || replace({_LABEL}, '.', 'p') || 'nM' END AS condition_id, coalesce(n_tracks, 0) AS n_tracks, coalesce(n_detections, 0) AS n_detections FROM d LEFT JOIN n USING (ploidy, dose)""",
     "condition_jobs": A.sql(A.TRACKS_SQL, f"SELECT CAST(row_number() OVER (ORDER BY ploidy, dose) AS INTEGER) AS job_id, ploidy, dose, 25 AS n_starts, ploidy || '_gem_' || replace({_LABEL}, '.', 'p') || 'nM' AS condition_id, {_LABEL} || ' nM' AS dose_label FROM (SELECT DISTINCT ploidy, dose FROM tracks)"),
     "evenly_spaced_frames": A.sql(A.TRACKS_SQL, "SELECT track_id, frame FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS r, count(*) OVER (PARTITION BY track_id) AS n FROM tracks) WHERE n <= 5 OR list_contains([k * (n - 1) // 4 for k in range(5)], r)"),
     "custom_order": "SELECT event_type, count(*) AS n, CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, event_type) AS INTEGER) AS place FROM events GROUP BY event_type",

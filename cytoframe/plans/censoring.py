@@ -12,6 +12,7 @@ from cytoframe.operators import summaries as S
 from cytoframe.operators import tracks as T
 from cytoframe.plans import motility as M
 from cytoframe.sources import adapters as A
+from cytoframe.streaming import sampling
 
 TRACK = ["site_id", "track_id"]
 COND = ["ploidy", "dose"]
@@ -182,6 +183,12 @@ def track_sample(spark, sf_dir):
     return rows.join(ids, "track_id", "left_semi").select("track_id", "frame", F.round("x", 6).alias("x"))
 
 
+def first_tracks(spark, sf_dir):
+    """The first five tracks of each condition over batches of ten frames."""
+    rows = A.trackpoints(spark, sf_dir).withColumn("batch", F.floor(F.col("frame") / 10).cast("int"))
+    return sampling.first_tracks(rows, COND, 5, order="event_id").withColumn("place", F.col("place").cast("long"))
+
+
 CONTEXT_LADDER = [[*COND, "frame"], COND, ["frame"], []]
 
 
@@ -208,7 +215,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         at_risk, point_flags, censor_reasons, stage_counts, track_summary, model_quality, calibration, covariate_checks, survival_by_condition, survival_weights, weighted_msd,
-        drawn_censoring, boundary_censoring, holdout_roles, group_sample, row_cap, track_sample, context_resample, standardised_covariates, uncensored_tracks,
+        drawn_censoring, boundary_censoring, holdout_roles, group_sample, row_cap, track_sample, first_tracks, context_resample, standardised_covariates, uncensored_tracks,
     )
 }
 
@@ -265,6 +272,8 @@ ORACLE_SQL = {
     "group_sample": A.sql(A.TRACKPOINTS_SQL, "SELECT ploidy, dose, event_id FROM (SELECT *, row_number() OVER (PARTITION BY ploidy, dose ORDER BY md5(event_id::VARCHAR || ':17'), event_id) AS k FROM trackpoints) WHERE k <= 5"),
     "row_cap": "SELECT event_id, user_id AS track_id FROM events ORDER BY md5(event_id::VARCHAR || ':17'), event_id LIMIT 1000",
     "track_sample": A.sql(A.TRACKS_SQL, "SELECT track_id, frame, round(x, 6) AS x FROM tracks WHERE track_id IN (SELECT track_id FROM (SELECT DISTINCT track_id FROM tracks) ORDER BY md5(track_id::VARCHAR || ':17'), track_id LIMIT 40)"),
+    "first_tracks": A.sql(A.TRACKPOINTS_SQL, """, f AS (SELECT ploidy, dose, track_id, min((frame // 10, event_id)) AS k FROM trackpoints GROUP BY ALL)
+        SELECT ploidy, dose, track_id, place FROM (SELECT *, row_number() OVER (PARTITION BY ploidy, dose ORDER BY k, track_id) AS place FROM f) WHERE place <= 5"""),
     "context_resample": A.sql(A.TRACKS_SQL, f""", pool AS (SELECT ploidy, dose, frame, event_id FROM tracks),
         want AS (SELECT event_id AS wanted_id, ploidy, dose, frame, CAST(('0x' || substr(md5(event_id::VARCHAR || ':17'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM tracks),
         l0 AS (SELECT *, row_number() OVER (PARTITION BY ploidy, dose, frame ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY ploidy, dose, frame) AS n FROM pool),
