@@ -100,39 +100,81 @@ def padded(frames: Sequence, xs: Sequence, ys: Sequence, interval: float):
     return y, dt, real
 
 
-def moment_log_likelihood(log_params, dt: np.ndarray, real: np.ndarray, n: np.ndarray, s: np.ndarray) -> float:
-    """log_likelihood of all series from moments: rows of steps dt with mask real, n series each, s sums of outer products of positions less the first."""
+def _transition_slopes(dt, tau: float, velocity: float):
+    """transition() and, for each of its parts, the derivatives by the logs of tau and of velocity."""
+    f12, phi, q11, q12, q22 = transition(dt, tau, velocity)
+    a = np.asarray(dt, float) / tau
+    one, v2 = -np.expm1(-a), velocity * velocity
+    rise = np.where(a < 1e-4, a * a - a**3 + 7 * a**4 / 12, one * one)  # of the unit variance by a
+    plain = np.maximum(2 * v2 * tau * tau * np.where(a < 1e-4, a**3 / 3 - a**4 / 4 + 7 * a**5 / 60, a - 2 * one + 0.5 * -np.expm1(-2 * a)), 0)
+    d12, d22 = (q12 - 2 * v2 * tau * one * a * phi, 2 * q12), (-2 * v2 * a * phi * phi, 2 * q22)
+    mended = q11 != plain
+    safe = np.where(q22 > 0, q22, 1)
+    d11 = tuple(np.where(mended, (2 * q12 * x * safe - q12 * q12 * y) / (safe * safe), z) for x, y, z in zip(d12, d22, (2 * plain - 2 * v2 * tau * tau * a * rise, 2 * plain)))
+    zero = np.zeros_like(a)
+    return (f12, phi, q11, q12, q22), ((f12 - dt * phi, zero), (a * phi, zero), d11, d12, d22)
+
+
+def moment_score(log_params, dt: np.ndarray, real: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[float, np.ndarray]:
+    """log_likelihood of all series and its gradient by the log parameters, from moments.
+
+    dt: rows of steps, with mask real; n: series of each row; s: sums of outer products of positions less
+    the first. Derivatives by (tau, velocity, noise) run along with the filter.
+    """
     tau, velocity, noise = np.exp(log_params)
     if not np.isfinite([tau, velocity, noise]).all():
-        return -np.inf
-    r = noise * noise
-    f12, phi, q11, q12, q22 = transition(dt, tau, velocity)
+        return -np.inf, np.zeros(3)
+    r, v2 = noise * noise, velocity * velocity
+    parts, slopes = _transition_slopes(dt, tau, velocity)
     rows, steps = dt.shape
+    by_three = [np.stack([*d, np.zeros_like(dt)]) for d in slopes]  # nothing of a step depends on the noise
     position, speed = np.zeros((rows, steps)), np.zeros((rows, steps))  # as weights of the positions
-    p11, p12, p22 = np.full(rows, r), np.zeros(rows), np.full(rows, velocity * velocity)
+    d_position, d_speed = np.zeros((3, rows, steps)), np.zeros((3, rows, steps))
+    p11, p12, p22 = np.full(rows, r), np.zeros(rows), np.full(rows, v2)
+    d_r = np.array([0, 0, 2 * r])[:, None]
+    d11, d12, d22 = np.zeros((3, rows)) + d_r, np.zeros((3, rows)), np.zeros((3, rows)) + np.array([0, 2 * v2, 0])[:, None]
     gaps, variance = np.zeros((rows, steps, steps)), np.ones((rows, steps))
+    d_gaps, d_variance = np.zeros((3, rows, steps, steps)), np.zeros((3, rows, steps))
     for k in range(steps):
-        f, h = f12[:, k], phi[:, k]
-        position = position + f[:, None] * speed
-        speed = h[:, None] * speed
-        a11 = p11 + 2 * f * p12 + f * f * p22 + q11[:, k]
-        a12 = h * (p12 + f * p22) + q12[:, k]
-        a22 = h * h * p22 + q22[:, k]
+        f, h, q11, q12, q22 = (x[:, k] for x in parts)
+        df, dh, dq11, dq12, dq22 = (x[:, :, k] for x in by_three)
+        d_position = d_position + df[..., None] * speed + f[:, None] * d_speed
+        d_speed = dh[..., None] * speed + h[:, None] * d_speed
+        position, speed = position + f[:, None] * speed, h[:, None] * speed
+        a11, a12, a22 = p11 + 2 * f * p12 + f * f * p22 + q11, h * (p12 + f * p22) + q12, h * h * p22 + q22
+        e11 = d11 + 2 * (df * p12 + f * d12) + 2 * f * df * p22 + f * f * d22 + dq11
+        e12 = dh * (p12 + f * p22) + h * (d12 + df * p22 + f * d22) + dq12
+        e22 = 2 * h * dh * p22 + h * h * d22 + dq22
         v = variance[:, k] = a11 + r
+        dv = d_variance[:, :, k] = e11 + d_r
         gap = -position
         gap[:, k] += 1
-        gaps[:, k] = gap
+        gaps[:, k], d_gaps[:, :, k] = gap, -d_position
         k1, k2 = a11 / v, a12 / v
+        g1, g2 = (e11 - k1 * dv) / v, (e12 - k2 * dv) / v
+        d_position, d_speed = d_position + g1[..., None] * gap - k1[:, None] * d_position, d_speed + g2[..., None] * gap - k2[:, None] * d_position
         position, speed = position + k1[:, None] * gap, speed + k2[:, None] * gap
         keep = 1 - k1
         p11 = keep * keep * a11 + k1 * k1 * r
         p12 = keep * (a12 - k2 * a11) + k1 * k2 * r
         p22 = a22 - 2 * k2 * a12 + k2 * k2 * a11 + k2 * k2 * r
+        d11 = -2 * keep * g1 * a11 + keep * keep * e11 + 2 * k1 * g1 * r + k1 * k1 * d_r
+        d12 = -g1 * (a12 - k2 * a11) + keep * (e12 - g2 * a11 - k2 * e11) + (g1 * k2 + k1 * g2) * r + k1 * k2 * d_r
+        d22 = e22 - 2 * (g2 * a12 + k2 * e12) + 2 * k2 * g2 * a11 + k2 * k2 * e11 + 2 * k2 * g2 * r + k2 * k2 * d_r
     if not (np.isfinite(variance[real]).all() and (variance[real] > 0).all()):
-        return -np.inf
-    squares = np.maximum(((gaps @ s) * gaps).sum(2), 0)
-    each = n[:, None] * (np.log(2 * np.pi) + np.log(np.where(real, variance, 1))) + squares / np.where(real, variance, 1)
-    return float(-0.5 * each[real].sum())
+        return -np.inf, np.zeros(3)
+    variance = np.where(real, variance, 1)
+    weighted = gaps @ s
+    squares = (weighted * gaps).sum(2)
+    d_squares = 2 * (weighted * d_gaps).sum(3)
+    squares, d_squares = np.maximum(squares, 0), np.where(squares > 0, d_squares, 0)
+    each = n[:, None] * (np.log(2 * np.pi) + np.log(variance)) + squares / variance
+    slope = n[:, None] * d_variance / variance + d_squares / variance - squares * d_variance / variance**2
+    return float(-0.5 * each[real].sum()), -0.5 * np.array([x[real].sum() for x in slope])
+
+
+def moment_log_likelihood(log_params, dt: np.ndarray, real: np.ndarray, n: np.ndarray, s: np.ndarray) -> float:
+    return moment_score(log_params, dt, real, n, s)[0]
 
 
 def padded_moments(steps: Sequence, n: Sequence, s: Sequence, interval: float):
@@ -168,43 +210,62 @@ def starts(scale: dict, n: int, seed: int) -> np.ndarray:
     return np.vstack([first, np.exp(drawn)])
 
 
-def minimise(f, start: np.ndarray, lower=LOWER, upper=UPPER, steps: int = 200, tolerance: float = 1e-9):
-    """Projected quasi-Newton descent with numeric gradients: (point, value, converged)."""
+#: Steps whose changes a descent remembers, its steps at most, and the relative fall in value that ends it.
+MEMORY, MOST_STEPS, TOLERANCE = 5, 1000, 1e7 * np.finfo(float).eps
+
+
+def minimise(f, start: np.ndarray, lower=LOWER, upper=UPPER, steps: int = MOST_STEPS, tolerance: float = TOLERANCE) -> dict:
+    """Limited-memory quasi-Newton descent within bounds; f gives (value, gradient).
+
+    Parameters at a bound that the descent would cross stay there for a step; the others move along the
+    two-loop direction of the last changes, cut at the bounds, until the value falls enough. Gives the
+    point x, its value, whether it converged, the number of evaluations, and at_bound of each parameter.
+    """
     x = np.clip(start, lower, upper)
-    value, inverse = f(x), np.eye(len(x))
+    value, slope = f(x)
+    n, changes = 1, []
 
-    def gradient(at):
-        h = 1e-5
-        return np.array([(f(np.clip(at + h * e, lower, upper)) - f(np.clip(at - h * e, lower, upper))) / (2 * h) for e in np.eye(len(at))])
+    def result(done):
+        return {"x": x, "value": value, "converged": bool(done and np.isfinite(value)), "evaluations": n, "at_bound": (x <= lower) | (x >= upper)}
 
-    slope = gradient(x)
     for _ in range(steps):
-        move = -inverse @ slope
-        move = np.where(((x <= lower) & (move < 0)) | ((x >= upper) & (move > 0)), 0, move)
-        if move @ slope > -1e-14:
-            move = -slope
-            inverse = np.eye(len(x))
-        scale = min(1.0, 2.0 / max(np.abs(move).max(), 1e-12))
-        while scale > 1e-10:
+        free = ~(((x <= lower) & (slope > 0)) | ((x >= upper) & (slope < 0)))
+        if not np.isfinite(value) or not free.any() or np.abs(slope[free]).max() == 0:
+            return result(True)
+        move, undo = np.where(free, slope, 0.0), []
+        for s, y in reversed(changes):
+            share = (s[free] @ move[free]) / (s[free] @ y[free]) if s[free] @ y[free] > 1e-12 else 0.0
+            undo.append(share)
+            move = move - share * np.where(free, y, 0)
+        if changes and (yy := changes[-1][1][free] @ changes[-1][1][free]) > 0 and (sy := changes[-1][0][free] @ changes[-1][1][free]) > 1e-12:
+            move = move * (sy / yy)
+        for (s, y), share in zip(changes, reversed(undo)):
+            if share or s[free] @ y[free] > 1e-12:
+                back = (y[free] @ move[free]) / (s[free] @ y[free])
+                move = move + (share - back) * np.where(free, s, 0)
+        move = -move
+        if move @ slope >= 0:
+            move, changes = -np.where(free, slope, 0.0), []
+        scale = min(1.0, (2.0 if changes else 1.0) / max(np.abs(move).max(), 1e-300))
+        while True:
             new = np.clip(x + scale * move, lower, upper)
-            got = f(new)
-            if np.isfinite(got) and got <= value + 1e-4 * scale * (move @ slope):
+            got, fresh = f(new)
+            n += 1
+            if np.isfinite(got) and got <= value + 1e-4 * ((new - x) @ slope):
                 break
             scale *= 0.5
-        else:
-            return x, value, True
-        if abs(value - got) <= tolerance * max(1.0, abs(value)):
-            return new, got, True
-        fresh = gradient(new)
-        s, y = new - x, fresh - slope
-        if (sy := s @ y) > 1e-12:
-            r = np.eye(len(x)) - np.outer(s, y) / sy
-            inverse = r @ inverse @ r.T + np.outer(s, s) / sy
+            if scale * np.abs(move).max() < 1e-10:
+                return result(True)  # nothing lower in reach
+        s, y, fall = new - x, fresh - slope, value - got
         x, value, slope = new, got, fresh
-    return x, value, False
+        if fall <= tolerance * max(abs(value + fall), abs(value), 1.0):
+            return result(True)
+        if s @ y > 1e-12:
+            changes = [*changes, (s, y)][-MEMORY:]
+    return result(False)
 
 
-FIT = "tau double, velocity_scale double, obs_noise double, effective_diffusivity double, log_likelihood double, fit_status string, start_tau double, start_velocity_scale double, start_obs_noise double, n_segments long, total_track_time double"
+FIT = "tau double, velocity_scale double, obs_noise double, effective_diffusivity double, log_likelihood double, fit_status string, start_tau double, start_velocity_scale double, start_obs_noise double, n_segments long, total_track_time double, n_evaluations int, at_bounds string"
 
 
 def segments(df: DataFrame, keys: Sequence[str], ident: Sequence[str]) -> DataFrame:
@@ -294,11 +355,17 @@ def fits(df: DataFrame, keys: Sequence[str], ident: Sequence[str], interval: flo
             scale = scale.iloc[0].to_dict()
             data = padded_moments(table["steps"].tolist(), table["n"].tolist(), table["s"].tolist(), interval)
             begin = starts(scale, n_starts, seed)[key[-1] - 1]
-            x, value, done = minimise(lambda p: -moment_log_likelihood(p, *data), np.log(begin))
+
+            def loss(p):
+                value, slope = moment_score(p, *data)
+                return -value, -slope
+
+            got = minimise(loss, np.log(begin))
         except (ArithmeticError, ValueError, IndexError, np.linalg.LinAlgError) as e:
-            return pd.DataFrame([[*key, *[None] * 5, f"error: {type(e).__name__}: {e}", *[None] * 3, n, time]])
-        tau, velocity, noise = np.exp(x)
-        return pd.DataFrame([[*key, tau, velocity, noise, velocity * velocity * tau, -value, "converged" if done else "step_limit", *begin, n, time]])
+            return pd.DataFrame([[*key, *[None] * 5, f"error: {type(e).__name__}: {e}", *[None] * 3, n, time, None, None]])
+        tau, velocity, noise = np.exp(got["x"])
+        bound = ";".join(name for name, at in zip(("tau", "velocity_scale", "obs_noise"), got["at_bound"]) if at)
+        return pd.DataFrame([[*key, tau, velocity, noise, velocity * velocity * tau, -got["value"], "converged" if got["converged"] else "step_limit", *begin, n, time, got["evaluations"], bound]])
 
     kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in names)
     done = sums.cogroup(scales).applyInPandas(fit, f"{kinds}, start_id int, {FIT}")

@@ -130,6 +130,41 @@ def test_moments_give_the_likelihood_of_the_segments(spark):
         assert abs(W.moment_log_likelihood(np.log(point), *data) - want) < 1e-8 * max(1, abs(want))
 
 
+def test_the_score_equals_differences():
+    random = np.random.default_rng(1)
+    steps, sums, n = [], [], []
+    for f in ([0, 1, 2], [0, 1, 2, 3, 4], [0, 1, 4, 5, 9]):
+        z = random.normal(size=(6, len(f) - 1)).cumsum(1)
+        steps.append(np.diff(f).tolist())
+        sums.append((z.T @ z).ravel().tolist())
+        n.append(3)
+    data = W.padded_moments(steps, n, sums, 2.0)
+    for point in ([4.0, 2.0, 0.5], [1e-3, 3.0, 0.2], [5e4, 1.0, 0.3], [2.0, 1e-4, 2.0], [30.0, 0.1, 0.01]):
+        at = np.log(point)
+        value, slope = W.moment_score(at, *data)
+        want = np.array([(W.moment_score(at + e, *data)[0] - W.moment_score(at - e, *data)[0]) / 2e-5 for e in 1e-5 * np.eye(3)])
+        assert np.abs(slope - want).max() < 1e-5 * max(1, np.abs(want).max())
+
+    def loss(p):
+        value, slope = W.moment_score(p, *data)
+        return -value, -slope
+
+    ends = [W.minimise(loss, np.log(p)) for p in ([4.0, 2.0, 0.5], [0.1, 0.1, 5.0], [1e3, 1.0, 1.0])]
+    assert max(e["value"] for e in ends) - min(e["value"] for e in ends) < 1e-4 and all(e["converged"] and e["evaluations"] < 100 for e in ends)
+
+
+def test_descent_stays_within_bounds_and_says_so():
+    low, high = np.array([-1.0, -1.0]), np.array([1.0, 5.0])
+
+    def bowl(x):
+        return float((x[0] - 3) ** 2 + 10 * (x[1] - 2) ** 2 + x[0] * x[1]), np.array([2 * (x[0] - 3) + x[1], 20 * (x[1] - 2) + x[0]])
+
+    got = W.minimise(bowl, np.array([-9.0, 9.0]), low, high)
+    assert got["converged"] and np.allclose(got["x"], [1.0, 1.95], atol=1e-4) and got["at_bound"].tolist() == [True, False]
+    assert not W.minimise(bowl, np.array([0.0, 0.0]), low, high, steps=1)["converged"]
+    assert W.minimise(lambda x: (float(((x - 0.3) ** 2).sum()), 2 * (x - 0.3)), np.array([0.0, 0.0]), low, high)["at_bound"].any() is np.False_
+
+
 def test_a_fit_takes_every_segment(spark):
     sim = W.simulate(spark.range(450).select(F.col("id").alias("track_id"), F.lit(3).alias("n_frames"), F.lit(5.0).alias("tau"), F.lit(2.0).alias("velocity_scale"), F.lit(0.3).alias("obs_noise")), seed=3)
     r = W.fits(sim.withColumn("c", F.lit(1)), ["c"], ["track_id"], n_starts=1).first()
