@@ -64,21 +64,6 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _bounds(table):
-    """Reducer of a range: total count and least member of the keys that another block holds too."""
-    blocks, (keys, counts, least) = B.gather(table, 2)
-    order = np.argsort(keys, kind="stable")
-    blocks, keys, counts, least = blocks[order], keys[order], counts[order], least[order]
-    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(head, len(keys)))
-    if len(keys):
-        total, first = np.repeat(np.add.reduceat(counts, head), sizes), np.repeat(np.minimum.reduceat(least, head), sizes)
-    else:
-        total, first = counts, least
-    more = total > counts
-    return B.replies(blocks[more], keys[more], [total[more], first[more]])
-
-
 def _counted(i: np.ndarray, j: np.ndarray, keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which pairs (i, j) count here: those whose first table with a common key is one of the tables that i came for."""
     out, open_ = np.zeros(len(i), bool), np.arange(len(i))
@@ -141,11 +126,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
     classes = classes.select(F.monotonically_increasing_id().alias("id"), "first", "copies", F.xxhash64("label").alias("label"), "e", *digest)  # numbers of written rows
     size = classes.agg(F.count("*"), F.sum(F.size("e"))).first()
     n_rows, n_bytes = size[0], (size[1] or 0) * np.dtype(number).itemsize
-    blocks, ranges = max(1, math.ceil(n_bytes / B.BLOCK_BYTES)), max(2 * partitions(spark), math.ceil(n_rows / ROWS_PER_RANGE))
-    tasks = max(2 * partitions(spark), math.ceil(4 * n_bytes / BYTES_PER_TASK))
     # Ranges see the leading bits of keys: one in 16,384 of them falls in with another, whose rows then meet for nothing.
-    bits_sent = min(64, max(40, (n_rows * tables).bit_length() + 14))
-    placed = classes.select("id", "copies", "label", "e", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    plan = B.Plan(spark, n_bytes, n_rows * tables / max(1, n_bytes), max(1, ROWS_PER_RANGE * n_bytes // max(1, n_rows)))
+    tasks = max(2 * partitions(spark), math.ceil(4 * n_bytes / BYTES_PER_TASK))
+    placed = classes.select("id", "copies", "label", "e", F.pmod(F.xxhash64("id"), F.lit(plan.blocks)).cast("int").alias("block"))
 
     def hashed(table):
         """Vectors of a block, by length, and their keys."""
@@ -163,14 +147,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
 
     def by_key(keys, ids):
         """The block's ascending keys, how many of its rows hold each, and the least of them."""
-        flat = (keys >> U(64 - bits_sent)).ravel()
+        flat = (keys >> U(64 - plan.bits)).ravel()
         order = np.argsort(flat, kind="stable")
         flat, who = flat[order], np.repeat(ids, keys.shape[1])[order]
         head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
         return flat[head], [np.diff(np.append(head, len(flat))), np.minimum.reduceat(who, head)]
 
     def send(key, table):
-        return B.packets(key[0].as_py(), *by_key(hashed(table)[0], table.column("id").to_numpy()), bits_sent, ranges)
+        return B.packets(key[0].as_py(), *by_key(hashed(table)[0], table.column("id").to_numpy()), plan.bits, plan.coarse)
 
     def emit(key, table, reply):
         (keys, data), ids = hashed(table), table.column("id").to_numpy()
@@ -179,7 +163,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
         at, there = B.lookup(known, own)
         if len(known):
             n, least = np.where(there, total[at], n), np.where(there, first[at], least)
-        keys = keys >> U(64 - bits_sent)
+        keys = keys >> U(64 - plan.bits)
         place = np.searchsorted(own, keys)
         n, least = n[place], least[place]
         row, tab = np.nonzero(n > 1)
@@ -257,8 +241,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = T
         some = links > 0
         return pa.table({"id": ids[some], "links": links[some], "root": root[some]})
 
-    sent = placed.groupBy("block").applyInArrow(send, B.PACKET)
-    told = sent.groupBy("range").applyInArrow(_bounds, B.REPLY)
+    told = B.exchange(placed.groupBy("block").applyInArrow(send, B.PACKET), "+<", plan, plan.bits)
     met = placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(emit, "task int, meeting long, a int, b int, chunk int, id long, label long, copies long, vector binary, bits binary")
     found = durable(met.groupBy("task").applyInArrow(compare, "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

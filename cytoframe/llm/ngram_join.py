@@ -68,7 +68,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> Data
     """A row per document: set size, digest, whether it leads its set in its block, and for leaders that
     may have partners the tokens that some other set holds too, and which of them are the prefix under each order."""
     blocks, plan = B.in_blocks(docs, KEYS_PER_BYTE, RANGE_BYTES, text_hash=F.xxhash64("text"))
-    bits, ranges = plan.bits, plan.ranges
+    bits = plan.bits
     cut = U(64 - bits)
 
     def distinct_sets(table):
@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> Data
     def send(key, table):
         sets, _, lead = distinct_sets(table)
         keys, counts = count(sets, lead)
-        return B.packets(key[0].as_py(), keys, [counts], bits, ranges)
+        return B.packets(key[0].as_py(), keys, [counts], bits, plan.coarse)
 
     def sign(key, table, reply):
         sets, marks, lead = distinct_sets(table)
@@ -125,8 +125,7 @@ def signatures(docs: DataFrame, shingle: int, percent: int, orders: int) -> Data
             }
         )
 
-    sent = blocks.groupBy("block").applyInArrow(send, B.PACKET)
-    told = sent.groupBy("range").applyInArrow(B.total_counts, B.REPLY)
+    told = B.exchange(blocks.groupBy("block").applyInArrow(send, B.PACKET), "+", plan, bits)
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(sign, SIGNATURE)
 
 

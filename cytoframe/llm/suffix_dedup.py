@@ -352,7 +352,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
 
     def send(key, table):
         segments = Segments(Texts(table.column("text")), length, gram, bits)
-        return B.packets(key[0].as_py(), np.unique(segments.key), [], bits, ranges)
+        keys = np.unique(segments.key)
+        return B.packets(key[0].as_py(), keys, [np.ones(len(keys), np.int64)], bits, plan.coarse)
 
     def offer(key, table, reply):
         table = _ordered(table)
@@ -362,7 +363,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         first = firsts(texts.bytes, s.start, s.key, s.rel, s.count, doc, pos, length)
         mine = np.flatnonzero(first == np.arange(len(first)))
         _, which, times = np.unique(s.key[mine], return_inverse=True, return_counts=True)
-        mine = mine[B.lookup(B.received(reply, 0)[0], s.key[mine])[1] | (times[which] > 1)]
+        mine = mine[B.lookup(B.received(reply, 1)[0], s.key[mine])[1] | (times[which] > 1)]
         mine = mine[np.argsort(s.key[mine], kind="stable")]
         of = B.range_of(s.key[mine], bits, ranges)
         cuts = np.flatnonzero(np.diff(of, prepend=-1))
@@ -412,8 +413,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
         kept = [texts.bytes[a:b][~removed[a:b]].tobytes() if n else texts.bytes[a:b].tobytes() for a, b, n in zip(texts.offsets[:-1], texts.offsets[1:], n_removed)]
         return pa.table({"doc_id": table.column("doc_id").cast(pa.int64()), "n_bytes": np.diff(texts.offsets), "n_removed": n_removed, "n_spans": n_spans, "kept": pa.array(kept, pa.binary())})
 
-    sent = blocks.groupBy("block").applyInArrow(send, B.PACKET)
-    told = sent.groupBy("range").applyInArrow(B.shared_keys, B.REPLY)
+    told = B.exchange(blocks.groupBy("block").applyInArrow(send, B.PACKET), "+", plan, bits)
     offered = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(offer, B.PACKET)
     decided = offered.groupBy("range").applyInArrow(decide, B.REPLY)
     return blocks.groupBy("block").cogroup(decided.groupBy("block")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

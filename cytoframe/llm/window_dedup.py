@@ -68,14 +68,6 @@ def _least(keys: np.ndarray, checks: np.ndarray, docs: np.ndarray):
     return k[head], c[head], docs[order][head], place
 
 
-def _least_document(table):
-    """Reducer of a range: tells a block of a window that a smaller document of another block holds, and that document."""
-    blocks, (keys, checks, docs) = B.gather(table, 2)
-    _, _, least, place = _least(keys, checks, docs)
-    less = least[place] < docs if len(keys) else np.zeros(0, bool)
-    return B.replies(blocks[less], keys[less], [checks[less], least[place][less]])
-
-
 def remove_repeated_windows(docs: DataFrame, size: int = WINDOW, period: int = PERIOD, cover: tuple = COVER) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): texts without the words of windows begun in a smaller doc_id.
 
@@ -87,13 +79,14 @@ def remove_repeated_windows(docs: DataFrame, size: int = WINDOW, period: int = P
     if size < period:
         raise ValueError("size must be at least the period")
     blocks, plan = B.in_blocks(docs, KEYS_PER_BYTE)
-    bits, ranges = plan.bits, plan.ranges
+    bits = plan.bits
 
     def send(key, table):
         texts = Texts(table.column("text"))
         words = Words(texts)
         _, keys = _anchors(words, words.hashes(texts), size, period, cover, bits)
-        return B.packets(key[0].as_py(), np.unique(keys), [], bits, ranges)
+        keys = np.unique(keys)
+        return B.packets(key[0].as_py(), keys, [np.ones(len(keys), np.int64)], bits, plan.coarse)
 
     def read(table, reply, columns):
         """A block's words, its rows' ids by word, window hashes in two lanes, and the windows around anchors of two of its documents or of those in the reply."""
@@ -104,13 +97,13 @@ def remove_repeated_windows(docs: DataFrame, size: int = WINDOW, period: int = P
         at, keys = _anchors(words, lanes[0], size, period, cover, bits)
         there = B.lookup(_in_two(keys, of[at]), keys)[1]
         if columns == 0:
-            there |= B.lookup(B.received(reply, 0)[0], keys)[1]
+            there |= B.lookup(B.received(reply, 1)[0], keys)[1]
         return texts, words, of, [window_hashes(x, size, k) for k, x in enumerate(lanes)], _around(words, at[there], size, period)
 
     def extend(key, table, reply):
         _, _, of, (full, check), starts = read(table, reply, 0)
         keys, checks, least, _ = _least(full[starts], check[starts].view(np.int64), of[starts])
-        return B.packets(key[0].as_py(), keys, [checks, least], 64, ranges)
+        return B.packets(key[0].as_py(), keys, [checks, least], 64, plan.coarse)
 
     def cut(key, table, reply):
         texts, words, of, (full, check), starts = read(table, reply, 2)
@@ -138,8 +131,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = WINDOW, period: int = P
             kept.append((b" ".join(compress(parts, ~mask) if n_removed[i] else parts)).decode("utf-8"))
         return pa.table({"doc_id": table.column("doc_id").cast(pa.int64()), "n_words": np.diff(words.first).astype(np.int64), "n_removed": n_removed, "kept_text": pa.array(kept, pa.string())})
 
-    sent = blocks.groupBy("block").applyInArrow(send, B.PACKET)
-    told = sent.groupBy("range").applyInArrow(B.shared_keys, B.REPLY)
+    told = B.exchange(blocks.groupBy("block").applyInArrow(send, B.PACKET), "+", plan, bits)
     wide = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(extend, B.PACKET)
-    least = wide.groupBy("range").applyInArrow(_least_document, B.REPLY)
+    least = B.exchange(wide, "=<", plan, 64)
     return blocks.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
