@@ -22,10 +22,12 @@ CLASSES = {
     "base64": (re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}"), 24, 3.9),
 }
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Parts that match one of these are no secrets: words between marks, words by their capitals, UUIDs, dates, digits or letters alone.
+_CAMEL = r"[a-z]*(?:[A-Z][a-z]{2,}|As|At|By|Id|If|In|Is|No|Of|On|Or|To)+"
+_WORD = rf"(?:[a-z]{{1,19}}|[A-Z]{{1,19}}|[A-Z][a-z]|{_CAMEL})"
+#: Parts that match one of these are no secrets: words in one case or by their capitals, alone and between marks, UUIDs, dates, digits or letters alone.
 ALLOW = (
-    re.compile(r"[-_/+=]*[A-Za-z]{1,19}(?:[-_/+=]+[A-Za-z]{1,19})*[-_/+=]*"),
-    re.compile(r"[a-z]*(?:[A-Z][a-z]{2,}|As|At|By|Id|If|In|Is|No|Of|On|Or|To)+"),
+    re.compile(rf"[-_/+=]*{_WORD}(?:[-_/+=]+{_WORD})*[-_/+=]*"),
+    re.compile(_CAMEL),
     re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
     re.compile(r"[0-9_/+=-]+"),
     re.compile(r"[A-Z]?[a-z]+|[A-Z]+"),

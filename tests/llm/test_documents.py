@@ -253,6 +253,13 @@ def test_entropy_looks_beside_base_spans_and_at_runs_without_digits():
     assert find("in /usr/share/quick/brown-fox_jumps and getElementsByClassNameFromDocument or a-long/path_to/somewhere") == []
 
 
+def test_words_between_marks_are_no_secrets_but_mixed_letters_are():
+    find = lambda t: [t[s:e] for s, _, e in secrets.entropy_spans(t, secrets.base_spans(t))]
+    assert find("see AbCdEfGhIjK/LmNoPqRsTuV/WxYzAbCdEfGh here") == ["AbCdEfGhIjK/LmNoPqRsTuV/WxYzAbCdEfGh"]
+    for words in ("src/main/java/org/example/MyClassName/fooBarBaz", "some-long-kebab-case-name-here-and-more", "LICENSE_TEXT/Read_Me_First/And_Then_More"):
+        assert find(words) == []
+
+
 def test_entropy_window_counts_are_incremental():
     import math
 
