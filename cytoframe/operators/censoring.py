@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytoframe.operators.summaries import fine_hash, finite, global_quantiles, ranked, unit_hash
-from cytoframe.operators.tracks import keep_first
+from cytoframe.operators.tracks import keep_first, lag_pairs
 
 FLAGS = ("passes_link", "passes_object", "passes_area_ratio", "passes_track_id", "passes_numeric")
 #: What ends a track, by the first flag that fails in the next frame.
@@ -119,6 +119,24 @@ def survival_weights(pairs: DataFrame, survival: DataFrame, keys: Sequence[str])
     return got.where(among["n"] == F.col("lag")).select(*keys, "frame", "lag", weight.alias("weight"))
 
 
+def weighted_pairs(df: DataFrame, keys: Sequence[str], max_lag: int, numer: Column, denom: Column, kept: Column, values: Sequence[str] = ("x", "y")) -> DataFrame:
+    """lag_pairs of the rows where kept holds, each with the weight that survival_weights gives it, in one sort of each track.
+
+    numer and denom are those of the link that begins at a row, null where there is none. Rows hold the
+    running sums of the links before them, so a pair's links are the difference of its two rows. df has
+    a frame once in a track.
+    """
+    w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    usable = finite(numer).isNotNull() & finite(denom).isNotNull() & (denom > 0)
+    ratio = F.when(usable, numer / denom)
+    own = {"_l": F.when(ratio != 0, F.log(F.abs(ratio))), "_s": (ratio < 0).cast("int"), "_z": (ratio == 0).cast("int"), "_n": F.when(ratio.isNotNull(), 1)}
+    rows = df.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in own.items()}).where(kept)
+    pairs = lag_pairs(rows, keys, max_lag, [*values, *own])
+    among = {n: F.col(f"{n}_later") - F.col(n) for n in own}
+    weight = F.when(among["_z"] > 0, 0.0).otherwise(F.exp(among["_l"]) * F.when(among["_s"] % 2 == 1, -1).otherwise(1))
+    return pairs.where(among["_n"] == F.col("lag")).withColumn("weight", weight).drop(*own, *[f"{n}_later" for n in own])
+
+
 def cap_weights(df: DataFrame, share: float, most: float, name: str = "capped_weight") -> DataFrame:
     """Weights cut at the lesser of a quantile of them all and a fixed cap."""
     limit = global_quantiles(df, "weight", {"_share": share}).select(F.least("_share", F.lit(most)).alias("_cap"))

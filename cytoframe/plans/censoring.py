@@ -121,10 +121,13 @@ def survival_by_condition(spark, sf_dir):
 
 
 def _weights(spark, sf_dir, max_lag):
-    pairs = T.lag_pairs(M._runs(spark, sf_dir).select(*COND, *TRACK, "frame", "x", "y"), [*COND, *TRACK], max_lag)
-    rows = durable(pairs.withColumn("v", (F.col("x_later") - F.col("x")) ** 2 + (F.col("y_later") - F.col("y")) ** 2))
-    survival = _predicted(spark, sf_dir).select(*TRACK, "frame", (1 - F.col("p0")).alias("numer"), (1 - F.col("p")).alias("denom"))
-    return rows.join(C.survival_weights(rows, survival, TRACK), [*TRACK, "frame", "lag"])
+    """Squared displacements of all pairs of frames in runs of three frames and more, with their survival weights."""
+    rows = T.runs(A.tracks(spark, sf_dir), TRACK)
+    p, p0 = S.logistic(F.lit(-3.0) + 0.05 * F.col("frame") + 0.002 * F.col("x")), S.logistic(F.lit(-2.5) + 0.05 * F.col("frame"))
+    scored = F.col("frame") < 29
+    pairs = C.weighted_pairs(rows, TRACK, max_lag, F.when(scored, 1 - p0), F.when(scored, 1 - p), F.col("run_frames") >= 3)
+    squared = (F.col("x_later") - F.col("x")) ** 2 + (F.col("y_later") - F.col("y")) ** 2
+    return durable(pairs.select(*COND, "lag", squared.alias("v"), "weight"))
 
 
 _WEIGHTS_SQL = M.RUNS_SQL + "," + _PREDICTED_SQL.split("\ntracks AS", 1)[1].split("WHERE rn = 1),", 1)[1] + """,
@@ -138,7 +141,6 @@ wts AS (SELECT s.ploidy, s.dose, s.site_id, s.track_id, s.frame, lag, any_value(
 def survival_weights(spark, sf_dir, max_lag=5):
     """Quantiles of the weights by lag, and their caps."""
     rows = _weights(spark, sf_dir, max_lag)
-    rows = durable(rows.select("lag", "weight"))
     shares = S.global_quantiles(rows, "weight", {"median": 0.5, "p95": 0.95, "p99": 0.99}, ["lag"])
     out = rows.groupBy("lag").agg(F.count("*").alias("n"), F.max("weight").alias("most")).join(shares, "lag")
     return _rounded(out.withColumn("cap", F.least("p95", F.lit(20.0))), "median", "p95", "p99", "most", "cap")

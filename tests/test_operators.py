@@ -323,3 +323,20 @@ def test_survival_weights_are_products_over_links(spark):
         if None not in parts:
             want[t, f, lag] = float(np.prod(parts))
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_weighted_pairs_are_lag_pairs_with_survival_weights(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(t, f, float(f), float(t), *((float(rnd.choice([0.0, 0.5, 0.9, -0.2])), float(rnd.choice([0.0, 0.4, 0.8]))) if rnd.random() < 0.9 else (None, None)), bool(rnd.random() < 0.9)) for t in range(5) for f in range(20) if rnd.random() < 0.9]
+    df = spark.createDataFrame(rows, "t int, frame int, x double, y double, numer double, denom double, kept boolean")
+    got = C.weighted_pairs(df, ["t"], 4, F.col("numer"), F.col("denom"), F.col("kept"))
+    pairs = T.lag_pairs(df.where("kept"), ["t"], 4)
+    want = pairs.join(C.survival_weights(pairs, df.select("t", "frame", "numer", "denom"), ["t"]), ["t", "frame", "lag"])
+    table = lambda d: sorted((r.t, r.frame, r.lag, r.x_later, round(r.weight, 9) + 0.0) for r in d.collect())
+    assert table(got) == table(want) and got.count() > 30
+
+
+def test_lag_pairs_count_a_repeated_frame_once(spark):
+    df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 5.0, 1.0), (1, 1, 4.0, 9.0), (1, 3, 7.0, 7.0), (None, 0, 1.0, 1.0), (None, 1, 1.0, 1.0), (1, None, 2.0, 2.0)], "t int, frame int, x double, y double")
+    got = sorted(map(tuple, T.lag_pairs(df, ["t"], 3).select("frame", "lag", "x", "x_later", "y_later").collect()))
+    assert got == [(0, 1, 0.0, 4.0, 9.0), (0, 3, 0.0, 7.0, 7.0), (1, 2, 4.0, 7.0, 7.0), (1, 2, 5.0, 7.0, 7.0)]
