@@ -7,10 +7,8 @@ rendered as text only on request.
 from __future__ import annotations
 
 import difflib
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,8 +54,14 @@ def extension() -> Column:
 def parsed_names(names: DataFrame) -> DataFrame:
     """(path, name) rows with what each name says; patterns that don't match give NULL.
 
-    The further groups of a pattern are looked for only where its first one is there.
+    Instruments name their files alike in every directory, so each distinct name is parsed once.
     """
+    known = _parsed(names.select(F.col("name")).distinct()).withColumnRenamed("name", "_name")
+    return names.join(known, F.col("name").eqNullSafe(F.col("_name")), "left").drop("_name")
+
+
+def _parsed(names: DataFrame) -> DataFrame:
+    """What each name says. The further groups of a pattern are looked for only where its first one is there."""
 
     def groups(pattern, first, *more):
         head = _group(pattern, first)
@@ -76,7 +80,7 @@ def parsed_names(names: DataFrame) -> DataFrame:
     })
     # Wall-clock minutes of the date alone, so that no time zone moves a gap; a date that doesn't exist gives NULL.
     since = F.expr("timestampdiff(MINUTE, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(try_to_timestamp(acquired, 'yyyy-MM-dd HH:mm') AS TIMESTAMP_NTZ))")
-    return out.withColumns({"minute": since.cast("bigint"), "is_image": F.coalesce(F.col("extension").isin(*IMAGE_EXTENSIONS), F.lit(False))})
+    return out.withColumns({"minute": since.cast("bigint"), "is_image": F.coalesce(F.col("extension").isin(*IMAGE_EXTENSIONS), F.lit(False))}).withColumn("_hint", F.when(F.col("is_image"), _hints(F.col("name"))))
 
 
 #: Image names of a directory that its profile keeps, the first by name.
@@ -96,10 +100,12 @@ def profiles(names: DataFrame) -> DataFrame:
     distinct ones among the first KEPT_NAMES rows of images and of names with a plane or a time; hints tells
     whether any image name holds a word of the two lists of origins.
     """
-    kept = {"image_names": F.col("is_image"), "z_names": F.col("z").isNotNull(), "t_names": F.coalesce(F.col("t"), F.col("elapsed").cast("string"), F.col("acquired")).isNotNull()}
-    w = Window.partitionBy("path").orderBy("name").rowsBetween(Window.unboundedPreceding, 0)
-    rows = parsed_names(names).withColumn("_hint", F.when(F.col("is_image"), _hints(F.col("name"))))
-    rows = rows.withColumns({f"_in_{n}": rule & (F.count_if(rule).over(w) <= KEPT_NAMES) for n, rule in kept.items()})
+    rows = parsed_names(names)
+    rules = {"image_names": F.col("is_image"), "z_names": F.col("z").isNotNull(), "t_names": F.coalesce(F.col("t"), F.col("elapsed").cast("string"), F.col("acquired")).isNotNull()}
+    # Ranks up to KEPT_NAMES are cut before the shuffle, so a directory of any size sends a few names.
+    kinds = F.explode(F.array_compact(F.array(*[F.when(rule, n) for n, rule in rules.items()])))
+    placed = rows.select("path", "name", kinds.alias("_kind")).withColumn("_rank", F.row_number().over(Window.partitionBy("path", "_kind").orderBy("name"))).where(F.col("_rank") <= KEPT_NAMES)
+    kept = placed.groupBy(F.col("path").alias("_path")).agg(*[F.array_sort(F.collect_set(F.when(F.col("_kind") == n, F.col("name")))).alias(n) for n in rules])
     sets = {"z_values": "z", "t_values": "t", "elapsed_minutes": "elapsed", "acquired_at": "acquired", "acquired_minutes": "minute", "planes": "plane", "wells": "well"}
     fields = F.array_compact(F.array("reader_field", "site"))
     seen = F.array_compact(F.concat("channels", F.array("reader_channel")))
@@ -107,9 +113,11 @@ def profiles(names: DataFrame) -> DataFrame:
     out = rows.groupBy("path").agg(
         F.count("*").alias("n_names"), F.count_if("is_image").alias("n_images"), *[F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()],
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(fields)))).alias("fields"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(seen)))).alias("channels"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("coverage"), *[F.array_sort(F.collect_set(F.when(F.col(f"_in_{n}"), F.col("name")))).alias(n) for n in kept],
+        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("coverage"),
         F.struct(*[F.coalesce(F.bool_or(f"_hint.{k}"), F.lit(False)).alias(k) for k in ("derived", "raw")]).alias("hints"),
     )
+    out = out.join(kept, F.col("path").eqNullSafe(F.col("_path")), "left").drop("_path")
+    out = out.withColumns({n: F.coalesce(F.col(n), F.array().cast("array<string>")) for n in rules})
     return out.withColumn("n_timepoints", F.size("t_values") + F.size("elapsed_minutes") + F.size("acquired_at"))
 
 
@@ -324,24 +332,33 @@ def volume_groups(rows: DataFrame) -> DataFrame:
 def focus_matches(paths: DataFrame, cutoff: float = 0.78) -> DataFrame:
     """Adds focus: array of struct(term, token, ratio), exact where the path holds a term, else its closest token.
 
-    Closeness is the ratio of matching blocks of the two strings; tokens below the cutoff don't count.
+    Closeness is the ratio of matching blocks of the two strings; tokens below the cutoff don't count, of
+    equally close ones the last by name does. A ratio bounds the edit distance and the lengths, so only
+    distinct tokens near a term are compared block by block.
     """
-    @F.pandas_udf("array<struct<term:string,token:string,ratio:double>>")
-    def match(column: pd.Series) -> pd.Series:
-        def one(path):
-            low = (path or "").lower()
-            tokens = [t for t in re.split("[^a-z0-9]+", low) if t]
-            out = []
-            for term in FOCUS_TERMS:
-                if term in low:
-                    out.append({"term": term, "token": term, "ratio": 1.0})
-                elif close := difflib.get_close_matches(term, tokens, n=1, cutoff=cutoff):
-                    out.append({"term": term, "token": close[0], "ratio": difflib.SequenceMatcher(a=term, b=close[0]).ratio()})
-            return out
-
-        return column.map(one)
-
-    return paths.withColumn("focus", match("path"))
+    terms = F.explode(F.array(*map(F.lit, FOCUS_TERMS))).alias("term")
+    tokens = paths.select("path", F.explode(F.array_distinct(F.filter(F.split(F.lower("path"), "[^a-z0-9]+"), lambda t: t != ""))).alias("token"))
+    pairs = tokens.select("token").distinct().select("token", terms)
+    both = F.length("token") + F.length("term")
+    near = (2 * F.least(F.length("token"), F.length("term")) >= cutoff * both) & (F.levenshtein("token", "term") <= (1 - cutoff) * both + 1e-9)
+
+    def ratios(parts):
+        for part in parts:
+            both = list(zip(part["token"], part["term"]))
+            yield part.assign(score=[difflib.SequenceMatcher(a=a, b=b).ratio() for a, b in both], ratio=[difflib.SequenceMatcher(a=b, b=a).ratio() for a, b in both])
+
+    # Blocks depend a little on which string is first: tokens are chosen by one way and shown by the other.
+    close = pairs.where(near).mapInPandas(ratios, "token string, term string, score double, ratio double").where(F.col("score") >= cutoff)
+    best = tokens.join(close, "token").groupBy("path", "term").agg(F.max(F.struct("score", "token", "ratio")).alias("_b"))
+    found = best.groupBy(F.col("path").alias("_path")).agg(F.map_from_entries(F.collect_list(F.struct("term", "_b"))).alias("_soft"))
+    out = paths.join(found, F.col("path") == F.col("_path"), "left").drop("_path")
+
+    def one(term):
+        soft = F.try_element_at("_soft", F.lit(term))
+        exact = F.struct(F.lit(term).alias("term"), F.lit(term).alias("token"), F.lit(1.0).alias("ratio"))
+        return F.when(F.lower("path").contains(term), exact).when(soft.isNotNull(), F.struct(F.lit(term).alias("term"), soft["token"].alias("token"), soft["ratio"].alias("ratio")))
+
+    return out.withColumn("focus", F.array_compact(F.array(*[one(t) for t in FOCUS_TERMS]))).drop("_soft")
 
 
 def tracking_qc(rows: DataFrame, keys: Sequence[str], thresholds: Sequence[int] = (3, 5, 10, 25), columns: Sequence[str] = ()) -> DataFrame:

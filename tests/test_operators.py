@@ -340,3 +340,30 @@ def test_lag_pairs_count_a_repeated_frame_once(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 5.0, 1.0), (1, 1, 4.0, 9.0), (1, 3, 7.0, 7.0), (None, 0, 1.0, 1.0), (None, 1, 1.0, 1.0), (1, None, 2.0, 2.0)], "t int, frame int, x double, y double")
     got = sorted(map(tuple, T.lag_pairs(df, ["t"], 3).select("frame", "lag", "x", "x_later", "y_later").collect()))
     assert got == [(0, 1, 0.0, 4.0, 9.0), (0, 3, 0.0, 7.0, 7.0), (1, 2, 4.0, 7.0, 7.0), (1, 2, 5.0, 7.0, 7.0)]
+
+
+def test_focus_terms_are_those_of_close_matches(spark):
+    import difflib
+    import re
+
+    random = np.random.default_rng(4)
+
+    def bent(word):
+        letters = list(word)
+        for _ in range(int(random.integers(0, 4))):
+            at = int(random.integers(0, len(letters)))
+            letters[at : at + int(random.integers(0, 2))] = [str(random.choice(list("abcdegimnortx")))] * int(random.integers(0, 2))
+            letters = letters or ["x"]
+        return "".join(letters)
+
+    paths = [None, "", "/", "/a/Tracking/b"] + ["/".join(["", *[bent(str(random.choice(I.FOCUS_TERMS))) for _ in range(int(random.integers(1, 4)))], "plain_x"]) for _ in range(150)]
+    got = {r.path: [tuple(m) for m in r.focus] for r in I.focus_matches(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    for path in paths:
+        low, want = (path or "").lower(), []
+        tokens = [t for t in re.split("[^a-z0-9]+", low) if t]
+        for term in I.FOCUS_TERMS:
+            if term in low:
+                want.append((term, term, 1.0))
+            elif close := difflib.get_close_matches(term, tokens, n=1, cutoff=0.78):
+                want.append((term, close[0], difflib.SequenceMatcher(a=term, b=close[0]).ratio()))
+        assert got[path] == want, path
