@@ -127,6 +127,13 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id AS d, doc_id AS o FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.o)
 SELECT r.d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY r.d""",
+    "op3_byte_shards": """
+WITH tb AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), [CAST(0 AS BIGINT) for k in range(8)]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+s AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || h AS BIGINT) for h in regexp_extract_all(hex(encode(coalesce(text, ''))), '..')]), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, tb),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS ends, sum(size) OVER () AS total FROM s),
+p AS (SELECT *, CAST(least((2 * ends - size) * 40 // (2 * total), 39) AS INTEGER) AS shard FROM o)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p""",
     "op4_suffix_dedup": """
 WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
 h AS (SELECT doc_id, octet_length(t) AS n, hex(t) AS x FROM b),

@@ -1,10 +1,12 @@
 """Document operators against brute force on fixtures with NULLs, empty and long texts, ties, copies and extra columns."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 import xxhash
@@ -260,6 +262,49 @@ def test_words_between_marks_are_no_secrets_but_mixed_letters_are():
         assert find(words) == []
 
 
+def test_all_spans_equal_a_scan_without_shortcuts(spark):
+    rnd = random.Random(11)
+
+    def entropy(text):
+        counts = Counter(text)
+        return -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values())
+
+    def twin(text):
+        base = [(m.start(), 0, m.end()) for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) >= 12]
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        open_ = [not any(s <= i < e for s, _, e in base) for i in range(len(text))]
+        spans = list(base)
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            at = m.start()
+            for is_open, run in itertools.groupby(open_[m.start() : m.end()]):
+                n = len(list(run))
+                part = text[at : at + n]
+                if is_open and not any(x.fullmatch(part) for x in secrets.ALLOW):
+                    hot = []
+                    for shape, window, bits in secrets.CLASSES.values():
+                        for c in shape.finditer(part):
+                            hot += [(at + c.start() + k, at + c.start() + k + window) for k in range(len(c[0]) - window + 1) if entropy(c[0][k : k + window]) >= bits - 1e-9]
+                    if hot:
+                        spans.append((min(a for a, _ in hot), 3, max(b for _, b in hot)))
+                at += n
+        return sorted(base), sorted(spans)
+
+    letters = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcXYZ019+/_-=", "AKIA", " ", "ab"]
+    texts = [None, "", "ü"]
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randint(1, 12)):
+            parts.append("".join(rnd.choice(rnd.choice(letters)) for _ in range(rnd.randint(1, 6))) if rnd.random() < 0.3 else "".join(rnd.choices(rnd.choice(letters[:3]), k=rnd.randint(5, 45))))
+            parts.append(rnd.choice([" ", "", ".", " token=", ' Api_Key: "', "AKIA", "\n", "é"]))
+        texts.append("".join(parts))
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    name = {"assign": 0, "access": 1, "hex": 2, "entropy": 3}
+    for r in secrets.find_secrets(df).collect():
+        base, spans = twin(texts[r.doc_id] or "")
+        assert [(s.start, name[s.kind], s.end) for s in r.base] == base and [(s.start, name[s.kind], s.end) for s in r.spans] == spans, texts[r.doc_id]
+
+
 def test_entropy_window_counts_are_incremental():
     import math
 
