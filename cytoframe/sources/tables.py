@@ -152,10 +152,12 @@ def well_order(name: Column) -> list[Column]:
 
 def site_manifest(files: DataFrame, partners: Sequence[DataFrame]) -> DataFrame:
     """Sites of `name` for which every partner table of names has a file too, numbered from 1 by name."""
+    from cytoframe.operators.summaries import ranked
+
     rows = files.select("name", site_id(F.col("name")).alias("site_id")).where("site_id IS NOT NULL")
     for other in partners:
         rows = rows.join(other.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("site_id")).distinct(), "site_id", "left_semi")
-    return rows.withColumn("file_index", F.row_number().over(Window.orderBy("name")))  # files of one experiment
+    return ranked(rows, ["name"]).withColumn("file_index", (F.col("rank") + 1).cast("int")).drop("rank", "total")
 
 
 def split_list(column: str, sep: str = ";") -> Column:
