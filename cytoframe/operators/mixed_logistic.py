@@ -1,7 +1,9 @@
 """Logistic models with a random intercept per group: designs, marginal likelihood, comparison.
 
 The data are passed over by aggregations only: a pass gives sums of products by group, from which the
-groups' intercepts are eliminated, so the driver holds a matrix of the terms alone. For each variance the
+groups' intercepts are eliminated, so the driver holds a matrix of the terms and, of up to LOCAL_GROUPS groups,
+one row of sums each; more groups are eliminated in tables. Rows of few groups are packed in blocks once, so a
+pass is one job that reads numbers. For each variance the
 coefficients and intercepts are those of greatest penalised likelihood; the variance is the one of
 greatest Laplace likelihood, found by a search in one dimension.
 """
@@ -14,11 +16,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cytoframe.functions.session import durable
 
+#: Groups whose sums a pass brings to the driver.
+LOCAL_GROUPS = 10_000
+
 #: Levels that a category may have; groups whose intercepts are broadcast; passes for one variance; bounds of the log of the intercepts' deviation.
 MAX_LEVELS, BROADCAST_GROUPS, MAX_PASSES, LOG_DEVIATION = 100, 100_000, 25, (-5.0, 4.0)
 
@@ -104,6 +110,82 @@ class _Rows:
         self.n_rows, self.n_groups = self.rows.agg(F.count("*"), F.count_distinct("_g")).first()
         self.k = len(named)
         self.pairs = [(i, j) for i in range(self.k) for j in range(i, self.k)]
+        self.names, self.blocks = None, None
+        if self.n_rows and self.n_groups <= LOCAL_GROUPS:
+            self.names = np.array(sorted(r[0] for r in self.rows.select("_g").distinct().collect()), dtype=object)
+            self.blocks = durable(self._blocks())
+
+    def _blocks(self) -> DataFrame:
+        """(codes, numbers): the rows of a batch by group, as the groups' places in names and rows of outcome and design."""
+        place, columns = {g: i for i, g in enumerate(self.names.tolist())}, ["_y", *(f"_x{i}" for i in range(self.k))]
+
+        def pack(batches):
+            for batch in batches:
+                codes = np.array([place[g] for g in batch.column("_g").to_pylist()], np.int32)
+                order = np.argsort(codes, kind="stable")
+                numbers = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])[order]
+                yield pa.RecordBatch.from_pydict({"codes": [codes[order].tobytes()], "numbers": [numbers.tobytes()]}, pa.schema([("codes", pa.binary()), ("numbers", pa.binary())]))
+
+        return self.rows.select("_g", *columns).mapInArrow(pack, "codes binary, numbers binary")
+
+    def local_sums(self, beta: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As sums, on the driver: information (groups, k, k), score (groups, k) and log likelihood (groups); a task adds up its blocks."""
+        k, groups, pairs = self.k, len(self.names), np.array(self.pairs)
+        first, second, width = pairs[:, 0], pairs[:, 1], len(pairs) + self.k + 1
+
+        def add(batches):
+            total = np.zeros((groups, width))
+            for batch in batches:
+                for c, n in zip(batch.column("codes"), batch.column("numbers")):
+                    codes = np.frombuffer(c.as_buffer(), np.int32)
+                    if not len(codes):
+                        continue
+                    numbers = np.frombuffer(n.as_buffer()).reshape(-1, k + 1)
+                    y, x = numbers[:, 0], numbers[:, 1:]
+                    eta = x @ beta + u[codes]
+                    p = np.exp(-np.logaddexp(0, -eta))
+                    w = np.maximum(p * (1 - p), 1e-9)
+                    parts = np.column_stack([w[:, None] * x[:, first] * x[:, second], (y - p)[:, None] * x, y * eta - np.logaddexp(0, eta)])
+                    starts = np.flatnonzero(np.diff(codes, prepend=-1))
+                    total[codes[starts]] += np.add.reduceat(parts, starts, axis=0)
+            seen = np.flatnonzero(total[:, 0])
+            yield pa.RecordBatch.from_pydict({"code": pa.array(seen.astype(np.int32)), **{f"v{i}": total[seen, i] for i in range(width)}})
+
+        found = self.blocks.mapInArrow(add, ", ".join(["code int", *(f"v{i} double" for i in range(width))]))
+        rows = np.array(sorted(found.groupBy("code").agg(*[F.sum(f"v{i}") for i in range(width)]).collect()), float)[:, 1:]
+        h = np.zeros((groups, k, k))
+        h[:, first, second] = h[:, second, first] = rows[:, : len(pairs)]
+        return h, rows[:, len(pairs) : -1], rows[:, -1]
+
+    def local_at_variance(self, beta: np.ndarray, u: np.ndarray | None, variance: float | None):
+        """As at_variance, with the groups' sums and intercepts on the driver."""
+        tight = None if variance is None else 1 / variance
+        u = np.zeros(len(self.names)) if u is None else u
+        best, full, t = -math.inf, None, 1.0
+        for n in range(1, MAX_PASSES + 1):
+            h, g, own = self.local_sums(beta, u)
+            value, penalty, move_u, largest = own.sum(), 0.0, np.zeros_like(u), 0.0
+            across = h[:, 0, :]
+            if tight is not None:
+                d, back = h[:, 0, 0] + tight, g[:, 0] - tight * u
+                value, penalty, largest = value - (u * u).sum() * tight / 2, np.log1p(h[:, 0, 0] / tight).sum() / 2, np.abs(back / d).max()
+                h = h - across[:, :, None] * across[:, None, :] / d[:, None, None]
+                g = g - across * (back / d)[:, None]
+            if value < best - 1e-9 * max(1.0, abs(best)) and t > 1e-6:  # too far: half of the step
+                t /= 2
+                beta, u = full[0] + t * full[2], full[1] + t * full[3]
+                continue
+            h, g = h.sum(0), g.sum(0)
+            # With full freedom of the intercepts the level is tied to the penalty, so h may be near singular.
+            move = np.linalg.lstsq(h, g, rcond=1e-12)[0]
+            done = max(np.abs(move).max(), largest) < 1e-6 * (1 + np.abs(beta).max())
+            if done or n == MAX_PASSES:
+                return beta, u, value - penalty, h, done, n
+            if tight is not None:
+                move_u = (back - across @ move) / d
+            best, t, full = value, 1.0, (beta, u, move, move_u)
+            beta, u = beta + move, u + move_u
+        raise AssertionError
 
     def with_offsets(self, offsets: DataFrame | None) -> DataFrame:
         if offsets is None:
@@ -122,6 +204,8 @@ class _Rows:
 
     def at_variance(self, beta: np.ndarray, offsets: DataFrame | None, variance: float | None):
         """(beta, intercepts, objective, information, converged, passes) of greatest penalised likelihood for one variance, by Newton steps with halving."""
+        if self.blocks is not None:
+            return self.local_at_variance(beta, offsets, variance)
         tight = None if variance is None else 1 / variance
         best, full, move, t = -math.inf, None, np.zeros(self.k), 1.0
         for n in range(1, MAX_PASSES + 1):
@@ -221,6 +305,8 @@ def fit(df: DataFrame, outcome: str, terms: Sequence[str], group: str | None = N
         else:
             least(math.log(variance) / 2)
         beta, offsets, value, h, done, _ = best["fit"]
+    if isinstance(offsets, np.ndarray):
+        offsets = df.sparkSession.createDataFrame(list(zip(data.names.tolist(), offsets.tolist())), "_g string, _u double")
     errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(h)), 0))
     return Fit(list(columns), beta, errors, variance if group else None, float(value), data.n_rows, data.n_groups if group else 0, bool(done and not bound), passes, categories, offsets)
 
